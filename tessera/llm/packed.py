@@ -234,7 +234,7 @@ class Batch:
         return pa.array(self.ids, pa.int64(), mask=~self.valid)
 
 
-def pieces(rows: pa.RecordBatch, text: str, limit: int = BATCH_BYTES):
+def pieces(rows: pa.RecordBatch, text: str | int, limit: int = BATCH_BYTES):
     """Slices of a record batch that hold about limit bytes of text each."""
     if not rows.num_rows:
         return

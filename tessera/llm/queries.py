@@ -4,15 +4,33 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
+import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from . import substring
+from . import bpe, quality, simhash, sql, substring
+
+#: The vocabulary of op1; its path is a parameter of the operator.
+RANKS = "byte_bpe_multi_50k.tiktoken"
 
 
 def _documents(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/documents.parquet")
 
 
+def op1_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Ids of every whole text, decoded again; digests of both."""
+    path = public_tokenizers.path(RANKS)
+    texts = _documents(spark, sf_dir).select("doc_id", "text")
+    coded = bpe.encode(texts, path, public_tokenizers.PATTERN).select("doc_id", "ids")
+    return bpe.decode(coded, path, public_tokenizers.PATTERN).select(
+        "doc_id",
+        F.expr("CAST(octet_length(ids) DIV 4 AS long)").alias("n_tokens"),
+        F.sha2("ids", 256).alias("ids_sha256"),
+        F.sha2("decoded", 256).alias("decoded_sha256"),
+    )
+
+
 def op3_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Words left after removing repeated 50-word windows, by fixed-block anchors."""
     return substring.fixed_anchor_dedup(_documents(spark, sf_dir), 50)
@@ -23,9 +41,26 @@ def op5_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return substring.suffix_dedup(_documents(spark, sf_dir), 50, 10)
 
 
+def op8_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Counts and verdicts of the quality rules with host-level shrinkage."""
+    docs = _documents(spark, sf_dir).select("doc_id", "text", "source")
+    return quality.judge(docs).select("doc_id", "quality.n_words", "quality.word_chars", "quality.n_symbols", "quality.n_dup_lines", "quality.n_repeat_words", "quality.base_failed", "quality.kept")
+
+
+def op10_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Fingerprints and the components of links at 3 or fewer differing bits."""
+    found = simhash.near_duplicates(_documents(spark, sf_dir))
+    return found.select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op1_bpe": op1_bpe,
     "op3_substring_dedup": op3_substring_dedup,
     "op5_suffix_dedup": op5_suffix_dedup,
+    "op8_quality_rules": op8_quality_rules,
+    "op10_simhash": op10_simhash,
 }
 
-ORACLES: dict[str, str] = {}
+ORACLES: dict[str, str] = {
+    "op8_quality_rules": sql.QUALITY,
+}
