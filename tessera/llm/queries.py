@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, quality, simhash, sql, substring
+from . import bpe, lm, quality, simhash, sql, substring
 
 #: The vocabulary of op1; its path is a parameter of the operator.
 RANKS = "byte_bpe_multi_50k.tiktoken"
@@ -36,6 +36,19 @@ def op3_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return substring.fixed_anchor_dedup(_documents(spark, sf_dir), 50)
 
 
+def _remainder(n: int):
+    """crc32 of the id as text, modulo n; a null id gives null."""
+    return F.expr(f"crc32(CAST(doc_id AS string)) % {n}")
+
+
+def op4_lm_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Kneser-Ney log10 probability of every text, learned from the rows that are not held out."""
+    docs = _documents(spark, sf_dir).select("doc_id", "text")
+    model = lm.train(docs, "crc32(CAST(doc_id AS string)) % 7 <> 2")
+    held = F.coalesce(_remainder(7) == 2, F.lit(False)).alias("held_out")
+    return lm.score(docs, model).select("doc_id", held, "n_tokens", "n_known", "train_tokens", "base_score", "score", "perplexity")
+
+
 def op5_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The same removal, found through sparse suffixes at minimisers."""
     return substring.suffix_dedup(_documents(spark, sf_dir), 50, 10)
@@ -56,6 +69,7 @@ def op10_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_bpe": op1_bpe,
     "op3_substring_dedup": op3_substring_dedup,
+    "op4_lm_scoring": op4_lm_scoring,
     "op5_suffix_dedup": op5_suffix_dedup,
     "op8_quality_rules": op8_quality_rules,
     "op10_simhash": op10_simhash,
