@@ -19,6 +19,7 @@ import tempfile
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.ipc
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 
@@ -206,14 +207,14 @@ def task_batch(seq: int) -> int:
 
 # --------------------------------------------------------------------------- batches
 
-BATCH_SCHEMA = "batch long, ids binary, valid binary, offsets binary, texts binary, sites binary"
+BATCH_SCHEMA = "batch long, ids binary, valid binary, offsets binary, texts binary, sites binary, extra binary"
 _CODEC = "zstd"
 
 
 class Batch:
     """An unpacked row of BATCH_SCHEMA. A null doc_id counts as larger than any other."""
 
-    __slots__ = ("batch", "data", "ids", "offsets", "sites", "valid")
+    __slots__ = ("batch", "data", "extra", "ids", "offsets", "sites", "valid")
 
     def __init__(self, row: dict):
         self.batch = row["batch"]
@@ -223,6 +224,9 @@ class Batch:
         size = int(self.offsets[-1])
         self.data = np.frombuffer(pa.decompress(row["texts"], size, _CODEC), np.uint8) if size else np.zeros(0, np.uint8)
         self.sites = np.frombuffer(row["sites"], U64)
+        self.extra = pa.ipc.open_stream(row["extra"]).read_all().combine_chunks().to_batches() if row["extra"] else None
+        if self.extra is not None:
+            self.extra = self.extra[0]
 
     def words(self, lower: bool = False) -> Words:
         return Words(self.data, self.offsets, lower)
@@ -251,17 +255,20 @@ def _sizes(column: pa.Array) -> np.ndarray:
     return np.cumsum(np.diff(utf8(column)[1]))
 
 
-def pack_documents(docs: DataFrame, text: str = "text", doc_id: str = "doc_id", site: str | None = None) -> DataFrame:
+def pack_documents(docs: DataFrame, text: str = "text", doc_id: str = "doc_id", site: str | None = None, carry: list[str] | None = None) -> DataFrame:
     """One row per batch of documents, dealt to tasks by batch number.
 
     Null texts are empty, a null id is kept as such, a null site is the site ''.
-    Other columns are ignored, whatever their names.
+    Columns named in ``carry`` travel along unchanged; others are ignored, whatever their names.
     """
     from pyspark.sql import functions as F
 
     cols = [F.col(f"`{doc_id}`").cast("long").alias("id"), F.col(f"`{text}`").cast("string").alias("text")]
     cols.append(F.xxhash64(F.coalesce(F.col(f"`{site}`").cast("string"), F.lit(""))).alias("site") if site else F.lit(0).cast("long").alias("site"))
 
+    cols += [F.col(f"`{c}`").alias(f"carry_{i}") for i, c in enumerate(carry or ())]
+    carried = [f"carry_{i}" for i in range(len(carry or ()))]
+
     def pack(stream):
         seq, held, size = 0, [], 0
 
@@ -279,6 +286,11 @@ def pack_documents(docs: DataFrame, text: str = "text", doc_id: str = "doc_id",
                 "texts": pa.compress(data.tobytes(), _CODEC, asbytes=True) if len(data) else b"",
                 "sites": table.column("site").combine_chunks().to_numpy(zero_copy_only=False).tobytes(),
             }
+            if carried:
+                sink = pa.BufferOutputStream()
+                with pa.ipc.new_stream(sink, table.select(carried).schema, options=pa.ipc.IpcWriteOptions(compression=_CODEC)) as out:
+                    out.write_table(table.select(carried))
+                made["extra"] = sink.getvalue().to_pybytes()
             seq += 1
             return pa.RecordBatch.from_pylist([made], schema=_batch_arrow())
 
@@ -301,7 +313,7 @@ def pack_documents(docs: DataFrame, text: str = "text", doc_id: str = "doc_id",
 
 
 def _batch_arrow() -> pa.Schema:
-    return pa.schema([("batch", pa.int64())] + [(c, pa.binary()) for c in ("ids", "valid", "offsets", "texts", "sites")])
+    return pa.schema([("batch", pa.int64())] + [(c, pa.binary()) for c in ("ids", "valid", "offsets", "texts", "sites", "extra")])
 
 
 def batches(table) -> list[Batch]:

@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, lm, quality, simhash, sql, substring
+from . import bpe, lines, lm, quality, simhash, sql, substring
 
 #: The vocabulary of op1; its path is a parameter of the operator.
 RANKS = "byte_bpe_multi_50k.tiktoken"
@@ -60,6 +60,12 @@ def op8_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.judge(docs).select("doc_id", "quality.n_words", "quality.word_chars", "quality.n_symbols", "quality.n_dup_lines", "quality.n_repeat_words", "quality.base_failed", "quality.kept")
 
 
+def op9_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Texts without the lines that ten or more sources share, first occurrences kept."""
+    docs = _documents(spark, sf_dir).select("doc_id", "text", "source")
+    return lines.spread_dedup(docs, 10).select("doc_id", "n_lines", "n_removed", F.sha2("kept", 256).alias("kept_sha256"))
+
+
 def op10_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Fingerprints and the components of links at 3 or fewer differing bits."""
     found = simhash.near_duplicates(_documents(spark, sf_dir))
@@ -72,9 +78,11 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op4_lm_scoring": op4_lm_scoring,
     "op5_suffix_dedup": op5_suffix_dedup,
     "op8_quality_rules": op8_quality_rules,
+    "op9_line_dedup": op9_line_dedup,
     "op10_simhash": op10_simhash,
 }
 
 ORACLES: dict[str, str] = {
     "op8_quality_rules": sql.QUALITY,
+    "op9_line_dedup": sql.LINES,
 }

@@ -51,3 +51,23 @@ SELECT doc_id, n_words::BIGINT AS n_words, word_chars::BIGINT AS word_chars, n_s
   NOT ({_ANY}) AND NOT coalesce(failed, false) AS kept
 FROM m LEFT JOIN verdict ON m.source IS NOT DISTINCT FROM verdict.host
 """
+
+_BLANK = "chr(32) || chr(9) || chr(10) || chr(11) || chr(12) || chr(13)"
+
+LINES = f"""
+WITH raw AS (
+  SELECT row_number() OVER () AS rid, doc_id, coalesce(source, '') AS source, string_split(coalesce(text, ''), chr(10)) AS ls FROM documents
+), l AS (
+  SELECT rid, doc_id, source, unnest(ls) AS line, unnest(generate_series(1, len(ls))) AS i FROM raw
+), k AS (
+  SELECT *, trim(line, {_BLANK}) AS t FROM l
+), wide AS (
+  SELECT t FROM k WHERE t <> '' GROUP BY t HAVING count(DISTINCT source) >= 10
+), placed AS (
+  SELECT k.*, wide.t IS NOT NULL AS is_wide, row_number() OVER (PARTITION BY k.t ORDER BY doc_id NULLS LAST, i) AS rn
+  FROM k LEFT JOIN wide ON k.t = wide.t
+)
+SELECT doc_id, count(*) FILTER (t <> '') AS n_lines, count(*) FILTER (is_wide AND rn > 1) AS n_removed,
+  sha256(coalesce(string_agg(line, chr(10) ORDER BY i) FILTER (NOT (is_wide AND rn > 1)), '')) AS kept_sha256
+FROM placed GROUP BY rid, doc_id
+"""
