@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, lines, lm, quality, simhash, sql, substring
+from . import bpe, lines, lm, quality, simhash, sql, substring, toxicity
 
 #: The vocabulary of op1; its path is a parameter of the operator.
 RANKS = "byte_bpe_multi_50k.tiktoken"
@@ -54,6 +54,16 @@ def op5_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return substring.suffix_dedup(_documents(spark, sf_dir), 50, 10)
 
 
+def op7_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Toxicity of every text; a fifth of the labelled rows is held out, a fifth calibrates."""
+    docs = _documents(spark, sf_dir).select("doc_id", "text")
+    labels = spark.read.parquet(f"{sf_dir}/labels.parquet").select("doc_id", "toxic")
+    fold = "crc32(CAST(doc_id AS string)) % 5"
+    scorer = toxicity.learn(docs, labels, f"{fold} IN (1, 2, 3)", f"{fold} = 4")
+    held = F.coalesce(_remainder(5) == 0, F.lit(False)).alias("held_out")
+    return toxicity.score(docs, scorer).select("doc_id", held, "score", F.expr("CAST(score >= 0.5 AS int)").alias("predicted"), "passages")
+
+
 def op8_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Counts and verdicts of the quality rules with host-level shrinkage."""
     docs = _documents(spark, sf_dir).select("doc_id", "text", "source")
@@ -77,6 +87,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op3_substring_dedup": op3_substring_dedup,
     "op4_lm_scoring": op4_lm_scoring,
     "op5_suffix_dedup": op5_suffix_dedup,
+    "op7_toxicity": op7_toxicity,
     "op8_quality_rules": op8_quality_rules,
     "op9_line_dedup": op9_line_dedup,
     "op10_simhash": op10_simhash,
