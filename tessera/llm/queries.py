@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, lines, lm, quality, simhash, sql, substring, toxicity
+from . import bpe, decontam, extract, lines, lm, quality, simhash, sql, substring, toxicity
 
 #: The vocabulary of op1; its path is a parameter of the operator.
 RANKS = "byte_bpe_multi_50k.tiktoken"
@@ -31,6 +31,12 @@ def op1_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op2_html_extraction(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Main text of every page by minimum-cut labelling."""
+    pages = spark.read.parquet(f"{sf_dir}/pages.parquet").select("page_id", "url", "html")
+    return extract.with_text(pages).select("page_id", "url", F.col("main_text").alias("text"), F.length("main_text").cast("long").alias("n_chars"))
+
+
 def op3_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Words left after removing repeated 50-word windows, by fixed-block anchors."""
     return substring.fixed_anchor_dedup(_documents(spark, sf_dir), 50)
@@ -54,6 +60,14 @@ def op5_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return substring.suffix_dedup(_documents(spark, sf_dir), 50, 10)
 
 
+def op6_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """(doc_id, item_id) of every benchmark passage in a document, at a tenth of its length in edits."""
+    docs = _documents(spark, sf_dir).select("doc_id", "text")
+    benchmark = spark.read.parquet(f"{sf_dir}/benchmark.parquet")
+    leak = F.explode("leaks").alias("leak")
+    return decontam.with_leaks(docs, benchmark, 0.1).select("doc_id", leak).select("doc_id", "leak.item_id", "leak.edits", "leak.start", "leak.end")
+
+
 def op7_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Toxicity of every text; a fifth of the labelled rows is held out, a fifth calibrates."""
     docs = _documents(spark, sf_dir).select("doc_id", "text")
@@ -84,9 +98,11 @@ def op10_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_bpe": op1_bpe,
+    "op2_html_extraction": op2_html_extraction,
     "op3_substring_dedup": op3_substring_dedup,
     "op4_lm_scoring": op4_lm_scoring,
     "op5_suffix_dedup": op5_suffix_dedup,
+    "op6_decontamination": op6_decontamination,
     "op7_toxicity": op7_toxicity,
     "op8_quality_rules": op8_quality_rules,
     "op9_line_dedup": op9_line_dedup,
