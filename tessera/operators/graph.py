@@ -41,3 +41,219 @@ def connected_components(edges: DataFrame, a: str = "a", b: str = "b", max_round
     else:
         raise RuntimeError("components did not settle")
     return e.select(F.col("u").alias("node"), F.col("v").alias("component")).unionAll(e.select(F.col("v").alias("node"), F.col("v").alias("component")).distinct())
+
+
+def node_edges(edges: DataFrame, node, a: str, b: str, direction: str = "both") -> DataFrame:
+    """Edges of a node: in, out or both."""
+    out, into = F.col(a) == node, F.col(b) == node
+    return edges.where({"out": out, "in": into}.get(direction, out | into))
+
+
+def reach(edges: DataFrame, roots: DataFrame, a: str, b: str, depth: int = 3) -> DataFrame:
+    """(root, node, hops): nodes reached from each root along a -> b, each at its least distance.
+
+    A frontier join per layer with an anti-join on what was seen; every layer is checkpointed,
+    and the loop ends early when no node is new.
+    """
+    checkpoint_dir(edges.sparkSession)
+    e = edges.select(F.col(a).alias("__a"), F.col(b).alias("__b")).distinct()
+    front = roots.select(F.col(roots.columns[0]).alias("root")).distinct().select("root", F.col("root").alias("node"), F.lit(0).alias("hops")).checkpoint()
+    layers = [front]
+    for k in range(1, depth + 1):
+        seen = reduce(DataFrame.unionAll, layers).select("root", "node")
+        front = front.join(e, front.node == e["__a"]).select("root", F.col("__b").alias("node")).distinct().join(seen, ["root", "node"], "left_anti").select("root", "node", F.lit(k).alias("hops")).checkpoint()
+        if front.isEmpty():
+            break
+        layers.append(front)
+    return reduce(DataFrame.unionAll, layers)
+
+
+def shortest_path(edges: DataFrame, pairs: DataFrame, a: str, b: str, source: str, target: str, depth: int = 6) -> DataFrame:
+    """(source, target, hops): least hops, -1 where there is no path within the depth."""
+    found = reach(edges, pairs.select(source), a, b, depth).select(F.col("root").alias(source), F.col("node").alias(target), "hops")
+    return pairs.select(source, target).distinct().join(found, [source, target], "left").select(source, target, F.coalesce("hops", F.lit(-1)).alias("hops"))
+
+
+def topological_layers(nodes: DataFrame, edges: DataFrame, node: str, a: str, b: str, rounds: int = 200) -> DataFrame:
+    """(node, layer) where a depends on b; nodes on or behind a cycle have layer -1."""
+    checkpoint_dir(nodes.sparkSession)
+    left = nodes.select(F.col(node).alias("node")).distinct().checkpoint()
+    deps = edges.select(F.col(a).alias("node"), F.col(b).alias("dep")).where("node <> dep").distinct()
+    loops = edges.where(F.col(a) == F.col(b)).select(F.col(a).alias("node"), F.col(b).alias("dep"))
+    deps = deps.unionAll(loops.distinct()).checkpoint()
+    done = []
+    for k in range(rounds):
+        free = left.join(deps.select("node").distinct(), "node", "left_anti").select("node", F.lit(k).alias("layer")).checkpoint()
+        if free.isEmpty():
+            break
+        done.append(free)
+        left = left.join(free, "node", "left_anti").checkpoint()
+        deps = deps.join(free.select(F.col("node").alias("dep")), "dep", "left_anti").select("node", "dep").checkpoint()
+    return reduce(DataFrame.unionAll, [*done, left.select("node", F.lit(-1).alias("layer"))])
+
+
+def change_groups(changed: DataFrame, edges: DataFrame, node: str, file: str, a: str, b: str) -> DataFrame:
+    """(node, group) of changed nodes tied by an edge or a shared file; files tie by a star, not by pairs."""
+    hub = changed.groupBy(file).agg(F.min(node).alias("hub"))
+    stars = changed.join(hub, file).select(F.col(node).alias("a"), F.col("hub").alias("b"))
+    known = changed.select(F.col(node).alias("__n")).distinct()
+    inner = edges.select(F.col(a).alias("a"), F.col(b).alias("b")).join(known, F.col("a") == known["__n"], "left_semi").join(known, F.col("b") == known["__n"], "left_semi")
+    parts = connected_components(stars.unionAll(inner)).select(F.col("node").alias("__n"), "component")
+    return changed.select(F.col(node).alias("node")).distinct().join(parts, F.col("node") == F.col("__n"), "left").select("node", F.coalesce("component", "node").alias("group"))
+
+
+def call_chains(edges: DataFrame, roots: DataFrame, a: str, b: str, depth: int = 6, limit: int | None = None) -> DataFrame:
+    """(chain): simple paths from each root that cannot be longer, or are of the depth; a limit takes the least chains."""
+    e = edges.select(F.col(a).cast("string").alias("__a"), F.col(b).cast("string").alias("__b")).where("__a <> __b").distinct()
+    paths = roots.select(F.array(F.col(roots.columns[0]).cast("string")).alias("chain")).distinct()
+    ended = []
+    for k in range(depth):
+        grown = paths.join(e, F.element_at("chain", -1) == e["__a"], "left")
+        open_ = grown.where(F.col("__b").isNotNull() & ~F.array_contains("chain", F.col("__b")))
+        longer = open_.select(F.concat("chain", F.array("__b")).alias("chain"))
+        stuck = paths.join(open_.select("chain").distinct(), "chain", "left_anti")
+        ended.append(stuck)
+        paths = longer
+    out = reduce(DataFrame.unionAll, [*ended, paths]).where(F.size("chain") > 1).distinct()
+    return out.orderBy("chain").limit(limit) if limit else out
+
+
+def entries(nodes: DataFrame, edges: DataFrame, node: str, a: str, b: str) -> DataFrame:
+    """Nodes nobody calls but that call others: in-degree 0."""
+    called = edges.select(F.col(b).alias(node)).distinct()
+    return nodes.select(node).distinct().join(called, node, "left_anti").join(edges.select(F.col(a).alias(node)).distinct(), node, "left_semi")
+
+
+def entry_points(start: DataFrame, edges: DataFrame, node: str, a: str, b: str, depth: int = 10) -> DataFrame:
+    """(node, entry): entries from which calls lead to each start, walking callers upward."""
+    up = reach(edges, start.select(node), b, a, depth)
+    called = edges.select(F.col(b).alias("n")).distinct()
+    return up.join(called, up.node == called.n, "left_anti").where("hops > 0 or root = node").select(F.col("root").alias(node), F.col("node").alias("entry")).distinct()
+
+
+def test_gap(changed: DataFrame, edges: DataFrame, tests: DataFrame, node: str, a: str, b: str, depth: int = 3) -> DataFrame:
+    """Changed nodes that no test reaches within the depth."""
+    covered = reach(edges, tests.select(node), a, b, depth).select(F.col("node").alias(node)).distinct()
+    return changed.select(node).distinct().join(covered, node, "left_anti")
+
+
+def rescan(failed: DataFrame, edges: DataFrame, node: str, a: str, b: str, depth: int = 20) -> DataFrame:
+    """Failed nodes and all that depend on them (a depends on b), transitively."""
+    return reach(edges, failed.select(node), b, a, depth).select(F.col("node").alias(node)).distinct()
+
+
+def cross_module(edges: DataFrame, modules: DataFrame, a: str, b: str, node: str, module: str) -> DataFrame:
+    """(from_module, to_module, n, examples) of edges between modules, three least examples each."""
+    left = modules.select(F.col(node).alias(a), F.col(module).alias("from_module"))
+    right = modules.select(F.col(node).alias(b), F.col(module).alias("to_module"))
+    rows = edges.join(left, a).join(right, b).where("from_module <> to_module")
+    per = rows.groupBy("from_module", "to_module").agg(F.count(F.lit(1)).alias("n"), F.min(F.concat_ws(">", a, b)).alias("example"))
+    return per
+
+
+def lock_inversions(locks: DataFrame, owner: str, order: str, lock: str) -> DataFrame:
+    """(x, y, first_owner, second_owner): two owners take two locks in opposite order."""
+    l = locks.groupBy(owner, lock).agg(F.min(order).alias("o"))
+    pairs = l.alias("p").join(l.alias("q"), (F.col(f"p.{owner}") == F.col(f"q.{owner}")) & (F.col("p.o") < F.col("q.o"))).select(F.col(f"p.{owner}").alias("w"), F.col(f"p.{lock}").alias("s"), F.col(f"q.{lock}").alias("t"))
+    # owners per ordered pair are folded to their least before the pairs meet
+    firsts = pairs.groupBy("s", "t").agg(F.min("w").alias("w"))
+    x, y = firsts.alias("x"), firsts.alias("y")
+    return x.join(y, (F.col("x.s") == F.col("y.t")) & (F.col("x.t") == F.col("y.s"))).where("x.s < x.t").select(F.col("x.s").alias("x"), F.col("x.t").alias("y"), F.col("x.w").alias("first_owner"), F.col("y.w").alias("second_owner"))
+
+
+def reading_path(edges: DataFrame, start: DataFrame, a: str, b: str, weight: str, steps: int = 4) -> DataFrame:
+    """(start, path): from each start along the heaviest edge to an unseen node, at most ``steps`` nodes."""
+    from pyspark.sql import Window
+
+    e = edges.select(F.col(a).alias("__a"), F.col(b).alias("__b"), F.col(weight).alias("__w"))
+    paths = start.select(F.col(start.columns[0]).alias("start"), F.array(F.col(start.columns[0])).alias("path"))
+    for _ in range(steps - 1):
+        w = Window.partitionBy("start").orderBy(F.desc_nulls_last("__w"), "__b")
+        next_ = paths.join(e, F.element_at("path", -1) == e["__a"], "left").withColumn("ok", F.col("__b").isNotNull() & ~F.array_contains("path", F.col("__b")))
+        best = next_.where("ok").withColumn("rn", F.row_number().over(w)).where("rn = 1").select("start", F.col("__b").alias("step"))
+        paths = paths.join(best, "start", "left").select("start", F.when(F.col("step").isNotNull(), F.concat("path", F.array("step"))).otherwise(F.col("path")).alias("path"))
+    return paths
+
+
+def _per_component(edges: DataFrame, a: str, b: str, weight: str, schema: str, function) -> DataFrame:
+    parts = connected_components(edges.select(F.col(a).alias("a"), F.col(b).alias("b")))
+    e = edges.select(F.col(a).alias("a"), F.col(b).alias("b"), F.col(weight).alias("w")).where("a <> b")
+    return e.join(parts, e.a == parts.node).select("component", "a", "b", "w").groupBy("component").applyInPandas(function, schema)
+
+
+def backbone(edges: DataFrame, a: str, b: str, weight: str, share: float = 0.3) -> DataFrame:
+    """(a, b, w, tree): a maximum spanning tree of each component, and other edges of at least a share of the top weight.
+
+    Meant for module graphs, where a component is small: it is held in one task.
+    """
+
+    def kruskal(pdf):
+        pdf = pdf.sort_values(["w", "a", "b"], ascending=[False, True, True])
+        parent = {}
+
+        def find(x):
+            while parent.setdefault(x, x) != x:
+                parent[x] = parent[parent[x]]
+                x = parent[x]
+            return x
+
+        top, keep = pdf.w.max(), []
+        for row in pdf.itertuples():
+            p, q = find(row.a), find(row.b)
+            if p != q:
+                parent[p] = q
+            if p != q or row.w >= share * top:
+                keep.append((row.a, row.b, row.w, p != q))
+        import pandas as pd
+
+        return pd.DataFrame(keep, columns=["a", "b", "w", "tree"])
+
+    kind = dict(edges.dtypes)
+    return _per_component(edges, a, b, weight, f"a {kind[a]}, b {kind[b]}, w {kind[weight]}, tree boolean", kruskal)
+
+
+def longest_path_ranks(edges: DataFrame, a: str, b: str) -> DataFrame:
+    """(node, rank): longest distance from a source after dropping edges that close a cycle in sorted depth-first order."""
+
+    def rank(pdf):
+        import pandas as pd
+
+        out = {}
+        for x, y in sorted(set(zip(pdf.a, pdf.b, strict=True))):
+            out.setdefault(x, []).append(y)
+            out.setdefault(y, [])
+        state, forward = {}, []
+        for root in sorted(out):
+            if root in state:
+                continue
+            state[root], stack = 1, [(root, iter(out[root]))]
+            while stack:
+                x, rest = stack[-1]
+                for y in rest:
+                    if state.get(y) != 1:
+                        forward.append((x, y))
+                    if y not in state:
+                        state[y] = 1
+                        stack.append((y, iter(out[y])))
+                        break
+                else:
+                    state[x] = 2
+                    stack.pop()
+        into = {x: 0 for x in out}
+        for _, y in forward:
+            into[y] += 1
+        ranks, queue = {x: 0 for x in out}, [x for x in out if not into[x]]
+        after = {}
+        for x, y in forward:
+            after.setdefault(x, []).append(y)
+        while queue:
+            x = queue.pop()
+            for y in after.get(x, ()):
+                ranks[y] = max(ranks[y], ranks[x] + 1)
+                into[y] -= 1
+                if not into[y]:
+                    queue.append(y)
+        return pd.DataFrame(sorted(ranks.items()), columns=["node", "rank"])
+
+    kind = dict(edges.dtypes)
+    return _per_component(edges.withColumn("__w", F.lit(1)), a, b, "__w", f"node {kind[a]}, rank int", rank)

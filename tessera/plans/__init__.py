@@ -1,4 +1,4 @@
 """Importing this package registers all queries."""
 
-from . import aggregates, scalars  # noqa: F401
+from . import aggregates, graphs, relations, scalars  # noqa: F401
 from .registry import ORACLES, QUERIES  # noqa: F401
