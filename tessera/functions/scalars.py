@@ -181,10 +181,10 @@ def flatten_json(df: DataFrame, keys: list[str], json: str, depth: int = 4) -> D
         inner = level.where(shape.isin("{", "["))
         scalar = level.where(~shape.isin("{", "[")).select(*keys, "path", F.col("node").alias("value"))
         leaves = scalar if leaves is None else leaves.unionByName(scalar)
-        fields = inner.where(F.substring(F.ltrim("node"), 1, 1) == "{").select(*keys, "path", F.explode(F.from_json("node", "map<string,string>")).alias("k", "v"))
-        fields = fields.select(*keys, F.when(F.col("path") == "", F.col("k")).otherwise(F.concat_ws(".", "path", "k")).alias("path"), F.col("v").alias("node"))
-        items = inner.where(F.substring(F.ltrim("node"), 1, 1) == "[").select(*keys, "path", F.posexplode(F.from_json("node", "array<string>")).alias("i", "v"))
-        items = items.select(*keys, F.format_string("%s[%d]", "path", "i").alias("path"), F.col("v").alias("node"))
+        fields = inner.where(F.substring(F.ltrim("node"), 1, 1) == "{").select(*keys, "path", F.explode(F.from_json("node", "map<string,string>")).alias("__k", "__v"))
+        fields = fields.select(*keys, F.when(F.col("path") == "", F.col("__k")).otherwise(F.concat_ws(".", "path", "__k")).alias("path"), F.col("__v").alias("node"))
+        items = inner.where(F.substring(F.ltrim("node"), 1, 1) == "[").select(*keys, "path", F.posexplode(F.from_json("node", "array<string>")).alias("__i", "__v"))
+        items = items.select(*keys, F.format_string("%s[%d]", "path", "__i").alias("path"), F.col("__v").alias("node"))
         level = fields.unionByName(items)
     scalar = level.select(*keys, "path", F.col("node").alias("value"))
     return leaves.unionByName(scalar).where("value is not null")
