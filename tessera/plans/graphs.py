@@ -91,7 +91,7 @@ def entries(spark, sf):
     return G.entries(e.select(F.col("a").alias("node")), e, "node", "a", "b")
 
 
-@query("grf13_entry_points", f"WITH {_E} SELECT 100 + n_nationkey AS node, n_regionkey::BIGINT AS entry FROM nation")
+@query("grf13_entry_points", f"WITH {_E} SELECT (100 + n_nationkey)::BIGINT AS node, n_regionkey::BIGINT AS entry FROM nation")
 def entry_points(spark, sf):
     start = table(spark, sf, "nation").select((F.col("n_nationkey") + 100).cast("long").alias("node"))
     return G.entry_points(start, _edges(spark, sf), "node", "a", "b", 4)
@@ -106,11 +106,11 @@ def test_gap(spark, sf):
 
 @query("grf6_reading_path", """
 WITH e AS (SELECT l_suppkey AS a, 100000 + l_partkey AS b, sum(l_quantity) AS w FROM lineitem GROUP BY 1, 2)
-SELECT a AS start, [a, b] AS path FROM (SELECT a, b, row_number() OVER (PARTITION BY a ORDER BY w DESC, b) AS rn FROM e) WHERE rn = 1
+SELECT a AS start, a || '>' || b AS path FROM (SELECT a, b, row_number() OVER (PARTITION BY a ORDER BY w DESC, b) AS rn FROM e) WHERE rn = 1
 """)
 def reading_path(spark, sf):
     e = table(spark, sf, "lineitem").groupBy(F.col("l_suppkey").alias("a"), (F.col("l_partkey") + 100000).alias("b")).agg(F.sum("l_quantity").alias("w"))
-    return G.reading_path(e, e.select("a").distinct(), "a", "b", "w", 3)
+    return G.reading_path(e, e.select("a").distinct(), "a", "b", "w", 3).select("start", F.array_join("path", ">").alias("path"))
 
 
 @query("grf7_backbone", None)

@@ -136,7 +136,7 @@ def overlap_links(spark, sf):
 
 @query("jon13_two_hops", """
 WITH e AS (SELECT DISTINCT r_regionkey + 1000 AS a, n_nationkey + 2000 AS b FROM region JOIN nation ON n_regionkey = r_regionkey UNION SELECT DISTINCT c_nationkey + 2000, c_custkey + 100000 FROM customer)
-SELECT DISTINCT x.b AS node, y.a AS far FROM e x JOIN e y ON y.b = x.a WHERE x.b >= 100000
+SELECT DISTINCT x.b AS node, y.a::BIGINT AS far FROM e x JOIN e y ON y.b = x.a WHERE x.b >= 100000
 """)
 def two_hops(spark, sf):
     n = table(spark, sf, "nation").select((F.col("n_regionkey") + 1000).cast("long").alias("a"), (F.col("n_nationkey") + 2000).cast("long").alias("b"))
