@@ -47,7 +47,7 @@ def decontaminate(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 def tokens(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Ids of each text (little-endian unsigned 32-bit) and whether they decode to it."""
     path = public_tokenizers.path(RANKS)
-    coded = bpe.decode(bpe.encode(docs, path, public_tokenizers.PATTERN), path, public_tokenizers.PATTERN)
+    coded = bpe.encode(docs, path, public_tokenizers.PATTERN, decoded="decoded")
     same = (F.col("decoded") == F.coalesce("text", F.lit("")).cast("binary")).alias("round_trip")
     return coded.select("doc_id", "lang", "source", "n_chars", F.expr("CAST(octet_length(ids) DIV 4 AS long)").alias("n_tokens"), "ids", same)
 

@@ -14,6 +14,7 @@ landing in one task.
 
 from __future__ import annotations
 
+import ctypes
 import os
 import tempfile
 
@@ -37,6 +38,8 @@ IS_SPACE[[9, 10, 11, 12, 13, 32]] = True
 _LOWER = np.arange(256, dtype=np.uint8)
 _LOWER[65:91] += 32
 
+_malloc_trim = getattr(ctypes.CDLL(None), "malloc_trim", None)
+
 _powers: dict[int, tuple[np.ndarray, np.ndarray]] = {}
 
 
@@ -249,12 +252,20 @@ def pieces(rows: pa.RecordBatch, text: str | int, limit: int = BATCH_BYTES):
         end = max(begin + 1, int(np.searchsorted(sizes, before + limit)))
         yield rows.slice(begin, end - begin)
         begin = end
+    trim()
 
 
 def _sizes(column: pa.Array) -> np.ndarray:
     return np.cumsum(np.diff(utf8(column)[1]))
 
 
+def trim() -> None:
+    """Give freed memory back to the system; a Python worker lives on between tasks."""
+    pa.default_memory_pool().release_unused()
+    if _malloc_trim:
+        _malloc_trim(0)
+
+
 def pack_documents(docs: DataFrame, text: str = "text", doc_id: str = "doc_id", site: str | None = None, carry: list[str] | None = None) -> DataFrame:
     """One row per batch of documents, dealt to tasks by batch number.
 
@@ -318,6 +329,7 @@ def _batch_arrow() -> pa.Schema:
 
 def batches(table) -> list[Batch]:
     """The packed rows of an Arrow table or record batch."""
+    trim()
     return [Batch(row) for row in table.to_pylist()]
 
 

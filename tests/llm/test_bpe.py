@@ -50,6 +50,8 @@ def test_table(spark, sf):
     out = bpe.decode(bpe.encode(df, PATH, public_tokenizers.PATTERN), PATH, public_tokenizers.PATTERN)
     got = {(r.doc_id, bytes(r.decoded)) for r in out.collect()}
     assert got == {(i, (t or "").encode()) for i, t, _ in rows}
+    both = bpe.encode(df, PATH, public_tokenizers.PATTERN, decoded="back").collect()
+    assert {(r.doc_id, bytes(r.back)) for r in both} == got
     assert bpe.encode(df.limit(0), PATH, public_tokenizers.PATTERN).count() == 0
 
 
