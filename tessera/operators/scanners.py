@@ -65,7 +65,7 @@ DETERMINISTIC = [
     Rule("CHR-001", "charset_omission", r"\.getBytes\(\s*\)|new String\(\s*\w+\s*\)|new InputStreamReader\(\s*[\w.()]+\s*\)", "P3", "hygiene"),
     Rule("RES-001", "close_not_in_finally", r"new (?:File(?:In|Out)putStream|BufferedReader|FileReader|Socket)\s*\(|\bopen\(", "P2", "resource", near_not=r"try\s*\(|\bwith\b|finally[\s\S]*\.close\(", before=4, after=34),
     Rule("ACC-001", "unused_accumulator", r"\b(?:List|Map|Set)<[^>]*>\s+(\w+)\s*=\s*new\b", "P3", "hygiene", method_has=r"\.(?:add|put)\(", method_not=r"return \w+;|\.(?:get|size|stream|forEach|contains\w*|isEmpty|iterator|values|keySet|entrySet)\(|for\s*\([^)]*:\s*\w+\)"),
-    Rule("NULL-001", "null_deref_after_load", r"=\s*\w+\.(?:find|load|get)\w*\(", "P1", "logic", near_has=r"\b\w+\.\w+\(", near_not=r"[!=]= ?null|Optional|orElse|requireNonNull|is None|is not None", before=0, after=6),
+    Rule("NULL-001", "null_deref_after_load", r"=\s*\w+\.(?:find|load|get)\w*\(", "P1", "logic", near_has=r"\A\s*(?:[\w<>\[\]]+\s+)?(\w+)\s*=[\s\S]*\n[\s\S]*\b\1\.\w+", near_not=r"[!=]= ?null|Optional|orElse|requireNonNull|is None|is not None", before=0, after=6),
     Rule("TEN-006", "admin_grant_without_audit", r"(?i)\b(?:is)?admin\b|hasRole\(\"ADMIN\"\)", "P1", "auth", near_has=r"return true", near_not=r"(?i)audit|\blog", after=8),
     Rule("TEN-002", "tenant_predicate_missing", r"(?i)\bwhere\s+(?:\w+\.)?id\s*=", "P0", "tenant", near_not=r"(?i)tenant", before=7, after=2, file_has=r"(?i)tenant_?id"),
     Rule("TEN-004", "tenant_context_dropped", r"(?i)\b(?:submit|runAsync|supplyAsync|execute|create_task)\s*\(", "P1", "tenant", near_has=r"(?i)(?:order|user|account)_?id", near_not=r"(?i)tenant[\s\S]*actor[\s\S]*trace", after=8),

@@ -39,15 +39,29 @@ def license_scan(spark, sf):
     return _scan(spark, sf, C.LICENSES)
 
 
-@query("scn10_deterministic_rules", None)
+def _code(spark, sf):
+    """A small source file per part: the tables hold no code, so it is made from their values."""
+    body = F.concat(F.lit("class P {\nvoid run() {\n  if (fee > "), F.col("p_size").cast("string"), F.lit(") {\n    go();\n  }\n}\nint load() {\n  c = DriverManager.getConnection(url);\n"), F.when(F.col("p_size") % 2 == 0, "  TimeZone.setDefault(utc); // TODO later\n  try { x(); } catch (E e) {}\n").otherwise("  // TimeZone.setDefault(utc);\n  y(); /* TODO\n"), F.lit("}\n}"))
+    return table(spark, sf, "part").select(F.col("p_partkey").alias("key"), body.alias("code"))
+
+
+_PARTS = "FROM part, (VALUES {}) v(line_no, rule_id, even) WHERE even IS NULL OR even = (p_size % 2 = 0)"
+
+
+@query("scn10_deterministic_rules", "SELECT p_partkey AS key, line_no, rule_id " + _PARTS.format("(3, 'LIT-001', NULL), (8, 'POOL-001', NULL), (9, 'GLOB-001', true)"))
 def deterministic_rules(spark, sf):
-    """All 24 code rules over documents; each rule is tested on a hit and a clean twin."""
-    return C.scan(table(spark, sf, "documents"), C.DETERMINISTIC, "doc_id", "text").withColumnRenamed("path", "doc_id")
+    """All 24 code rules over files made from the parts; each rule is tested on a hit and a clean twin."""
+    return C.scan(_code(spark, sf), C.DETERMINISTIC, "key", "code").select(F.col("path").alias("key"), "line_no", "rule_id")
 
 
-@query("scn_signals", None)
+@query("scn_signals", "SELECT p_partkey AS key, line_no, rule_id " + _PARTS.format("(10, 'RSL-001', true)"))
 def signals(spark, sf):
-    return C.scan(table(spark, sf, "documents"), C.SIGNALS, "doc_id", "text").withColumnRenamed("path", "doc_id")
+    return C.scan(_code(spark, sf), C.SIGNALS, "key", "code").select(F.col("path").alias("key"), "line_no", "rule_id")
+
+
+@query("scn11_method_metrics", "SELECT p_partkey AS key, line_no AS method_line, loc, decisions FROM part, (VALUES (2, 5::BIGINT, 1::BIGINT, true), (7, 6::BIGINT, 1::BIGINT, true), (2, 5::BIGINT, 1::BIGINT, false), (7, 3::BIGINT, 0::BIGINT, false)) v(line_no, loc, decisions, even) WHERE even = (p_size % 2 = 0)")
+def method_metrics(spark, sf):
+    return C.method_metrics(_code(spark, sf), "key", "code").select(F.col("path").alias("key"), "method_line", "loc", "decisions")
 
 
 @query("scn13_requirement_lexicon", """
@@ -82,9 +96,11 @@ def rule_routing(spark, sf):
     return C.route_rules(table(spark, sf, "documents"), "doc_id", "text", rules)
 
 
-@query("scn18_exceptions", None)
+@query("scn18_exceptions", "SELECT c_custkey AS id, line_no, cause_index, line_no = 42 AS is_primary FROM customer, (VALUES (5, 0::BIGINT), (42, 0::BIGINT), (7, 1::BIGINT)) v(line_no, cause_index)")
 def exceptions(spark, sf):
-    return C.parse_exceptions(table(spark, sf, "conversations").select(F.concat_ws("-", "conv_id", "turn").alias("id"), "text"), "id", "text")
+    trace = F.concat(F.lit("Error: "), "c_name", F.lit("\n\tat java.util.List.get(List.java:5)\n\tat com.acme.Pay.run(Pay.java:42)\nCaused by: y\n\tat com.acme.Db.load(Db.java:7)"))
+    rows = table(spark, sf, "customer").select(F.col("c_custkey").alias("id"), trace.alias("trace"))
+    return C.parse_exceptions(rows, "id", "trace").select("id", "line_no", "cause_index", "is_primary")
 
 
 @query("scn21_sensitive_intersection", "SELECT doc_id FROM documents WHERE regexp_matches(text, '(?i)password|secret') AND doc_id IN (SELECT doc_id FROM labels WHERE quality = 1)")
