@@ -22,8 +22,7 @@ def op1_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Ids of every whole text, decoded again; digests of both."""
     path = public_tokenizers.path(RANKS)
     texts = _documents(spark, sf_dir).select("doc_id", "text")
-    coded = bpe.encode(texts, path, public_tokenizers.PATTERN).select("doc_id", "ids")
-    return bpe.decode(coded, path, public_tokenizers.PATTERN).select(
+    return bpe.encode(texts, path, public_tokenizers.PATTERN, decoded="decoded").select(
         "doc_id",
         F.expr("CAST(octet_length(ids) DIV 4 AS long)").alias("n_tokens"),
         F.sha2("ids", 256).alias("ids_sha256"),
