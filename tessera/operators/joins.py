@@ -38,10 +38,14 @@ def band_join(left: DataFrame, right: DataFrame, keys: list[str], a: str, b: str
 
 
 def conditional_anti(df: DataFrame, dismissed: DataFrame, keys: list[str], line: str, at: str, may_go: Column, window: int = 3) -> DataFrame:
-    """df without rows that may go and lie within the window of a dismissal; other rows are immune."""
-    tagged = df.withColumn("__id", F.struct(*df.columns)).withColumn("__may", F.coalesce(may_go, F.lit(False)))
-    near = band_join(tagged.where("__may").select(*keys, line, "__id"), dismissed.select(*keys, F.col(at).alias("__at")).distinct(), keys, line, "__at", window).select("__id").distinct()
-    return tagged.join(near.withColumn("__gone", F.lit(True)), "__id", "left").where("__gone is null").select(*df.columns)
+    """df without rows that may go and lie within the window of a dismissal; other rows are immune.
+
+    A dismissal covers 2 window + 1 lines, so the test is an anti-join on equality.
+    """
+    covered = dismissed.select(*keys, F.explode(F.sequence(F.col(at).cast("long") - window, F.col(at).cast("long") + window)).alias("__line")).distinct()
+    flag = F.coalesce(may_go, F.lit(False))
+    left = df.where(flag).withColumn("__line", F.col(line).cast("long")).join(covered, [*keys, "__line"], "left_anti").select(*df.columns)
+    return left.unionByName(df.where(~flag))
 
 
 def suffix_path_join(left: DataFrame, right: DataFrame, a: str, b: str) -> DataFrame:
