@@ -49,7 +49,7 @@ def test_caches_files_elements(spark):
     assert {(r.op, r.f) for r in M.match_files(ops, files, "op", "f").collect()} == {("Create-User", "create_user.ts"), ("drop", None), (None, "other.ts")}
     els = spark.createDataFrame([("p", 0, "button", "Save"), ("p", 1, "button", "Save all"), ("p", 2, "link", "Go a"), ("p", 3, "link", "Go b")], "page string, index int, role string, name string")
     want = spark.createDataFrame([("p", "button", "Save", None), ("p", "link", "go", None), ("p", "link", "Go", 1), ("p", "link", "x", None)], "page string, role string, name string, nth int")
-    assert sorted(((r.role, r.name), r.index, r.status) for r in M.locate(els, "page", want).collect()) == [(("button", "Save"), 0, "found"), (("link", "Go"), 3, "found"), (("link", "go"), None, "ambiguous"), (("link", "x"), None, "missing")]
+    assert sorted(((r.role, r.name), r["index"], r.status) for r in M.locate(els, "page", want).collect()) == [(("button", "Save"), 0, "found"), (("link", "Go"), 3, "found"), (("link", "go"), None, "ambiguous"), (("link", "x"), None, "missing")]
 
 
 def test_ledger_seal_reports(spark):
