@@ -25,8 +25,8 @@ from pyspark.sql import types as T
 
 from . import packed as P
 
-#: Matches whose ids a worker keeps at most (about 40 MB).
-CACHE = 200_000
+#: Matches whose ids a worker keeps at most (about 85 MB).
+CACHE = 400_000
 
 _NONE = 1 << 60
 _coders: dict[tuple, Coder] = {}
@@ -50,43 +50,42 @@ def merge(piece: bytes, ranks: dict[bytes, int]) -> list[int]:
     rank_of = ranks.get
     size = 1 << (n - 1).bit_length()
     tree = [_NONE] * (2 * size)
-    for i in range(n - 1):
-        tree[size + i] = rank_of(piece[i : i + 2], _NONE)
+    tree[size : size + n - 1] = [rank_of(piece[i : i + 2], _NONE) for i in range(n - 1)]
     for i in range(size - 1, 0, -1):
         a, b = tree[2 * i], tree[2 * i + 1]
         tree[i] = a if a <= b else b
     after = list(range(1, n + 1))  # where the live token at i ends
-    before = list(range(-1, n - 1))  # where the live token left of i begins
-
-    def put(i: int, value: int) -> None:
-        i += size
-        tree[i] = value
-        i >>= 1
-        while i:
-            a, b = tree[2 * i], tree[2 * i + 1]
-            least = a if a <= b else b
-            if tree[i] == least:
-                return
-            tree[i] = least
-            i >>= 1
-
-    while (least := tree[1]) != _NONE:
+    before = list(range(-1, n))  # where the live token left of i begins
+    least = tree[1]
+    while least != _NONE:
         i = 1
         while i < size:
-            i = 2 * i if tree[2 * i] == least else 2 * i + 1
+            i += i
+            if tree[i] != least:
+                i += 1
         i -= size
         gone = after[i]
         end = after[gone]
         after[i] = end
-        put(gone, _NONE)
-        if end < n:
-            before[end] = i
-            put(i, rank_of(piece[i : after[end]], _NONE))
-        else:
-            put(i, _NONE)
+        before[end] = i
         left = before[i]
+        changed = [(gone, _NONE), (i, rank_of(piece[i : after[end]], _NONE) if end < n else _NONE)]
         if left >= 0:
-            put(left, rank_of(piece[left:end], _NONE))
+            changed.append((left, rank_of(piece[left:end], _NONE)))
+        for k, value in changed:  # point updates, up to the first node that stays
+            k += size
+            if tree[k] == value:
+                continue
+            tree[k] = value
+            while k > 1:
+                other = tree[k ^ 1]
+                if other < value:
+                    value = other
+                k >>= 1
+                if tree[k] == value:
+                    break
+                tree[k] = value
+        least = tree[1]
     out, i = [], 0
     while i < n:
         out.append(ranks[piece[i : after[i]]])
