@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from ..functions import scalars as S
 from . import joins as J
 from . import windows as W
+from .graph import checkpoint_dir
 
 SEVERITIES = ["P0", "P1", "P2", "P3"]
 SOURCES = ["llm_judged", "sast_confirmed", "sast_only"]
@@ -74,7 +75,7 @@ def repair_lines(df: DataFrame, lines: DataFrame, key: str) -> DataFrame:
 
 def vulnerability_class(df: DataFrame, into: str = "vuln") -> DataFrame:
     text = F.lower(F.concat_ws(" ", F.coalesce("title", F.lit("")), F.coalesce("evidence", F.lit("")), F.coalesce("adapter", F.lit(""))))
-    return df.withColumn(into, S.first_match(text, S.VULNERABILITY, "other"))
+    return df.withColumn("__text", text).withColumn(into, S.first_match(F.col("__text"), S.VULNERABILITY, "other")).drop("__text")
 
 
 def _compatible(window: int) -> Column:
@@ -95,17 +96,18 @@ def merge(scanner: DataFrame, reviewer: DataFrame, dismissals: DataFrame | None
 
     A scanner row takes the first free compatible reviewer row, greedily in order; the pairing
     never crosses files.  Candidate pairs come from a band join; the greedy choice folds over a
-    file's candidates.  Ambiguous scanner rows near a dismissal go; clear ones are immune.  Then
+    file's candidates.  Both sides and the pairing are checkpointed, as each is read three times.  Ambiguous scanner rows near a dismissal go; clear ones are immune.  Then
     near duplicates fold, and each row gets its dimension.
     """
+    checkpoint_dir(scanner.sparkSession)
     no_path = lambda c: F.regexp_replace(F.regexp_replace(F.coalesce(c, F.lit("")), "\\\\", "/"), "^(?:\\./)+", "")
     keep, marked = split(reviewer, F.col("dismissed"))[::-1]
     gone = marked.select(no_path(F.col("file")).alias("__path"), F.coalesce("line", F.lit(0)).alias("__at"))
     if dismissals is not None:
         gone = gone.unionByName(dismissals.select(no_path(F.col("file")).alias("__path"), F.coalesce("line", F.lit(0)).alias("__at")))
     s = vulnerability_class(normalise(scanner, "sast_only")).withColumn("__path", no_path(F.col("file")))
-    s = J.conditional_anti(s, gone, ["__path"], "line", "__at", F.col("ambiguous"), max(1, window)).drop("__path")
-    l = vulnerability_class(normalise(keep, "llm_judged"))
+    s = J.conditional_anti(s, gone, ["__path"], "line", "__at", F.col("ambiguous"), max(1, window)).drop("__path").checkpoint()
+    l = vulnerability_class(normalise(keep, "llm_judged")).checkpoint()
 
     near = J.band_join(s.select("file", F.col("pos").alias("sp"), F.col("line").alias("sl"), "vuln", "category"), l.select("file", F.col("pos").alias("lp"), F.col("line").alias("ll"), F.col("vuln").alias("lv"), F.col("category").alias("lcat")), ["file"], "sl", "ll", window)
     pair = near.select("file", F.struct("sp", F.col("sl").alias("line"), "vuln", "category").alias("s"), F.struct("lp", F.col("ll").alias("line"), F.col("lv").alias("vuln"), F.col("lcat").alias("category")).alias("l")).where(_compatible(window))
@@ -115,7 +117,7 @@ def merge(scanner: DataFrame, reviewer: DataFrame, dismissals: DataFrame | None
         free = ~F.exists(acc, lambda y: (y["sp"] == x["sp"]) | (y["lp"] == x["lp"]))
         return F.when(free, F.concat(acc, F.array(x))).otherwise(acc)
 
-    matched = lists.select("file", F.explode(F.aggregate("c", F.slice("c", 1, 0), step)).alias("m")).select("m.sp", "m.lp")
+    matched = lists.select("file", F.explode(F.aggregate("c", F.slice("c", 1, 0), step)).alias("m")).select("m.sp", "m.lp").checkpoint()
     m = matched.join(s.alias("s"), F.col("sp") == F.col("s.pos")).join(l.alias("l"), F.col("lp") == F.col("l.pos"))
     snippet = F.when(F.length("s.evidence") <= 420, F.col("s.evidence")).otherwise(F.concat(F.substring("s.evidence", 1, 420), F.lit("…")))
     evidence = F.when((F.trim("s.evidence") == "") | F.contains("l.evidence", F.trim("s.evidence")), F.col("l.evidence")).otherwise(F.concat(F.trim("l.evidence"), F.when(F.trim("l.evidence") != "", "; ").otherwise(""), F.lit("SAST ("), F.substring("s.title", 1, 100), F.lit("): "), snippet))
