@@ -13,7 +13,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tessera.llm import bpe, decontam, lines, packed, quality, simhash
+from tessera.llm import bpe, decontam, jaccard, lines, packed, quality
 
 RANKS = "byte_bpe_multi_50k.tiktoken"
 
@@ -32,8 +32,8 @@ def line_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The document of least id of each near-duplicate component; rows without an id stay."""
-    found = simhash.near_duplicates(docs)
+    """The document of least id of each component of five-word similarity 0.8 or more; rows without an id stay."""
+    found = jaccard.near_duplicates(docs, percent=80, words=5)
     gone = found.where("doc_id <> component_id").select("doc_id").distinct()
     return docs.join(gone, "doc_id", "left_anti").select(*docs.columns)
 

@@ -1,0 +1,161 @@
+"""Near-duplicate components by the Jaccard similarity of word shingles.
+
+1. A text is the set of its five-word shingles (64-bit hashes).  Equal sets meet by
+   pre-aggregation and are one set from there on.
+2. Candidates come from MinHash bands: 32 keys of four minima each.  Two sets of similarity
+   s share a key with probability 1 - (1 - s^4)^32, which is 1 - 5e-8 at s = 0.8.
+3. Every candidate pair that could join two components is verified on the whole sets.  Where
+   the pairs inside the keys are many, each key's member of most candidates is compared with
+   the others first and then leaves the key; pairs inside one component need no comparison.
+   So a large group of near copies costs rounds of linear size, and no pair is left out.
+
+Edge cases: a null text has no words; texts without words are copies of each other; fewer
+than five words are one shingle; a null doc_id belongs to its component but never names it.
+"""
+
+from __future__ import annotations
+
+import numpy as np
+import pyarrow as pa
+from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
+
+from ..operators.graph import connected_components
+from . import packed as P
+
+U64 = np.uint64
+
+
+def shingle_sets(texts: pa.Array, words: int) -> tuple[np.ndarray, np.ndarray]:
+    """The sorted distinct shingle hashes of each text, one after another, and the n+1 cuts between texts."""
+    w = P.Words(*P.utf8(texts), lower=True)
+    counts, owners, hashes = w.counts(), w.doc_of(), w.hashes()
+    pos, made = P.rolling(hashes, w.first, words)
+    owner = [owners[pos]]
+    made = [made]
+    for n in np.unique(counts[(counts > 0) & (counts < words)]):
+        pos, short = P.rolling(hashes, w.first, int(n))
+        mine = counts[owners[pos]] == n
+        owner.append(owners[pos][mine])
+        made.append(short[mine])
+    owner, made = np.concatenate(owner), np.concatenate(made)
+    order = np.lexsort((made, owner))
+    owner, made = owner[order], made[order]
+    new = np.ones(len(made), bool)
+    new[1:] = (made[1:] != made[:-1]) | (owner[1:] != owner[:-1])
+    return made[new], np.searchsorted(owner[new], np.arange(len(counts) + 1))
+
+
+def set_ids(hashes: np.ndarray, cuts: np.ndarray) -> np.ndarray:
+    """A 64-bit id of each set."""
+    sums = np.concatenate((np.zeros(1, U64), np.cumsum(P.mix(hashes + U64(P.MULT_A)), dtype=U64)))
+    return P.mix(sums[cuts[1:]] - sums[cuts[:-1]] + np.diff(cuts).astype(U64))
+
+
+def band_keys(hashes: np.ndarray, cuts: np.ndarray, bands: int, rows: int) -> np.ndarray:
+    """One row of keys per non-empty set."""
+    begins = cuts[:-1][np.diff(cuts) > 0]
+    seeds = P.mix(np.arange(1, 2 * bands * rows + 1, dtype=U64) * U64(P.MULT_A))
+    out = np.empty((len(begins), bands), U64)
+    for b in range(bands if len(begins) else 0):
+        key = np.full(len(begins), b + 1, U64)
+        for k in range(b * rows, (b + 1) * rows):
+            key = P.mix(key + np.minimum.reduceat((hashes ^ seeds[2 * k]) * (seeds[2 * k + 1] | U64(1)), begins))
+        out[:, b] = key
+    return out
+
+
+def signatures(docs: DataFrame, words: int, bands: int, rows: int) -> DataFrame:
+    """(doc_id, sid, keys) of (doc_id, text)."""
+    schema = pa.schema([("doc_id", pa.int64()), ("sid", pa.int64()), ("keys", pa.list_(pa.int64()))])
+
+    def run(stream):
+        for batch in stream:
+            for part in P.pieces(batch, "text"):
+                hashes, cuts = shingle_sets(part.column("text"), words)
+                keys = band_keys(hashes, cuts, bands, rows).reshape(-1).view(np.int64)
+                ends = np.concatenate(([0], np.cumsum(np.diff(cuts) > 0) * bands)).astype(np.int32)
+                lists = pa.ListArray.from_arrays(pa.array(ends), pa.array(keys))
+                yield pa.RecordBatch.from_arrays([part.column("doc_id"), pa.array(set_ids(hashes, cuts).view(np.int64)), lists], schema=schema)
+
+    return docs.mapInArrow(run, "doc_id long, sid long, keys array<long>")
+
+
+def _sets(docs: DataFrame, words: int) -> DataFrame:
+    """(sid, n, members) of (doc_id, text)."""
+    schema = pa.schema([("sid", pa.int64()), ("n", pa.int64()), ("members", pa.binary())])
+
+    def run(stream):
+        for batch in stream:
+            for part in P.pieces(batch, "text"):
+                hashes, cuts = shingle_sets(part.column("text"), words)
+                packed = [hashes[a:b].astype("<u8").tobytes() for a, b in zip(cuts[:-1].tolist(), cuts[1:].tolist(), strict=True)]
+                yield pa.RecordBatch.from_arrays([pa.array(set_ids(hashes, cuts).view(np.int64)), pa.array(np.diff(cuts).astype(np.int64)), pa.array(packed, pa.binary())], schema=schema)
+
+    return docs.mapInArrow(run, "sid long, n long, members binary")
+
+
+def _verified(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
+    """The pairs (a, b) whose sets have at least the similarity."""
+
+    def run(stream):
+        for batch in stream:
+            keep = []
+            for x, y in zip(batch.column("x"), batch.column("y"), strict=True):
+                u, v = np.frombuffer(x.as_buffer(), "<u8"), np.frombuffer(y.as_buffer(), "<u8")
+                both = len(np.intersect1d(u, v, assume_unique=True))
+                keep.append(100 * both >= percent * (len(u) + len(v) - both))
+            yield batch.select(["a", "b"]).filter(pa.array(keep, pa.bool_()))
+
+    x = sets.select(F.col("sid").alias("a"), F.col("n").alias("na"), F.col("members").alias("x"))
+    y = sets.select(F.col("sid").alias("b"), F.col("n").alias("nb"), F.col("members").alias("y"))
+    fits = pairs.join(x, "a").join(y, "b").where(f"100 * least(na, nb) >= {percent} * greatest(na, nb)")
+    return fits.select("a", "b", "x", "y").mapInArrow(run, "a long, b long")
+
+
+def _components(cand: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
+    """(node, component) of the sets that verified pairs of candidates (key, sid) join."""
+    size = cand.groupBy("key").agg(F.count(F.lit(1)).alias("size"))
+    degree = cand.join(size, "key").groupBy("sid").agg(F.sum("size").alias("degree"))
+    cand = cand.join(degree, "sid").select("key", "sid", "degree").checkpoint()
+    edges = cand.sparkSession.createDataFrame([], "a long, b long")
+    parts = connected_components(edges)
+    while True:
+        rows = cand.join(parts, cand.sid == parts.node, "left").select("key", "sid", "degree", F.coalesce("component", "sid").alias("root"))
+        per = rows.groupBy("key", "root").agg(F.count(F.lit(1)).alias("n"), F.max(F.struct("degree", "sid", "root")).alias("top"))
+        open_ = per.groupBy("key").agg(F.max("top").alias("lead"), F.sum("n").alias("n"), F.sum(F.col("n") * F.col("n")).alias("own"), F.count(F.lit(1)).alias("roots")).where("roots > 1")
+        live = rows.join(open_, "key").checkpoint()
+        members = live.count()
+        if not members:
+            return parts
+        last = open_.agg(F.sum(F.expr("(n * n - own) / 2"))).first()[0] <= 4 * members
+        if last:
+            p, q = live.alias("p"), live.alias("q")
+            tied = p.join(q, (F.col("p.key") == F.col("q.key")) & (F.col("p.root") < F.col("q.root"))).select(F.col("p.sid").alias("a"), F.col("q.sid").alias("b"))
+        else:
+            tied = live.where("root <> lead.root").select(F.col("lead.sid").alias("a"), F.col("sid").alias("b"))
+            cand = live.where("sid <> lead.sid").select("key", "sid", "degree")
+        edges = edges.unionAll(_verified(tied.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct(), sets, percent).checkpoint())
+        parts = connected_components(edges)
+        if last:
+            return parts
+
+
+def near_duplicates(docs: DataFrame, percent: int = 80, words: int = 5, bands: int = 32, rows: int = 4, text: str = "text", doc_id: str = "doc_id") -> DataFrame:
+    """(doc_id, component_id): the smallest doc_id that pairs of at least the similarity reach from each document."""
+    P.ensure_checkpoint_dir(docs.sparkSession)
+    docs = docs.select(F.col(f"`{doc_id}`").cast("long").alias("doc_id"), F.col(f"`{text}`").cast("string").alias("text"))
+    signed = signatures(docs, words, bands, rows).checkpoint()
+    one = signed.groupBy("sid").agg(F.min("doc_id").alias("first"), F.first("keys").alias("keys")).checkpoint()
+    keyed = one.select("sid", F.explode("keys").alias("key"))
+    shared = keyed.groupBy("key").agg(F.min("sid").alias("low"), F.max("sid").alias("high")).where("low <> high").select("key")
+    cand = keyed.join(shared, "key", "left_semi").select("key", "sid").checkpoint()
+    among = cand.select("sid").distinct()
+    ids = one.join(among, "sid", "left_semi").select(F.col("first").alias("doc_id")).where("doc_id is not null")
+    texts = docs.join(ids, "doc_id", "left_semi").unionAll(docs.where("doc_id is null"))
+    sets = _sets(texts, words).join(among, "sid", "left_semi").dropDuplicates(["sid"]).checkpoint()
+    parts = _components(cand, sets, percent)
+    rooted = one.join(parts, one.sid == parts.node, "left").select("sid", "first", F.coalesce("component", "sid").alias("root"))
+    named = rooted.groupBy("root").agg(F.min("first").alias("component_id"))
+    by_sid = rooted.join(named, "root").select(F.col("sid").alias("sid_"), "component_id")
+    return signed.join(by_sid, signed.sid == by_sid.sid_).select("doc_id", "component_id")

@@ -1,0 +1,72 @@
+"""Components of five-word Jaccard similarity 0.8 or more, against brute force."""
+
+import random
+
+import corpus_pipeline
+import pytest
+
+from tessera.llm import jaccard
+
+
+def shingles(text):
+    w = (text or "").encode().lower().split()
+    return frozenset(tuple(w[i : i + 5]) for i in range(max(1, len(w) - 4))) if w else frozenset()
+
+
+def brute(rows):
+    sets = [shingles(t) for _, t in rows]
+    label = list(range(len(rows)))
+
+    def find(i):
+        while label[i] != i:
+            i = label[i]
+        return i
+
+    for i in range(len(rows)):
+        for j in range(i):
+            both = len(sets[i] & sets[j])
+            if sets[i] == sets[j] or 5 * both >= 4 * (len(sets[i]) + len(sets[j]) - both) > 0:
+                label[find(i)] = find(j)
+    names = {}
+    for i, (d, _) in enumerate(rows):
+        if d is not None:
+            names[find(i)] = min(d, names.get(find(i), d))
+    return sorted(((d, names.get(find(i))) for i, (d, _) in enumerate(rows)), key=str)
+
+
+def result(spark, rows):
+    found = jaccard.near_duplicates(spark.createDataFrame(rows, "doc_id long, text string").repartition(3))
+    return sorted(((r.doc_id, r.component_id) for r in found.collect()), key=str)
+
+
+def test_documents_and_edges(spark, sf):
+    rows = [(r.doc_id, r.text) for r in spark.read.parquet(f"{sf}/documents.parquet").collect()]
+    rows += [(900000, None), (900001, ""), (900002, "x"), (900003, "X "), (900004, "a b c d"), (900005, "a b c d e"), (None, rows[3][1]), (rows[4][0], rows[4][1]), (None, "quite alone here")]
+    assert result(spark, rows) == brute(rows)
+
+
+def test_large_groups(spark):
+    rng = random.Random(5)
+    rows = []
+    for g in range(3):
+        seed = [f"w{rng.randrange(5000)}" for _ in range(120)]
+        for _ in range(50):
+            copy = list(seed)
+            for _ in range(rng.randrange(6)):
+                copy[rng.randrange(120)] = f"v{rng.randrange(5000)}"
+            rows.append((len(rows), " ".join(copy)))
+    got = result(spark, rows)
+    assert got == brute(rows)
+    assert 3 < len({c for _, c in got}) < 150
+
+
+def test_empty(spark):
+    assert result(spark, []) == []
+
+
+@pytest.mark.parametrize("name", ["sf0.001", "sf0.01"])
+def test_stage(spark, name):
+    sf = f"/root/testdata/{name}"
+    docs = spark.read.parquet(f"{sf}/documents.parquet")
+    want = {d for d, c in brute([(r.doc_id, r.text) for r in docs.collect()]) if d == c}
+    assert {r.doc_id for r in corpus_pipeline.near_dedup(spark, docs, sf).collect()} == want
