@@ -68,17 +68,18 @@ SELECT doc_id, item_id FROM (SELECT doc_id, regexp_replace(text, '[ \\t\\n\\r]+'
   (SELECT item_id, substr(regexp_replace(text, '[ \\t\\n\\r]+', '', 'g'), 1, 60) AS k FROM benchmark) b
 WHERE contains(s, k)
 """)
-def squashed_contains(spark, sf):
-    """Passages whose first 60 characters a document holds, white space ignored; an equi-join on 60-grams of the rarest blocks."""
-    b = table(spark, sf, "benchmark").select("item_id", F.substring(F.regexp_replace("text", "[ \\t\\n\\r]+", ""), 1, 60).alias("k"))
+def squashed_contains(spark, sf, most=100_000):
+    """Passages that a document holds whole, white space ignored; beyond ``most`` anchors an equi-join on 12-grams."""
+    b = table(spark, sf, "benchmark").select("item_id", F.regexp_replace("text", "[ \\t\\n\\r]+", "").alias("k"))
     d = table(spark, sf, "documents").select("doc_id", F.regexp_replace("text", "[ \\t\\n\\r]+", "").alias("s"))
-    # anchors: the passage's first 12 characters must begin at some place; places are exploded once per document
+    # anchors: the passage's first 12 characters, or all of a shorter one, must begin at some place; places are exploded once per document
     keys = b.withColumn("a", F.substring("k", 1, 12))
-    anchors = [r.a for r in keys.select("a").distinct().limit(100_001).collect()]
-    if len(anchors) <= 100_000:  # a query set of checked size
+    anchors = keys.select("a").distinct().limit(most + 1).count()
+    if anchors <= most:  # a query set of checked size
         found = d.join(F.broadcast(keys), F.contains("s", F.col("k")))
     else:
-        places = d.select("doc_id", "s", F.explode(F.expr("transform(sequence(1, greatest(length(s) - 11, 1)), i -> substr(s, i, 12))")).alias("a")).distinct()
+        sizes = ", ".join(str(r.n) for r in keys.where("a is not null").select(F.length("a").alias("n")).distinct().collect())
+        places = d.select("doc_id", "s", F.explode(F.expr(f"flatten(transform(array({sizes}), n -> transform(sequence(1, greatest(length(s) - n + 1, 1)), i -> substr(s, i, n))))")).alias("a")).distinct()
         found = places.join(keys, "a").where(F.contains("s", F.col("k")))
     return found.select("doc_id", "item_id").distinct()
 
