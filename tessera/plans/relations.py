@@ -84,7 +84,7 @@ SELECT page_id, suffix FROM p, s WHERE path = suffix OR ends_with(path, '/' || s
 def suffix_paths(spark, sf):
     path = F.regexp_replace(F.regexp_replace("url", "^https?://[^/]+/", ""), "[?#].*$", "")
     p = table(spark, sf, "pages").select("page_id", path.alias("path"))
-    s = p.where("page_id % 3 = 0").select(F.element_at(F.split("path", "/"), -1).alias("suffix")).where("suffix <> ''").distinct()
+    s = p.select(F.element_at(F.split("path", "/"), -1).alias("suffix")).where("suffix <> ''").distinct()
     return J.suffix_path_join(p, s, "path", "suffix").select("page_id", "suffix")
 
 

@@ -20,3 +20,18 @@ def test_squashed_contains(spark, tmp_path, most):
     got = {tuple(r) for r in scalars.squashed_contains(spark, str(tmp_path), most).collect()}
     flat = {k: "".join((t or "").split()) for k, t in texts.items()}
     assert got == {(d, i) for d, t in flat.items() for i, k in items.items() if "".join(k.split()) in t} == {(1, 1), (3, 2), (2, 3)}
+
+
+def test_suffix_paths(spark, tmp_path):
+    save(spark, tmp_path, "pages", [(1, "https://x.org/en/a"), (2, "https://y.org/a?q=1"), (4, "https://x.org/b"), (6, "https://z.org/c/")], "page_id long, url string")
+    got = {tuple(r) for r in plans.QUERIES["jon7_suffix_paths"](spark, str(tmp_path)).collect()}
+    assert got == {(1, "a"), (2, "a"), (4, "b")}
+
+
+def test_shortest_path(spark, tmp_path):
+    save(spark, tmp_path, "region", [(0,), (1,)], "r_regionkey int")
+    save(spark, tmp_path, "nation", [(5, 0)], "n_nationkey int, n_regionkey int")
+    save(spark, tmp_path, "customer", [(7, 5), (10, 5)], "c_custkey long, c_nationkey int")
+    save(spark, tmp_path, "orders", [(1, 7)], "o_orderkey long, o_custkey long")
+    got = {tuple(r) for r in plans.QUERIES["grf3_shortest_path"](spark, str(tmp_path)).collect()}
+    assert got == {(0, 1000007, 2), (0, 1000010, 2), (1, 1000007, -1), (1, 1000010, -1)}
