@@ -35,3 +35,33 @@ def test_shortest_path(spark, tmp_path):
     save(spark, tmp_path, "orders", [(1, 7)], "o_orderkey long, o_custkey long")
     got = {tuple(r) for r in plans.QUERIES["grf3_shortest_path"](spark, str(tmp_path)).collect()}
     assert got == {(0, 1000007, 2), (0, 1000010, 2), (1, 1000007, -1), (1, 1000010, -1)}
+
+
+def _parts(edges):
+    """Node -> least node of its component."""
+    label = {x: x for e in edges for x in e}
+    while True:
+        before = dict(label)
+        for a, b in edges:
+            label[a] = label[b] = min(label[a], label[b])
+        if label == before:
+            return label
+
+
+LINES = [(1, 1, 10, 48.0, "N"), (1, 2, 10, 5.0, "R"), (2, 2, 11, 3.0, "N"), (3, 3, 12, 50.0, "R"), (4, 4, 12, 1.0, "R"), (4, 5, 13, 2.0, "N"), (5, 9, 14, 49.0, "R"), (6, 10, 15, 7.0, "R"), (7, 20, 16, 7.0, "R")]
+LINEITEM = "l_orderkey long, l_partkey long, l_suppkey long, l_quantity double, l_returnflag string"
+
+
+def test_components(spark, tmp_path):
+    save(spark, tmp_path, "lineitem", LINES, LINEITEM)
+    got = {r.node: r.component for r in plans.QUERIES["grf5_components"](spark, str(tmp_path)).collect()}
+    assert got == _parts([(o, 100000000 + p) for o, p, *_ in LINES])
+
+
+def test_change_groups(spark, tmp_path):
+    save(spark, tmp_path, "lineitem", LINES, LINEITEM)
+    got = {r.node: r.group for r in plans.QUERIES["grf4_change_groups"](spark, str(tmp_path)).collect()}
+    changed = [(p, s) for _, p, s, _, f in LINES if f == "R"]
+    nodes = {p for p, _ in changed}
+    edges = [(p, q) for p, s in changed for q, t in changed if s == t] + [(p, p + 1) for _, p, *_ in LINES if {p, p + 1} <= nodes]
+    assert got == _parts(edges) == {2: 2, 3: 2, 4: 2, 9: 9, 10: 9, 20: 20}
