@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ..operators.graph import checkpoint_dir
+
 #: Dimensions of the hash embedding.
 EMBED_DIM = 256
 
@@ -169,19 +171,28 @@ def model_tier(severity: Column, category: Column) -> Column:
     return F.when(severity.isin("P0", "P1"), "deep").when(category.isin("security", "secret", "concurrency", "auth"), "deep").when(category.isin("hygiene", "style"), "light").otherwise("standard")
 
 
-def flatten_json(df: DataFrame, keys: list[str], json: str, depth: int = 4) -> DataFrame:
-    """(keys, path, value) of the scalar leaves of a JSON text, as dotted paths with [i] for items."""
+def flatten_json(df: DataFrame, keys: list[str], json: str, max_rounds: int = 1000) -> DataFrame:
+    """(keys, path, value) of the scalar leaves of a JSON text, as dotted paths with [i] for items.
+
+    One checkpointed round per level, until no level is left; raises after ``max_rounds``.
+    """
+    checkpoint_dir(df.sparkSession)
     level = df.select(*keys, F.lit("").alias("path"), F.col(json).alias("node"))
     leaves = None
-    for _ in range(depth):
+    for _ in range(max_rounds):
         shape = F.substring(F.ltrim("node"), 1, 1)
-        inner = level.where(shape.isin("{", "["))
-        scalar = level.where(~shape.isin("{", "[")).select(*keys, "path", F.col("node").alias("value"))
+        # a string that only looks like JSON is a leaf
+        nested = F.when(shape == "{", F.from_json("node", "map<string,string>").isNotNull()).when(shape == "[", F.from_json("node", "array<string>").isNotNull()).otherwise(False)
+        inner = level.where(nested)
+        scalar = level.where(~nested).select(*keys, "path", F.col("node").alias("value"))
         leaves = scalar if leaves is None else leaves.unionByName(scalar)
         fields = inner.where(F.substring(F.ltrim("node"), 1, 1) == "{").select(*keys, "path", F.explode(F.from_json("node", "map<string,string>")).alias("__k", "__v"))
         fields = fields.select(*keys, F.when(F.col("path") == "", F.col("__k")).otherwise(F.concat_ws(".", "path", "__k")).alias("path"), F.col("__v").alias("node"))
         items = inner.where(F.substring(F.ltrim("node"), 1, 1) == "[").select(*keys, "path", F.posexplode(F.from_json("node", "array<string>")).alias("__i", "__v"))
         items = items.select(*keys, F.format_string("%s[%d]", "path", "__i").alias("path"), F.col("__v").alias("node"))
-        level = fields.unionByName(items)
-    scalar = level.select(*keys, "path", F.col("node").alias("value"))
-    return leaves.unionByName(scalar).where("value is not null")
+        level = fields.unionByName(items).checkpoint()
+        if level.isEmpty():
+            break
+    else:
+        raise RuntimeError("JSON levels did not settle")
+    return leaves.where("value is not null")

@@ -49,22 +49,26 @@ def node_edges(edges: DataFrame, node, a: str, b: str, direction: str = "both")
     return edges.where({"out": out, "in": into}.get(direction, out | into))
 
 
-def reach(edges: DataFrame, roots: DataFrame, a: str, b: str, depth: int = 3) -> DataFrame:
+def reach(edges: DataFrame, roots: DataFrame, a: str, b: str, depth: int | None = 3, max_rounds: int = 10_000) -> DataFrame:
     """(root, node, hops): nodes reached from each root along a -> b, each at its least distance.
 
     A frontier join per layer with an anti-join on what was seen; every layer is checkpointed,
-    and the loop ends early when no node is new.
+    and the loop ends early when no node is new.  Without a depth it ends only then, or raises
+    after ``max_rounds``.
     """
     checkpoint_dir(edges.sparkSession)
     e = edges.select(F.col(a).alias("__a"), F.col(b).alias("__b")).distinct()
     front = roots.select(F.col(roots.columns[0]).alias("root")).distinct().select("root", F.col("root").alias("node"), F.lit(0).alias("hops")).checkpoint()
     layers = [front]
-    for k in range(1, depth + 1):
+    for k in range(1, (max_rounds if depth is None else depth) + 1):
         seen = reduce(DataFrame.unionAll, layers).select("root", "node")
         front = front.join(e, front.node == e["__a"]).select("root", F.col("__b").alias("node")).distinct().join(seen, ["root", "node"], "left_anti").select("root", "node", F.lit(k).alias("hops")).checkpoint()
         if front.isEmpty():
             break
         layers.append(front)
+    else:
+        if depth is None:
+            raise RuntimeError("reach did not settle")
     return reduce(DataFrame.unionAll, layers)
 
 
@@ -74,8 +78,8 @@ def shortest_path(edges: DataFrame, pairs: DataFrame, a: str, b: str, source: st
     return pairs.select(source, target).distinct().join(found, [source, target], "left").select(source, target, F.coalesce("hops", F.lit(-1)).alias("hops"))
 
 
-def topological_layers(nodes: DataFrame, edges: DataFrame, node: str, a: str, b: str, rounds: int = 200) -> DataFrame:
-    """(node, layer) where a depends on b; nodes on or behind a cycle have layer -1."""
+def topological_layers(nodes: DataFrame, edges: DataFrame, node: str, a: str, b: str, rounds: int = 10_000) -> DataFrame:
+    """(node, layer) where a depends on b; nodes on or behind a cycle have layer -1; raises after ``rounds`` layers."""
     checkpoint_dir(nodes.sparkSession)
     left = nodes.select(F.col(node).alias("node")).distinct().checkpoint()
     deps = edges.select(F.col(a).alias("node"), F.col(b).alias("dep")).where("node <> dep").distinct()
@@ -89,6 +93,8 @@ def topological_layers(nodes: DataFrame, edges: DataFrame, node: str, a: str, b:
         done.append(free)
         left = left.join(free, "node", "left_anti").checkpoint()
         deps = deps.join(free.select(F.col("node").alias("dep")), "dep", "left_anti").select("node", "dep").checkpoint()
+    else:
+        raise RuntimeError("layers did not settle")
     return reduce(DataFrame.unionAll, [*done, left.select("node", F.lit(-1).alias("layer"))])
 
 
@@ -124,9 +130,9 @@ def entries(nodes: DataFrame, edges: DataFrame, node: str, a: str, b: str) -> Da
     return nodes.select(node).distinct().join(called, node, "left_anti").join(edges.select(F.col(a).alias(node)).distinct(), node, "left_semi")
 
 
-def entry_points(start: DataFrame, edges: DataFrame, node: str, a: str, b: str, depth: int = 10) -> DataFrame:
+def entry_points(start: DataFrame, edges: DataFrame, node: str, a: str, b: str) -> DataFrame:
     """(node, entry): entries from which calls lead to each start, walking callers upward."""
-    up = reach(edges, start.select(node), b, a, depth)
+    up = reach(edges, start.select(node), b, a, None)
     called = edges.select(F.col(b).alias("n")).distinct()
     return up.join(called, up.node == called.n, "left_anti").where("hops > 0 or root = node").select(F.col("root").alias(node), F.col("node").alias("entry")).distinct()
 
@@ -137,9 +143,9 @@ def test_gap(changed: DataFrame, edges: DataFrame, tests: DataFrame, node: str,
     return changed.select(node).distinct().join(covered, node, "left_anti")
 
 
-def rescan(failed: DataFrame, edges: DataFrame, node: str, a: str, b: str, depth: int = 20) -> DataFrame:
+def rescan(failed: DataFrame, edges: DataFrame, node: str, a: str, b: str) -> DataFrame:
     """Failed nodes and all that depend on them (a depends on b), transitively."""
-    return reach(edges, failed.select(node), b, a, depth).select(F.col("node").alias(node)).distinct()
+    return reach(edges, failed.select(node), b, a, None).select(F.col("node").alias(node)).distinct()
 
 
 def cross_module(edges: DataFrame, modules: DataFrame, a: str, b: str, node: str, module: str) -> DataFrame:

@@ -74,7 +74,7 @@ def topo_layers(spark, sf):
 @query("grf10_rescan", f"WITH {_E} SELECT DISTINCT x FROM (SELECT 100 + n_nationkey AS x FROM nation WHERE n_nationkey % 5 = 0 UNION ALL SELECT n_regionkey::BIGINT FROM nation WHERE n_nationkey % 5 = 0)")
 def rescan(spark, sf):
     failed = table(spark, sf, "nation").where("n_nationkey % 5 = 0").select((F.col("n_nationkey") + 100).cast("long").alias("x"))
-    return G.rescan(failed, _edges(spark, sf), "x", "a", "b", 5)
+    return G.rescan(failed, _edges(spark, sf), "x", "a", "b")
 
 
 @query("grf11_call_chains", f"""
@@ -94,7 +94,7 @@ def entries(spark, sf):
 @query("grf13_entry_points", f"WITH {_E} SELECT (100 + n_nationkey)::BIGINT AS node, n_regionkey::BIGINT AS entry FROM nation")
 def entry_points(spark, sf):
     start = table(spark, sf, "nation").select((F.col("n_nationkey") + 100).cast("long").alias("node"))
-    return G.entry_points(start, _edges(spark, sf), "node", "a", "b", 4)
+    return G.entry_points(start, _edges(spark, sf), "node", "a", "b")
 
 
 @query("grf14_test_gap", f"WITH {_E} SELECT 1000000 + c_custkey AS node FROM customer JOIN nation ON n_nationkey = c_nationkey WHERE n_regionkey <> 1")

@@ -145,4 +145,4 @@ def clip(spark, sf):
 
 @query("scl24_flatten_fields", "SELECT event_id, 'k' AS path, props->>'$.k' AS value FROM events")
 def flatten_fields(spark, sf):
-    return S.flatten_json(table(spark, sf, "events"), ["event_id"], "props", 2)
+    return S.flatten_json(table(spark, sf, "events"), ["event_id"], "props")

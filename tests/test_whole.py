@@ -3,6 +3,8 @@
 import pytest
 
 from tessera import plans
+from tessera.functions import scalars as S
+from tessera.operators import graph as G
 from tessera.plans import scalars
 
 
@@ -65,3 +67,31 @@ def test_change_groups(spark, tmp_path):
     nodes = {p for p, _ in changed}
     edges = [(p, q) for p, s in changed for q, t in changed if s == t] + [(p, p + 1) for _, p, *_ in LINES if {p, p + 1} <= nodes]
     assert got == _parts(edges) == {2: 2, 3: 2, 4: 2, 9: 9, 10: 9, 20: 20}
+
+
+def _chain(spark, n):
+    return spark.createDataFrame([(i, i + 1) for i in range(n)], "a long, b long").coalesce(1)
+
+
+def test_rescan_and_entries_without_a_cap(spark):
+    edges = _chain(spark, 23)
+    end = spark.createDataFrame([(23,)], "x long")
+    assert {r.x for r in G.rescan(end, edges, "x", "a", "b").collect()} == set(range(24))
+    assert [tuple(r) for r in G.entry_points(end, edges, "x", "a", "b").collect()] == [(23, 0)]
+
+
+def test_layers_raise_at_the_bound(spark):
+    edges = _chain(spark, 5)
+    nodes = edges.select("a").union(edges.select("b"))
+    assert {tuple(r) for r in G.topological_layers(nodes, edges, "a", "a", "b").collect()} == {(i, 5 - i) for i in range(6)}
+    with pytest.raises(RuntimeError):
+        G.topological_layers(nodes, edges, "a", "a", "b", 3)
+    with pytest.raises(RuntimeError):
+        G.reach(edges, nodes.where("a = 0"), "a", "b", None, 3)
+
+
+def test_flatten_deep(spark):
+    df = spark.createDataFrame([(1, '{"a":{"b":{"c":{"d":{"e":[7,{"f":"x"}]}}}},"s":"{no json"}')], "k int, j string")
+    assert {tuple(r) for r in S.flatten_json(df, ["k"], "j").collect()} == {(1, "a.b.c.d.e[0]", "7"), (1, "a.b.c.d.e[1].f", "x"), (1, "s", "{no json")}
+    with pytest.raises(RuntimeError):
+        S.flatten_json(df, ["k"], "j", 3)
