@@ -1,10 +1,10 @@
 """Removal of lines that many distinct sites share.
 
 Each batch sends, per distinct line hash, a HyperLogLog sketch of the sites it saw the
-line on, in sparse form (register, rank); a bucket merges the sketches of a line by
-register maximum.  Lines whose estimate is clear of ``min_sites`` on either side are
-settled by it.  For those within ``band`` standard errors the batches send the distinct
-(line, site) pairs, which are counted exactly.  Lines on at least ``min_sites`` sites are
+line on, in sparse form (register, rank, sites); a bucket merges the sketches of a line by
+register maximum.  Lines whose estimate is ``band`` standard errors above ``min_sites`` are
+settled by it, and lines whose batches together name fewer sites are left.  For all others
+the batches send the distinct (line, site) pairs, which are counted exactly.  Lines on at least ``min_sites`` sites are
 cross-site boilerplate: their first occurrence (smallest doc_id, then first line) stays,
 all others go.
 
@@ -117,21 +117,26 @@ def spread_dedup(docs: DataFrame, min_sites: int = 10, band: float = 4.0, text:
             for batch in P.batches(table):
                 key, doc, _ = _hashes(batch.data, batch.offsets)
                 register, rank = _sketch(batch.sites)
-                register, rank = register[doc], rank[doc]
-                order = np.lexsort((rank, register, key))
+                site, register, rank = batch.sites[doc], register[doc], rank[doc]
+                order = np.lexsort((site, rank, register, key))
+                order = order[_starts(key[order], register[order], rank[order], site[order])]
                 k, g, r = key[order], register[order], rank[order]
                 at = _starts(k, g)
-                ends = np.append(at[1:], len(k)) - 1
-                rows = list(_send(batch.batch, buckets, k[at], np.stack((g[at], r[ends]), axis=1)))
+                ends = np.append(at[1:], len(k))
+                sites = np.minimum(ends - at, 255).astype(np.uint8)
+                rows = list(_send(batch.batch, buckets, k[at], np.stack((g[at], r[ends - 1], sites), axis=1)))
                 yield pa.RecordBatch.from_pylist(rows, schema=_SENT_ARROW)
 
     def merge(table: pa.Table) -> pa.Table:
         sent = table.to_pylist()
         keys = [P.unpack_sorted(r["keys"]) for r in sent]
         key = np.concatenate(keys)
-        values = np.concatenate([np.frombuffer(r["values"], np.uint8).reshape(-1, 2) for r in sent])
+        values = np.concatenate([np.frombuffer(r["values"], np.uint8).reshape(-1, 3) for r in sent])
         order = np.lexsort((values[:, 1], values[:, 0], key))
         k, g, r = key[order], values[order, 0], values[order, 1]
+        # the sites of all batches, shared ones counted again: never less than the sites; 255 stands for any number
+        seen = np.where(values[order, 2] == 255, min_sites, values[order, 2].astype(np.int64))
+        seen = np.add.reduceat(seen, _starts(k))
         at = _starts(k, g)
         k, r = k[at], r[np.append(at[1:], len(key)) - 1].astype(np.float64)
         at = _starts(k)
@@ -139,7 +144,7 @@ def spread_dedup(docs: DataFrame, min_sites: int = 10, band: float = 4.0, text:
         zeros = (1 << PRECISION) - used
         guess = estimate(zeros, zeros + np.add.reduceat(np.exp2(-r), at))
         names = k[at]
-        sure, near = names[guess >= min_sites + margin], names[(guess < min_sites + margin) & (guess > min_sites - margin)]
+        sure, near = names[guess >= min_sites + margin], names[(guess < min_sites + margin) & (seen >= min_sites)]
         return _answer(sent, keys, ((_SURE, sure), (_NEAR, near)))
 
     def _answer(sent, keys, kinds) -> pa.Table:

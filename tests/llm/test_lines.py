@@ -7,6 +7,7 @@ import numpy as np
 import pytest
 
 from tessera.llm import lines
+from tessera.llm import packed as P
 
 BLANK = " \t\n\x0b\x0c\r"
 
@@ -73,3 +74,15 @@ def test_sketch(n):
     guess = lines.estimate(np.array([zeros]), np.array([np.exp2(-best).sum()]))[0]
     assert abs(guess - n) <= max(1, 4 * 0.065 * n)
     assert re.match("doc_id", lines.RESULT)
+
+
+def test_ten_sites_on_one_register(spark):
+    rows = [(i, f"text {i}", f"site{i}") for i in range(5000)]
+    schema = "doc_id long, text string, source string"
+    found = {}
+    for batch in P.batches(P.pack_documents(spark.createDataFrame(rows, schema), site="source").toArrow()):
+        for d, g in zip(batch.ids.tolist(), lines._sketch(batch.sites)[0].tolist(), strict=True):
+            found.setdefault(g, []).append(f"site{d}")
+    ten = next(v for v in found.values() if len(v) >= 10)[:10]
+    rows = [(i, f"the shared line\nown {i}", s) for i, s in enumerate(ten)] + [(10 + i, f"a line of nine\nown {i}", s) for i, s in enumerate(ten[:9])]
+    assert result(lines.spread_dedup(spark.createDataFrame(rows, schema).repartition(3), 10)) == brute(rows, 10)
