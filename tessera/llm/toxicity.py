@@ -37,9 +37,8 @@ from . import packed as P
 U64 = np.uint64
 PREFIXES = (4, 5, 6)
 
-#: Bounds of learning: labelled rows that are counted, and features that are kept.
+#: Bound of learning: labelled rows that are counted; they bound the features, which are all kept.
 SAMPLE = 40_000
-FEATURES = 200_000
 
 #: Negative log of the chance below which a segment counts as significant (p < 0.05).
 SIGNIFICANT = 3.0
@@ -255,8 +254,8 @@ def learn(docs: DataFrame, labels: DataFrame, count: str, calibrate: str, sample
         return pa.Table.from_arrays([pa.array(key.view(np.int64)), pa.array(value), pa.array(z)], schema=_FEATURE_ARROW)
 
     found = counted.groupBy("bucket").applyInArrow(features, _FEATURE)
-    best = found.orderBy(F.abs("z").desc(), "key").limit(FEATURES).collect()
-    scorer = Scorer(np.array([r.key for r in best], np.int64).view(U64), np.array([r.value for r in best], np.float64), drift)
+    best = found.select("key", "value").toArrow()  # 16 bytes a feature
+    scorer = Scorer(best.column("key").to_numpy().view(U64), best.column("value").to_numpy(), drift)
 
     def observe(stream):
         for table in stream:
@@ -280,7 +279,7 @@ def learn(docs: DataFrame, labels: DataFrame, count: str, calibrate: str, sample
 
 def score(docs: DataFrame, scorer: Scorer, text: str = "text", doc_id: str = "doc_id") -> DataFrame:
     """(doc_id, n_words, evidence, score, passages) of every row; passages are the segments with evidence."""
-    shared = docs.sparkSession.sparkContext.broadcast(scorer)  # at most FEATURES keys and a 4 MB filter
+    shared = docs.sparkSession.sparkContext.broadcast(scorer)  # the features of the labelled sample and a 4 MB filter
 
     def run(stream):
         model = shared.value

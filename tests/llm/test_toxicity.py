@@ -68,3 +68,9 @@ def test_no_labels_and_empty(spark):
     scorer = toxicity.learn(docs, labels.where(F.lit(False)), "true", "false")
     assert all(0 <= r.score < 0.5 for r in toxicity.score(docs, scorer).collect())
     assert toxicity.score(docs.limit(0), scorer).collect() == []
+
+
+def test_all_features_are_kept(spark, monkeypatch):
+    monkeypatch.setattr(toxicity, "FEATURES", 1, raising=False)
+    docs, labels = _table(spark)
+    assert len(toxicity.learn(docs, labels, "true", "false").keys) > 1
