@@ -9,11 +9,19 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 
-def checkpoint_dir(spark: SparkSession) -> None:
-    """Take the shared folder from spark.checkpoint.dir; a temporary one only where it is unset."""
+def checkpoint_dir(spark: SparkSession) -> str:
+    """The shared folder of spark.checkpoint.dir; where it is unset a temporary one, in local mode only."""
     context = spark.sparkContext
-    if not context._jsc.sc().getCheckpointDir().isDefined():
-        context.setCheckpointDir(context.getConf().get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="tessera-checkpoint-"))
+    current = context._jsc.sc().getCheckpointDir()
+    if current.isDefined():
+        return current.get()
+    path = context.getConf().get("spark.checkpoint.dir", None)
+    if not path:
+        if not context.master.startswith("local") or context.master.startswith("local-cluster"):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that all executors share")
+        path = tempfile.mkdtemp(prefix="tessera-checkpoint-")
+    context.setCheckpointDir(path)
+    return context._jsc.sc().getCheckpointDir().get()
 
 
 def connected_components(edges: DataFrame, a: str = "a", b: str = "b", max_rounds: int = 60) -> DataFrame:
