@@ -9,8 +9,10 @@ O(n log n) however long it is.
 Workers keep the ids of the matches they met in a table of bounded size, emptied when
 full, because words repeat.  Everything is a narrow pass: no shuffle, no state between
 tasks.  Edge cases: a null text is empty and has no ids; any valid UTF-8 has ids, as all
-single bytes are in the file; repeated rows are encoded alike; an empty table gives no
-rows; other columns pass through unchanged, whatever their names.
+single bytes are in the file; a very long text is one row of a piece of its own and takes
+memory in proportion to itself; repeated rows are encoded alike; an empty table gives no
+rows; other columns pass through unchanged, but for one with an output's name, which the
+output replaces.
 """
 
 from __future__ import annotations
@@ -152,45 +154,31 @@ def _share(df: DataFrame, path: str, pattern: str):
         return df.sparkSession.sparkContext.broadcast((file.read(), pattern))
 
 
-def _added(df: DataFrame, name: str) -> T.StructType:
-    if name in df.columns:
-        raise ValueError(f"column {name} exists")
-    return T.StructType([*df.schema.fields, T.StructField(name, T.BinaryType())])
-
-
 def encode(df: DataFrame, path: str, pattern: str, text: str = "text", into: str = "ids", decoded: str | None = None) -> DataFrame:
     """df with the ids of its texts, as bytes of little-endian unsigned 32-bit integers.
 
     With ``decoded`` the ids are decoded again in the same pass, into a column of that name:
     one Python worker a task instead of two.
     """
-    shared, schema, at = _share(df, path, pattern), _added(df, into), df.columns.index(text)
-    if decoded:
-        schema = T.StructType([*schema.fields, T.StructField(decoded, T.BinaryType())])
+    shared = _share(df, path, pattern)
 
-    def run(stream):
+    def make(texts):
         coder = _coder(shared)
-        for rows in stream:
-            for part in P.pieces(rows, at):
-                ids = [coder.encode(x) if x else b"" for x in part.column(at).to_pylist()]
-                made = [pa.array(ids, pa.binary())]
-                if decoded:
-                    made.append(pa.array([coder.decode(x) for x in ids], pa.binary()))
-                yield pa.RecordBatch.from_arrays([*part.columns, *made], names=schema.names)
+        ids = [coder.encode(x) if x else b"" for x in texts.to_pylist()]
+        made = [pa.array(ids, pa.binary())]
+        if decoded:
+            made.append(pa.array([coder.decode(x) for x in ids], pa.binary()))
+        return made
 
-    return df.mapInArrow(run, schema)
+    return P.add_columns(df, text, [(name, T.BinaryType()) for name in (into, decoded) if name], make)
 
 
 def decode(df: DataFrame, path: str, pattern: str, ids: str = "ids", into: str = "decoded") -> DataFrame:
     """df with the bytes that its ids stand for."""
-    shared, schema, at = _share(df, path, pattern), _added(df, into), df.columns.index(ids)
+    shared = _share(df, path, pattern)
 
-    def run(stream):
+    def make(column):
         coder = _coder(shared)
-        for rows in stream:
-            for k in range(0, rows.num_rows, 256):
-                part = rows.slice(k, 256)
-                texts = [coder.decode(x) if x else b"" for x in part.column(at).to_pylist()]
-                yield pa.RecordBatch.from_arrays([*part.columns, pa.array(texts, pa.binary())], names=schema.names)
+        return [pa.array([coder.decode(x) if x else b"" for x in column.to_pylist()], pa.binary())]
 
-    return df.mapInArrow(run, schema)
+    return P.add_columns(df, ids, [(into, T.BinaryType())], make)

@@ -13,8 +13,11 @@ broadcast and run against all documents in one narrow pass.  Nothing about docum
 collected or shuffled.
 
 Edge cases: null or blank passages never leak, null or blank documents have no leaks; a
-passage of fewer than 10 characters must occur exactly; equal rows give equal leaks; a null
-doc_id or item_id is reported as such; an empty table gives no rows.
+passage of fewer than 10 characters must occur exactly; of regions with equal edits the first
+found is told; equal rows give equal leaks, and repeated passages are each reported; a null
+doc_id or item_id is reported as such; a very long text is searched whole, in memory that
+grows with it; an empty table gives no rows; other columns pass through, but for one with
+the output's name, which the output replaces.
 """
 
 from __future__ import annotations
@@ -25,6 +28,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from . import packed as P
 
@@ -35,7 +39,7 @@ Q = 8
 BLOCK_CHARS = 4 << 20
 
 LEAK = pa.struct([("item_id", pa.int64()), ("start", pa.int64()), ("end", pa.int64()), ("edits", pa.int64())])
-LEAKS_SQL = "array<struct<item_id: bigint, start: bigint, end: bigint, edits: bigint>>"
+LEAKS = T.ArrayType(T.StructType([T.StructField(n, T.LongType()) for n in ("item_id", "start", "end", "edits")]))
 
 
 def normalise(text: str | None) -> str:
@@ -192,45 +196,43 @@ class Index:
 
 def with_leaks(docs: DataFrame, benchmark: DataFrame, edit_rate: float = 0.1, text: str = "text", item_id: str = "item_id", item_text: str = "text", into: str = "leaks") -> DataFrame:
     """docs with an array of (item_id, start, end, edits); places are in the normalised text."""
-    if into in docs.columns:
-        raise ValueError(f"column {into} exists")
     spark = docs.sparkSession
     items = benchmark.select(F.col(f"`{item_id}`").cast("long").alias("id"), F.col(f"`{item_text}`").cast("string").alias("text"))
     chars = items.agg(F.sum(F.length("text"))).first()[0] or 0
     blocks = max(1, -(-chars // BLOCK_CHARS))
+    names = [into] + [free_name(docs, f"{into}_{b}") for b in range(1, blocks)]
     out = docs
-    for b in range(blocks):
+    for b, name in enumerate(names):
         block = items if blocks == 1 else items.where(F.pmod(F.xxhash64("id", "text"), F.lit(blocks)) == b)
         shared = spark.sparkContext.broadcast(([(r.id, r.text) for r in block.collect()], edit_rate))
-        out = _block(out, shared, docs.columns.index(text), into if b == 0 else f"__leaks_{b}")
+        out = P.add_columns(out, text, [(name, LEAKS)], _finder(shared))
     if blocks > 1:
-        extra = [f"__leaks_{b}" for b in range(1, blocks)]
-        out = out.withColumn(into, F.concat(into, *extra)).drop(*extra)
+        out = out.select(*(F.concat(*(F.col(f"`{n}`") for n in names)).alias(into) if c == into else F.col(f"`{c}`") for c in out.columns if c not in names[1:]))
     return out
 
 
-_indexes: dict[int, Index] = {}
+def free_name(df: DataFrame, name: str) -> str:
+    """The name, lengthened until no column has it in whatever case."""
+    taken = {c.lower() for c in df.columns}
+    while name.lower() in taken:
+        name += "_"
+    return name
+
 
+_indexes: dict[int, Index] = {}
 
-def _block(docs: DataFrame, shared, at: int, into: str) -> DataFrame:
-    names = [*docs.columns, into]
-    from pyspark.sql import types as T
 
-    schema = T.StructType([*docs.schema.fields, T.StructField(into, T._parse_datatype_string(LEAKS_SQL))])
+def _finder(shared):
     number = shared._jbroadcast.id() if shared._jbroadcast is not None else 0
 
-    def run(stream):
+    def make(texts):
         if number not in _indexes:
             _indexes.clear()
-            items, rate = shared.value
-            _indexes[number] = Index(items, rate)
-        index = _indexes[number]
-        for rows in stream:
-            for part in P.pieces(rows, at):
-                found = []
-                for raw in part.column(at).to_pylist():
-                    clean = normalise(raw)
-                    found.append(index.leaks(clean, _codes(clean)) if clean else [])
-                yield pa.RecordBatch.from_arrays([*part.columns, pa.array(found, pa.list_(LEAK))], names=names)
-
-    return docs.mapInArrow(run, schema)
+            _indexes[number] = Index(*shared.value)
+        index, found = _indexes[number], []
+        for raw in texts.to_pylist():
+            clean = normalise(raw)
+            found.append(index.leaks(clean, _codes(clean)) if clean else [])
+        return [pa.array(found, pa.list_(LEAK))]
+
+    return make

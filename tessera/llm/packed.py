@@ -15,14 +15,19 @@ landing in one task.
 from __future__ import annotations
 
 import ctypes
-import os
-import tempfile
+import uuid
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import pyarrow.ipc
+import xxhash
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+from pyspark.sql import types as T
+
+from ..operators.graph import checkpoint_dir
 
 #: Text bytes of a packed batch; a longer single document makes a batch of its own.
 BATCH_BYTES = 4 << 20
@@ -30,7 +35,10 @@ BATCH_BYTES = 4 << 20
 U64 = np.uint64
 MULT_A = 0x9E3779B97F4A7C15
 MULT_B = 0xD6E8FEB86659FD93
-_MASK = (1 << 64) - 1
+
+#: Bytes of a range beyond which it is hashed by XXH64.
+LONG = 512
+_KEEP = np.array([(1 << 8 * k) - 1 for k in range(9)], dtype=U64)
 
 #: ASCII white space of the word rule [^\x20\x09-\x0D]+, as a lookup by byte.
 IS_SPACE = np.zeros(256, dtype=bool)
@@ -44,14 +52,30 @@ _powers: dict[int, tuple[np.ndarray, np.ndarray]] = {}
 
 
 def ensure_checkpoint_dir(spark: SparkSession) -> str:
-    """The shared folder of ``spark.checkpoint.dir``; a temporary one only where it is unset."""
-    context = spark.sparkContext
-    current = context._jsc.sc().getCheckpointDir()
-    if current.isDefined():
-        return current.get()
-    path = context.getConf().get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="tessera-checkpoint-")
-    context.setCheckpointDir(path)
-    return context._jsc.sc().getCheckpointDir().get()
+    """The shared folder of ``spark.checkpoint.dir``; a temporary one only in local mode where it is unset."""
+    return checkpoint_dir(spark)
+
+
+def scratch(spark: SparkSession, name: str) -> str:
+    """A new folder in the shared store, which goes when the application ends."""
+    uri = f"{ensure_checkpoint_dir(spark)}/{name}-{uuid.uuid4().hex}"
+    path = spark._jvm.org.apache.hadoop.fs.Path(uri)
+    store = path.getFileSystem(spark._jsc.hadoopConfiguration())
+    store.mkdirs(path)
+    store.deleteOnExit(path)
+    return uri
+
+
+def saved(df: DataFrame, uri: str) -> DataFrame:
+    """df written to the shared store and read again: its lineage ends there."""
+    df.write.parquet(uri)
+    return df.sparkSession.read.schema(df.schema).parquet(uri)
+
+
+def discard(spark: SparkSession, uri: str) -> None:
+    """Remove a folder that nothing will read again."""
+    path = spark._jvm.org.apache.hadoop.fs.Path(uri)
+    path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
 
 
 def partitions(spark: SparkSession) -> int:
@@ -127,35 +151,57 @@ class Words:
     def doc_of(self) -> np.ndarray:
         return np.repeat(np.arange(len(self.offsets) - 1), self.counts())
 
-    def hashes(self, mult: int = MULT_A) -> np.ndarray:
-        return span_hashes(self.data, self.starts, self.ends, mult)
+    def hashes(self, seed: int = MULT_A) -> np.ndarray:
+        return span_hashes(self.data, self.starts, self.ends, seed)
+
 
+def span_hashes(data: np.ndarray, starts: np.ndarray, ends: np.ndarray, seed: int = MULT_A) -> np.ndarray:
+    """64-bit hashes of byte ranges, eight bytes at a time through ``mix``, in slices of bounded size.
 
-def span_hashes(data: np.ndarray, starts: np.ndarray, ends: np.ndarray, mult: int = MULT_A) -> np.ndarray:
-    """64-bit hashes of byte ranges (ascending starts), in slices of bounded size."""
+    Ranges of up to eight bytes and equal length never collide.  Ranges over LONG bytes take
+    XXH64.  ``seed`` gives independent hashes.
+    """
     out = np.empty(len(starts), dtype=U64)
-    i = 0
-    while i < len(starts):
-        base = starts[i]
-        j = max(i + 1, int(np.searchsorted(starts, base + (1 << 21))))
-        stop = int(ends[i:j].max())
-        up, down = powers(mult, stop - base + 1)
-        sums = np.zeros(stop - base + 1, dtype=U64)
-        np.cumsum((data[base:stop].astype(U64) + U64(1)) * up[: stop - base], out=sums[1:])
-        a, b = starts[i:j] - base, ends[i:j] - base
-        out[i:j] = mix((sums[b] - sums[a]) * down[a] ^ ((b - a).astype(U64) << U64(40)))
-        i = j
+    padded = np.concatenate((data, np.zeros(8, np.uint8)))
+    chunk = np.ndarray((len(data) + 1,), "<u8", padded, strides=(1,))  # the eight bytes at each place
+    for i in range(0, len(starts), 1 << 18):
+        a, size = starts[i : i + (1 << 18)], (ends - starts)[i : i + (1 << 18)]
+        h = mix((size.astype(U64) + U64(1)) * U64(seed | 1))
+        h = mix(h ^ (chunk[a] & _KEEP[np.minimum(size, 8)]))
+        more, k = np.flatnonzero((size > 8) & (size <= LONG)), 8
+        while len(more):
+            h[more] = mix(h[more] * U64(seed | 1) ^ (chunk[a[more] + k] & _KEEP[np.minimum(size[more] - k, 8)]))
+            k += 8
+            more = more[size[more] > k]
+        for j in np.flatnonzero(size > LONG).tolist():
+            h[j] = xxhash.xxh64_intdigest(memoryview(padded)[a[j] : a[j] + size[j]], seed)
+        out[i : i + (1 << 18)] = h
     return out
 
 
 def rolling(hashes: np.ndarray, first: np.ndarray, n: int, mult: int = MULT_B) -> tuple[np.ndarray, np.ndarray]:
-    """Start and hash of every run of n consecutive items that stays inside one text."""
+    """Start and hash of every run of n consecutive items that stays inside one text.
+
+    Runs of up to 64 items are a polynomial over their mixed hashes modulo 2^64.  Longer ones
+    are folded from halves, as such polynomials lose bits on self-similar sequences.
+    """
     counts = np.maximum(np.diff(first) - n + 1, 0)
     total = int(counts.sum())
     if not total:
         return np.zeros(0, np.int64), np.zeros(0, U64)
     shift = np.repeat(first[:-1] - np.concatenate(([0], np.cumsum(counts)[:-1])), counts)
     pos = np.arange(total) + shift
+    if n > 64:
+        part, have, made, done = hashes, 1, None, 0
+        while True:
+            if n & have:
+                tail = part[done:] if done else part
+                made = tail if made is None else mix(made[: len(tail)] * U64(mult | 1) + tail[: len(made)])
+                done += have
+            if 2 * have > n:
+                return pos, mix(made[pos] + U64(n))
+            part = mix(part[:-have] * U64(mult | 1) + part[have:])
+            have *= 2
     up, down = powers(mult, len(hashes) + 1)
     sums = np.zeros(len(hashes) + 1, dtype=U64)
     np.cumsum(hashes * up[: len(hashes)], out=sums[1:])
@@ -255,7 +301,38 @@ def pieces(rows: pa.RecordBatch, text: str | int, limit: int = BATCH_BYTES):
     trim()
 
 
+def position(df: DataFrame, column: str) -> int:
+    """Where a column is: by its exact name, else whatever the case."""
+    if column in df.columns:
+        return df.columns.index(column)
+    return [c.lower() for c in df.columns].index(column.lower())
+
+
+def add_columns(df: DataFrame, source: str, added: list[tuple[str, T.DataType]], make, limit: int | None = None) -> DataFrame:
+    """df with the columns ``added``, which ``make`` gives as arrays for an array of column ``source``.
+
+    Columns go by position inside, so no name of the input matters; an input column with the
+    name of an added one, in whatever case, gives way to it.
+    """
+    at = position(df, source)
+    inner = [f"c{i}" for i in range(len(df.columns))]
+    outer = [f"made{i}" for i in range(len(added))]
+    schema = T.StructType([*(T.StructField(n, f.dataType) for n, f in zip(inner, df.schema.fields, strict=True)), *(T.StructField(n, t) for n, (_, t) in zip(outer, added, strict=True))])
+
+    def run(stream):
+        for rows in stream:
+            for part in pieces(rows, at, limit or BATCH_BYTES):
+                yield pa.RecordBatch.from_arrays([*part.columns, *make(part.column(at))], names=schema.names)
+
+    taken = {name.lower() for name, _ in added}
+    kept = [F.col(n).alias(c) for n, c in zip(inner, df.columns, strict=True) if c.lower() not in taken]
+    return df.toDF(*inner).mapInArrow(run, schema).select(*kept, *(F.col(n).alias(name) for n, (name, _) in zip(outer, added, strict=True)))
+
+
 def _sizes(column: pa.Array) -> np.ndarray:
+    """Running bytes of a column of strings or binaries."""
+    if pa.types.is_binary(column.type) or pa.types.is_large_binary(column.type):
+        return np.cumsum(pc.fill_null(pc.binary_length(column), 0).to_numpy(zero_copy_only=False), dtype=np.int64)
     return np.cumsum(np.diff(utf8(column)[1]))
 
 
@@ -272,8 +349,6 @@ def pack_documents(docs: DataFrame, text: str = "text", doc_id: str = "doc_id",
     Null texts are empty, a null id is kept as such, a null site is the site ''.
     Columns named in ``carry`` travel along unchanged; others are ignored, whatever their names.
     """
-    from pyspark.sql import functions as F
-
     cols = [F.col(f"`{doc_id}`").cast("long").alias("id"), F.col(f"`{text}`").cast("string").alias("text")]
     cols.append(F.xxhash64(F.coalesce(F.col(f"`{site}`").cast("string"), F.lit(""))).alias("site") if site else F.lit(0).cast("long").alias("site"))
 
@@ -338,9 +413,3 @@ def local_path(uri: str) -> str | None:
     if uri.startswith("file:"):
         return "/" + uri[5:].lstrip("/")
     return uri if uri.startswith("/") else None
-
-
-def free_unused(path: str) -> None:
-    """Remove a file that may have gone already."""
-    if os.path.exists(path):
-        os.unlink(path)

@@ -12,7 +12,9 @@ a task.  Verdicts are broadcast while the hosts number at most BROADCAST_HOSTS;
 that the join is salted, so that no host's documents meet in one task.
 
 Edge cases: a null text has no words (and so fails); a null host is a host of its own;
-equal ids are judged row by row; an empty table gives no rows.
+equal ids and repeated rows are judged row by row, and each counts for its host; a very long
+text is measured whole, alone in its piece; an empty table gives no rows; other columns pass
+through, but for one with the output's name, which the output replaces.
 """
 
 from __future__ import annotations
@@ -101,20 +103,12 @@ def measure(data: np.ndarray, offsets: np.ndarray, shingle: int = 8) -> list[np.
 
 def with_metrics(docs: DataFrame, text: str = "text", into: str = "quality_metrics") -> DataFrame:
     """docs with a struct of the METRICS; all other columns pass through."""
-    if into in docs.columns:
-        raise ValueError(f"column {into} exists")
-    at = docs.columns.index(text)
     struct = T.StructType([T.StructField(m, T.LongType()) for m in METRICS])
-    schema = T.StructType([*docs.schema.fields, T.StructField(into, struct)])
 
-    def run(stream):
-        for rows in stream:
-            for part in P.pieces(rows, at):
-                data, offsets = P.utf8(part.column(at))
-                made = pa.StructArray.from_arrays([pa.array(x, pa.int64()) for x in measure(data, offsets)], METRICS)
-                yield pa.RecordBatch.from_arrays([*part.columns, made], names=schema.names)
+    def make(texts):
+        return [pa.StructArray.from_arrays([pa.array(x, pa.int64()) for x in measure(*P.utf8(texts))], METRICS)]
 
-    return docs.mapInArrow(run, schema)
+    return P.add_columns(docs, text, [(into, struct)], make)
 
 
 def host_verdicts(measured: DataFrame, max_rate: float = 0.5, host: str = "source", into: str = "quality_metrics") -> DataFrame:
@@ -137,35 +131,42 @@ def host_verdicts(measured: DataFrame, max_rate: float = 0.5, host: str = "sourc
     return joined.select("host", "n_docs", F.greatest(*shrunk).alias("host_rate")).withColumn("host_failed", F.col("host_rate") > max_rate)
 
 
-def judge(docs: DataFrame, max_rate: float = 0.5, text: str = "text", host: str = "source", into: str = "quality") -> DataFrame:
-    """docs with a struct ``into`` of the METRICS, base_failed, rules_failed, host_rate and kept."""
-    spark = docs.sparkSession
-    P.ensure_checkpoint_dir(spark)
-    struct = "__measured"
-    slim = with_metrics(docs.select(F.col(f"`{text}`").alias("text"), F.col(f"`{host}`").alias("host")), "text", struct)
-    verdicts = host_verdicts(slim.select("host", struct), max_rate, "host", struct).checkpoint()
+def judge(docs: DataFrame, max_rate: float = 0.5, text: str = "text", host: str = "source", into: str = "quality", keep_text: bool = True) -> DataFrame:
+    """docs with a struct ``into`` of the METRICS, base_failed, rules_failed, host_rate and kept.
+
+    Texts are measured once for the hosts and again for the rows, as they are not stored in
+    between.  Without ``keep_text`` they are measured once, and the rows written without them.
+    """
+    P.ensure_checkpoint_dir(docs.sparkSession)
+    inner = [f"c{i}" for i in range(len(docs.columns))]
+    plain = docs.toDF(*inner)
+    words, site = inner[P.position(docs, text)], inner[P.position(docs, host)]
+    if keep_text:
+        measured = with_metrics(plain, words, "m")
+        sites = with_metrics(plain.select(words, site), words, "m").select(site, "m")
+    else:
+        measured = P.saved(with_metrics(plain, words, "m").drop(words), f"{P.scratch(docs.sparkSession, 'quality')}/measured")
+        sites = measured.select(site, "m")
+    verdicts = host_verdicts(sites, max_rate, site, "m").checkpoint()
     small = verdicts.count() <= BROADCAST_HOSTS
-    measured = with_metrics(docs, text, struct)
-    names = measured.columns
-    host_col = F.col(f"`{host}`")
-    right = verdicts.select(F.col("host").alias("__host"), F.struct("host_rate", "host_failed").alias("__verdict"))
+    right = verdicts.select(F.col("host").alias("h"), F.struct("host_rate", "host_failed").alias("v"))
     if small:
-        joined = measured.join(F.broadcast(right), host_col.eqNullSafe(F.col("__host")), "left")
+        joined = measured.join(F.broadcast(right), F.col(site).eqNullSafe(F.col("h")), "left")
     else:
         salt = F.pmod(F.xxhash64(F.monotonically_increasing_id()), F.lit(SALTS)).cast("int")
-        right = right.withColumn("__salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
-        left = measured.withColumn("__row_salt", salt)
-        joined = left.join(right, host_col.eqNullSafe(F.col("__host")) & (F.col("__row_salt") == F.col("__salt")), "left")
+        right = right.withColumn("h_salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
+        joined = measured.withColumn("salt", salt).join(right, F.col(site).eqNullSafe(F.col("h")) & (F.col("salt") == F.col("h_salt")), "left")
 
     def failing(rules):
-        return [F.coalesce(F.expr(_scoped(RULES[r], struct)), F.lit(False)) for r in rules]
+        return [F.coalesce(F.expr(_scoped(RULES[r], "m")), F.lit(False)) for r in rules]
 
     base = failing(BASE_RULES)
     base_failed = base[0] | base[1]
     names_failed = F.array_compact(F.array(*(F.when(c, F.lit(r)) for r, c in zip(RULES, failing(RULES), strict=True))))
-    kept = (F.size(names_failed) == 0) & ~F.coalesce(F.col("__verdict.host_failed"), F.lit(False))
-    made = F.struct(*(F.col(f"{struct}.{m}").alias(m) for m in METRICS), base_failed.alias("base_failed"), names_failed.alias("rules_failed"), F.col("__verdict.host_rate").alias("host_rate"), kept.alias("kept"))
-    return joined.select(*(F.col(f"`{c}`") for c in names if c != struct), made.alias(into))
+    kept = (F.size(names_failed) == 0) & ~F.coalesce(F.col("v.host_failed"), F.lit(False))
+    made = F.struct(*(F.col(f"m.{m}").alias(m) for m in METRICS), base_failed.alias("base_failed"), names_failed.alias("rules_failed"), F.col("v.host_rate").alias("host_rate"), kept.alias("kept"))
+    kept_columns = [F.col(n).alias(c) for n, c in zip(inner, docs.columns, strict=True) if c.lower() != into.lower() and (keep_text or n != words)]
+    return joined.select(*kept_columns, made.alias(into))
 
 
 def _scoped(rule: str, struct: str) -> str:

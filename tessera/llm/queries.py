@@ -80,7 +80,7 @@ def op7_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op8_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Counts and verdicts of the quality rules with host-level shrinkage."""
     docs = _documents(spark, sf_dir).select("doc_id", "text", "source")
-    return quality.judge(docs).select("doc_id", "quality.n_words", "quality.word_chars", "quality.n_symbols", "quality.n_dup_lines", "quality.n_repeat_words", "quality.base_failed", "quality.kept")
+    return quality.judge(docs, keep_text=False).select("doc_id", "quality.n_words", "quality.word_chars", "quality.n_symbols", "quality.n_dup_lines", "quality.n_repeat_words", "quality.base_failed", "quality.kept")
 
 
 def op9_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:

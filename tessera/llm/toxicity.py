@@ -128,7 +128,9 @@ class Scorer:
             slot[slot == len(self.keys)] = 0
             hit = self.keys[slot] == key[at]
             out[at[hit]] = self.values[slot[hit]] - self.drift
-        again = np.flatnonzero(key[1:] == key[:-1]) + 1  # a word said again says nothing new
+        again = np.zeros(len(words), bool)  # a word said again says nothing new
+        again[1:] = key[1:] == key[:-1]
+        again[words.first[:-1][words.counts() > 0]] = False
         out[again] = np.minimum(out[again], -self.drift)
         return out
 
