@@ -8,17 +8,23 @@ follows, and how many words with count one, two, more follow a history - which m
 second exchange by word and are written the same way.  No word, however frequent, makes a
 large group: a batch contributes one entry to it, and bigrams are dealt by both words.
 
-Scoring is a narrow pass: workers memory-map the arrays (the pages are the system's, not
-the worker's memory) and look up a batch's distinct words and bigrams in sorted order.
+Scoring sends a batch's distinct words and bigrams to their buckets; the task of a bucket
+memory-maps that bucket's arrays alone and answers with counts.  So no machine holds or
+reads the whole model, which may be larger than any of them.
 
 p(w|h) = (max(c(hw) - D(c), 0) + g(h) pc(w)) / c(h), with pc(w) the same over continuation
 counts, itself interpolated with the uniform 1/(V+1), so unknown words have a share and
 the probabilities of the V words and one unknown add up to one.  Discounts come from the
 counts of counts.  A history never seen leaves pc(w).
 
+Counts are 64-bit.  The driver is told the length of every array; an array that is missing
+or of another length raises, and is never read as unseen words.
+
 Edge cases: a null text is empty and consists of its end; without training texts every
 token has probability 1; a null doc_id is a training row; equal ids are separate rows
-with equal scores; an empty table gives no rows; other columns are ignored.
+with equal scores for equal texts; repeated rows count each time; a very long text is a
+batch of its own; an empty table gives no rows; other columns are ignored, whatever their
+names.
 """
 
 from __future__ import annotations
@@ -41,11 +47,22 @@ END = U64(0x2545F4914F6CDD1D)
 #: Bits of a bigram's hash that are kept; two bigrams of a corpus of B distinct ones meet with chance B / 2^48.
 KEY_MASK = U64(0xFFFFFFFFFFFF0000)
 
-WORD = np.dtype([("key", "<u8"), ("c", "<u4"), ("cont", "<u4"), ("n1", "<u4"), ("n2", "<u4"), ("n3", "<u4")])
+WORD = np.dtype([("key", "<u8"), ("c", "<u8"), ("cont", "<u8"), ("n1", "<u8"), ("n2", "<u8"), ("n3", "<u8")])
+_COUNTS = WORD.names[1:]
 
 _SENT = "bucket int, batch long, keys binary, values binary"
+_SENT_ARROW = pa.schema([("bucket", pa.int32()), ("batch", pa.int64()), ("keys", pa.binary()), ("values", pa.binary())])
 _REPLY = "batch long, bucket int, classes binary"
+_REPLY_ARROW = pa.schema([("batch", pa.int64()), ("bucket", pa.int32()), ("classes", pa.binary())])
 _META = "bucket int, sums array<long>"
+_META_ARROW = pa.schema([("bucket", pa.int32()), ("sums", pa.list_(pa.int64()))])
+_ASK = "bucket int, batch long, words binary, bigrams binary"
+_ASK_ARROW = pa.schema([("bucket", pa.int32()), ("batch", pa.int64()), ("words", pa.binary()), ("bigrams", pa.binary())])
+_TOLD = "batch long, bucket int, words binary, bigrams binary"
+_TOLD_ARROW = pa.schema([("batch", pa.int64()), ("bucket", pa.int32()), ("words", pa.binary()), ("bigrams", pa.binary())])
+
+#: Buckets of the second training exchange that carry sums instead of words: counts of counts, and array lengths.
+_TALLY, _LENGTHS = -1, -2
 
 
 class Store:
@@ -69,23 +86,19 @@ class Store:
             out.write(array.tobytes())
         fs.move(f"{root}/{temporary}", f"{root}/{name}")
 
-    def map(self, name: str, dtype) -> np.ndarray:
-        """The array, memory-mapped; empty if there is none."""
-        if self.local:
-            path = f"{self.local}/{name}"
-            if not os.path.exists(path) or not os.path.getsize(path):
-                return np.zeros(0, dtype)
-            return np.memmap(path, dtype, "r")
-        import tempfile
-
-        fs, root = pa.fs.FileSystem.from_uri(self.uri)
-        if fs.get_file_info(f"{root}/{name}").type == pa.fs.FileType.NotFound:
+    def map(self, name: str, dtype, length: int) -> np.ndarray:
+        """The array of that length, memory-mapped where the store is a mounted folder."""
+        if not length:
             return np.zeros(0, dtype)
-        with tempfile.NamedTemporaryFile() as near, fs.open_input_stream(f"{root}/{name}") as far:
-            while block := far.read(1 << 22):
-                near.write(block)
-            near.flush()
-            return np.memmap(near.name, dtype, "r") if near.tell() else np.zeros(0, dtype)
+        if self.local:
+            out = np.memmap(f"{self.local}/{name}", dtype, "r")
+        else:
+            fs, root = pa.fs.FileSystem.from_uri(self.uri)
+            with fs.open_input_file(f"{root}/{name}") as far:
+                out = np.frombuffer(far.read(), dtype)
+        if len(out) != length:
+            raise RuntimeError(f"{self.uri}/{name} holds {len(out)} entries, not {length}")
+        return out
 
 
 def tokens(words: P.Words) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -108,12 +121,7 @@ def _sent(batch: int, buckets: int, keys: np.ndarray, values: np.ndarray):
     cuts = P.bucket_cuts(keys, buckets)
     for b in np.flatnonzero(np.diff(cuts)):
         lo, hi = cuts[b], cuts[b + 1]
-        yield {"bucket": int(b), "batch": batch, "keys": P.pack_sorted(keys[lo:hi]), "values": np.ascontiguousarray(values[lo:hi]).tobytes()}
-
-
-_SENT_ARROW = pa.schema([("bucket", pa.int32()), ("batch", pa.int64()), ("keys", pa.binary()), ("values", pa.binary())])
-_REPLY_ARROW = pa.schema([("batch", pa.int64()), ("bucket", pa.int32()), ("classes", pa.binary())])
-_META_ARROW = pa.schema([("bucket", pa.int32()), ("sums", pa.list_(pa.int64()))])
+        yield {"bucket": int(b), "batch": batch, "keys": P.pack_sorted(keys[lo:hi]), "values": P.pack_counts(values[lo:hi])}
 
 
 def _discounts(n: list[int]) -> np.ndarray:
@@ -132,8 +140,9 @@ def _discounts(n: list[int]) -> np.ndarray:
 class Model:
     """The place of the arrays and the corpus sums."""
 
-    def __init__(self, uri: str, buckets: int, sums: dict):
+    def __init__(self, uri: str, buckets: int, sums: dict, lengths: dict[int, tuple[int, int, int]]):
         self.uri, self.buckets = uri, buckets
+        self.lengths = lengths  # of a bucket's words, bigrams and bigrams of large counts
         self.types, self.total = sums["types"], sums["tokens"]
         self.bigram_d = _discounts(sums["bigram_counts"])
         self.cont_d = _discounts(sums["cont_counts"])
@@ -145,8 +154,7 @@ class Model:
 def train(docs: DataFrame, train: str = "true", text: str = "text", doc_id: str = "doc_id") -> Model:
     """Count the rows where the SQL condition ``train`` holds (a null holds) and write the model."""
     spark = docs.sparkSession
-    root = P.ensure_checkpoint_dir(spark)
-    uri = f"{root}/kneser-ney-{uuid.uuid4().hex}"
+    uri = P.scratch(spark, "kneser-ney")
     buckets = 2 * P.partitions(spark)
     rows = docs.where(F.coalesce(F.expr(train), F.lit(True)))
     packed = P.pack_documents(rows, text, doc_id)
@@ -156,19 +164,19 @@ def train(docs: DataFrame, train: str = "true", text: str = "text", doc_id: str
             for batch in P.batches(table):
                 token, history, _ = tokens(batch.words(lower=True))
                 keys, counts = np.unique(bigrams(history, token), return_counts=True)
-                yield pa.RecordBatch.from_pylist(list(_sent(batch.batch, buckets, keys, counts.astype("<u4"))), schema=_SENT_ARROW)
+                yield pa.RecordBatch.from_pylist(list(_sent(batch.batch, buckets, keys, counts)), schema=_SENT_ARROW)
 
     def add_bigrams(table: pa.Table) -> pa.Table:
         """Totals of a bucket: written as arrays, and told as count classes to the owners."""
         sent = sorted(table.to_pylist(), key=lambda r: r["batch"])
         keys = [P.unpack_sorted(r["keys"]) for r in sent]
-        counts = np.concatenate([np.frombuffer(r["values"], "<u4") for r in sent])
+        counts = np.concatenate([P.unpack_counts(r["values"], len(k), 1)[:, 0] for r, k in zip(sent, keys, strict=True)])
         key = np.concatenate(keys)
         order = np.argsort(key, kind="stable")
         new = np.ones(len(key), bool)
         new[1:] = key[order][1:] != key[order][:-1]
         at = np.flatnonzero(new)
-        total = np.add.reduceat(counts[order].astype(np.int64), at)
+        total = np.add.reduceat(counts[order], at)
         b, store = sent[0]["bucket"], Store(uri)
         store.write(f"bigram-{b}.keys", key[order][at].astype("<u8"))
         store.write(f"bigram-{b}.counts", np.minimum(total, 255).astype(np.uint8))
@@ -180,11 +188,14 @@ def train(docs: DataFrame, train: str = "true", text: str = "text", doc_id: str
         for r, k in zip(sent, keys, strict=True):
             out.append({"batch": r["batch"], "bucket": b, "classes": classes[begin : begin + len(k)].tobytes()})
             begin += len(k)
+        out.append({"batch": -1 - b, "bucket": b, "classes": np.array([b, len(at), len(big)], "<i8").tobytes()})  # of no batch
         return pa.Table.from_pylist(out, schema=_REPLY_ARROW)
 
     def send_words(left: pa.Table, right: pa.Table) -> pa.Table:
         """Per word of a batch: count, owned continuations, owned followers by class."""
         out = []
+        if not left.num_rows:
+            return pa.Table.from_pylist([{"bucket": _LENGTHS, "batch": r["batch"], "keys": b"", "values": r["classes"]} for r in right.to_pylist()], schema=_SENT_ARROW)
         for batch in P.batches(left):
             token, history, first = tokens(batch.words(lower=True))
             replies = sorted(right.to_pylist(), key=lambda r: r["bucket"])
@@ -200,141 +211,161 @@ def train(docs: DataFrame, train: str = "true", text: str = "text", doc_id: str
             slot = np.searchsorted(keys, h)
             for name, mine in (("n1", c == 1), ("n2", c == 2), ("n3", c >= 3)):
                 made[name] = np.bincount(slot[mine], minlength=len(keys))
-            values = np.stack([made[n] for n in WORD.names[1:]], axis=1)
-            out += _sent(batch.batch, buckets, keys, values)
+            out += _sent(batch.batch, buckets, keys, np.stack([made[n] for n in _COUNTS], axis=1))
             tally = np.bincount(c, minlength=6)[1:5].astype("<i8")
-            out.append({"bucket": -1, "batch": batch.batch, "keys": b"", "values": tally.tobytes()})
+            out.append({"bucket": _TALLY, "batch": batch.batch, "keys": b"", "values": tally.tobytes()})
         return pa.Table.from_pylist(out, schema=_SENT_ARROW)
 
     def add_words(table: pa.Table) -> pa.Table:
         sent = table.to_pylist()
         b = sent[0]["bucket"]
         if b < 0:
-            tally = sum(np.frombuffer(r["values"], "<i8") for r in sent)
-            return pa.Table.from_pylist([{"bucket": b, "sums": tally.tolist()}], schema=_META_ARROW)
-        key = np.concatenate([P.unpack_sorted(r["keys"]) for r in sent])
-        values = np.concatenate([np.frombuffer(r["values"], "<u4").reshape(-1, 5) for r in sent])
+            told = [np.frombuffer(r["values"], "<i8") for r in sent]
+            return pa.Table.from_pylist([{"bucket": b, "sums": (sum(told) if b == _TALLY else np.concatenate(told)).tolist()}], schema=_META_ARROW)
+        keys = [P.unpack_sorted(r["keys"]) for r in sent]
+        key = np.concatenate(keys)
+        values = np.concatenate([P.unpack_counts(r["values"], len(k), len(_COUNTS)) for r, k in zip(sent, keys, strict=True)])
         order = np.argsort(key, kind="stable")
         new = np.ones(len(key), bool)
         new[1:] = key[order][1:] != key[order][:-1]
         at = np.flatnonzero(new)
         made = np.zeros(len(at), WORD)
         made["key"] = key[order][at]
-        for i, name in enumerate(WORD.names[1:]):
-            made[name] = np.add.reduceat(values[order, i].astype(np.int64), at)
+        for i, name in enumerate(_COUNTS):
+            made[name] = np.add.reduceat(values[order, i], at)
         Store(uri).write(f"word-{b}", made)
         real = made[made["key"] != START]
-        cont = np.bincount(np.minimum(real["cont"], 5), minlength=6)[1:5]
-        sums = [len(real), int(real["c"].sum(dtype=np.int64)), int(real["cont"].sum(dtype=np.int64)), *cont.tolist()]
+        cont = np.bincount(np.minimum(real["cont"], 5).astype(np.int64), minlength=6)[1:5]
+        sums = [len(made), len(real), int(real["c"].sum()), int(real["cont"].sum()), *cont.tolist()]
         return pa.Table.from_pylist([{"bucket": b, "sums": sums}], schema=_META_ARROW)
 
-    sent = packed.mapInArrow(send_bigrams, _SENT)
-    replies = sent.groupBy("bucket").applyInArrow(add_bigrams, _REPLY)
-    words = packed.groupBy("batch").cogroup(replies.groupBy("batch")).applyInArrow(send_words, _SENT)
-    meta = words.groupBy("bucket").applyInArrow(add_words, _META).collect()  # a row a bucket
-    parts = np.sum([r.sums for r in meta if r.bucket >= 0], axis=0, dtype=np.int64) if meta else np.zeros(7, np.int64)
-    tally = next((list(r.sums) for r in meta if r.bucket < 0), [0, 0, 0, 0])
-    types, total, cont_total, *cont = parts.tolist()
-    return Model(uri, buckets, {"types": types, "tokens": total, "cont_total": cont_total, "cont_counts": cont, "bigram_counts": tally})
-
-
-_open: dict[str, "Reader"] = {}
-
-
-class Reader:
-    """The mapped arrays of a model."""
-
-    def __init__(self, model: Model):
-        self.model = model
+    with P.fleeting_shuffles(spark):  # scoring begins without the exchanges of training
+        sent = packed.mapInArrow(send_bigrams, _SENT)
+        replies = sent.groupBy("bucket").applyInArrow(add_bigrams, _REPLY)
+        words = packed.groupBy("batch").cogroup(replies.groupBy("batch")).applyInArrow(send_words, _SENT)
+        meta = words.groupBy("bucket").applyInArrow(add_words, _META).collect()  # a row a bucket
+    n_words = {r.bucket: r.sums[0] for r in meta if r.bucket >= 0}
+    told = np.array(next((r.sums for r in meta if r.bucket == _LENGTHS), []), np.int64).reshape(-1, 3)
+    n_bigrams = {b: (n, large) for b, n, large in told.tolist()}
+    lengths = {b: (n_words.get(b, 0), *n_bigrams.get(b, (0, 0))) for b in n_words.keys() | n_bigrams.keys()}
+    parts = [r.sums[1:] for r in meta if r.bucket >= 0]
+    types, total, cont_total, *cont = np.sum(parts, axis=0, dtype=np.int64).tolist() if parts else [0] * 7
+    tally = next((list(r.sums) for r in meta if r.bucket == _TALLY), [0, 0, 0, 0])
+    return Model(uri, buckets, {"types": types, "tokens": total, "cont_total": cont_total, "cont_counts": cont, "bigram_counts": tally}, lengths)
+
+
+class Bucket:
+    """The mapped arrays of one bucket."""
+
+    def __init__(self, model: Model, bucket: int):
+        words, bigrams, large = model.lengths.get(bucket, (0, 0, 0))
         store = Store(model.uri)
-        n = model.buckets
-        self.words = [store.map(f"word-{b}", WORD) for b in range(n)]
-        self.keys = [store.map(f"bigram-{b}.keys", "<u8") for b in range(n)]
-        self.counts = [store.map(f"bigram-{b}.counts", np.uint8) for b in range(n)]
-        self.large = [np.array(store.map(f"bigram-{b}.large", "<u8")).reshape(2, -1) for b in range(n)]
-
-    def word_records(self, keys: np.ndarray) -> np.ndarray:
-        """Records of ascending distinct words; zeros for those not seen."""
-        out = np.zeros(len(keys), WORD)
-        cuts = P.bucket_cuts(keys, self.model.buckets)
-        for b in np.flatnonzero(np.diff(cuts)):
-            table = self.words[b]
-            if not len(table):
-                continue
-            mine = keys[cuts[b] : cuts[b + 1]]
-            at = np.searchsorted(table["key"], mine)
-            at[at == len(table)] = 0
-            got = table[at]
-            got[got["key"] != mine] = np.zeros(1, WORD)[0]
-            out[cuts[b] : cuts[b + 1]] = got
+        self.words = store.map(f"word-{bucket}", WORD, words)
+        self.keys = store.map(f"bigram-{bucket}.keys", "<u8", bigrams)
+        self.counts = store.map(f"bigram-{bucket}.counts", np.uint8, bigrams)
+        self.large = store.map(f"bigram-{bucket}.large", "<u8", 2 * large).reshape(2, -1)
+
+    def word_counts(self, keys: np.ndarray) -> np.ndarray:
+        """The _COUNTS of ascending words; zeros for those not seen."""
+        out = np.zeros((len(keys), len(_COUNTS)), np.int64)
+        if len(self.words):
+            at = np.searchsorted(self.words["key"], keys)
+            at[at == len(self.words)] = 0
+            got = self.words[at]
+            there = got["key"] == keys
+            for i, name in enumerate(_COUNTS):
+                out[there, i] = got[name][there]
         return out
 
     def bigram_counts(self, keys: np.ndarray) -> np.ndarray:
-        out = np.zeros(len(keys), np.int64)
-        cuts = P.bucket_cuts(keys, self.model.buckets)
-        for b in np.flatnonzero(np.diff(cuts)):
-            table = self.keys[b]
-            if not len(table):
-                continue
-            mine = keys[cuts[b] : cuts[b + 1]]
-            at = np.searchsorted(table, mine)
-            at[at == len(table)] = 0
-            there = table[at] == mine
-            c = self.counts[b][at].astype(np.int64)
-            many = np.flatnonzero(c == 255)
-            c[many] = self.large[b][1][np.searchsorted(self.large[b][0], at[many].astype("<u8"))]
-            out[cuts[b] : cuts[b + 1]] = np.where(there, c, 0)
-        return out
-
-    def score(self, words: P.Words) -> dict[str, np.ndarray]:
-        """Per text: tokens, known tokens, base and model log10 probability."""
-        m = self.model
-        token, history, first = tokens(words)
-        unique, back = np.unique(np.concatenate((token, history)), return_inverse=True)
-        record = self.word_records(unique)
-        w, h = record[back[: len(token)]], record[back[len(token) :]]
-        keys, back = np.unique(bigrams(history, token), return_inverse=True)
-        c = self.bigram_counts(keys)[back]
-        uniform = 1.0 / (m.types + 1)
-        if m.cont_total:
-            cont = w["cont"].astype(np.int64)
-            lower = (np.maximum(cont - m.cont_d[np.minimum(cont, 3)], 0) + m.cont_rest * uniform) / m.cont_total
-        else:
-            lower = np.full(len(token), uniform)
-        d = m.bigram_d
-        rest = d[1] * h["n1"] + d[2] * h["n2"] + d[3] * h["n3"]
-        seen = h["c"].astype(np.float64)
-        p = np.where(seen > 0, (np.maximum(c - d[np.minimum(c, 3)], 0) + rest * lower) / np.maximum(seen, 1), lower)
-        known = w["c"] > 0
-        base = np.log10((w["c"] + 1.0) / (m.total + m.types + 1.0))
-        at = first[:-1]
-        if not len(at):
-            return {k: np.zeros(0) for k in ("n_tokens", "n_known", "base_score", "score")}
-        return {
-            "n_tokens": np.diff(first),
-            "n_known": np.add.reduceat(known.astype(np.int64), at),
-            "base_score": np.add.reduceat(base, at),
-            "score": np.add.reduceat(np.log10(p), at),
-        }
+        if not len(self.keys):
+            return np.zeros(len(keys), np.int64)
+        at = np.searchsorted(self.keys, keys)
+        at[at == len(self.keys)] = 0
+        c = self.counts[at].astype(np.int64)
+        many = np.flatnonzero(c == 255)
+        c[many] = self.large[1][np.searchsorted(self.large[0], at[many].astype("<u8"))]
+        c[self.keys[at] != keys] = 0
+        return c
+
+
+def _score(m: Model, token, history, first, word: np.ndarray, word_of, word_of_history, c: np.ndarray) -> dict[str, np.ndarray]:
+    """Per text: tokens, known tokens, base and model log10 probability."""
+    at = first[:-1]
+    if not len(at):
+        return {k: np.zeros(0) for k in ("n_tokens", "n_known", "base_score", "score")}
+    count, cont = word[word_of, 0], word[word_of, 1]
+    seen, n1, n2, n3 = (word[word_of_history, i] for i in (0, 2, 3, 4))
+    uniform = 1.0 / (m.types + 1)
+    if m.cont_total:
+        lower = (np.maximum(cont - m.cont_d[np.minimum(cont, 3)], 0) + m.cont_rest * uniform) / m.cont_total
+    else:
+        lower = np.full(len(token), uniform)
+    d = m.bigram_d
+    rest = d[1] * n1 + d[2] * n2 + d[3] * n3
+    p = np.where(seen > 0, (np.maximum(c - d[np.minimum(c, 3)], 0) + rest * lower) / np.maximum(seen, 1), lower)
+    base = np.log10((count + 1.0) / (m.total + m.types + 1.0))
+    return {
+        "n_tokens": np.diff(first),
+        "n_known": np.add.reduceat((count > 0).astype(np.int64), at),
+        "base_score": np.add.reduceat(base, at),
+        "score": np.add.reduceat(np.log10(p), at),
+    }
+
+
+RESULT = "doc_id long, n_tokens long, n_known long, train_tokens long, base_score double, score double, perplexity double"
 
 
 def score(docs: DataFrame, model: Model, text: str = "text", doc_id: str = "doc_id") -> DataFrame:
     """(doc_id, n_tokens, n_known, train_tokens, base_score, score, perplexity) of every row."""
+    buckets = model.buckets
+    packed = P.pack_documents(docs, text, doc_id)
+
+    def asked(batch: P.Batch):
+        """A batch's tokens, and its distinct words and bigrams with the way back to the tokens."""
+        token, history, first = tokens(batch.words(lower=True))
+        words, back = np.unique(np.concatenate((token, history)), return_inverse=True)
+        keys, back_keys = np.unique(bigrams(history, token), return_inverse=True)
+        return token, history, first, words, back, keys, back_keys
 
-    def run(stream):
-        if model.uri not in _open:
-            _open.clear()
-            _open[model.uri] = Reader(model)
-        reader = _open[model.uri]
-        for rows in stream:
-            for part in P.pieces(rows, "text"):
-                data, offsets = P.utf8(part.column("text"))
-                got = reader.score(P.Words(data, offsets, lower=True))
-                n = got["n_tokens"].astype(np.int64)
-                yield pa.RecordBatch.from_arrays(
-                    [part.column("doc_id"), pa.array(n), pa.array(got["n_known"].astype(np.int64)), pa.array(np.full(len(n), model.total, np.int64)), pa.array(got["base_score"]), pa.array(got["score"]), pa.array(10 ** (-got["score"] / np.maximum(n, 1)))],
+    def ask(stream):
+        for table in stream:
+            for batch in P.batches(table):
+                _, _, _, words, _, keys, _ = asked(batch)
+                w, k = P.bucket_cuts(words, buckets), P.bucket_cuts(keys, buckets)
+                both = np.flatnonzero(np.diff(w) + np.diff(k))
+                rows = [{"bucket": int(b), "batch": batch.batch, "words": P.pack_sorted(words[w[b] : w[b + 1]]), "bigrams": P.pack_sorted(keys[k[b] : k[b + 1]])} for b in both]
+                yield pa.RecordBatch.from_pylist(rows, schema=_ASK_ARROW)
+
+    def tell(table: pa.Table) -> pa.Table:
+        rows = table.to_pylist()
+        arrays, out = Bucket(model, rows[0]["bucket"]), []
+        for r in rows:
+            words, keys = arrays.word_counts(P.unpack_sorted(r["words"])), arrays.bigram_counts(P.unpack_sorted(r["bigrams"]))
+            out.append({"batch": r["batch"], "bucket": r["bucket"], "words": P.pack_counts(words) if len(words) else b"", "bigrams": P.pack_counts(keys) if len(keys) else b""})
+        return pa.Table.from_pylist(out, schema=_TOLD_ARROW)
+
+    def finish(left: pa.Table, right: pa.Table) -> pa.Table:
+        tables = []
+        for batch in P.batches(left):
+            token, history, first, words, back, keys, back_keys = asked(batch)
+            w, k = P.bucket_cuts(words, buckets), P.bucket_cuts(keys, buckets)
+            record, c = np.zeros((len(words), len(_COUNTS)), np.int64), np.zeros(len(keys), np.int64)
+            for r in right.to_pylist():
+                b = r["bucket"]
+                if r["words"]:
+                    record[w[b] : w[b + 1]] = P.unpack_counts(r["words"], w[b + 1] - w[b], len(_COUNTS))
+                if r["bigrams"]:
+                    c[k[b] : k[b + 1]] = P.unpack_counts(r["bigrams"], k[b + 1] - k[b], 1)[:, 0]
+            got = _score(model, token, history, first, record, back[: len(token)], back[len(token) :], c[back_keys])
+            n = got["n_tokens"].astype(np.int64)
+            tables.append(
+                pa.table(
+                    [batch.id_column(), pa.array(n), pa.array(got["n_known"].astype(np.int64)), pa.array(np.full(len(n), model.total, np.int64)), pa.array(got["base_score"]), pa.array(got["score"]), pa.array(10 ** (-got["score"] / np.maximum(n, 1)))],
                     names=["doc_id", "n_tokens", "n_known", "train_tokens", "base_score", "score", "perplexity"],
                 )
+            )
+        return pa.concat_tables(tables)
 
-    slim = docs.select(F.col(f"`{doc_id}`").cast("long").alias("doc_id"), F.col(f"`{text}`").cast("string").alias("text"))
-    return slim.mapInArrow(run, "doc_id long, n_tokens long, n_known long, train_tokens long, base_score double, score double, perplexity double")
+    told = packed.mapInArrow(ask, _ASK).groupBy("bucket").applyInArrow(tell, _TOLD)
+    return packed.groupBy("batch").cogroup(told.groupBy("batch")).applyInArrow(finish, RESULT)

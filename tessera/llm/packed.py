@@ -14,6 +14,7 @@ landing in one task.
 
 from __future__ import annotations
 
+import contextlib
 import ctypes
 import uuid
 
@@ -72,6 +73,18 @@ def saved(df: DataFrame, uri: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(uri)
 
 
+@contextlib.contextmanager
+def fleeting_shuffles(spark: SparkSession):
+    """Frames made and run inside drop their shuffle files when their action ends."""
+    name = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+    before = spark.conf.get(name, None)
+    spark.conf.set(name, "true")
+    try:
+        yield
+    finally:
+        spark.conf.set(name, before) if before is not None else spark.conf.unset(name)
+
+
 def discard(spark: SparkSession, uri: str) -> None:
     """Remove a folder that nothing will read again."""
     path = spark._jvm.org.apache.hadoop.fs.Path(uri)
@@ -240,6 +253,27 @@ def unpack_sorted(data: bytes) -> np.ndarray:
     return np.cumsum(gaps, dtype=U64)
 
 
+def pack_counts(values: np.ndarray) -> bytes:
+    """Columns of numbers of at least 0 as byte planes, each column with as many as its largest needs."""
+    out = []
+    for column in values.astype("<u8").reshape(len(values), -1).T:
+        planes = np.ascontiguousarray(column).view(np.uint8).reshape(-1, 8).T
+        used = (int(column.max()).bit_length() + 7) // 8 if len(column) else 0
+        out += [bytes([used]), np.ascontiguousarray(planes[:used]).tobytes()]
+    return b"".join(out)
+
+
+def unpack_counts(data: bytes, n: int, columns: int) -> np.ndarray:
+    """The inverse of pack_counts, as n rows of signed numbers."""
+    out, at = np.zeros((n, columns), np.int64), 0
+    for c in range(columns):
+        used, at = data[at], at + 1
+        wide = np.zeros((n, 8), np.uint8)
+        wide[:, :used] = np.frombuffer(data, np.uint8, used * n, at).reshape(used, n).T
+        out[:, c], at = wide.view("<i8")[:, 0], at + used * n
+    return out
+
+
 def pack_bits(flags: np.ndarray) -> bytes:
     return np.packbits(flags).tobytes()
 

@@ -1,13 +1,16 @@
 """The model against a plain dictionary version; probabilities add up to one."""
 
 import math
+import os
 import random
 import zlib
 from collections import Counter, defaultdict
 
+import numpy as np
 import pytest
 
 from tessera.llm import lm
+from tessera.llm import packed as P
 
 HELD = "crc32(cast(doc_id AS string)) % 7 <> 2"
 
@@ -97,3 +100,25 @@ def test_nothing_to_learn(spark):
 
 def test_documents(spark, sf):
     check(spark, [(r.doc_id, r.text, r.source) for r in spark.read.parquet(f"{sf}/documents.parquet").collect()], "doc_id long, text string, n_tokens string")
+
+
+def test_missing_and_short_arrays_raise(spark):
+    """A worker that cannot see an array fails; it does not take its words for unseen."""
+    model = lm.train(spark.createDataFrame([(1, "a b c a b")], "doc_id long, text string"))
+    bucket = next(b for b, n in model.lengths.items() if n[0])
+    lm.Bucket(model, bucket)
+    path = f"{lm.Store(model.uri).local}/word-{bucket}"
+    whole = open(path, "rb").read()
+    with open(path, "ab") as file:
+        file.write(whole[:48])
+    with pytest.raises(RuntimeError):
+        lm.Bucket(model, bucket)
+    os.unlink(path)
+    with pytest.raises(FileNotFoundError):
+        lm.Bucket(model, bucket)
+
+
+def test_counts_past_32_bits():
+    values = np.array([[1, 0], [1 << 40, 3], [5_000_000_000, 255]])
+    assert (P.unpack_counts(P.pack_counts(values), 3, 2) == values).all()
+    assert lm.WORD["c"].itemsize == 8
