@@ -141,9 +141,12 @@ class GrayIndex:
         return FAN ** (len(self.nodes) - 1 - depth)
 
 
-def link(values: np.ndarray, lead: int, distance: int, block: int = 1024, most: int = 1 << 21) -> np.ndarray:
-    """Component labels (indices) of Gray-sorted distinct values under links within the distance
-    that agree on the leading bits; pairs that do not are another table's."""
+def link(values: np.ndarray, lead: int, distance: int, accept=None, block: int = 1024, most: int = 1 << 21) -> np.ndarray:
+    """Component labels (indices) of Gray-sorted values under links within the distance
+    that agree on the leading bits; pairs that do not are another table's.
+
+    With ``accept``, a function of two index arrays, only the pairs that it takes are links.
+    """
     n = len(values)
     label = np.arange(n)
     index = GrayIndex(values)
@@ -162,7 +165,7 @@ def link(values: np.ndarray, lead: int, distance: int, block: int = 1024, most:
             out.append(np.where(low == high, low, -1))
         uniform.extend(reversed(out))
 
-    a, b = _near_groups(index, distance)
+    a, b = _near_groups(index, distance) if accept is None else ((), ())
     if len(a):
         label = _forest(n, a, b, label)
     refresh()
@@ -186,7 +189,12 @@ def link(values: np.ndarray, lead: int, distance: int, block: int = 1024, most:
             keep = (acc <= distance) & (diff & leading == 0)
             q, node, acc = q[keep], node[keep], acc[keep]
             whole = (acc + free[node] <= distance) & (node * size > q)
-            if whole.any():  # every leaf is near, and so near to the others
+            if accept is not None:
+                if depth == deepest and len(q):
+                    taken = accept(q, node)
+                    found_a.append(q[taken])
+                    found_b.append(node[taken])
+            elif whole.any():  # every leaf is near, and so near to the others
                 first = node[whole] * size
                 found_a.append(q[whole])
                 found_b.append(first)
@@ -262,6 +270,74 @@ def links(fps: DataFrame, distance: int = 3, blocks: int | None = None, fp: str
     return distinct.mapInArrow(deal, "slot int, fps binary").groupBy("slot").applyInArrow(search, "a long, b long")
 
 
+def word_links(sketches: DataFrame, key: str, sketch: str, words: int, limit: int, distance: int = 3, blocks: int = 4) -> DataFrame:
+    """(a, b): a spanning forest of the keys whose sketches are alike.
+
+    A sketch is ``words`` fingerprints of 32 bits.  Two are alike if some fingerprint of theirs is
+    within the distance, found by the Gray-order index of that fingerprint, and the first 128
+    bits of the sketches differ in at most ``limit``.  Every fingerprint has a table for each
+    choice of blocks; a table's row takes 28 bytes.
+    """
+    spark = sketches.sparkSession
+    widths = [32 // blocks] * blocks
+    tables = [(w, chosen) for w in range(words) for chosen in combinations(range(blocks), blocks - distance)]
+    buckets = max(4, P.partitions(spark) // 2)
+    schema = pa.schema([("slot", pa.int32()), ("names", pa.binary()), ("prints", pa.binary()), ("checks", pa.binary())])
+
+    def dealt(names: np.ndarray, bits: np.ndarray) -> pa.RecordBatch:
+        out: dict[str, list] = {n: [] for n in schema.names}
+        checks = bits.view("<u8")[:, :2]
+        for t, (w, chosen) in enumerate(tables):
+            value = bits[:, w].astype(U64)
+            lead, width = arrange(value, widths, chosen)
+            b = P.bucket_of(P.mix((lead >> U64(32 - width)) + U64(1)), buckets)
+            order = np.argsort(b, kind="stable")
+            cuts = np.searchsorted(b[order], np.arange(buckets + 1, dtype=U64))
+            for k in np.flatnonzero(np.diff(cuts)):
+                mine = order[cuts[k] : cuts[k + 1]]
+                for name, value in (("slot", t * buckets + int(k)), ("names", names[mine].tobytes()), ("prints", bits[mine, w].tobytes()), ("checks", checks[mine].tobytes())):
+                    out[name].append(value)
+        return pa.RecordBatch.from_pydict(out, schema=schema)
+
+    def deal(stream):
+        held, n = [], 0
+        for rows in stream:
+            held.append(rows)
+            n += rows.num_rows
+            if n >= 1 << 16:
+                yield dealt(*_sketch_arrays(held))
+                held, n = [], 0
+        if n:
+            yield dealt(*_sketch_arrays(held))
+
+    def search(table: pa.Table) -> pa.Table:
+        _, chosen = tables[table.column("slot")[0].as_py() // buckets]
+        names = np.frombuffer(b"".join(table.column("names").to_pylist()), "<i8")
+        prints = np.frombuffer(b"".join(table.column("prints").to_pylist()), "<u4").astype(U64)
+        checks = np.frombuffer(b"".join(table.column("checks").to_pylist()), "<u8").reshape(-1, 2)
+        value, lead = arrange(prints, widths, chosen)
+        value <<= U64(32)
+        order = np.lexsort((names, gray_rank(value)))
+        names, checks = names[order], checks[order]
+
+        def accept(a, b):
+            return np.bitwise_count(checks[a] ^ checks[b]).sum(axis=1, dtype=np.int64) <= limit
+
+        label = link(value[order], lead, distance, accept)
+        at = np.flatnonzero(label != np.arange(len(label)))
+        return pa.table({"a": pa.array(names[at], pa.int64()), "b": pa.array(names[label[at]], pa.int64())})
+
+    slim = sketches.select(F.col(key).alias("name"), F.col(sketch).alias("bits"))
+    return slim.mapInArrow(deal, "slot int, names binary, prints binary, checks binary").groupBy("slot").applyInArrow(search, "a long, b long").distinct()
+
+
+def _sketch_arrays(batches: list[pa.RecordBatch]) -> tuple[np.ndarray, np.ndarray]:
+    """Names, and a row of 32-bit fingerprints for each."""
+    table = pa.Table.from_batches(batches)
+    bits = np.frombuffer(b"".join(table.column("bits").to_pylist()), "<u4").reshape(table.num_rows, -1)
+    return table.column("name").to_numpy(), bits
+
+
 def near_duplicates(docs: DataFrame, distance: int = 3, shingle: int = 3, text: str = "text", doc_id: str = "doc_id") -> DataFrame:
     """(doc_id, fp, component_id): the smallest doc_id that links reach from each document."""
     P.ensure_checkpoint_dir(docs.sparkSession)
