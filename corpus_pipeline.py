@@ -7,13 +7,11 @@ columns of documents.  ``run`` writes each stage's rows as Parquet in the shared
 
 from __future__ import annotations
 
-import uuid
-
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tessera.llm import bpe, decontam, jaccard, lines, packed, quality
+from tessera.llm import bpe, decontam, lines, packed, quality, similar
 
 RANKS = "byte_bpe_multi_50k.tiktoken"
 
@@ -32,10 +30,8 @@ def line_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The document of least id of each component of five-word similarity 0.8 or more; rows without an id stay."""
-    found = jaccard.near_duplicates(docs, percent=80, words=5)
-    gone = found.where("doc_id <> component_id").select("doc_id").distinct()
-    return docs.join(gone, "doc_id", "left_anti").select(*docs.columns)
+    """One row of each group of five-word similarity 0.8 or more, found through SimHash fingerprints and verified."""
+    return similar.drop_similar(docs, percent=80, words=5)
 
 
 def decontaminate(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -66,7 +62,7 @@ ORACLE_SQL = None
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All stages over documents."""
-    folder = f"{packed.ensure_checkpoint_dir(spark)}/pipeline-{uuid.uuid4().hex}"
+    folder = packed.scratch(spark, "pipeline")
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
     for name, stage in STAGES[:-1]:
         stage(spark, docs, sf_dir).write.parquet(f"{folder}/{name}")
