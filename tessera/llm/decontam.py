@@ -200,7 +200,7 @@ def with_leaks(docs: DataFrame, benchmark: DataFrame, edit_rate: float = 0.1, te
     items = benchmark.select(F.col(f"`{item_id}`").cast("long").alias("id"), F.col(f"`{item_text}`").cast("string").alias("text"))
     chars = items.agg(F.sum(F.length("text"))).first()[0] or 0
     blocks = max(1, -(-chars // BLOCK_CHARS))
-    names = [into] + [free_name(docs, f"{into}_{b}") for b in range(1, blocks)]
+    names = [into] + [P.free_name(docs, f"{into}_{b}") for b in range(1, blocks)]
     out = docs
     for b, name in enumerate(names):
         block = items if blocks == 1 else items.where(F.pmod(F.xxhash64("id", "text"), F.lit(blocks)) == b)
@@ -211,14 +211,6 @@ def with_leaks(docs: DataFrame, benchmark: DataFrame, edit_rate: float = 0.1, te
     return out
 
 
-def free_name(df: DataFrame, name: str) -> str:
-    """The name, lengthened until no column has it in whatever case."""
-    taken = {c.lower() for c in df.columns}
-    while name.lower() in taken:
-        name += "_"
-    return name
-
-
 _indexes: dict[int, Index] = {}
 
 

@@ -342,6 +342,14 @@ def position(df: DataFrame, column: str) -> int:
     return [c.lower() for c in df.columns].index(column.lower())
 
 
+def free_name(df: DataFrame, name: str) -> str:
+    """The name, lengthened until no column has it in whatever case."""
+    taken = {c.lower() for c in df.columns}
+    while name.lower() in taken:
+        name += "_"
+    return name
+
+
 def add_columns(df: DataFrame, source: str, added: list[tuple[str, T.DataType]], make, limit: int | None = None) -> DataFrame:
     """df with the columns ``added``, which ``make`` gives as arrays for an array of column ``source``.
 

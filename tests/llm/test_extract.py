@@ -1,8 +1,10 @@
 """Extraction on hand-made pages; the cut by enumeration."""
 
 import random
+import time
 from itertools import product
 
+import labelled_pages
 import pytest
 
 from tessera.llm import extract as X
@@ -70,3 +72,56 @@ def test_table(spark):
     text = "\n\n".join(CASES["plain"][1])
     assert got == sorted([(1, text), (1, text), (2, ""), (None, "")], key=str)
     assert X.with_text(df.limit(0)).collect() == []
+
+
+def _errors(seeds):
+    """(blocks, errors of the score's sign, errors of the cut, blocks that the cut changes) of the labelled pages."""
+    n = sign = cut = changed = 0
+    for _, given, wanted in labelled_pages.pages(seeds):
+        blocks = X.blocks_of(given)
+        assert wanted <= {b.text for b in blocks}
+        scores = X.scores_of(blocks)
+        for b, z, k in zip(blocks, scores, X.min_cut(scores, X.edges_of(blocks))):
+            truth = b.text in wanted
+            n, sign, cut, changed = n + 1, sign + ((z > 0) != truth), cut + (k != truth), changed + ((z > 0) != k)
+    return n, sign, cut, changed
+
+
+def test_weights_are_those_fitted():
+    made = X.fit([(p, c) for _, p, c in labelled_pages.pages(range(20))])
+    assert made.round(2).tolist() == pytest.approx(list(X.WEIGHTS), abs=0.011)
+
+
+def test_cut_decides():
+    """On pages that were not fitted the cut changes labels, and mends most errors of the classifier's sign."""
+    n, sign, cut, changed = _errors(range(100, 115))
+    assert sign > 100 and changed > 100
+    assert cut < sign / 3
+    assert cut < 0.01 * n
+
+
+def test_linear_in_markup():
+    began = time.time()
+    for given in ("<div>" * 20000 + "</section>" * 20000, "<u><div>" + "<i>" * 20000 + "</u>" * 20000, "<b>" * 20000 + "<div>x</div>" * 5000, "<p>" + "<div><span>" * 10000 + "</p>" * 10000, "<li>x" * 20000):
+        X.extract(given)
+    assert time.time() - began < 15
+    began = time.time()
+    X.extract("<div>" * 20000 + "</section>" * 20000)
+    assert time.time() - began < 0.5
+
+
+def test_very_deep_pages_lose_no_text():
+    text = "A sentence that is long enough for the article of this page, and it ends here."
+    assert X.extract("<div>" * 3000 + f"<p>{text}</p>" + "</div>" * 3000 + f"<p>{text}</p>") == [text, text]
+
+
+def test_very_long_page():
+    body = "".join(f"<p>{LONG} {i}.</p><p>Yes.</p>" for i in range(5000))
+    assert len(X.extract(page(f"<nav><a href=x>y</a></nav><article>{body}</article>"))) == 10000
+
+
+def test_output_replaces_clashing_column(spark):
+    df = spark.createDataFrame([(1, CASES["plain"][0], "old", "made0")], "c0 long, html string, MAIN_TEXT string, made0 string")
+    out = X.with_text(df)
+    assert out.columns == ["c0", "html", "made0", "main_text"]
+    assert tuple(out.first())[2:] == ("made0", "\n\n".join(CASES["plain"][1]))
