@@ -18,7 +18,8 @@ RANKS = "byte_bpe_multi_50k.tiktoken"
 
 def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that pass the rules and whose host does."""
-    return quality.judge(docs, into="__quality").where("__quality.kept").drop("__quality")
+    name = packed.free_name(docs, "quality")
+    return quality.judge(docs, into=name).where(F.col(f"`{name}`.kept")).drop(name)
 
 
 def line_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -37,7 +38,8 @@ def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 def decontaminate(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that hold no benchmark passage."""
     benchmark = spark.read.parquet(f"{sf_dir}/benchmark.parquet")
-    return decontam.with_leaks(docs, benchmark, into="__leaks").where(F.size("__leaks") == 0).drop("__leaks")
+    name = packed.free_name(docs, "leaks")
+    return decontam.with_leaks(docs, benchmark, into=name).where(F.size(name) == 0).drop(name)
 
 
 def tokens(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
