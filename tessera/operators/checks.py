@@ -32,7 +32,7 @@ def flatten_reach(df: DataFrame, root: str, hops: str) -> DataFrame:
 def call_path_text(df: DataFrame, keys: list[str], caller: str, hinted: str, node: str) -> DataFrame:
     """(keys, text): 'caller -> node', a hinted caller preferred, else the least."""
     best = df.groupBy(*keys, node).agg(F.min_by(caller, F.struct((~F.col(hinted)).alias("h"), F.col(caller))).alias("c"))
-    return best.select(*keys, F.when(F.col("c").isNull(), F.col(node)).otherwise(F.concat_ws(" -> ", "c", node)).alias("text"))
+    return best.select(*keys, F.when(F.col("c").isNull(), F.col(node).cast("string")).otherwise(F.concat_ws(" -> ", "c", node)).alias("text"))
 
 
 def near_misses(types: DataFrame, key: str, up: str, down: str, most: int = 3) -> DataFrame:

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import scalars as S
@@ -67,7 +67,7 @@ def repair_lines(df: DataFrame, lines: DataFrame, key: str) -> DataFrame:
     stop = ["mock", "heuristic", "matched", "pattern", "near", "changed", "code"]
     words = F.regexp_extract_all(F.concat_ws(" ", "title", "evidence"), F.lit("[A-Za-z_][A-Za-z0-9_]{2,}"), 0)
     needles = bad.select(key, "file", F.explode(F.slice(F.filter(F.transform(words, F.lower), lambda w: ~w.isin(*stop)), 1, 8)).alias("w")).distinct()
-    # tokens of a line are matched by equality after splitting, then any containment is confirmed per row
+    # the few bad rows meet their own file's lines; a token counts where a line contains it
     found = needles.join(lines, "file").where(F.contains(F.lower("line"), F.col("w"))).groupBy(key).agg(F.min("line_no").alias("__new"))
     fixed = bad.select(key).distinct().join(found, key, "left").select(key, F.coalesce("__new", F.lit(1)).alias("__line"))
     return df.join(fixed, key, "left").withColumn("line", F.coalesce("__line", "line").cast("int")).drop("__line")
@@ -95,8 +95,8 @@ def merge(scanner: DataFrame, reviewer: DataFrame, dismissals: DataFrame | None
     """Cross-merge of scanner and reviewer findings, each with a stable ``pos``.
 
     A scanner row takes the first free compatible reviewer row, greedily in order; the pairing
-    never crosses files.  Candidate pairs come from a band join; the greedy choice folds over a
-    file's candidates.  Both sides and the pairing are checkpointed, as each is read three times.  Ambiguous scanner rows near a dismissal go; clear ones are immune.  Then
+    never crosses files.  Candidate pairs come from a band join; the greedy choice folds over the
+    candidates of a piece of a file, pieces being cut where no pair crosses.  Both sides and the pairing are checkpointed, as each is read three times.  Ambiguous scanner rows near a dismissal go; clear ones are immune.  Then
     near duplicates fold, and each row gets its dimension.
     """
     checkpoint_dir(scanner.sparkSession)
@@ -111,7 +111,14 @@ def merge(scanner: DataFrame, reviewer: DataFrame, dismissals: DataFrame | None
 
     near = J.band_join(s.select("file", F.col("pos").alias("sp"), F.col("line").alias("sl"), "vuln", "category"), l.select("file", F.col("pos").alias("lp"), F.col("line").alias("ll"), F.col("vuln").alias("lv"), F.col("category").alias("lcat")), ["file"], "sl", "ll", window)
     pair = near.select("file", F.struct("sp", F.col("sl").alias("line"), "vuln", "category").alias("s"), F.struct("lp", F.col("ll").alias("line"), F.col("lv").alias("vuln"), F.col("lcat").alias("category")).alias("l")).where(_compatible(window))
-    lists = pair.groupBy("file").agg(F.array_sort(F.collect_list(F.struct(F.col("s.sp").alias("sp"), F.col("l.lp").alias("lp")))).alias("c"))
+    # pairs whose lines do not overlap share no row: a file is cut between them
+    low, high = F.least("s.line", "l.line"), F.greatest("s.line", "l.line")
+    w = Window.partitionBy("file").orderBy("__low")
+    opens = F.coalesce(F.col("__low") > F.max("__high").over(w.rangeBetween(Window.unboundedPreceding, -1)), F.lit(False))
+    pair = pair.withColumns({"__low": low, "__high": high}).withColumn("__opens", opens.cast("int"))
+    at = pair.select("file", "__low", "__opens").distinct().withColumn("__piece", F.sum("__opens").over(w))
+    pair = pair.join(at.select("file", "__low", "__piece"), ["file", "__low"])
+    lists = pair.groupBy("file", "__piece").agg(F.array_sort(F.collect_list(F.struct(F.col("s.sp").alias("sp"), F.col("l.lp").alias("lp")))).alias("c"))
 
     def step(acc, x):
         free = ~F.exists(acc, lambda y: (y["sp"] == x["sp"]) | (y["lp"] == x["lp"]))
@@ -163,13 +170,14 @@ def merge_candidates(baseline: DataFrame, candidates: DataFrame, ledger: DataFra
 
 
 def normalise_reply(df: DataFrame, scanner: str, payload: str) -> DataFrame:
-    """Findings from a scanner's JSON reply: semgrep, bandit, gosec, osv, npm, ruff, gitleaks."""
+    """Findings from a scanner's JSON reply: semgrep, bandit, gosec, osv, npm, ruff, eslint, gitleaks."""
     shapes = {
         "semgrep": ("struct<results: array<struct<path: string, start: struct<line: int>, check_id: string, extra: struct<severity: string, message: string>>>>", "r.results", "x.path", "x.start.line", "x.check_id", "x.extra.message", {"ERROR": "P1", "WARNING": "P2", "INFO": "P3"}, "x.extra.severity", 40),
         "bandit": ("struct<results: array<struct<filename: string, line_number: int, test_id: string, issue_text: string, issue_severity: string>>>", "r.results", "x.filename", "x.line_number", "x.test_id", "x.issue_text", {"HIGH": "P1", "MEDIUM": "P2", "LOW": "P3"}, "x.issue_severity", 30),
         "gosec": ("struct<Issues: array<struct<file: string, line: string, rule_id: string, details: string, severity: string>>>", "r.Issues", "x.file", "x.line", "x.rule_id", "x.details", {"HIGH": "P1", "MEDIUM": "P2", "LOW": "P3"}, "x.severity", 30),
         "npm": ("struct<vulnerabilities: map<string, struct<severity: string, name: string>>>", "map_values(r.vulnerabilities)", "'package.json'", "1", "x.name", "x.name", {"critical": "P0", "high": "P1", "moderate": "P2"}, "x.severity", 0),
         "ruff": ("struct<results: array<struct<filename: string, location: struct<row: int>, code: string, message: string>>>", "r.results", "x.filename", "x.location.row", "x.code", "x.message", {}, "'P3'", 0),
+        "eslint": ("struct<results: array<struct<filePath: string, messages: array<struct<line: int, ruleId: string, message: string, severity: int>>>>>", "flatten(transform(r.results, f -> transform(f.messages, m -> named_struct('path', f.filePath, 'line', m.line, 'rule', m.ruleId, 'text', m.message, 'grade', cast(m.severity AS string)))))", "x.path", "x.line", "x.rule", "x.text", {"2": "P2", "1": "P3"}, "x.grade", 0),
         "gitleaks": ("struct<results: array<struct<File: string, StartLine: int, RuleID: string, Description: string>>>", "r.results", "x.File", "x.StartLine", "x.RuleID", "x.Description", {}, "'P0'", 0),
         "osv": ("struct<results: array<struct<source: struct<path: string>, packages: array<struct<package: struct<name: string>, vulnerabilities: array<struct<id: string, summary: string>>>>>>>", "flatten(transform(r.results, f -> flatten(transform(f.packages, p -> transform(p.vulnerabilities, v -> named_struct('path', f.source.path, 'id', v.id, 'summary', v.summary))))))", "x.path", "1", "x.id", "x.summary", {}, "'P1'", 20),
     }

@@ -169,10 +169,10 @@ def classify(df: DataFrame, key: str, text: str, votes: list[tuple[str, int, str
     """(key, label, score, outcome): weighted pattern votes per label, the best by score then name.
 
     none where nothing votes, conflict where the next is within ``close``, else clear.  A vote
-    preceded by a negation within eight characters does not count.
+    preceded by a negation word within eight characters does not count.
     """
     low = F.lower(F.coalesce(text, F.lit("")))
-    made = F.array(*(F.struct(F.lit(label).alias("label"), F.when(low.rlike(f"(?<!(?:not|no|never|don't|without) .{{0,8}})(?:{p})"), w).otherwise(0).alias("score")) for label, w, p in votes))
+    made = F.array(*(F.struct(F.lit(label).alias("label"), F.when(low.rlike(f"(?<!\\b(?:not|no|never|cannot|can't|don't|without) .{{0,8}})(?:{p})"), w).otherwise(0).alias("score")) for label, w, p in votes))
     rows = df.select(key, F.explode(made).alias("v")).groupBy(key, "v.label").agg(F.sum("v.score").alias("score"))
     ranked = rows.groupBy(key).agg(F.array_sort(F.collect_list(F.struct((-F.col("score")).alias("s"), "label"))).alias("r"))
     first, second = F.col("r")[0], F.try_element_at("r", F.lit(2))

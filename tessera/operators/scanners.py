@@ -71,14 +71,14 @@ DETERMINISTIC = [
     Rule("TEN-004", "tenant_context_dropped", r"(?i)\b(?:submit|runAsync|supplyAsync|execute|create_task)\s*\(", "P1", "tenant", near_has=r"(?i)(?:order|user|account)_?id", near_not=r"(?i)tenant[\s\S]*actor[\s\S]*trace", after=8),
     Rule("TEN-005", "tenant_id_only_lookup", r"(?i)\.(?:findById|getById|load)\(\s*\w+\s*\)", "P0", "tenant", method_has=r"(?i)\b(?:refund|revers)\w*\s*\(", method_not=r"(?i)tenant"),
     Rule("POOL-001", "unpooled_connection", r"DriverManager\.getConnection\(|psycopg2\.connect\(|sqlite3\.connect\(", "P2", "resource"),
-    Rule("RES-002", "executor_not_shutdown", r"Executors\.new\w+\(|ThreadPoolExecutor\(", "P2", "resource", file_not=r"\.shutdown(?:Now)?\(|\bwith\s+ThreadPoolExecutor"),
+    Rule("RES-001", "executor_not_shutdown", r"Executors\.new\w+\(|ThreadPoolExecutor\(", "P2", "resource", file_not=r"\.shutdown(?:Now)?\(|\bwith\s+ThreadPoolExecutor"),
     Rule("ENV-001", "env_config_gap", r"https?://[\w.-]*\b(?:dev|test|staging|prod)\b[\w./-]*", "P2", "config", file_not=r"getenv|environ|@Value|System\.getProperty|process\.env"),
     Rule("LOG-001", "uncontrolled_log_sink", r"System\.out\.print|\bprint\(|console\.log\(", "P3", "observability", method_has=r"(?i)\b(?:log|info|warn|error|debug)\w*\s*\([^)]*\)\s*[:{]", method_not=r"(?i)logger\.|logging\."),
     Rule("ERR-002", "error_payload_candidate", r"(?i)\b(?:reject|fail)\w*\s*\(\s*\w+\s+\w+\s*\)\s*\{|def (?:reject|fail)\w*\(\s*\w+\s*\)", "P3", "suspect", method_not=r"(?i)message|trace"),
     Rule("OPQ-001", "opaque_status_candidate", r"(?i)status\w*(?:\(\))?\s*(?:==|\.equals\()\s*[\"']\w[\"']", "P3", "suspect"),
     Rule("BND-001", "disabled_bound", r"(?i)set\w*timeout\w*\s*\(\s*(?:0|-1|\w*MAX_VALUE)|timeout\s*=\s*(?:0|-1|None)\b", "P1", "resilience"),
     Rule("BIZ-001", "retry_side_effect", r"(?i)\b(?:save|insert|send|notify|charge|publish)\w*\s*\(", "P1", "logic", near_has=r"(?i)\b(?:for|while)\b[\s\S]*(?:retry|attempt)", near_not=r"(?i)idempoten", before=15),
-    Rule("NULL-002", "unguarded_parse", r"(?:Integer\.parseInt|Long\.parseLong|new BigDecimal|UUID\.fromString|\bint)\(\s*(?:req|request|params?|args?)[\w.\[\]()\"']*", "P2", "logic", near_not=r"[!=]= ?null|isBlank|isEmpty|try\b|is None|\bif\b", before=4),
+    Rule("NULL-001", "unguarded_parse", r"(?:Integer\.parseInt|Long\.parseLong|new BigDecimal|UUID\.fromString|\bint)\(\s*(?:req|request|params?|args?)[\w.\[\]()\"']*", "P2", "logic", near_not=r"[!=]= ?null|isBlank|isEmpty|try\b|is None|\bif\b", before=4),
     Rule("CONC-003", "shared_mutable", r"\bstatic\b(?!.*\bfinal\b).*\b(?:HashMap|ArrayList|HashSet|SimpleDateFormat)\b|\bstatic\b.*\bSimpleDateFormat\b", "P1", "concurrency"),
     Rule("GLOB-001", "process_default_write", r"TimeZone\.setDefault|Locale\.setDefault|System\.setProperty\(|os\.environ\[[^\]]+\]\s*=|socket\.setdefaulttimeout", "P1", "config"),
     Rule("LIT-001", "decision_literal", r"(?i)\b(?:timeout|fee|limit|rate)\w*\s*(?:[<>]=?|\*|=)\s*\d+(?:\.\d+)?\b", "P3", "config", path_not=r"(?i)(?:^|/)tests?/|Test\.\w+$|_test\.\w+$", method_has=r"\S"),
@@ -240,6 +240,56 @@ def duplicate_methods(metrics: DataFrame, least_loc: int = 3) -> DataFrame:
     return big.join(again, "body_hash").select("path", "method_line", "loc", "n")
 
 
+def metric_findings(metrics: DataFrame, most_loc: int = 80, most_decisions: int = 10, worst_decisions: int = 20) -> DataFrame:
+    """(path, method_line, rule_id, severity, value): long methods, branching ones and repeated bodies, past the thresholds."""
+    again = duplicate_methods(metrics).select("path", "method_line", F.lit("MET-DUP").alias("rule_id"), F.lit("P3").alias("severity"), F.col("n").cast("long").alias("value"))
+    long_ = metrics.where(F.col("loc") > most_loc).select("path", "method_line", F.lit("MET-LOC"), F.lit("P3"), F.col("loc").cast("long"))
+    branching = metrics.where(F.col("decisions") + 1 > most_decisions).select("path", "method_line", F.lit("MET-CCN"), F.when(F.col("decisions") + 1 > worst_decisions, "P1").otherwise("P2"), (F.col("decisions") + 1).cast("long"))
+    return again.unionAll(long_).unionAll(branching)
+
+
+def loop_scopes(lines: DataFrame) -> DataFrame:
+    """lines with ``loop_line``: the header of the innermost loop whose braces hold the line, 0 outside of loops.
+
+    Depths are running sums of braces.  A loop holds the lines after its header until the depth
+    falls back to the header's; the fold over a file's lines keeps a stack of open loops.
+    """
+    opens, closes = (F.length("code") - F.length(F.replace("code", F.lit(b), F.lit(""))) for b in "{}")
+    head = F.col("code").rlike(r"^\s*(?:for|while)\b|^\s*do\b|\.forEach\s*\(")
+    slim = lines.groupBy("path").agg(F.array_sort(F.collect_list(F.struct("line_no", head.alias("head"), opens.alias("o"), closes.alias("c")))).alias("items"))
+    entry = "array<struct<line: int, depth: int>>"
+    zero = F.struct(F.lit(0).alias("depth"), F.array().cast(entry).alias("stack"), F.array().cast("array<int>").alias("at"))
+
+    def step(acc, x):
+        after = acc["depth"] + x["o"] - x["c"]
+        kept = F.filter(acc["stack"], lambda s: s["depth"] < acc["depth"] - F.when(x["c"] > x["o"], x["c"] - x["o"]).otherwise(0))
+        inner = F.when(F.size(kept) > 0, F.element_at(kept, -1)["line"]).otherwise(0)
+        mine = F.struct(x["line_no"].cast("int").alias("line"), acc["depth"].cast("int").alias("depth"))
+        stack = F.when(x["head"] & (x["o"] > x["c"]), F.concat(kept, F.array(mine))).otherwise(kept)
+        return F.struct(after.cast("int").alias("depth"), stack.cast(entry).alias("stack"), F.concat(acc["at"], F.array(inner.cast("int"))).alias("at"))
+
+    folded = slim.select("path", F.explode(F.arrays_zip("items", F.aggregate("items", zero, step)["at"].alias("at"))).alias("z"))
+    return lines.join(folded.select("path", F.col("z.items.line_no").alias("line_no"), F.col("z.at").alias("loop_line")), ["path", "line_no"])
+
+
+def test_inventory(df: DataFrame, path: str, text: str) -> DataFrame:
+    """(path, method_line, name, asserts, tautology, unjoined): a row for every test method, with its flags."""
+    w = Window.partitionBy("path").orderBy("line_no")
+    marked = methods(code_lines(df, path, text)).withColumn("before", F.lag("code").over(w)).where("method_line > 0")
+    flag = lambda p: F.bool_or(F.col("code").rlike(p))
+    own = F.col("line_no") == F.col("method_line")
+    per = marked.groupBy("path", "method_line").agg(
+        F.max(F.when(own, F.regexp_extract("code", r"(\w+)\s*\(", 1))).alias("name"),
+        F.bool_or(own & F.coalesce(F.col("before").rlike(r"@(?:Test|ParameterizedTest)\b"), F.lit(False))).alias("told"),
+        F.sum(F.regexp_count("code", F.lit(r"(?i)\bassert\w*|\bexpect\s*\("))).alias("asserts"),
+        flag(r"assertTrue\(\s*true\s*\)|assert True\b|assertEquals\(\s*(\w+)\s*,\s*\1\s*\)").alias("tautology"),
+        flag(r"(?i)new Thread\(|\.submit\(|threading\.Thread\(|\basync\b").alias("spawns"),
+        flag(r"(?i)\.join\(|\bawait\b|\.get\(|latch").alias("joins"),
+    )
+    tests = per.where(F.col("told") | F.col("name").rlike(r"^test|^should|Test$"))
+    return tests.select("path", "method_line", "name", "asserts", "tautology", (F.col("spawns") & ~F.col("joins")).alias("unjoined"))
+
+
 def lexicon_hits(df: DataFrame, key: str, text: str, lexicon: dict[str, list[str]]) -> DataFrame:
     """(key, category, word) distinct hits of a small lexicon."""
     low = F.lower(F.coalesce(text, F.lit("")))

@@ -66,38 +66,39 @@ def nonblank_ranges(lines: DataFrame, keys: list[str], position: str, text: str)
     return islands(lines.where(F.trim(text) != ""), keys, position)
 
 
+def _folded(df: DataFrame, key: str, order: str, number: str, zero: Column, step, name: str) -> DataFrame:
+    """df with ``name`` from a fold over each key's rows in order; rows of equal order go by the number, then by all columns."""
+    rest = [c for c in df.columns if c not in (key, order, number)]
+    items = df.groupBy(key).agg(F.array_sort(F.collect_list(F.struct(order, number, *rest))).alias("items"))
+    folded = items.select(key, F.explode(F.arrays_zip("items", F.aggregate("items", zero, step)["out"].alias("out"))).alias("z"))
+    return folded.select(*(F.col(key) if c == key else F.col(f"z.items.{c}").alias(c) for c in df.columns), F.col("z.out").alias(name))
+
+
 def pack_budget(df: DataFrame, key: str, order: str, cost: str, budget: int) -> DataFrame:
     """df with ``taken``: in order, a block is taken if it still fits; later smaller ones may fit where an earlier did not.
 
     The fold runs over an ordered array per key inside the JVM.
     """
-    items = df.groupBy(key).agg(F.array_sort(F.collect_list(F.struct(order, cost))).alias("items"))
-    zero = F.struct(F.lit(0).cast("long").alias("used"), F.array().cast("array<boolean>").alias("taken"))
+    zero = F.struct(F.lit(0).cast("long").alias("used"), F.array().cast("array<boolean>").alias("out"))
 
     def step(acc, item):
         fits = acc["used"] + item[cost].cast("long") <= budget
-        return F.struct((acc["used"] + F.when(fits, item[cost].cast("long")).otherwise(0)).alias("used"), F.concat(acc["taken"], F.array(fits)).alias("taken"))
+        return F.struct((acc["used"] + F.when(fits, item[cost].cast("long")).otherwise(0)).alias("used"), F.concat(acc["out"], F.array(fits)).alias("out"))
 
-    folded = items.select(key, "items", F.aggregate("items", zero, step).alias("f"))
-    rows = folded.select(key, F.explode(F.arrays_zip("items", F.col("f.taken").alias("taken"))).alias("z"))
-    picked = rows.select(key, F.col(f"z.items.{order}").alias(order), F.col("z.taken").alias("taken"))
-    return df.join(picked, [key, order])
+    return _folded(df, key, order, cost, zero, step, "taken")
 
 
 def next_fit(df: DataFrame, key: str, order: str, size: str, capacity: int) -> DataFrame:
     """df with ``bin`` from 0: a new bin opens when the next item does not fit."""
-    items = df.groupBy(key).agg(F.array_sort(F.collect_list(F.struct(order, size))).alias("items"))
-    zero = F.struct(F.lit(0).cast("long").alias("used"), F.lit(0).alias("bin"), F.array().cast("array<int>").alias("bins"))
+    zero = F.struct(F.lit(0).cast("long").alias("used"), F.lit(0).alias("bin"), F.array().cast("array<int>").alias("out"))
 
     def step(acc, item):
         cost = item[size].cast("long")
         opens = (acc["used"] > 0) & (acc["used"] + cost > capacity)
         number = acc["bin"] + F.when(opens, 1).otherwise(0)
-        return F.struct(F.when(opens, cost).otherwise(acc["used"] + cost).alias("used"), number.alias("bin"), F.concat(acc["bins"], F.array(number)).alias("bins"))
+        return F.struct(F.when(opens, cost).otherwise(acc["used"] + cost).alias("used"), number.alias("bin"), F.concat(acc["out"], F.array(number)).alias("out"))
 
-    folded = items.select(key, "items", F.aggregate("items", zero, step).alias("f"))
-    rows = folded.select(key, F.explode(F.arrays_zip("items", F.col("f.bins").alias("bins"))).alias("z"))
-    return df.join(rows.select(key, F.col(f"z.items.{order}").alias(order), F.col("z.bins").alias("bin")), [key, order])
+    return _folded(df, key, order, size, zero, step, "bin")
 
 
 def top_k(df: DataFrame, order: list[Column], k: int) -> DataFrame:
@@ -127,14 +128,18 @@ def proximity_fold(df: DataFrame, keys: list[str], line: str, bucket: str, sourc
     """Keep one row of near duplicates, folding in order against the last kept row.
 
     A row within ``window`` lines of the last kept row and of its bucket merges with it; the
-    stronger source (confirmed, scanner, model) stays.  The fold is per key, over an ordered
-    array in the JVM; a key is one file's findings.  ``merged`` counts the rows folded in.
+    stronger source (confirmed, scanner, model) stays.  Rows more than ``window`` lines apart
+    never merge, so a key is cut at such gaps, and the fold runs over each piece's ordered array
+    in the JVM.  ``merged`` counts the rows folded in.
     """
     rank = {"sast_confirmed": 2, "sast_only": 1}
     strength = F.when(F.col(source) == "sast_confirmed", rank["sast_confirmed"]).when(F.col(source) == "sast_only", rank["sast_only"]).otherwise(0)
     cols = [c for c in df.columns if c not in keys]
     item = F.struct(F.struct(line, *order).alias("o"), F.struct(*cols).alias("row"), strength.alias("s"), F.lit(0).alias("merged"))
-    items = df.groupBy(*keys).agg(F.array_sort(F.collect_list(item)).alias("items"))
+    w = Window.partitionBy(*keys).orderBy(line)
+    gap = F.coalesce(F.col(line) - F.lag(line).over(w) > window, F.lit(False))
+    pieces = df.withColumn("__gap", gap.cast("int")).withColumn("__piece", F.sum("__gap").over(w.rangeBetween(Window.unboundedPreceding, 0)))
+    items = pieces.groupBy(*keys, "__piece").agg(F.array_sort(F.collect_list(item)).alias("items"))
 
     def step(acc, x):
         last = F.element_at(acc, -1)

@@ -1,4 +1,4 @@
 """Importing this package registers all queries."""
 
-from . import aggregates, graphs, pipelines, relations, scalars  # noqa: F401
+from . import aggregates, cases, graphs, pipelines, relations, scalars  # noqa: F401
 from .registry import ORACLES, QUERIES  # noqa: F401

@@ -264,9 +264,9 @@ def multiset_dice(spark, sf):
     return out.withColumn("dice", F.round(dice(F.col("common"), F.col("n1"), F.col("n2")), 6))
 
 
-@query("set5_two_dot_minus_three_dot", "SELECT p_partkey FROM part WHERE p_size > 25 AND p_partkey NOT IN (SELECT l_partkey FROM lineitem WHERE l_returnflag = 'R')")
+@query("set5_two_dot_minus_three_dot", "SELECT p_partkey FROM part WHERE p_size > 25 AND p_partkey NOT IN (SELECT l_partkey FROM lineitem WHERE l_returnflag = 'R' AND l_quantity > 45)")
 def two_minus_three(spark, sf):
-    returned = table(spark, sf, "lineitem").where("l_returnflag = 'R'").select(F.col("l_partkey").alias("p_partkey"))
+    returned = table(spark, sf, "lineitem").where("l_returnflag = 'R' AND l_quantity > 45").select(F.col("l_partkey").alias("p_partkey"))
     return table(spark, sf, "part").where("p_size > 25").select("p_partkey").join(returned, "p_partkey", "left_anti")
 
 

@@ -34,7 +34,7 @@ def reach_bfs(spark, sf):
 
 @query("grf3_shortest_path", f"""
 WITH RECURSIVE {_E}, r AS (SELECT r_regionkey::BIGINT AS root, r_regionkey::BIGINT AS node, 0 AS hops FROM region UNION SELECT root, b, hops + 1 FROM r JOIN e ON a = node WHERE hops < 6),
-p AS (SELECT r_regionkey::BIGINT AS source, 1000000 + c_custkey AS target FROM region, customer WHERE c_custkey % 10 = 0)
+p AS (SELECT r_regionkey::BIGINT AS source, 1000000 + c_custkey AS target FROM region, customer)
 SELECT source, target, coalesce(min(hops), -1) AS hops FROM p LEFT JOIN r ON root = source AND node = target GROUP BY 1, 2
 """)
 def shortest_path(spark, sf):
@@ -44,9 +44,9 @@ def shortest_path(spark, sf):
 
 
 @query("grf5_components", """
-WITH RECURSIVE e AS (SELECT l_orderkey AS a, 100000000 + l_partkey AS b FROM lineitem WHERE l_quantity > 47),
-u AS (SELECT a, b FROM e UNION SELECT b, a FROM e), r AS (SELECT a AS node, a AS seen FROM u UNION SELECT r.node, u.b FROM r JOIN u ON u.a = r.seen)
-SELECT node, min(seen) AS component FROM r GROUP BY 1
+WITH RECURSIVE u AS (SELECT DISTINCT l_orderkey AS a, 100000000 + l_partkey AS b FROM lineitem), e AS (SELECT a, b FROM u UNION ALL SELECT b, a FROM u),
+r(node, component) USING KEY (node) AS (SELECT DISTINCT a, a FROM e UNION SELECT e.b, min(r.component) FROM r JOIN e ON e.a = r.node JOIN recurring.r AS t ON t.node = e.b WHERE r.component < t.component GROUP BY e.b)
+SELECT node, component FROM r
 """)
 def components(spark, sf):
     e = table(spark, sf, "lineitem").select(F.col("l_orderkey").alias("a"), (F.col("l_partkey") + 100000000).alias("b"))

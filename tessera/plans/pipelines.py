@@ -4,6 +4,7 @@ from pyspark.sql import functions as F
 
 from ..functions import scalars as S
 from ..operators import aggregates as A
+from ..operators import filters as X
 from ..operators import findings as N
 from ..operators import manifest as M
 from ..operators import scanners as C
@@ -48,17 +49,6 @@ def _code(spark, sf):
 _PARTS = "FROM part, (VALUES {}) v(line_no, rule_id, even) WHERE even IS NULL OR even = (p_size % 2 = 0)"
 
 
-@query("scn10_deterministic_rules", "SELECT p_partkey AS key, line_no, rule_id " + _PARTS.format("(3, 'LIT-001', NULL), (8, 'POOL-001', NULL), (9, 'GLOB-001', true)"))
-def deterministic_rules(spark, sf):
-    """All 24 code rules over files made from the parts; each rule is tested on a hit and a clean twin."""
-    return C.scan(_code(spark, sf), C.DETERMINISTIC, "key", "code").select(F.col("path").alias("key"), "line_no", "rule_id")
-
-
-@query("scn_signals", "SELECT p_partkey AS key, line_no, rule_id " + _PARTS.format("(10, 'RSL-001', true)"))
-def signals(spark, sf):
-    return C.scan(_code(spark, sf), C.SIGNALS, "key", "code").select(F.col("path").alias("key"), "line_no", "rule_id")
-
-
 @query("scn11_method_metrics", "SELECT p_partkey AS key, line_no AS method_line, loc, decisions FROM part, (VALUES (2, 5::BIGINT, 1::BIGINT, true), (7, 6::BIGINT, 1::BIGINT, true), (2, 5::BIGINT, 1::BIGINT, false), (7, 3::BIGINT, 0::BIGINT, false)) v(line_no, loc, decisions, even) WHERE even = (p_size % 2 = 0)")
 def method_metrics(spark, sf):
     return C.method_metrics(_code(spark, sf), "key", "code").select(F.col("path").alias("key"), "method_line", "loc", "decisions")
@@ -103,15 +93,15 @@ def exceptions(spark, sf):
     return C.parse_exceptions(rows, "id", "trace").select("id", "line_no", "cause_index", "is_primary")
 
 
-@query("scn21_sensitive_intersection", "SELECT doc_id FROM documents WHERE regexp_matches(text, '(?i)password|secret') AND doc_id IN (SELECT doc_id FROM labels WHERE quality = 1)")
+@query("scn21_sensitive_intersection", "SELECT DISTINCT doc_id FROM documents WHERE regexp_matches(text, '@|[0-9]{13}') AND doc_id IN (SELECT doc_id FROM labels WHERE quality = 1)")
 def sensitive_intersection(spark, sf):
-    hits = table(spark, sf, "documents").where(F.col("text").rlike("(?i)password|secret")).select("doc_id")
-    return hits.join(table(spark, sf, "labels").where("quality = 1"), "doc_id", "left_semi")
+    hits = C.scan(table(spark, sf, "documents"), [C.Rule("S", "sensitive", "@|[0-9]{13}")], "doc_id", "text", code=False).select(F.col("path").alias("doc_id"))
+    return X.sensitive_overlap(hits, "doc_id", table(spark, sf, "labels").where("quality = 1"))
 
 
 @query("scn4_sensitive_reuse", "SELECT doc_id FROM documents WHERE regexp_matches(text, '@') AND NOT regexp_matches(text, '(?i)licensed')")
 def sensitive_reuse(spark, sf):
-    return table(spark, sf, "documents").where(F.col("text").rlike("@") & ~F.col("text").rlike("(?i)licensed")).select("doc_id")
+    return X.sensitive_reuse(table(spark, sf, "documents"), "text", "@", "(?i)licensed").select("doc_id")
 
 
 @query("scn23_constant_read", """
@@ -153,30 +143,30 @@ def blob_map(spark, sf):
     return R.blob_map(table(spark, sf, "documents"), "doc_id", "text")
 
 
-@query("flt1_find_nodes", "SELECT p_partkey, p_name FROM part WHERE contains(p_name, 'a') AND p_size IN (1, 2, 3, 4, 5) AND p_brand LIKE 'Brand%' ORDER BY p_partkey LIMIT 20")
+@query("flt1_find_nodes", "SELECT p_partkey, p_name FROM part WHERE contains(lower(p_name), 'a') AND p_size IN (1, 2, 3, 4, 5) AND p_brand LIKE 'Brand%' ORDER BY p_partkey LIMIT 20")
 def find_nodes(spark, sf):
-    p = table(spark, sf, "part").where(F.contains("p_name", F.lit("a")) & F.col("p_size").isin(1, 2, 3, 4, 5) & F.col("p_brand").startswith("Brand"))
-    return p.select("p_partkey", "p_name").orderBy("p_partkey").limit(20)
+    return X.find_nodes(table(spark, sf, "part"), "p_name", "p_size", "a", [1, 2, 3, 4, 5], "Brand", "p_brand", ["p_partkey"], 20).select("p_partkey", "p_name")
 
 
 @query("flt2_nodes_by_tag", "SELECT event_id FROM events WHERE (props->>'$.k')::INT = 3")
 def nodes_by_tag(spark, sf):
-    return table(spark, sf, "events").where(F.from_json("props", "map<string,string>")["k"].cast("int") == 3).select("event_id")
+    return X.with_tag(table(spark, sf, "events"), "props", "k", 3).select("event_id")
 
 
-@query("flt3_list_files", "SELECT doc_id FROM documents WHERE lang = 'de' AND source = 'src3'")
+@query("flt3_list_files", "SELECT page_id FROM pages WHERE starts_with(url, 'https://') AND regexp_matches(url, '^https?://[^/]*/(en|fr)/[0-9]+[^/]*$') AND NOT regexp_matches(url, '[?]page=')")
 def list_files(spark, sf):
-    return table(spark, sf, "documents").where("lang = 'de' AND source = 'src3'").select("doc_id")
+    return X.list_files(table(spark, sf, "pages"), "url", "https://", ["http*://*/{en,fr}/[0-9]*"], ["**[?]page=*"]).select("page_id")
 
 
-@query("flt4_glob_exclude", "SELECT page_id FROM pages WHERE NOT regexp_matches(url, '^.*/en/.*$') AND NOT starts_with(url, 'https://m.')")
+@query("flt4_glob_exclude", "SELECT page_id FROM pages WHERE NOT regexp_matches(url, '/en/[^/]*$') AND NOT starts_with(url, 'https://m.')")
 def glob_exclude(spark, sf):
-    return table(spark, sf, "pages").where(~F.col("url").rlike("^.*/en/.*$") & ~F.col("url").startswith("https://m.")).select("page_id")
+    return X.list_files(table(spark, sf, "pages"), "url", excluded=["**/en/*", "https://m.**"]).select("page_id")
 
 
-@query("flt5_path_classes", "SELECT page_id, list_has_any(string_split(url, '/'), ['en', 'fr']) AS kept FROM pages")
+@query("flt5_path_classes", "SELECT p_partkey, CASE p_size % 6 WHEN 0 THEN 'dependency' WHEN 1 THEN 'generated' WHEN 2 THEN 'test' WHEN 3 THEN 'document' WHEN 4 THEN 'asset' ELSE 'source' END AS class FROM part")
 def path_classes(spark, sf):
-    return table(spark, sf, "pages").select("page_id", F.arrays_overlap(F.split("url", "/"), F.array(F.lit("en"), F.lit("fr"))).alias("kept"))
+    made = F.element_at(F.array(*map(F.lit, ["a/vendor/docs/x.md", "dist/test/y.js", "src/tests/z.md", "docs/img.png", "web/logo.svg", "src/main/run.java"])), F.col("p_size") % 6 + 1)
+    return table(spark, sf, "part").select("p_partkey", X.path_class(made).alias("class"))
 
 
 @query("flt6_allowlist", "SELECT c_custkey FROM customer WHERE c_mktsegment IN (SELECT DISTINCT c_mktsegment FROM customer WHERE c_custkey <= 2)")
@@ -257,7 +247,12 @@ def vulnerability_class(spark, sf):
     return N.vulnerability_class(_findings(spark, sf)).select("pos", "vuln")
 
 
-@query("pip1_candidates", None)
+@query("pip1_candidates", """
+WITH f AS (SELECT l_orderkey * 10 + l_linenumber AS pos, 'o' || l_orderkey AS file, l_linenumber AS line, 'part ' || l_partkey AS evidence, l_returnflag, CASE WHEN (l_orderkey * 10 + l_linenumber) % 7 > 0 THEN 'R' || ((l_orderkey * 10 + l_linenumber) % 3) END AS rule_id FROM lineitem),
+g AS (SELECT file, max(line) - 1 AS last FROM f GROUP BY 1), b AS (SELECT DISTINCT file, line, rule_id FROM f WHERE l_returnflag = 'R'), o AS (SELECT DISTINCT file, line FROM b),
+r AS (SELECT c.*, CASE WHEN c.rule_id IS NULL THEN 'missing_rule_id' WHEN c.line NOT BETWEEN 1 AND g.last THEN 'outside_ledger' WHEN EXISTS (SELECT 1 FROM b WHERE b.file = c.file AND b.line = c.line AND b.rule_id = c.rule_id) THEN 'same_key' WHEN EXISTS (SELECT 1 FROM o WHERE o.file = c.file AND o.line = c.line) THEN 'occupied_line' END AS reason FROM f c JOIN g ON g.file = c.file WHERE l_returnflag = 'A')
+SELECT pos, file, line, rule_id, evidence, coalesce(reason, CASE WHEN pos > min(CASE WHEN reason IS NULL THEN pos END) OVER (PARTITION BY file, line) THEN 'same_key' END) AS reason FROM r
+""")
 def candidates(spark, sf):
     f = _findings(spark, sf).withColumn("rule_id", F.when(F.col("pos") % 7 > 0, F.concat(F.lit("R"), F.col("pos") % 3)))
     ledger = f.groupBy("file").agg(F.lit(1).alias("start"), (F.max("line") - 1).alias("end"))
@@ -360,9 +355,9 @@ def relation_key(spark, sf):
     return table(spark, sf, "part").select("p_partkey", N.relation_key(F.col("p_brand"), F.col("p_type"), F.col("p_name"), ["Brand#11"]).alias("relation"))
 
 
-@query("chk5_untested_listed", "SELECT p_partkey FROM part WHERE p_size > 40 AND p_partkey NOT IN (SELECT l_partkey FROM lineitem WHERE l_quantity > 30)")
+@query("chk5_untested_listed", "SELECT p_partkey FROM part WHERE p_size > 40 AND p_partkey NOT IN (SELECT l_partkey FROM lineitem WHERE l_quantity > 49 AND l_returnflag = 'R')")
 def untested_listed(spark, sf):
-    named = table(spark, sf, "lineitem").where("l_quantity > 30").select(F.col("l_partkey").alias("p_partkey"))
+    named = table(spark, sf, "lineitem").where("l_quantity > 49 AND l_returnflag = 'R'").select(F.col("l_partkey").alias("p_partkey"))
     return table(spark, sf, "part").where("p_size > 40").select("p_partkey").join(named, "p_partkey", "left_anti")
 
 
@@ -454,10 +449,12 @@ def unit_calls(spark, sf):
     return A.first_wins(j, ["o_custkey", "l_partkey"], ["first_order"])
 
 
-@query("ext18_links", "SELECT DISTINCT doc_id, m AS target FROM (SELECT doc_id, unnest(regexp_extract_all(text, 'https?://[A-Za-z0-9./-]+[A-Za-z0-9/]')) AS m FROM documents)")
+@query("ext18_links", "SELECT page_id, label, target FROM (SELECT page_id, 'page' AS label, regexp_replace(url, '[?#].*$', '') AS target FROM pages UNION ALL SELECT page_id, '', 'http://bare.org/' || page_id FROM pages)")
 def document_links(spark, sf):
-    d = table(spark, sf, "documents").select("doc_id", F.explode(F.array_distinct(F.regexp_extract_all("text", F.lit("https?://[A-Za-z0-9./-]+[A-Za-z0-9/]"), 0))).alias("target"))
-    return d
+    """Pages as markdown: a named link, a bare one with a full stop, the first again, and one struck through."""
+    url = F.regexp_replace("url", "[?#].*$", "")
+    text = F.concat(F.lit("See [page]("), url, F.lit(") or http://bare.org/"), F.col("page_id"), F.lit(". Again [page]("), url, F.lit("), ~~not [old](http://old.org/)~~."))
+    return R.links(table(spark, sf, "pages").withColumn("t", text), "page_id", "t")
 
 
 @query("ext22_base_revision", "SELECT o_custkey, arg_min(o_orderkey, o_orderdate::VARCHAR || lpad(o_orderkey::VARCHAR, 12, '0')) AS revision FROM orders WHERE o_orderkey % 5 <> 0 GROUP BY 1")

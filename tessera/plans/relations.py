@@ -78,7 +78,7 @@ _TAIL = "regexp_replace(regexp_replace(url, '^https?://[^/]+/', ''), '[?#].*$',
 
 
 @query("jon7_suffix_paths", f"""
-WITH p AS (SELECT page_id, {_TAIL} AS path FROM pages), s AS (SELECT DISTINCT string_split(path, '/')[-1] AS suffix FROM p WHERE page_id % 3 = 0 AND string_split(path, '/')[-1] <> '')
+WITH p AS (SELECT page_id, {_TAIL} AS path FROM pages), s AS (SELECT DISTINCT string_split(path, '/')[-1] AS suffix FROM p WHERE string_split(path, '/')[-1] <> '')
 SELECT page_id, suffix FROM p, s WHERE path = suffix OR ends_with(path, '/' || suffix)
 """)
 def suffix_paths(spark, sf):
@@ -183,7 +183,13 @@ def overlay(spark, sf):
     return J.overlay(c.where("id % 3 = 0"), c.select("id", F.lit("bundled").alias("name")), "id")
 
 
-@query("win1_band_merge", None)
+@query("win1_band_merge", """
+WITH RECURSIVE i AS (SELECT l_orderkey, l_linenumber, l_returnflag, CASE WHEN l_linestatus = 'O' THEN 'sast_only' ELSE 'llm_judged' END AS source, l_partkey, row_number() OVER (PARTITION BY l_orderkey ORDER BY l_linenumber, l_partkey, l_returnflag, l_linestatus = 'O') AS rn FROM lineitem),
+r AS (SELECT *, 0 AS merged, 1 AS slot FROM i WHERE rn = 1 UNION ALL
+SELECT i.l_orderkey, CASE WHEN near AND NOT better THEN r.l_linenumber ELSE i.l_linenumber END, i.l_returnflag, CASE WHEN near AND NOT better THEN r.source ELSE i.source END, CASE WHEN near AND NOT better THEN r.l_partkey ELSE i.l_partkey END, i.rn, CASE WHEN near THEN r.merged + 1 ELSE 0 END, CASE WHEN near THEN r.slot ELSE r.slot + 1 END
+FROM r JOIN i ON i.l_orderkey = r.l_orderkey AND i.rn = r.rn + 1, LATERAL (SELECT abs(i.l_linenumber - r.l_linenumber) <= 1 AND i.l_returnflag = r.l_returnflag AS near, r.source = 'llm_judged' AND i.source = 'sast_only' AS better) x)
+SELECT l_orderkey, l_linenumber, l_returnflag, source, l_partkey, merged FROM (SELECT *, max(rn) OVER (PARTITION BY l_orderkey, slot) AS last FROM r) WHERE rn = last
+""")
 def band_merge(spark, sf):
     source = F.when(F.col("l_linestatus") == "O", "sast_only").otherwise("llm_judged")
     l = table(spark, sf, "lineitem").select("l_orderkey", "l_linenumber", "l_returnflag", source.alias("source"), "l_partkey")
@@ -261,13 +267,23 @@ def nonblank(spark, sf):
     return W.nonblank_ranges(lines, ["doc_id"], "line_no", "line")
 
 
-@query("win8_pack_budget", None)
+@query("win8_pack_budget", """
+WITH RECURSIVE i AS (SELECT l_orderkey, l_linenumber, l_quantity::BIGINT AS cost, row_number() OVER (PARTITION BY l_orderkey ORDER BY l_linenumber, l_quantity) AS rn FROM lineitem),
+r AS (SELECT l_orderkey, l_linenumber, cost, rn, CASE WHEN cost <= 60 THEN cost ELSE 0 END AS used, cost <= 60 AS taken FROM i WHERE rn = 1 UNION ALL
+SELECT i.l_orderkey, i.l_linenumber, i.cost, i.rn, r.used + CASE WHEN r.used + i.cost <= 60 THEN i.cost ELSE 0 END, r.used + i.cost <= 60 FROM r JOIN i ON i.l_orderkey = r.l_orderkey AND i.rn = r.rn + 1)
+SELECT l_orderkey, l_linenumber, cost, taken FROM r
+""")
 def pack_budget(spark, sf):
     l = table(spark, sf, "lineitem").select("l_orderkey", "l_linenumber", F.col("l_quantity").cast("long").alias("cost"))
     return W.pack_budget(l, "l_orderkey", "l_linenumber", "cost", 60)
 
 
-@query("win9_next_fit", None)
+@query("win9_next_fit", """
+WITH RECURSIVE i AS (SELECT l_orderkey, l_linenumber, l_quantity::BIGINT AS size, row_number() OVER (PARTITION BY l_orderkey ORDER BY l_linenumber, l_quantity) AS rn FROM lineitem),
+r AS (SELECT l_orderkey, l_linenumber, size, rn, size AS used, 0 AS bin FROM i WHERE rn = 1 UNION ALL
+SELECT i.l_orderkey, i.l_linenumber, i.size, i.rn, CASE WHEN r.used > 0 AND r.used + i.size > 60 THEN i.size ELSE r.used + i.size END, r.bin + CASE WHEN r.used > 0 AND r.used + i.size > 60 THEN 1 ELSE 0 END FROM r JOIN i ON i.l_orderkey = r.l_orderkey AND i.rn = r.rn + 1)
+SELECT l_orderkey, l_linenumber, size, bin FROM r
+""")
 def next_fit(spark, sf):
     l = table(spark, sf, "lineitem").select("l_orderkey", "l_linenumber", F.col("l_quantity").cast("long").alias("size"))
     return W.next_fit(l, "l_orderkey", "l_linenumber", "size", 60)
@@ -330,10 +346,10 @@ def sessions(spark, sf):
 
 
 @query("ext8_unique_tokens", """
-SELECT DISTINCT p_partkey, w FROM (SELECT p_partkey, w, count(*) OVER (PARTITION BY p_brand, w) AS n FROM (SELECT DISTINCT p_partkey, p_brand, unnest(string_split(p_name, ' ')) AS w FROM part)) WHERE n = 1
+SELECT p_partkey, w FROM (SELECT p_partkey, w, count(*) OVER (PARTITION BY p_brand, w) AS n FROM (SELECT DISTINCT p_partkey, p_brand, unnest(string_split(p_name || ' s' || p_size, ' ')) AS w FROM part)) WHERE n = 1
 """)
 def unique_tokens(spark, sf):
-    p = table(spark, sf, "part").select("p_partkey", "p_brand", F.explode(F.array_distinct(F.split("p_name", " "))).alias("w"))
+    p = table(spark, sf, "part").select("p_partkey", "p_brand", F.explode(F.array_distinct(F.split(F.concat("p_name", F.lit(" s"), "p_size"), " "))).alias("w"))
     return p.groupBy("p_brand", "w").agg(F.count(F.lit(1)).alias("n"), F.min("p_partkey").alias("p_partkey")).where("n = 1").select("p_partkey", "w")
 
 

@@ -48,7 +48,7 @@ def csv_rows(spark: SparkSession, paths: str | list[str], header: bool = True) -
 
 
 def convert(df: DataFrame, path: str, kind: str) -> None:
-    """Write rows as json, csv, tsv or md (a markdown table)."""
+    """Write rows as json, csv, tsv or md (a markdown table); each file of a table has its head."""
     flat = df.select(*(c if t in ("string", "int", "bigint", "double", "boolean", "date") or kind == "json" else F.to_json(c).alias(c) for c, t in df.dtypes))
     if kind == "json":
         flat.write.json(path)
@@ -56,8 +56,9 @@ def convert(df: DataFrame, path: str, kind: str) -> None:
         flat.write.csv(path, header=True, sep="," if kind == "csv" else "\t", quote='"', escape='"')
     elif kind == "md":
         cells = F.concat_ws(" | ", *(F.replace(F.coalesce(F.col(c).cast("string"), F.lit("")), F.lit("|"), F.lit("\\|")) for c in flat.columns))
-        head = flat.sparkSession.createDataFrame([("| " + " | ".join(flat.columns) + " |\n|" + "---|" * len(flat.columns),)], "value string")
-        head.unionAll(flat.select(F.concat(F.lit("| "), cells, F.lit(" |")))).write.text(path)
+        head = "| " + " | ".join(flat.columns) + " |\n|" + "---|" * len(flat.columns) + "\n"
+        opens = F.monotonically_increasing_id().bitwiseAND((1 << 33) - 1) == 0  # the first row of a partition, so of a file
+        flat.select(F.concat(F.when(opens, head).otherwise(""), F.lit("| "), cells, F.lit(" |")).alias("value")).write.text(path)
     else:
         raise ValueError(f"unknown format {kind}")
 
