@@ -18,9 +18,11 @@ A document's evidence is the sum of lambda S - log(1 + K n) over its significant
 segments; a logistic curve fitted on those documents turns it into a score.
 
 The label table joins by broadcast of the bounded sample only.  Scoring is a narrow pass
-over all rows.  Edge cases: a null or empty text has no evidence and the score of that;
-without labels of both classes a fixed curve is used; a null doc_id is scored as any
-other; an empty table gives no rows; labels, lang, source and doc_id are never inputs.
+over all rows, and a text's score depends on nothing but the text.  Edge cases: a null or
+empty text has no evidence and the score of that; without labels of both classes a fixed
+curve is used; a null doc_id is scored as any other; labels told twice count once, the
+toxic one; repeated rows score alike; a very long text is scanned whole; an empty table
+gives no rows; labels, lang, source, doc_id and other columns are never inputs.
 """
 
 from __future__ import annotations
@@ -40,9 +42,15 @@ PREFIXES = (4, 5, 6)
 #: Bound of learning: labelled rows that are counted; they bound the features, which are all kept.
 SAMPLE = 40_000
 
-#: Negative log of the chance below which a segment counts as significant (p < 0.05).
+#: Negative log of the chance below which a segment counts as significant: the usual 5 %, not tuned.
 SIGNIFICANT = 3.0
 
+#: Bound of lambda, so that a few lucky words do not count beyond all measure.
+STEEPEST = 2.0
+
+#: Segment score from which clean segments are counted to fit their law.
+LEVEL = 2.0
+
 _FEATURE = "key long, value double, z double"
 _FEATURE_ARROW = pa.schema([("key", pa.int64()), ("value", pa.float64()), ("z", pa.float64())])
 _LEVELS = np.dtype([("p4", "<u8"), ("p5", "<u8"), ("p6", "<u8"), ("w", "<u8"), ("y1", "<u4"), ("y0", "<u4")])
@@ -157,8 +165,9 @@ class Scorer:
         """The negative log of the chance of such a segment in n clean words, about."""
         return self.rate * s - math.log1p(self.k * n)
 
-    def calibrate(self, clean_histogram: np.ndarray, rows: list[tuple[int, int, list[float]]], level: float = 2.0) -> None:
-        """rows: (label, words, segment scores) of documents kept out of the counts."""
+    def fit_law(self, clean_histogram: np.ndarray, words: int, above: int) -> None:
+        """The law of chance segments: of the histogram of clean word scores, and of ``above`` clean
+        segments that score LEVEL or more in so many clean words."""
         middle = (_BINS[:-1] + _BINS[1:]) / 2
         p = clean_histogram / max(1, clean_histogram.sum())
         if (p[middle > 0] > 0).any() and (p * middle).sum() < 0:
@@ -166,27 +175,25 @@ class Scorer:
             for _ in range(60):
                 self.rate = (low + high) / 2
                 low, high = (self.rate, high) if (p * np.exp(self.rate * middle)).sum() < 1 else (low, self.rate)
-        self.rate = min(max(self.rate, 0.3), 2.0)
-        clean = [r for r in rows if not r[0]]
-        words = sum(n for _, n, _ in clean)
+        self.rate = min(max(self.rate, 0.3), STEEPEST)
         if words:
-            above = sum(s >= level for _, _, found in clean for s in found)
-            self.k = (above + 0.5) / (words * math.exp(-self.rate * level))
-        x = np.array([self.evidence([(0, 0, s) for s in found], n) for _, n, found in rows])
-        y = np.array([float(label) for label, _, _ in rows])
-        if len(y) and 0 < y.sum() < len(y):
-            x = np.minimum(x, 30.0)
-            w = np.zeros(2)
-            design = np.stack((np.ones(len(x)), x), axis=1)
-            for _ in range(50):  # Newton steps with a small ridge
-                q = 1 / (1 + np.exp(-np.clip(design @ w, -30, 30)))
-                grad = design.T @ (y - q) - 1e-2 * w
-                hess = (design * (q * (1 - q))[:, None]).T @ design + 1e-2 * np.eye(2)
-                step = np.linalg.solve(hess, grad)
-                w += np.clip(step, -2, 2)
-                if np.abs(step).max() < 1e-8:
-                    break
-            self.curve = (float(w[0]), max(float(w[1]), 1e-3))
+            self.k = (above + 0.5) / (words * math.exp(-self.rate * LEVEL))
+
+    def fit_curve(self, evidence: np.ndarray, label: np.ndarray) -> None:
+        """The logistic curve of labels over evidence, by Newton steps with a small ridge."""
+        if not 0 < label.sum() < len(label):
+            return
+        w = np.zeros(2)
+        design = np.stack((np.ones(len(evidence)), np.minimum(evidence, 30.0)), axis=1)
+        for _ in range(50):
+            q = 1 / (1 + np.exp(-np.clip(design @ w, -30, 30)))
+            grad = design.T @ (label - q) - 1e-2 * w
+            hess = (design * (q * (1 - q))[:, None]).T @ design + 1e-2 * np.eye(2)
+            step = np.linalg.solve(hess, grad)
+            w += np.clip(step, -2, 2)
+            if np.abs(step).max() < 1e-8:
+                break
+        self.curve = (float(w[0]), max(float(w[1]), 1e-3))
 
     def probability(self, evidence: float) -> float:
         a, b = self.curve
@@ -263,8 +270,7 @@ def learn(docs: DataFrame, labels: DataFrame, count: str, calibrate: str, sample
         for table in stream:
             for part in P.pieces(table, "text"):
                 y = part.column("y").to_numpy(zero_copy_only=False)
-                data, offsets = P.utf8(part.column("text"))
-                words = P.Words(data, offsets, lower=True)
+                words = P.Words(*P.utf8(part.column("text")), lower=True)
                 scores = scorer.token_scores(words)
                 clean_words = np.clip(scores[(y == 0)[words.doc_of()]], -11.9, 11.9)
                 histogram = np.histogram(clean_words, _BINS)[0].tolist()
@@ -273,9 +279,15 @@ def learn(docs: DataFrame, labels: DataFrame, count: str, calibrate: str, sample
                 yield pa.RecordBatch.from_pylist(made, schema=seen_schema)
 
     seen_schema = pa.schema([("y", pa.int32()), ("n", pa.int64()), ("s", pa.list_(pa.float64())), ("h", pa.list_(pa.int64()))])
-    seen = rows.where("part = 1").mapInArrow(observe, "y int, n long, s array<double>, h array<long>").collect()  # at most ``sample`` rows
-    histogram = np.sum([r.h for r in seen if r.h], axis=0) if seen else np.zeros(len(_BINS) - 1)
-    scorer.calibrate(np.asarray(histogram, np.float64), [(r.y, r.n, list(r.s)) for r in seen])
+    seen = rows.where("part = 1").mapInArrow(observe, "y int, n long, s array<double>, h array<long>").checkpoint()
+    histogram = np.zeros(len(_BINS) - 1)
+    for r in seen.select(F.posexplode("h").alias("bin", "n")).groupBy("bin").agg(F.sum("n").alias("n")).collect():  # a row a bin
+        histogram[r["bin"]] = r["n"]
+    words, above = seen.where("y = 0").agg(F.sum("n"), F.sum(F.expr(f"size(filter(s, x -> x >= {LEVEL}))"))).first()
+    scorer.fit_law(histogram, words or 0, above or 0)
+    told = F.filter(F.transform("s", lambda x: x * scorer.rate - F.log1p(F.col("n") * scorer.k)), lambda x: x >= SIGNIFICANT)
+    fitted = seen.select("y", F.aggregate(told, F.lit(0.0), lambda a, x: a + x).alias("e")).toArrow()  # at most ``sample`` rows of two numbers
+    scorer.fit_curve(fitted.column("e").to_numpy(), fitted.column("y").to_numpy().astype(float))
     return scorer
 
 
