@@ -5,20 +5,28 @@ Two finders share one exact verification:
 * ``fixed_anchor_dedup`` indexes the non-overlapping 25-word blocks of every document
   and probes the index with every rolling 25-word window.  A window of 50 words always
   holds one whole block of the document it is compared with, so no repeat is missed.
-* ``suffix_dedup`` keeps the suffixes that begin at content-selected minimisers, sorts
-  them by their leading words, and compares neighbours.
-
-Hits are then extended: every 50-word window that a hit may belong to is compared by
-its whole word sequence (96 hash bits), and adjoining windows make up the maximal
-repeats.  A word goes if a window that covers it also starts in a document with a
-smaller id; windows are judged on the input.
+* ``suffix_dedup`` keeps the suffixes that begin at content-selected minimisers.  Those
+  of equal first words meet in one bucket, where they are sorted by what follows, chunk
+  by chunk of ten words in hash order, and again by what precedes; comparing neighbours
+  in both orders gives how far each suffix can extend to the right and to the left.
+
+Hits are then extended, the first to whole windows, the second as far as its neighbours
+agree: the 50-word windows inside are compared by their whole word sequence (96 bits of two
+independent hashes), and adjoining windows make up the maximal repeats.  The last step is
+an exchange of windows for both finders, as a suffix's farthest left and right neighbours
+may be different ones, and as a passage that a third of all documents hold then costs one
+entry a batch, while its suffixes with their contexts would all meet in one task.  A word
+goes if a window that covers it also starts in a document with a smaller id; windows are
+judged on the input.
 
 Nothing is paired: each exchange carries a batch's distinct hashes once and brings
 back one bit for each, so a group of k copies costs k, not k squared.
 
 Edge cases: a null text has no words; texts of fewer words than a window keep all;
 a null doc_id counts as the largest; equal ids are one document, so a window that
-occurs only under one id stays; an empty table gives no rows; other columns are ignored.
+occurs only under one id stays, and a repeated row counts as that document again; a very
+long text is a batch of its own, taken whole; an empty table gives no rows; other columns
+are ignored, whatever their names.
 """
 
 from __future__ import annotations
@@ -89,20 +97,38 @@ def _minimiser_anchors(batch: P.Batch, words: P.Words, kmer: int, window: int):
     return pos[at], key[at] >> U64(16) << U64(16), np.ones(len(at), bool), doc[at]
 
 
-def _suffix_ladder(words: P.Words, pos: np.ndarray, doc: np.ndarray, kmer: int, steps: int) -> np.ndarray:
-    """16-bit codes of the next steps chunks of kmer words after each suffix's first; 0 past the end."""
-    ladder = np.zeros((len(pos), steps), np.uint16)
+def _ladders(words: P.Words, pos: np.ndarray, doc: np.ndarray, kmer: int, steps: int) -> np.ndarray:
+    """16-bit codes of the chunks of kmer words after each suffix's first (steps columns) and before it
+    (steps more, from the nearest); 0 past the text's bounds."""
+    ladder = np.zeros((len(pos), 2 * steps), np.uint16)
     all_pos, key = P.rolling(words.hashes(), words.first, kmer)
     if not len(all_pos):
         return ladder
-    for s in range(steps):
-        at = pos + kmer * (s + 1)
-        there = at + kmer <= words.first[doc + 1]
+    for s in range(2 * steps):
+        at = pos + kmer * (s + 1 if s < steps else steps - 1 - s)
+        there = (at >= words.first[doc]) & (at + kmer <= words.first[doc + 1])
         found = np.searchsorted(all_pos, at[there])
         ladder[there, s] = (key[found] >> U64(8)).astype(np.uint16) | 1
     return ladder
 
 
+def _agreeing(key: np.ndarray, code: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Sort by key and codes; per row whether a neighbour has its key, and the most leading codes in common with one."""
+    order = np.lexsort([*code.T[::-1], key])
+    k, c = key[order], code[order]
+    run = k[1:] == k[:-1]
+    same = np.zeros(len(k) + 1, bool)
+    same[1 : len(k)] = run
+    depth = np.zeros(len(k) + 1, np.int64)
+    run = run.copy()
+    for s in range(code.shape[1]):
+        run &= (c[1:, s] == c[:-1, s]) & (c[1:, s] != 0)
+        depth[1 : len(k)] += run
+    met, most = np.zeros(len(k), bool), np.zeros(len(k), np.int64)
+    met[order], most[order] = same[:-1] | same[1:], np.maximum(depth[:-1], depth[1:])
+    return met, most
+
+
 # ------------------------------------------------------------------ the shared exchanges
 
 
@@ -172,7 +198,7 @@ def _dedup(docs: DataFrame, anchors, anchor_width: int, window: int, ladder_step
     def per_key(batch: P.Batch, words: P.Words):
         """Distinct anchors of a batch: key, is a reference among them, are they of several documents, ladder."""
         pos, key, ref, doc = anchors(batch, words)
-        ladder = _suffix_ladder(words, pos, doc, anchor_width, steps) if steps else None
+        ladder = _ladders(words, pos, doc, anchor_width, steps) if steps else None
         ids = batch.ids[doc] if len(doc) else np.zeros(0, np.int64)
         order = np.lexsort([*(ladder.T[::-1] if steps else []), key]) if steps else np.argsort(key, kind="stable")
         key, ref, ids = key[order], ref[order], ids[order]
@@ -212,46 +238,37 @@ def _dedup(docs: DataFrame, anchors, anchor_width: int, window: int, ladder_step
         return _reply(rows, keys, hit)
 
     def find_suffixes(table: pa.Table) -> pa.Table:
-        """Sort the suffixes, compare neighbours, and keep those whose common prefix may still make a window.
+        """Sort the suffixes both ways, compare neighbours, and keep those that may extend to a window.
 
-        The longest common prefix with a neighbour of another batch or document is known to
-        a chunk; as a window holds a suffix at most window - anchor_width words in, only
-        suffixes with an equal neighbour in the first chunk can be extended to one.  The reply
-        names the key once, with the longest right extension in its low 16 bits.
+        The reply names a key once, with its suffixes' chunks in common to the right (the first
+        included) and to the left in its low 16 bits.  A key that a batch itself holds in two
+        documents may extend all the way.
         """
         rows, keys, key, whose = _grouped(table)
         flags, codes = [], []
         for r, k in zip(rows, keys, strict=True):
-            codes.append(np.frombuffer(r["flags"], np.uint16, len(k) * steps).reshape(len(k), steps))
-            flags.append(np.frombuffer(r["flags"], np.uint8, offset=2 * len(k) * steps))
+            codes.append(np.frombuffer(r["flags"], np.uint16, 2 * len(k) * steps).reshape(len(k), 2 * steps))
+            flags.append(np.frombuffer(r["flags"], np.uint8, offset=4 * len(k) * steps))
         flag, code = np.concatenate(flags), np.concatenate(codes)
-        order = np.lexsort([*code.T[::-1], key])
-        key_s, code_s = key[order], code[order]
-        same = np.zeros(len(key) + 1, np.int64)  # chunks in common with the suffix before
-        equal = key_s[1:] == key_s[:-1]
-        depth = equal.astype(np.int64)
-        run = equal.copy()
-        for s in range(steps):
-            run &= (code_s[1:, s] == code_s[:-1, s]) & (code_s[1:, s] != 0)
-            depth += run
-        same[1 : len(key)] = depth
-        best = np.maximum(same[:-1], same[1:])
-        several = flag[order] & 2 > 0  # the batch itself has it in two documents
-        best = np.where(several, steps + 1, best)
-        reach = np.zeros(len(key), np.int64)
-        reach[order] = best
+        met, right = _agreeing(key, code[:, :steps])
+        _, left = _agreeing(key, code[:, steps:])
+        several = flag & 2 > 0
+        right, left = np.where(several, steps, right) + 1, np.where(several, steps, left)
+        far = (right + 1) * anchor_width - 1 + (left + 1) * anchor_width - 1 >= window
+        hit = (met | several) & far
         out: dict[str, list] = {"batch": [], "bucket": [], "keys": []}
         begin = 0
         for r, k in zip(rows, keys, strict=True):
-            mine = reach[begin : begin + len(k)]
+            mine = slice(begin, begin + len(k))
             begin += len(k)
-            if not mine.any():
+            if not hit[mine].any():
                 continue
+            k, x, y = k[hit[mine]], right[mine][hit[mine]], left[mine][hit[mine]]
             at = _runs(k)
-            most = np.maximum.reduceat(mine, at)
+            reach = np.maximum.reduceat(y, at) << 8 | np.maximum.reduceat(x, at)
             out["batch"].append(r["batch"])
             out["bucket"].append(r["bucket"])
-            out["keys"].append(P.pack_sorted((k[at] | most.astype(U64))[most > 0]))
+            out["keys"].append(P.pack_sorted(k[at] | reach.astype(U64)))
         return pa.Table.from_pydict(out, schema=_reply_arrow())
 
     def windows(words: P.Words):
@@ -271,16 +288,20 @@ def _dedup(docs: DataFrame, anchors, anchor_width: int, window: int, ladder_step
                 at = np.searchsorted(names, key)
                 at[at == len(names)] = 0
                 found = names[at] == key
-                # chunks in common, so this many words at most, counted from the suffix
-                reach = np.where(found, ((hits[at] & U64(0xFFFF)).astype(np.int64) + 1) * anchor_width - 1, 0)
-                reach = np.where(found & ((hits[at] & U64(0xFFFF)).astype(np.int64) > steps), window, reach)
+                reach = (hits[at[found]] & U64(0xFFFF)).astype(np.int64)
+                # chunks in common, so this many words at most to the right of the suffix's begin and to its left
+                right, left = ((reach & 255) + 1) * anchor_width - 1, ((reach >> 8) + 1) * anchor_width - 1
             else:
                 found = _member(key, hits)
-                reach = np.full(len(key), window)
-            p, r = pos[found], np.minimum(reach[found], window)
-            mark = np.zeros(len(words) + 1, np.int64)  # windows that begin at p - (window - anchor) .. p, and end in reach
-            np.add.at(mark, np.maximum(p - (window - anchor_width), 0), 1)
-            np.add.at(mark, np.maximum(p + r - window, -1) + 1, -1)
+                right = left = np.full(int(found.sum()), window)
+            # windows that hold the anchor and lie inside its reach
+            p = pos[found]
+            begin = np.maximum(p - np.minimum(left, window - anchor_width), 0)
+            end = p + np.minimum(right, window) - window + 1
+            some = end > begin
+            mark = np.zeros(len(words) + 1, np.int64)
+            np.add.at(mark, begin[some], 1)
+            np.add.at(mark, end[some], -1)
             wpos, wkey, wdoc = windows(words)
             take = np.cumsum(mark)[wpos] > 0
             wpos, wkey, ids = wpos[take], wkey[take], batch.ids[wdoc[take]]

@@ -75,3 +75,40 @@ def test_spans_are_the_removed_words(spark):
     df = spark.createDataFrame([(1, passage), (2, "x y " + passage + " z")], "doc_id long, text string")
     row = {r.doc_id: r for r in substring.fixed_anchor_dedup(df).collect()}[2]
     assert [(s.first_word, s.last_word) for s in row.removed] == [(2, 61)]
+
+
+def test_extension_bounds_the_windows():
+    """Neighbours that part soon after or before their first words reach no further than their chunks agree."""
+    import numpy as np
+
+    from tessera.llm import packed as P
+
+    def words(*texts):
+        data = "".join(texts).encode()
+        ends = np.cumsum([0] + [len(t.encode()) for t in texts])
+        return P.Words(np.frombuffer(data, np.uint8), ends)
+
+    def text(prefix, shared, suffix):
+        return " ".join([f"{prefix}{i}" for i in range(40)] + [f"s{i}" for i in range(shared)] + [f"{suffix}{i}" for i in range(40)]) + "\n"
+
+    w = words(text("a", 30, "b"), text("c", 30, "d"))
+    pos = w.first[:-1] + 50  # ten shared words before each suffix, twenty from it
+    ladder = substring._ladders(w, pos, np.array([0, 1]), 10, 4)
+    key = np.array([7, 7], np.uint64)
+    met, right = substring._agreeing(key, ladder[:, :4])
+    _, left = substring._agreeing(key, ladder[:, 4:])
+    assert met.all() and right.tolist() == [1, 1] and left.tolist() == [1, 1]
+    met, _ = substring._agreeing(np.array([7, 8], np.uint64), ladder[:, :4])
+    assert not met.any()
+
+
+def test_self_similar_words_and_short_reach(spark):
+    """Long words that collide under polynomial hashes are told apart; a 49-word passage stays."""
+    s = "a"
+    while len(s) < 2048:
+        s += s.translate(str.maketrans("ab", "ba"))
+    twin = s.translate(str.maketrans("ab", "ba"))
+    tail = " ".join(f"w{i}" for i in range(49))
+    rows = [(1, f"{s} {tail}"), (2, f"{twin} {tail}"), (3, f"x {tail} y"), (4, f"{s} {tail}")]
+    for finder in FINDERS:
+        assert result(finder(spark.createDataFrame(rows, "doc_id long, text string"))) == brute(rows, 50)
