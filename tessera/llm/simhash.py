@@ -270,17 +270,17 @@ def links(fps: DataFrame, distance: int = 3, blocks: int | None = None, fp: str
     return distinct.mapInArrow(deal, "slot int, fps binary").groupBy("slot").applyInArrow(search, "a long, b long")
 
 
-def word_links(sketches: DataFrame, key: str, sketch: str, words: int, limit: int, distance: int = 3, blocks: int = 4) -> DataFrame:
+def word_links(sketches: DataFrame, key: str, words: list[str], limit: int, distance: int = 3, blocks: int = 4) -> DataFrame:
     """(a, b): a spanning forest of the keys whose sketches are alike.
 
-    A sketch is ``words`` fingerprints of 32 bits.  Two are alike if some fingerprint of theirs is
-    within the distance, found by the Gray-order index of that fingerprint, and the first 128
-    bits of the sketches differ in at most ``limit``.  Every fingerprint has a table for each
-    choice of blocks; a table's row takes 28 bytes.
+    A sketch is some columns of 64 bits, each two fingerprints of 32.  Two are alike if some
+    fingerprint of theirs is within the distance, found by the Gray-order index of that
+    fingerprint, and the first 128 bits of the sketches differ in at most ``limit``.  Every
+    fingerprint has a table for each choice of blocks; a table's row takes 28 bytes.
     """
     spark = sketches.sparkSession
     widths = [32 // blocks] * blocks
-    tables = [(w, chosen) for w in range(words) for chosen in combinations(range(blocks), blocks - distance)]
+    tables = [(w, chosen) for w in range(2 * len(words)) for chosen in combinations(range(blocks), blocks - distance)]
     buckets = max(4, P.partitions(spark) // 2)
     schema = pa.schema([("slot", pa.int32()), ("names", pa.binary()), ("prints", pa.binary()), ("checks", pa.binary())])
 
@@ -327,15 +327,14 @@ def word_links(sketches: DataFrame, key: str, sketch: str, words: int, limit: in
         at = np.flatnonzero(label != np.arange(len(label)))
         return pa.table({"a": pa.array(names[at], pa.int64()), "b": pa.array(names[label[at]], pa.int64())})
 
-    slim = sketches.select(F.col(key).alias("name"), F.col(sketch).alias("bits"))
+    slim = sketches.select(F.col(key).alias("name"), *words)
     return slim.mapInArrow(deal, "slot int, names binary, prints binary, checks binary").groupBy("slot").applyInArrow(search, "a long, b long").distinct()
 
 
 def _sketch_arrays(batches: list[pa.RecordBatch]) -> tuple[np.ndarray, np.ndarray]:
     """Names, and a row of 32-bit fingerprints for each."""
-    table = pa.Table.from_batches(batches)
-    bits = np.frombuffer(b"".join(table.column("bits").to_pylist()), "<u4").reshape(table.num_rows, -1)
-    return table.column("name").to_numpy(), bits
+    name, *words = pa.Table.from_batches(batches).columns
+    return name.to_numpy(), np.stack([w.to_numpy() for w in words], axis=1).astype("<i8").view("<u4")
 
 
 def near_duplicates(docs: DataFrame, distance: int = 3, shingle: int = 3, text: str = "text", doc_id: str = "doc_id") -> DataFrame:

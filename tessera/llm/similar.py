@@ -7,10 +7,11 @@
    differ in at most three bits; those that also differ in at most LIMIT of 128 other bits
    are candidates.  Bits of two sets of similarity 0.8 differ with chance 0.15, so one
    fingerprint finds the pair with chance 0.26 and all sixteen with 0.99; at 0.85 with 0.9996.
-3. Candidates form groups.  In each group pairs are verified on the whole sets, round by
-   round: members outside the group's largest verified part are compared with all of other
-   parts, twice as many in each round, until every pair is compared or in one part.  So a
-   large group of near copies costs rounds of linear size, and no pair of a group is left out.
+3. Candidates form groups.  In a group every set is compared on the whole sets with those of
+   other parts whose sketches differ in at most NEAR bits, nearest first, four times as many
+   in each round; compared sets of the similarity become one part.  The rounds end when all
+   such pairs are compared or in one part.  A large group of near copies thus costs a few
+   comparisons a member, as its members soon are one part, and no near pair is left out.
 
 Edge cases: a null text has no words; texts without words are copies of each other; fewer
 than five words are one shingle; a very long text is one set, worked on whole; a null doc_id
@@ -22,7 +23,7 @@ from __future__ import annotations
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..operators.graph import connected_components
@@ -37,6 +38,11 @@ SKETCH = 8
 #: Bits of the sketch's first 128 in which candidates may differ: 4 standard deviations above the mean at similarity 0.8.
 LIMIT = 36
 
+#: Bits of the whole sketch in which compared sets may differ: 5 standard deviations above the mean at similarity 0.8.
+NEAR = 120
+
+_WORDS = [f"s{i}" for i in range(SKETCH)]
+
 #: Each byte's bits as eight lanes of a 64-bit number.
 _LANES = np.unpackbits(np.arange(256, dtype=np.uint8)[:, None], axis=1, bitorder="little").view("<u8")[:, 0].astype(U64)
 
@@ -91,19 +97,18 @@ def sketches(hashes: np.ndarray, cuts: np.ndarray) -> np.ndarray:
     return out
 
 
-_SIGNED = "r1 long, r2 long, doc_id long, sid long, sketch binary"
-_SIGNED_ARROW = pa.schema([("r1", pa.int64()), ("r2", pa.int64()), ("doc_id", pa.int64()), ("sid", pa.int64()), ("sketch", pa.binary())])
+_SIGNED = ", ".join(f"{c} long" for c in ("r1", "r2", "doc_id", "sid", *_WORDS))
 
 
 def _signed(rows: DataFrame, words: int) -> DataFrame:
-    """(r1, r2, doc_id, sid, sketch) of (r1, r2, doc_id, text)."""
+    """(r1, r2, doc_id, sid, _WORDS) of (r1, r2, doc_id, text)."""
 
     def run(stream):
         for batch in stream:
             for part in P.pieces(batch, "text"):
                 hashes, cuts = shingle_sets(part.column("text"), words)
-                made = [x.tobytes() for x in sketches(hashes, cuts)]
-                yield pa.RecordBatch.from_arrays([part.column("r1"), part.column("r2"), part.column("doc_id"), pa.array(set_ids(hashes, cuts).view(np.int64)), pa.array(made, pa.binary())], schema=_SIGNED_ARROW)
+                made = [set_ids(hashes, cuts), *np.ascontiguousarray(sketches(hashes, cuts).T)]
+                yield pa.RecordBatch.from_arrays([*part.columns[:3], *(pa.array(x.view(np.int64)) for x in made)], names=["r1", "r2", "doc_id", "sid", *_WORDS])
 
     return rows.mapInArrow(run, _SIGNED)
 
@@ -141,40 +146,40 @@ def _verified(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
 
 
 def candidate_links(sets: DataFrame) -> DataFrame:
-    """(a, b): a spanning forest of the candidates among (sid, sketch), through the Gray-order index."""
-    return simhash.word_links(sets, "sid", "sketch", 2 * SKETCH, LIMIT)
+    """(a, b): a spanning forest of the candidates among (sid, _WORDS), through the Gray-order index."""
+    return simhash.word_links(sets, "sid", _WORDS, LIMIT)
 
 
-def _parts(groups: DataFrame, sets: DataFrame, percent: int, folder: str) -> DataFrame:
-    """(node, component) of the sets that verified pairs join, among members (key, sid, degree) of candidate groups."""
+def _parts(groups: DataFrame, sets: DataFrame, percent: int, folder: str) -> DataFrame | None:
+    """(node, component) of the sets that verified pairs join, among members (key, sid, _WORDS) of candidate groups."""
     spark = groups.sparkSession
     live, edges, parts = groups, None, None
-    for turn in range(64):
+    for turn in range(40):
         if parts is None:
             rows = live.withColumn("root", F.col("sid"))
         else:
-            rows = live.join(parts, live.sid == parts.node, "left").select("key", "sid", "degree", F.coalesce("component", "sid").alias("root"))
-        tops = rows.groupBy("key", "root").agg(F.count(F.lit(1)).alias("n"), F.max(F.struct("degree", "sid")).alias("hub"))
-        tops = tops.groupBy("key").agg(F.max(F.struct("n", "root")).alias("top"), F.sum("n").alias("n"), F.max("hub").alias("hub"), F.count(F.lit(1)).alias("roots")).where("roots > 1")
-        tops = tops.select("key", F.col("top.root").alias("top"), F.col("hub.sid").alias("hub"), (F.col("n") - F.col("top.n")).alias("others"))
-        if turn == 0:
-            leads = F.col("sid") == F.col("hub")
-        else:
-            drawn = F.pmod(F.xxhash64("sid", F.lit(turn)), F.lit(1 << 30)) / float(1 << 30)
-            leads = (F.col("root") != F.col("top")) & (drawn * F.col("others") < float(4**turn))
+            rows = live.join(parts, live.sid == parts.node, "left").select("key", "sid", *_WORDS, F.coalesce("component", "sid").alias("root"))
+        open_ = rows.groupBy("key").agg(F.min("root").alias("low"), F.max("root").alias("high")).where("low <> high").select("key")
         at = f"{folder}/round-{turn}"
-        live = P.saved(rows.join(tops, "key").withColumn("leads", leads).select("key", "sid", "degree", "root", "leads"), f"{at}-live")
+        live = P.saved(rows.join(open_, "key", "left_semi"), f"{at}-live")
         if live.isEmpty():
             return parts
-        p, q = live.where("leads").alias("p"), live.alias("q")
-        tied = p.join(q, (F.col("p.key") == F.col("q.key")) & (F.col("p.root") != F.col("q.root"))).select(F.least("p.sid", "q.sid").alias("a"), F.greatest("p.sid", "q.sid").alias("b")).distinct()
+        p, q = live.alias("p"), live.alias("q")
+        apart = sum((F.bit_count(F.col(f"p.{w}").bitwiseXOR(F.col(f"q.{w}"))) for w in _WORDS), F.lit(0))
+        near = p.join(q, (F.col("p.key") == F.col("q.key")) & (F.col("p.root") != F.col("q.root")) & (apart <= NEAR)).select(F.col("p.sid").alias("x"), F.col("q.sid").alias("y"), apart.alias("d"))
+        most = 2 * 4**turn
+        rank = F.row_number().over(Window.partitionBy("x").orderBy("d", "y"))
+        ranked = P.saved(near.withColumn("n", rank).where(F.col("n") <= most + 1), f"{at}-near")  # one more tells whether any is left
+        tied = ranked.where(F.col("n") <= most).select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")).distinct()
         found = P.saved(_verified(tied, sets, percent), f"{at}-edges")
         edges = found if edges is None else edges.unionAll(found)
         parts = P.saved(connected_components(edges), f"{at}-parts")
+        if ranked.where(F.col("n") > most).isEmpty():
+            return parts
+        live = live.drop("root")
         if turn > 1:
-            P.discard(spark, f"{folder}/round-{turn - 2}-live")
-            P.discard(spark, f"{folder}/round-{turn - 2}-parts")
-        live = live.where("NOT leads").select("key", "sid", "degree")
+            for name in ("live", "near", "parts"):
+                P.discard(spark, f"{folder}/round-{turn - 2}-{name}")
     raise RuntimeError("groups did not settle")
 
 
@@ -197,14 +202,13 @@ def similar_groups(docs: DataFrame, percent: int = 80, words: int = 5, text: str
     with P.fleeting_shuffles(spark):
         signed = P.saved(_signed(rows, words), f"{folder}/signed")
         first = F.min(F.struct(F.col("doc_id").isNull().alias("no_id"), "doc_id", "r1", "r2")).alias("first")
-        one = P.saved(signed.groupBy("sid").agg(first, F.first("sketch").alias("sketch")), f"{folder}/one")
-        links = P.saved(candidate_links(one.select("sid", "sketch")), f"{folder}/links")
+        one = P.saved(signed.groupBy("sid").agg(first, *(F.first(w).alias(w) for w in _WORDS)), f"{folder}/one")
+        links = P.saved(candidate_links(one.select("sid", *_WORDS)), f"{folder}/links")
         groups = P.saved(connected_components(links).select(F.col("component").alias("key"), F.col("node").alias("sid")), f"{folder}/groups")
-        degree = links.select("a").unionAll(links.select(F.col("b").alias("a"))).groupBy(F.col("a").alias("sid")).agg(F.count(F.lit(1)).alias("degree"))
         ids = one.join(groups, "sid", "left_semi").select("first.r1", "first.r2")
         texts = rows.join(ids, ["r1", "r2"], "left_semi").select("text")
         sets = P.saved(_sets(texts, words).join(groups, "sid", "left_semi").dropDuplicates(["sid"]), f"{folder}/sets")
-        parts = _parts(groups.join(degree, "sid").select("key", "sid", "degree"), sets, percent, folder)
+        parts = _parts(groups.join(one, "sid").select("key", "sid", *_WORDS), sets, percent, folder)
         P.discard(spark, f"{folder}/sets")
         rooted = one.select("sid", "first")
         if parts is None:
