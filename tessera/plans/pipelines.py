@@ -251,7 +251,7 @@ def vulnerability_class(spark, sf):
 WITH f AS (SELECT l_orderkey * 10 + l_linenumber AS pos, 'o' || l_orderkey AS file, l_linenumber AS line, 'part ' || l_partkey AS evidence, l_returnflag, CASE WHEN (l_orderkey * 10 + l_linenumber) % 7 > 0 THEN 'R' || ((l_orderkey * 10 + l_linenumber) % 3) END AS rule_id FROM lineitem),
 g AS (SELECT file, max(line) - 1 AS last FROM f GROUP BY 1), b AS (SELECT DISTINCT file, line, rule_id FROM f WHERE l_returnflag = 'R'), o AS (SELECT DISTINCT file, line FROM b),
 r AS (SELECT c.*, CASE WHEN c.rule_id IS NULL THEN 'missing_rule_id' WHEN c.line NOT BETWEEN 1 AND g.last THEN 'outside_ledger' WHEN EXISTS (SELECT 1 FROM b WHERE b.file = c.file AND b.line = c.line AND b.rule_id = c.rule_id) THEN 'same_key' WHEN EXISTS (SELECT 1 FROM o WHERE o.file = c.file AND o.line = c.line) THEN 'occupied_line' END AS reason FROM f c JOIN g ON g.file = c.file WHERE l_returnflag = 'A')
-SELECT pos, file, line, rule_id, evidence, coalesce(reason, CASE WHEN pos > min(CASE WHEN reason IS NULL THEN pos END) OVER (PARTITION BY file, line) THEN 'same_key' END) AS reason FROM r
+SELECT DISTINCT pos, file, line, rule_id, evidence, coalesce(reason, CASE WHEN pos > min(CASE WHEN reason IS NULL THEN pos END) OVER (PARTITION BY file, line) THEN 'same_key' END) AS reason FROM r
 """)
 def candidates(spark, sf):
     f = _findings(spark, sf).withColumn("rule_id", F.when(F.col("pos") % 7 > 0, F.concat(F.lit("R"), F.col("pos") % 3)))
