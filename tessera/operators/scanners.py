@@ -155,10 +155,14 @@ def scan(df: DataFrame, rules: list[Rule], path: str, text: str, code: bool = Tr
     Context columns are computed only where some rule asks for them.
     """
     lines = code_lines(df, path, text) if code else df.select(F.col(path).alias("path"), F.posexplode(F.split(F.coalesce(text, F.lit("")), "\n", -1)).alias("i", "line")).select("path", (F.col("i") + 1).alias("line_no"), "line", F.col("line").alias("code"))
-    if any(r.method_has or r.method_not for r in rules):
+    bodies = sorted({p for r in rules for p in (r.method_has, r.method_not) if p})
+    if bodies:
         lines = methods(lines)
-        body = Window.partitionBy("path", "method_line")
-        lines = lines.withColumn("__method", F.array_join(F.collect_list("code").over(body.orderBy("line_no").rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)), "\n"))
+        # a method's text is built once, tested once a pattern, and only the flags go back to its lines;
+        # what stands before the first method belongs to none
+        whole = lines.where("method_line > 0").groupBy("path", "method_line").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("line_no", "code"))), lambda x: x["code"]), "\n").alias("__body"))
+        told = whole.select("path", "method_line", *(F.col("__body").rlike(p).alias(f"__method_{i}") for i, p in enumerate(bodies)))
+        lines = lines.join(told, ["path", "method_line"], "left")
     frames = {(r.before, r.after) for r in rules if r.near_has or r.near_not}
     for b, a in sorted(frames):
         lines = lines.withColumn(f"__near_{b}_{a}", _near(b, a))
@@ -175,8 +179,8 @@ def scan(df: DataFrame, rules: list[Rule], path: str, text: str, code: bool = Tr
         ok = ok & F.col(f"__file_{flags.index(r.file_has)}") if r.file_has else ok
         ok = ok & ~F.col(f"__file_{flags.index(r.file_not)}") if r.file_not else ok
         ok = ok & (F.col("method_line") > 0) if r.method_has or r.method_not else ok
-        ok = ok & F.col("__method").rlike(r.method_has) if r.method_has else ok
-        ok = ok & ~F.col("__method").rlike(r.method_not) if r.method_not else ok
+        ok = ok & F.col(f"__method_{bodies.index(r.method_has)}") if r.method_has else ok
+        ok = ok & ~F.col(f"__method_{bodies.index(r.method_not)}") if r.method_not else ok
         ok = ok & F.col("path").cast("string").rlike(r.path_has) if r.path_has else ok
         return ok & ~F.col("path").cast("string").rlike(r.path_not) if r.path_not else ok
 

@@ -2,13 +2,13 @@
 
 from __future__ import annotations
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions import scalars as S
-
-#: Rows of a query block that is broadcast; larger query sets are joined by token instead.
-QUERY_BLOCK = 100_000
+#: Bytes of a block of query vectors that is broadcast at most.
+BLOCK_BYTES = 64 << 20
 
 
 def word_list(c: Column) -> Column:
@@ -38,31 +38,85 @@ def _ranked(df: DataFrame, query: str, score: str, tie: str, k: int) -> DataFram
     return df.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= k)
 
 
+def _matrix(column) -> np.ndarray:
+    """Rows of unit length of an Arrow column of vectors; a vector of zeros stays one."""
+    flat = column.combine_chunks() if hasattr(column, "combine_chunks") else column
+    rows = flat.flatten().to_numpy(zero_copy_only=False).astype(np.float64).reshape(len(flat), -1) if len(flat) else np.zeros((0, 0))
+    size = np.sqrt((rows * rows).sum(axis=1, keepdims=True))
+    return rows / np.where(size > 0, size, 1)
+
+
+def _block(df: DataFrame, key: str, vector: str, what: str) -> tuple[np.ndarray, np.ndarray]:
+    """Keys and unit vectors of a stated block; raises where it is more than BLOCK_BYTES."""
+    told = df.where(F.col(vector).isNotNull()).agg(F.count(F.lit(1)).alias("n"), F.max(F.size(vector)).alias("d")).first()
+    if told.n * (told.d or 0) * 8 > BLOCK_BYTES:
+        raise ValueError(f"{told.n} {what} of {told.d} numbers: search in blocks of {BLOCK_BYTES} bytes")
+    rows = df.where(F.col(vector).isNotNull()).select(F.col(key).cast("long"), vector).toArrow()
+    return rows.column(0).to_numpy(), _matrix(rows.column(1))
+
+
+def _best(key: np.ndarray, score: np.ndarray, k: int) -> np.ndarray:
+    """Places of the k best, by score to nine digits, then key."""
+    score = np.round(score, 9)
+    at = np.arange(len(score))
+    if len(score) > k:
+        at = np.flatnonzero(score >= np.partition(score, len(score) - k)[len(score) - k])
+    return at[np.lexsort((key[at], -score[at]))[:k]]
+
+
 def vector_top_k(base: DataFrame, queries: DataFrame, key: str, vector: str, query_key: str, k: int) -> DataFrame:
-    """(query_key, key, score, rank) by cosine, each query against all rows.
+    """(query_key, key, score, rank) by cosine, each query against all other rows; null vectors take no part.
 
-    The query set is a stated block (checked against QUERY_BLOCK) and is broadcast; a task keeps
-    the k best of its rows per query before anything is shuffled.
+    The query set is a stated block, checked against BLOCK_BYTES and broadcast.  A task scores its
+    rows by matrix products and holds the k best of each query, which alone are shuffled.
     """
-    n = queries.count()
-    if n > QUERY_BLOCK:
-        raise ValueError(f"{n} queries: search in blocks of {QUERY_BLOCK}")
-    unit = lambda c: F.transform(c, lambda x: x.cast("double") / F.sqrt(S.dot(c, c)))
-    q = queries.select(F.col(key).alias(query_key), unit(F.col(vector)).alias("__q"))
-    rows = base.select(key, unit(F.col(vector)).alias("__v")).crossJoin(F.broadcast(q)).select(query_key, key, S.dot(F.col("__v"), F.col("__q")).alias("score"))
-    local = Window.partitionBy(query_key, "__p").orderBy(F.desc(F.round("score", 9)), key)
-    near = rows.where(F.col(key) != F.col(query_key)).withColumn("__p", F.pmod(F.xxhash64(key), F.lit(64)))
-    best = near.withColumn("__r", F.row_number().over(local)).where(F.col("__r") <= k)
-    return _ranked(best.drop("__r", "__p"), query_key, "score", key, k)
+    names, wanted = _block(queries, key, vector, "queries")
+    shared = base.sparkSession.sparkContext.broadcast((names, wanted))
+
+    def run(stream):
+        names, wanted = shared.value
+        have_key, have = [np.zeros(0, np.int64)] * len(names), [np.zeros(0)] * len(names)
+        for rows in stream:
+            key_, rows = rows.column(0).to_numpy(), _matrix(rows.column(1))
+            for q0 in range(0, len(names), 512):
+                score = rows @ wanted[q0 : q0 + 512].T
+                for i in range(score.shape[1]):
+                    q, mine, other = q0 + i, score[:, i], key_ != names[q0 + i]
+                    at = np.flatnonzero(other)
+                    at = at[_best(key_[at], mine[at], k)]
+                    keys, scores = np.concatenate((have_key[q], key_[at])), np.concatenate((have[q], mine[at]))
+                    best = _best(keys, scores, k)
+                    have_key[q], have[q] = keys[best], scores[best]
+        yield pa.RecordBatch.from_arrays([pa.array(np.repeat(names, [len(x) for x in have]), pa.int64()), pa.array(np.concatenate([*have_key, np.zeros(0, np.int64)]), pa.int64()), pa.array(np.concatenate([*have, np.zeros(0)]), pa.float64())], names=["q", "d", "score"])
+
+    rows = base.where(F.col(vector).isNotNull()).select(F.col(key).cast("long").alias("d"), F.col(vector).alias("v"))
+    best = rows.mapInArrow(run, "q long, d long, score double")
+    return _ranked(best, "q", "score", "d", k).select(F.col("q").alias(query_key), F.col("d").alias(key), "score", "rank")
 
 
 def drop_known(df: DataFrame, known: DataFrame, key: str, vector: str, least: float = 0.9) -> DataFrame:
-    """Rows whose cosine to any known row is below the threshold; known rows are a block of checked size."""
-    n = known.count()
-    if n > QUERY_BLOCK:
-        raise ValueError(f"{n} known rows: filter in blocks of {QUERY_BLOCK}")
-    near = df.select(key, F.col(vector).alias("__v")).crossJoin(F.broadcast(known.select(F.col(vector).alias("__k")))).where(S.cosine(F.col("__v"), F.col("__k")) >= least).select(key).distinct()
-    return df.join(near, key, "left_anti")
+    """Rows whose cosine to any known row is below the threshold; a row without a vector stays.
+
+    Known rows are a block of checked size; the pass is narrow, by matrix products.
+    """
+    _, wanted = _block(known, key, vector, "known rows")
+    shared = df.sparkSession.sparkContext.broadcast(wanted)
+    at = df.columns.index(vector)
+
+    def run(stream):
+        wanted = shared.value
+        for rows in stream:
+            there = rows.column(at).is_valid().to_numpy(zero_copy_only=False)
+            keep = np.ones(rows.num_rows, bool)
+            if len(wanted) and there.any():
+                mine = _matrix(rows.column(at).filter(pa.array(there)))
+                top = np.full(len(mine), -2.0)
+                for q in range(0, len(wanted), 1024):
+                    top = np.maximum(top, (mine @ wanted[q : q + 1024].T).max(axis=1))
+                keep[there] = top < least
+            yield rows.filter(pa.array(keep))
+
+    return df.mapInArrow(run, df.schema)
 
 
 def token_search(docs: DataFrame, queries: DataFrame, doc_id: str, text: str, query_id: str, query: str, k: int) -> DataFrame:

@@ -69,7 +69,7 @@ SELECT doc_id, item_id FROM (SELECT doc_id, regexp_replace(text, '[ \\t\\n\\r]+'
 WHERE contains(s, k)
 """)
 def squashed_contains(spark, sf, most=100_000):
-    """Passages that a document holds whole, white space ignored; beyond ``most`` anchors an equi-join on 12-grams."""
+    """Passages that a document holds whole, white space ignored; beyond ``most`` anchors a hash join on the anchors."""
     b = table(spark, sf, "benchmark").select("item_id", F.regexp_replace("text", "[ \\t\\n\\r]+", "").alias("k"))
     d = table(spark, sf, "documents").select("doc_id", F.regexp_replace("text", "[ \\t\\n\\r]+", "").alias("s"))
     # anchors: the passage's first 12 characters, or all of a shorter one, must begin at some place; places are exploded once per document
@@ -79,8 +79,10 @@ def squashed_contains(spark, sf, most=100_000):
         found = d.join(F.broadcast(keys), F.contains("s", F.col("k")))
     else:
         sizes = ", ".join(str(r.n) for r in keys.where("a is not null").select(F.length("a").alias("n")).distinct().collect())
-        places = d.select("doc_id", "s", F.explode(F.expr(f"flatten(transform(array({sizes}), n -> transform(sequence(1, greatest(length(s) - n + 1, 1)), i -> substr(s, i, n))))")).alias("a")).distinct()
-        found = places.join(keys, "a").where(F.contains("s", F.col("k")))
+        places = d.select("doc_id", F.explode(F.expr(f"flatten(transform(array({sizes}), n -> transform(sequence(1, greatest(length(s) - n + 1, 1)), i -> substr(s, i, n))))")).alias("a")).distinct()
+        # places carry no text: it meets the few pairs whose anchors agree
+        pairs = places.join(keys.select("a", "item_id"), "a").select("doc_id", "item_id").distinct()
+        found = pairs.join(keys.select("item_id", "k"), "item_id").join(d, "doc_id").where(F.contains("s", F.col("k")))
     return found.select("doc_id", "item_id").distinct()
 
 
