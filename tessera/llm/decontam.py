@@ -4,8 +4,8 @@ Texts are compared in lower case with white space made single spaces.  A passage
 characters leaks if some region of the document is within e = floor(edit_rate L) edits
 of the whole passage.  Such a region shares at least L - q + 1 - q e q-grams with it, all
 on diagonals (document position less passage position) that span at most e.  So shared
-q-grams are counted in overlapping bands of 2 (e + 1) diagonals; only bands that meet the
-bound are kept, and each is verified by an edit-distance alignment confined to the band
+q-grams are counted in overlapping bands of 2 (e + 1) diagonals, each q-gram of the passage
+once; only bands that meet the bound are kept, and each is verified by an edit-distance alignment confined to the band
 and e diagonals either side.  q is 8, or less for passages too short for the bound.
 
 The benchmark is a query set: it is taken in blocks of at most BLOCK_CHARS characters, each
@@ -52,21 +52,13 @@ def _codes(text: str) -> np.ndarray:
 
 def _folded(codes: np.ndarray) -> np.ndarray:
     """Eight bits a character; wide ones are folded, which only adds candidates."""
-    return (codes ^ codes >> np.uint32(8) ^ codes >> np.uint32(16)).astype(U64) & U64(0xFF)
+    return (codes ^ codes >> np.uint32(8) ^ codes >> np.uint32(16)).astype(np.uint8)
 
 
 def _grams(folded: np.ndarray, q: int) -> np.ndarray:
     """The q-grams at every position, as 8 q bits."""
-    out, have = folded, 1
-    while have < q:
-        step = min(have, q - have)
-        out = out[: len(out) - step] | folded_shift(out, step)
-        have += step
-    return out
-
-
-def folded_shift(grams: np.ndarray, step: int) -> np.ndarray:
-    return grams[step:] << U64(8 * step)
+    eight = np.ndarray((max(0, len(folded) - q + 1),), "<u8", np.concatenate((folded, np.zeros(8, np.uint8))), strides=(1,))
+    return eight if q == 8 else eight & U64((1 << 8 * q) - 1)
 
 
 def bound(length: int, edit_rate: float, q: int = Q) -> tuple[int, int, int]:
@@ -135,7 +127,9 @@ class Index:
 
     @staticmethod
     def _slot(grams: np.ndarray) -> np.ndarray:
-        return ((grams * U64(P.MULT_A)) >> U64(44)).astype(np.int64)
+        slots = grams * U64(P.MULT_A)
+        slots >>= U64(44)
+        return slots.view(np.int64)
 
     def candidates(self, codes: np.ndarray):
         """(item, first diagonal, last diagonal) of every band that meets its bound."""
@@ -157,15 +151,21 @@ class Index:
             items = item[which]
             step = self.edits[items] + 1
             band = (np.repeat(at, many) - place[which] + (1 << 24)) // step
-            keys, counts = np.unique(items.astype(np.int64) << 40 | band, return_counts=True)
-            both = counts.copy()
-            next_one = np.flatnonzero(keys[1:] == keys[:-1] + 1)
-            both[next_one] += counts[next_one + 1]
+            keys = items.astype(np.int64) << 40 | band
+            order = np.argsort(keys, kind="stable")
+            keys = keys[order]
+            starts = np.flatnonzero(np.concatenate(([True], keys[1:] != keys[:-1])))
+            ends, keys = np.append(starts[1:], len(keys)), keys[starts]
+            next_one = np.concatenate((keys[1:] == keys[:-1] + 1, [False]))
+            upto = np.where(next_one, np.append(ends[1:], 0), ends)
             items = keys >> 40
-            good = both >= self.need[items]
-            for k, b in zip(items[good].tolist(), (keys[good] & (1 << 40) - 1).tolist(), strict=True):
+            for j in np.flatnonzero(upto - starts >= self.need[items]).tolist():
+                k = int(items[j])
+                # a q-gram of the passage counts once, however often the document repeats it
+                if len(np.unique(place[which[order[starts[j] : upto[j]]]])) < self.need[k]:
+                    continue
                 s = int(self.edits[k]) + 1
-                low = -(-(b * s - (1 << 24)) // 1)
+                low = int(keys[j] & (1 << 40) - 1) * s - (1 << 24)
                 yield k, low, low + 2 * s - 1
 
     def leaks(self, text: str, codes: np.ndarray) -> list[dict]:
