@@ -21,7 +21,9 @@ of copies is one fingerprint to the index whatever its size.
 
 Edge cases: a null text has no words; no words give fingerprint 0, which links like any
 other; one or two words are one shingle; a null doc_id belongs to its component but never
-names it; equal ids are separate rows with equal results; an empty table gives no rows.
+names it; equal ids and repeated rows are separate rows, equal texts have equal results; a very
+long text is hashed in slices of 32,768 shingles; an empty table gives no rows; other columns
+are ignored, whatever their names.
 """
 
 from __future__ import annotations

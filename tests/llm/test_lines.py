@@ -86,3 +86,27 @@ def test_ten_sites_on_one_register(spark):
     ten = next(v for v in found.values() if len(v) >= 10)[:10]
     rows = [(i, f"the shared line\nown {i}", s) for i, s in enumerate(ten)] + [(10 + i, f"a line of nine\nown {i}", s) for i, s in enumerate(ten[:9])]
     assert result(lines.spread_dedup(spark.createDataFrame(rows, schema).repartition(3), 10)) == brute(rows, 10)
+
+
+def test_blank_batches_and_the_threshold(spark):
+    """Batches without a word; 1,000 lines on exactly nine, ten and eleven sites, each decided exactly."""
+    blank = spark.createDataFrame([(1, None, "a"), (2, "\n \n", "b")], "doc_id long, text string, source string")
+    assert result(lines.spread_dedup(blank, 10)) == brute([tuple(r) for r in blank.collect()], 10)
+    rng = random.Random(12)
+    texts = {}
+    for i in range(1000):
+        for site in rng.sample(range(400), 9 + i % 3):
+            texts.setdefault(site, []).append(f"line number {i}")
+    rows = [(d, "\n".join(t), f"site{d}") for d, t in texts.items()]
+    got = result(lines.spread_dedup(spark.createDataFrame(rows, "doc_id long, text string, source string").repartition(6), 10))
+    assert got == brute(rows, 10)
+    assert sum(g[2] for g in got) == sum(9 + i % 3 - 1 for i in range(1000) if i % 3)
+
+
+def test_self_similar_lines_are_told_apart(spark):
+    s = "a"
+    while len(s) < 1024:
+        s += s.translate(str.maketrans("ab", "ba"))
+    twin = s.translate(str.maketrans("ab", "ba"))
+    rows = [(i, s if i % 2 else twin, f"site{i}") for i in range(12)]
+    assert result(lines.spread_dedup(spark.createDataFrame(rows, "doc_id long, text string, source string"), 10)) == brute(rows, 10)
