@@ -30,9 +30,99 @@ def test_twin(spark, duck, sf, name):
     assert rows([tuple(r) for r in df.collect()], df.columns) == rows(want.fetchall(), list(want.columns))
 
 
-@pytest.mark.parametrize("name", sorted(set(plans.QUERIES) - set(plans.ORACLES)))
-def test_runs(spark, sf, name):
-    assert plans.QUERIES[name](spark, sf).count() >= 0
+def test_untwinned_are_few():
+    assert set(plans.QUERIES) - set(plans.ORACLES) == {"grf4_change_groups", "grf7_backbone", "grf8_longest_path", "jon4_merge_report"}
+
+
+def _find(label, x):
+    while label[x] != x:
+        x = label[x]
+    return x
+
+
+def test_change_groups_against_python(spark, sf):
+    lines = spark.read.parquet(f"{sf}/lineitem.parquet").select("l_partkey", "l_suppkey", "l_returnflag").collect()
+    files = {}
+    for r in lines:
+        if r.l_returnflag == "R":
+            files.setdefault(r.l_suppkey, set()).add(r.l_partkey)
+    nodes = set().union(*files.values())
+    label = {x: x for x in nodes}
+    pairs = [(min(f), x) for f in files.values() for x in f] + [(r.l_partkey, r.l_partkey + 1) for r in lines if {r.l_partkey, r.l_partkey + 1} <= nodes]
+    for a, b in pairs:
+        a, b = _find(label, a), _find(label, b)
+        label[max(a, b)] = min(a, b)
+    assert {r.node: r.group for r in plans.QUERIES["grf4_change_groups"](spark, sf).collect()} == {x: _find(label, x) for x in nodes}
+
+
+def test_backbone_against_python(spark, sf):
+    """The tree has the weight of Prim's, one edge less than its nodes, and the rest are the heavy edges."""
+    rows = plans.QUERIES["grf7_backbone"](spark, sf).collect()
+    s = {r.s_suppkey: r.s_nationkey for r in spark.read.parquet(f"{sf}/supplier.parquet").collect()}
+    weight = {}
+    for r in spark.read.parquet(f"{sf}/lineitem.parquet").collect():
+        if r.l_suppkey in s:
+            e = (s[r.l_suppkey], r.l_partkey % 40 + 100)
+            weight[e] = weight.get(e, 0) + r.l_quantity
+    near = {}
+    for (a, b), w in weight.items():
+        near.setdefault(a, []).append((w, b))
+        near.setdefault(b, []).append((w, a))
+    total, trees, left, top = 0, 0, set(near), max(weight.values())
+    while left:
+        seen = {min(left)}
+        while True:
+            best = max(((w, y) for x in seen for w, y in near[x] if y not in seen), default=None)
+            if best is None:
+                break
+            total, seen = total + best[0], seen | {best[1]}
+        left, trees = left - seen, trees + 1
+    assert sum(r.w for r in rows if r.tree) == pytest.approx(total) and sum(r.tree for r in rows) == len(near) - trees
+    if trees == 1:
+        assert {(r.a, r.b) for r in rows} >= {e for e, w in weight.items() if w >= 0.3 * top}
+
+
+def test_longest_path_against_python(spark, sf):
+    """Ranks are longest distances over the edges that a sorted depth-first walk leaves."""
+    got = {r.node: r["rank"] for r in plans.QUERIES["grf8_longest_path"](spark, sf).collect()}
+    after = {}
+    for r in spark.read.parquet(f"{sf}/supplier.parquet").collect():
+        a, b = r.s_nationkey % 9, r.s_suppkey % 13
+        after.setdefault(b, set())
+        after.setdefault(a, set())
+        if a != b:
+            after[a].add(b)
+    state, forward = {}, {}
+
+    def walk(x):
+        state[x] = 1
+        for y in sorted(after[x]):
+            if state.get(y) != 1:
+                forward.setdefault(x, set()).add(y)
+                if y not in state:
+                    walk(y)
+        state[x] = 2
+
+    for x in sorted(after):
+        if x not in state and after[x] | {y for ys in after.values() for y in ys if y == x}:
+            walk(x)
+    into = {}
+    for x, ys in forward.items():
+        for y in ys:
+            into.setdefault(y, set()).add(x)
+
+    def rank(x):
+        return 1 + max(rank(y) for y in into[x]) if x in into else 0
+
+    assert got == {x: rank(x) for x in got} and len(got) > 5
+
+
+def test_merge_report_against_parts(spark, sf):
+    """No finding is lost or doubled but by folding: every row is a reviewer's or an unmatched scanner's."""
+    rows = plans.QUERIES["jon4_merge_report"](spark, sf).collect()
+    assert rows and {r.source for r in rows} <= {"sast_confirmed", "sast_only", "llm_judged"}
+    keys = [(r.pos, r.source) for r in rows if "pos" in rows[0].asDict()]
+    assert len({r.source for r in rows}) > 1 and len(keys) in (0, len(rows))
 
 
 def test_entry(spark):
