@@ -7,11 +7,13 @@
    differ in at most three bits; those that also differ in at most LIMIT of 128 other bits
    are candidates.  Bits of two sets of similarity 0.8 differ with chance 0.15, so one
    fingerprint finds the pair with chance 0.26 and all sixteen with 0.99; at 0.85 with 0.9996.
-3. Candidates form groups.  In a group every set is compared on the whole sets with those of
-   other parts whose sketches differ in at most NEAR bits, nearest first, four times as many
-   in each round; compared sets of the similarity become one part.  The rounds end when all
-   such pairs are compared or in one part.  A large group of near copies thus costs a few
-   comparisons a member, as its members soon are one part, and no near pair is left out.
+3. Candidates form groups.  In a group every set is compared on the whole sets with the sets
+   of other parts whose sketches differ in at most NEAR bits, first with its 2 nearest, then
+   with its 8 nearest; compared sets of the similarity become one part.  Where near sets of
+   other parts are left, the group is dealt into blocks of about BLOCK sets, and each pair of
+   blocks compares all that is left, nearest first.  A large group of near copies is soon one
+   part and costs a few comparisons a member; in a group of many sets just below the
+   similarity all near pairs are compared, a set being sent once a block and not once a pair.
 
 Edge cases: a null text has no words; texts without words are copies of each other; fewer
 than five words are one shingle; a very long text is one set, worked on whole; a null doc_id
@@ -38,8 +40,11 @@ SKETCH = 8
 #: Bits of the sketch's first 128 in which candidates may differ: 4 standard deviations above the mean at similarity 0.8.
 LIMIT = 36
 
-#: Bits of the whole sketch in which compared sets may differ: 5 standard deviations above the mean at similarity 0.8.
-NEAR = 120
+#: Bits of the whole sketch in which compared sets may differ: 3.7 standard deviations above the mean at similarity 0.8.
+NEAR = 108
+
+#: Sets of a block where a group's remaining pairs are compared block by block.
+BLOCK = 256
 
 _WORDS = [f"s{i}" for i in range(SKETCH)]
 
@@ -134,9 +139,7 @@ def _verified(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
         for batch in stream:
             keep = []
             for x, y in zip(batch.column("x"), batch.column("y"), strict=True):
-                u, v = np.frombuffer(x.as_buffer(), "<u8"), np.frombuffer(y.as_buffer(), "<u8")
-                both = len(np.intersect1d(u, v, assume_unique=True))
-                keep.append(100 * both >= percent * (len(u) + len(v) - both))
+                keep.append(_alike(np.frombuffer(x.as_buffer(), "<u8"), np.frombuffer(y.as_buffer(), "<u8"), percent))
             yield batch.select(["a", "b"]).filter(pa.array(keep, pa.bool_()))
 
     x = sets.select(F.col("sid").alias("a"), F.col("n").alias("na"), F.col("members").alias("x"))
@@ -150,11 +153,58 @@ def candidate_links(sets: DataFrame) -> DataFrame:
     return simhash.word_links(sets, "sid", _WORDS, LIMIT)
 
 
+def _alike(u: np.ndarray, v: np.ndarray, percent: int) -> bool:
+    both = len(np.intersect1d(u, v, assume_unique=True))
+    return 100 * both >= percent * (len(u) + len(v) - both)
+
+
+def _by_blocks(live: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
+    """Verified pairs (a, b) that join different roots of (key, sid, root, _WORDS): all near pairs of a group, block by block."""
+    sizes = live.groupBy("key").agg(F.ceil(F.count(F.lit(1)) / BLOCK).cast("int").alias("blocks"))
+    dealt = live.join(sizes, "key").withColumn("block", F.pmod(F.xxhash64("sid", F.lit(7)), F.col("blocks")).cast("int"))
+    dealt = dealt.join(sets.select("sid", "members"), "sid").withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
+    dealt = dealt.select("key", F.least("block", "other").alias("low"), F.greatest("block", "other").alias("high"), "block", "sid", "root", *_WORDS, "members")
+
+    def run(table: pa.Table) -> pa.Table:
+        block, sid, root = (table.column(c).to_numpy() for c in ("block", "sid", "root"))
+        bits = np.stack([table.column(w).to_numpy() for w in _WORDS], axis=1).view(U64)
+        members = [np.frombuffer(x.as_buffer(), "<u8") for x in table.column("members")]
+        n = np.array([len(m) for m in members], np.int64)
+        low, high = table.column("low")[0].as_py(), table.column("high")[0].as_py()
+        found_i, found_j, found_d = [], [], []
+        for i in range(len(sid)):  # a row at a time: one block's width of distances
+            j = np.arange(i + 1, len(sid)) if low == high else np.flatnonzero(block == high) if block[i] == low else np.zeros(0, np.int64)
+            j = j[root[j] != root[i]]
+            d = np.bitwise_count(bits[j] ^ bits[i]).sum(axis=1, dtype=np.int64)
+            near = (d <= NEAR) & (100 * np.minimum(n[j], n[i]) >= percent * np.maximum(n[j], n[i]))
+            found_i.append(np.full(int(near.sum()), i))
+            found_j.append(j[near])
+            found_d.append(d[near])
+        i, j, d = (np.concatenate([*x, np.zeros(0, np.int64)]) for x in (found_i, found_j, found_d))
+        parent = {r: r for r in root.tolist()}
+
+        def top(r):
+            while parent[r] != r:
+                parent[r] = r = parent[parent[r]]
+            return r
+
+        a, b = [], []
+        for k in np.argsort(d, kind="stable").tolist():
+            x, y = int(i[k]), int(j[k])
+            p, q = top(int(root[x])), top(int(root[y]))
+            if p != q and _alike(members[x], members[y], percent):
+                parent[p] = q
+                a.append(int(sid[x]))
+                b.append(int(sid[y]))
+        return pa.table({"a": pa.array(a, pa.int64()), "b": pa.array(b, pa.int64())})
+
+    return dealt.groupBy("key", "low", "high").applyInArrow(run, "a long, b long")
+
+
 def _parts(groups: DataFrame, sets: DataFrame, percent: int, folder: str) -> DataFrame | None:
     """(node, component) of the sets that verified pairs join, among members (key, sid, _WORDS) of candidate groups."""
-    spark = groups.sparkSession
     live, edges, parts = groups, None, None
-    for turn in range(40):
+    for turn, most in enumerate((2, 8, None)):
         if parts is None:
             rows = live.withColumn("root", F.col("sid"))
         else:
@@ -164,23 +214,22 @@ def _parts(groups: DataFrame, sets: DataFrame, percent: int, folder: str) -> Dat
         live = P.saved(rows.join(open_, "key", "left_semi"), f"{at}-live")
         if live.isEmpty():
             return parts
-        p, q = live.alias("p"), live.alias("q")
-        apart = sum((F.bit_count(F.col(f"p.{w}").bitwiseXOR(F.col(f"q.{w}"))) for w in _WORDS), F.lit(0))
-        near = p.join(q, (F.col("p.key") == F.col("q.key")) & (F.col("p.root") != F.col("q.root")) & (apart <= NEAR)).select(F.col("p.sid").alias("x"), F.col("q.sid").alias("y"), apart.alias("d"))
-        most = 2 * 4**turn
-        rank = F.row_number().over(Window.partitionBy("x").orderBy("d", "y"))
-        ranked = P.saved(near.withColumn("n", rank).where(F.col("n") <= most + 1), f"{at}-near")  # one more tells whether any is left
-        tied = ranked.where(F.col("n") <= most).select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")).distinct()
-        found = P.saved(_verified(tied, sets, percent), f"{at}-edges")
+        if most is None:
+            found = P.saved(_by_blocks(live, sets, percent), f"{at}-edges")
+        else:
+            p, q = live.alias("p"), live.alias("q")
+            apart = sum((F.bit_count(F.col(f"p.{w}").bitwiseXOR(F.col(f"q.{w}"))) for w in _WORDS), F.lit(0))
+            near = p.join(q, (F.col("p.key") == F.col("q.key")) & (F.col("p.root") != F.col("q.root")) & (apart <= NEAR)).select(F.col("p.sid").alias("x"), F.col("q.sid").alias("y"), apart.alias("d"))
+            rank = F.row_number().over(Window.partitionBy("x").orderBy("d", "y"))
+            ranked = P.saved(near.withColumn("n", rank).where(F.col("n") <= most + 1), f"{at}-near")  # one more tells whether any is left
+            tied = ranked.where(F.col("n") <= most).select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")).distinct()
+            found = P.saved(_verified(tied, sets, percent), f"{at}-edges")
         edges = found if edges is None else edges.unionAll(found)
         parts = P.saved(connected_components(edges), f"{at}-parts")
-        if ranked.where(F.col("n") > most).isEmpty():
+        if most is None or ranked.where(F.col("n") > most).isEmpty():
             return parts
         live = live.drop("root")
-        if turn > 1:
-            for name in ("live", "near", "parts"):
-                P.discard(spark, f"{folder}/round-{turn - 2}-{name}")
-    raise RuntimeError("groups did not settle")
+    return parts
 
 
 def _row_keys(docs: DataFrame) -> list:

@@ -126,3 +126,21 @@ def test_stage(spark, name):
     docs = spark.read.parquet(f"{sf}/documents.parquet")
     want = {d for d, c in brute([(r.doc_id, r.text) for r in docs.collect()]) if d == c}
     assert {r.doc_id for r in corpus_pipeline.near_dedup(spark, docs, sf).collect()} == want
+
+
+def test_many_just_below(spark, monkeypatch):
+    """A group whose pairs lie around the similarity is compared block by block, to the same groups as brute force."""
+    monkeypatch.setattr(similar, "BLOCK", 16)
+    rng = random.Random(11)
+    seed = [f"w{rng.randrange(5000)}" for _ in range(150)]
+    rows = []
+    for i in range(140):
+        copy = list(seed)
+        for _ in range(rng.randrange(2, 7)):
+            copy[rng.randrange(150)] = f"v{rng.randrange(10**6)}"
+        rows.append((i, " ".join(copy)))
+    blocks = []
+    whole = similar._by_blocks
+    monkeypatch.setattr(similar, "_by_blocks", lambda *a: blocks.append(1) or whole(*a))
+    assert result(spark, rows) == brute(rows)
+    assert blocks
