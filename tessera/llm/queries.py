@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, decontam, extract, lines, lm, quality, simhash, sql, substring, toxicity
+from . import bpe, decontam, divergence, extract, lines, lm, quality, simhash, sql, substring, toxicity
 
 #: The vocabulary of op1; its path is a parameter of the operator.
 RANKS = "byte_bpe_multi_50k.tiktoken"
@@ -95,6 +95,11 @@ def op10_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
 
 
+def op11_source_divergence(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Divergence of every two sources of a language, and each source's ten most telling terms."""
+    return divergence.divergence(_documents(spark, sf_dir).select("lang", "source", "text"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_bpe": op1_bpe,
     "op2_html_extraction": op2_html_extraction,
@@ -106,9 +111,11 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_quality_rules": op8_quality_rules,
     "op9_line_dedup": op9_line_dedup,
     "op10_simhash": op10_simhash,
+    "op11_source_divergence": op11_source_divergence,
 }
 
 ORACLES: dict[str, str] = {
     "op8_quality_rules": sql.QUALITY,
     "op9_line_dedup": sql.LINES,
+    "op11_source_divergence": sql.DIVERGENCE,
 }

@@ -71,3 +71,41 @@ SELECT doc_id, count(*) FILTER (t <> '') AS n_lines, count(*) FILTER (is_wide AN
   sha256(coalesce(string_agg(line, chr(10) ORDER BY i) FILTER (NOT (is_wide AND rn > 1)), '')) AS kept_sha256
 FROM placed GROUP BY rid, doc_id
 """
+
+_SHARE = "1 + (1000000000::HUGEINT * ({n} + 2)) // ({total} + 2 * {terms})"
+_GAP = "((({p} - {q}) * ({p} - {q})) // ({p} + {q}))"
+
+#: Every group against every kept term of its language, no inclusion and exclusion.
+DIVERGENCE = rf"""
+WITH d AS (
+  SELECT row_number() OVER () AS rid, coalesce(lang, '') AS lang, coalesce(source, '') AS source,
+    regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x40\x5B-\x60\x7B-\x7F]+') AS ts FROM documents
+), t AS (
+  SELECT rid, lang, source, term, count(*) AS n FROM (SELECT rid, lang, source, unnest(ts) AS term FROM d) GROUP BY ALL
+), kept AS (
+  SELECT lang, term FROM t GROUP BY lang, term HAVING count(*) >= 10
+), c AS (
+  SELECT lang, source, term, sum(n) AS n FROM t JOIN kept USING (lang, term) GROUP BY ALL
+), full_counts AS (
+  SELECT g.lang, g.source, k.term, coalesce(c.n, 0) AS n
+  FROM (SELECT DISTINCT lang, source FROM d) g JOIN kept k USING (lang) LEFT JOIN c USING (lang, source, term)
+), p AS (
+  SELECT lang, source, term, n, {_SHARE.format(n="n", total="sum(n) OVER g", terms="count(*) OVER g")} AS p
+  FROM full_counts WINDOW g AS (PARTITION BY lang, source)
+), q AS (
+  SELECT lang, term, {_SHARE.format(n="n", total="sum(n) OVER g", terms="count(*) OVER g")} AS q
+  FROM (SELECT lang, term, sum(n) AS n FROM c GROUP BY ALL) WINDOW g AS (PARTITION BY lang)
+), pairs AS (
+  SELECT a.lang, a.source, 'pair' AS part, b.source AS item, coalesce(v, 0) AS value
+  FROM (SELECT DISTINCT lang, source FROM d) a JOIN (SELECT DISTINCT lang, source FROM d) b ON a.lang = b.lang AND a.source <> b.source
+  LEFT JOIN (
+    SELECT x.lang, x.source, y.source AS item, sum({_GAP.format(p="x.p", q="y.p")}) AS v
+    FROM p x JOIN p y ON x.lang = y.lang AND x.term = y.term AND x.source <> y.source GROUP BY ALL
+  ) s ON s.lang = a.lang AND s.source = a.source AND s.item = b.source
+), terms AS (
+  SELECT p.lang, p.source, 'term' AS part, term AS item, {_GAP.format(p="p", q="q")} AS value FROM p JOIN q USING (lang, term) WHERE n > 0 AND p > q
+)
+SELECT lang, source, part, item, value::BIGINT AS value, rank::INTEGER AS rank FROM (
+  SELECT *, row_number() OVER (PARTITION BY lang, source, part ORDER BY value DESC, item) AS rank FROM (FROM pairs UNION ALL FROM terms)
+) WHERE part = 'pair' OR rank <= 10
+"""
