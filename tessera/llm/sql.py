@@ -109,3 +109,34 @@ SELECT lang, source, part, item, value::BIGINT AS value, rank::INTEGER AS rank F
   SELECT *, row_number() OVER (PARTITION BY lang, source, part ORDER BY value DESC, item) AS rank FROM (FROM pairs UNION ALL FROM terms)
 ) WHERE part = 'pair' OR rank <= 10
 """
+
+#: CRC-32 of a decimal number, byte by byte and bit by bit.
+_CRC = "xor(list_reduce([4294967295] || flatten(list_transform(string_split({x}::VARCHAR, ''), lambda c: [ascii(c)::BIGINT, -1, -1, -1, -1, -1, -1, -1, -1])), lambda a, b: CASE WHEN b >= 0 THEN xor(a, b) ELSE xor(a >> 1, (a & 1) * 3988292384) END), 4294967295)"
+
+#: Every prefix as the list of its turns; subtrees by all ancestors of every node.
+PREFIXES = f"""
+WITH t AS (
+  SELECT conv_id, turn, coalesce(role, '') AS role, coalesce(text, '') AS text FROM conversations WHERE conv_id IS NOT NULL
+), c AS (
+  SELECT conv_id, list({{'role': role, 'text': text}} ORDER BY turn NULLS FIRST, sha256(length(role) || ':' || role || text)) AS own, {_CRC.format(x="conv_id")} % 9 AS h FROM t GROUP BY conv_id
+), r AS (
+  SELECT c.conv_id, coalesce(b.own[1:c.h], []) || c.own[c.h + 1:] AS turns FROM c LEFT JOIN c b ON b.conv_id = c.conv_id - c.conv_id % 5
+), x AS (
+  SELECT conv_id, d AS depth, turns[1:d] AS p, d = len(turns) AS is_end FROM (SELECT *, unnest(generate_series(0, len(turns))) AS d FROM r)
+), n AS (
+  SELECT depth, p, min(conv_id) AS conv_id, count(*) AS n_convs, (count(*) - 1) * CASE WHEN depth = 0 THEN 0 ELSE strlen(p[-1].text) END AS saves,
+    sha256(coalesce(string_agg(conv_id::VARCHAR, ',' ORDER BY conv_id) FILTER (is_end), '')) AS ends_sha256
+  FROM x GROUP BY depth, p
+), k AS (
+  SELECT n.*, m.conv_id AS parent_conv_id, count(*) OVER (PARTITION BY n.depth, m.p) AS siblings, m.p AS up
+  FROM n LEFT JOIN n m ON m.depth = n.depth - 1 AND m.p = n.p[1:n.depth - 1]
+), children AS (
+  SELECT depth - 1 AS depth, up AS p, count(*) AS n_children FROM k WHERE depth > 0 GROUP BY ALL
+), full_nodes AS (
+  SELECT k.*, coalesce(n_children, 0) AS n_children FROM k LEFT JOIN children USING (depth, p)
+), below AS (
+  SELECT a AS depth, p[1:a] AS p, sum(saves) AS saved_tokens, count(*) FILTER (n_children = 0) AS n_leaves
+  FROM (SELECT *, unnest(generate_series(0, depth)) AS a FROM full_nodes) GROUP BY ALL
+)
+SELECT conv_id, depth::BIGINT AS depth, parent_conv_id, n_convs, n_children, n_leaves, saved_tokens::BIGINT AS saved_tokens, ends_sha256 FROM full_nodes JOIN below USING (depth, p)
+"""
