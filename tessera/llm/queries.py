@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, decontam, divergence, extract, lines, lm, prefixes, quality, simhash, sql, substring, toxicity
+from . import bpe, decontam, divergence, extract, lines, lm, minhash, prefixes, quality, simhash, sql, substring, toxicity
 
 #: The vocabulary of op1; its path is a parameter of the operator.
 RANKS = "byte_bpe_multi_50k.tiktoken"
@@ -100,6 +100,11 @@ def op11_source_divergence(spark: SparkSession, sf_dir: str) -> DataFrame:
     return divergence.divergence(_documents(spark, sf_dir).select("lang", "source", "text"))
 
 
+def op12_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Components of the links at a five-word similarity of 0.85 or more."""
+    return minhash.near_duplicates(_documents(spark, sf_dir), percent=85, words=5)
+
+
 def op13_prefix_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every node of the trie of rebuilt conversations."""
     return prefixes.prefix_trie(spark.read.parquet(f"{sf_dir}/conversations.parquet"))
@@ -117,6 +122,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op9_line_dedup": op9_line_dedup,
     "op10_simhash": op10_simhash,
     "op11_source_divergence": op11_source_divergence,
+    "op12_minhash": op12_minhash,
     "op13_prefix_trie": op13_prefix_trie,
 }
 
@@ -124,5 +130,6 @@ ORACLES: dict[str, str] = {
     "op8_quality_rules": sql.QUALITY,
     "op9_line_dedup": sql.LINES,
     "op11_source_divergence": sql.DIVERGENCE,
+    "op12_minhash": sql.NEAR,
     "op13_prefix_trie": sql.PREFIXES,
 }

@@ -140,3 +140,25 @@ WITH t AS (
 )
 SELECT conv_id, depth::BIGINT AS depth, parent_conv_id, n_convs, n_children, n_leaves, saved_tokens::BIGINT AS saved_tokens, ends_sha256 FROM full_nodes JOIN below USING (depth, p)
 """
+
+#: All pairs that share a shingle, then the closure of the links.
+NEAR = rf"""
+WITH RECURSIVE d AS (
+  SELECT row_number() OVER () AS rid, doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '{WORD}') AS ws FROM documents
+), g AS (
+  SELECT DISTINCT rid, array_to_string(ws[i:i + 4], ' ') AS gram FROM (SELECT rid, ws, unnest(generate_series(1, greatest(len(ws) - 4, 1))) AS i FROM d WHERE len(ws) > 0)
+), n AS (
+  SELECT rid, count(*) AS n FROM g GROUP BY rid
+), common AS (
+  SELECT x.rid AS a, y.rid AS b, count(*) AS m FROM g x JOIN g y ON x.gram = y.gram AND x.rid < y.rid GROUP BY ALL
+), link AS (
+  SELECT a, b FROM common JOIN n p ON p.rid = a JOIN n q ON q.rid = b WHERE 100 * m >= 85 * (p.n + q.n - m)
+), way AS (
+  SELECT a, b FROM link UNION ALL SELECT b, a FROM link
+), reach(rid, r) AS (
+  SELECT rid, rid FROM d UNION SELECT rid, b FROM reach JOIN way ON r = a
+), part AS (
+  SELECT reach.rid, min(o.doc_id) AS component_id FROM reach JOIN d o ON o.rid = reach.r GROUP BY reach.rid
+)
+SELECT doc_id, coalesce(n.n, 0)::BIGINT AS n_shingles, component_id, doc_id IS NOT DISTINCT FROM component_id AS kept FROM d JOIN part USING (rid) LEFT JOIN n USING (rid)
+"""
