@@ -7,13 +7,9 @@
    differ in at most three bits; those that also differ in at most LIMIT of 128 other bits
    are candidates.  Bits of two sets of similarity 0.8 differ with chance 0.15, so one
    fingerprint finds the pair with chance 0.26 and all sixteen with 0.99; at 0.85 with 0.9996.
-3. Candidates form groups.  In a group every set is compared on the whole sets with the sets
-   of other parts whose sketches differ in at most NEAR bits, first with its 2 nearest, then
-   with its 8 nearest; compared sets of the similarity become one part.  Where near sets of
-   other parts are left, the group is dealt into blocks of about BLOCK sets, and each pair of
-   blocks compares all that is left, nearest first.  A large group of near copies is soon one
-   part and costs a few comparisons a member; in a group of many sets just below the
-   similarity all near pairs are compared, a set being sent once a block and not once a pair.
+3. Candidates form groups, and every pair of a group is settled on the whole sets
+   (``shingles.linked_parts``): a dense group in a few rounds of a fixed number of comparisons a
+   member, what nothing links by a sweep of blocks.
 
 Edge cases: a null text has no words; texts without words are copies of each other; fewer
 than five words are one shingle; a very long text is one set, worked on whole; a null doc_id
@@ -25,11 +21,12 @@ from __future__ import annotations
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..operators.graph import connected_components
 from . import packed as P
+from . import shingles as S
 from . import simhash
 
 U64 = np.uint64
@@ -40,44 +37,12 @@ SKETCH = 8
 #: Bits of the sketch's first 128 in which candidates may differ: 4 standard deviations above the mean at similarity 0.8.
 LIMIT = 36
 
-#: Bits of the whole sketch in which compared sets may differ: 3.7 standard deviations above the mean at similarity 0.8.
-NEAR = 108
-
-#: Sets of a block where a group's remaining pairs are compared block by block.
-BLOCK = 256
-
 _WORDS = [f"s{i}" for i in range(SKETCH)]
 
 #: Each byte's bits as eight lanes of a 64-bit number.
 _LANES = np.unpackbits(np.arange(256, dtype=np.uint8)[:, None], axis=1, bitorder="little").view("<u8")[:, 0].astype(U64)
 
 
-def shingle_sets(texts: pa.Array, words: int) -> tuple[np.ndarray, np.ndarray]:
-    """The sorted distinct shingle hashes of each text, one after another, and the n+1 cuts between texts."""
-    w = P.Words(*P.utf8(texts), lower=True)
-    counts, owners, hashes = w.counts(), w.doc_of(), w.hashes()
-    pos, made = P.rolling(hashes, w.first, words)
-    owner = [owners[pos]]
-    made = [made]
-    for n in np.unique(counts[(counts > 0) & (counts < words)]):
-        pos, short = P.rolling(hashes, w.first, int(n))
-        mine = counts[owners[pos]] == n
-        owner.append(owners[pos][mine])
-        made.append(short[mine])
-    owner, made = np.concatenate(owner), np.concatenate(made)
-    order = np.lexsort((made, owner))
-    owner, made = owner[order], made[order]
-    new = np.ones(len(made), bool)
-    new[1:] = (made[1:] != made[:-1]) | (owner[1:] != owner[:-1])
-    return made[new], np.searchsorted(owner[new], np.arange(len(counts) + 1))
-
-
-def set_ids(hashes: np.ndarray, cuts: np.ndarray) -> np.ndarray:
-    """A 64-bit id of each set."""
-    sums = np.concatenate((np.zeros(1, U64), np.cumsum(P.mix(hashes + U64(P.MULT_A)), dtype=U64)))
-    return P.mix(sums[cuts[1:]] - sums[cuts[:-1]] + np.diff(cuts).astype(U64))
-
-
 def sketches(hashes: np.ndarray, cuts: np.ndarray) -> np.ndarray:
     """SKETCH words a set: a bit is 1 if it is in over half the set's hashes under that word's seed."""
     sizes = np.diff(cuts)
@@ -111,127 +76,18 @@ def _signed(rows: DataFrame, words: int) -> DataFrame:
     def run(stream):
         for batch in stream:
             for part in P.pieces(batch, "text"):
-                hashes, cuts = shingle_sets(part.column("text"), words)
-                made = [set_ids(hashes, cuts), *np.ascontiguousarray(sketches(hashes, cuts).T)]
+                hashes, cuts = S.shingle_sets(part.column("text"), words)
+                made = [S.set_ids(hashes, cuts), *np.ascontiguousarray(sketches(hashes, cuts).T)]
                 yield pa.RecordBatch.from_arrays([*part.columns[:3], *(pa.array(x.view(np.int64)) for x in made)], names=["r1", "r2", "doc_id", "sid", *_WORDS])
 
     return rows.mapInArrow(run, _SIGNED)
 
 
-def _sets(texts: DataFrame, words: int) -> DataFrame:
-    """(sid, n, members) of (text)."""
-    schema = pa.schema([("sid", pa.int64()), ("n", pa.int64()), ("members", pa.binary())])
-
-    def run(stream):
-        for batch in stream:
-            for part in P.pieces(batch, "text"):
-                hashes, cuts = shingle_sets(part.column("text"), words)
-                packed = [hashes[a:b].astype("<u8").tobytes() for a, b in zip(cuts[:-1].tolist(), cuts[1:].tolist(), strict=True)]
-                yield pa.RecordBatch.from_arrays([pa.array(set_ids(hashes, cuts).view(np.int64)), pa.array(np.diff(cuts).astype(np.int64)), pa.array(packed, pa.binary())], schema=schema)
-
-    return texts.mapInArrow(run, "sid long, n long, members binary")
-
-
-def _verified(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
-    """The pairs (a, b) whose sets have at least the similarity."""
-
-    def run(stream):
-        for batch in stream:
-            keep = []
-            for x, y in zip(batch.column("x"), batch.column("y"), strict=True):
-                keep.append(_alike(np.frombuffer(x.as_buffer(), "<u8"), np.frombuffer(y.as_buffer(), "<u8"), percent))
-            yield batch.select(["a", "b"]).filter(pa.array(keep, pa.bool_()))
-
-    x = sets.select(F.col("sid").alias("a"), F.col("n").alias("na"), F.col("members").alias("x"))
-    y = sets.select(F.col("sid").alias("b"), F.col("n").alias("nb"), F.col("members").alias("y"))
-    fits = pairs.join(x, "a").join(y, "b").where(f"100 * least(na, nb) >= {percent} * greatest(na, nb)")
-    return fits.select("a", "b", "x", "y").mapInArrow(run, "a long, b long")
-
-
 def candidate_links(sets: DataFrame) -> DataFrame:
     """(a, b): a spanning forest of the candidates among (sid, _WORDS), through the Gray-order index."""
     return simhash.word_links(sets, "sid", _WORDS, LIMIT)
 
 
-def _alike(u: np.ndarray, v: np.ndarray, percent: int) -> bool:
-    both = len(np.intersect1d(u, v, assume_unique=True))
-    return 100 * both >= percent * (len(u) + len(v) - both)
-
-
-def _by_blocks(live: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
-    """Verified pairs (a, b) that join different roots of (key, sid, root, _WORDS): all near pairs of a group, block by block."""
-    sizes = live.groupBy("key").agg(F.ceil(F.count(F.lit(1)) / BLOCK).cast("int").alias("blocks"))
-    dealt = live.join(sizes, "key").withColumn("block", F.pmod(F.xxhash64("sid", F.lit(7)), F.col("blocks")).cast("int"))
-    dealt = dealt.join(sets.select("sid", "members"), "sid").withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
-    dealt = dealt.select("key", F.least("block", "other").alias("low"), F.greatest("block", "other").alias("high"), "block", "sid", "root", *_WORDS, "members")
-
-    def run(table: pa.Table) -> pa.Table:
-        block, sid, root = (table.column(c).to_numpy() for c in ("block", "sid", "root"))
-        bits = np.stack([table.column(w).to_numpy() for w in _WORDS], axis=1).view(U64)
-        members = [np.frombuffer(x.as_buffer(), "<u8") for x in table.column("members")]
-        n = np.array([len(m) for m in members], np.int64)
-        low, high = table.column("low")[0].as_py(), table.column("high")[0].as_py()
-        found_i, found_j, found_d = [], [], []
-        for i in range(len(sid)):  # a row at a time: one block's width of distances
-            j = np.arange(i + 1, len(sid)) if low == high else np.flatnonzero(block == high) if block[i] == low else np.zeros(0, np.int64)
-            j = j[root[j] != root[i]]
-            d = np.bitwise_count(bits[j] ^ bits[i]).sum(axis=1, dtype=np.int64)
-            near = (d <= NEAR) & (100 * np.minimum(n[j], n[i]) >= percent * np.maximum(n[j], n[i]))
-            found_i.append(np.full(int(near.sum()), i))
-            found_j.append(j[near])
-            found_d.append(d[near])
-        i, j, d = (np.concatenate([*x, np.zeros(0, np.int64)]) for x in (found_i, found_j, found_d))
-        parent = {r: r for r in root.tolist()}
-
-        def top(r):
-            while parent[r] != r:
-                parent[r] = r = parent[parent[r]]
-            return r
-
-        a, b = [], []
-        for k in np.argsort(d, kind="stable").tolist():
-            x, y = int(i[k]), int(j[k])
-            p, q = top(int(root[x])), top(int(root[y]))
-            if p != q and _alike(members[x], members[y], percent):
-                parent[p] = q
-                a.append(int(sid[x]))
-                b.append(int(sid[y]))
-        return pa.table({"a": pa.array(a, pa.int64()), "b": pa.array(b, pa.int64())})
-
-    return dealt.groupBy("key", "low", "high").applyInArrow(run, "a long, b long")
-
-
-def _parts(groups: DataFrame, sets: DataFrame, percent: int, folder: str) -> DataFrame | None:
-    """(node, component) of the sets that verified pairs join, among members (key, sid, _WORDS) of candidate groups."""
-    live, edges, parts = groups, None, None
-    for turn, most in enumerate((2, 8, None)):
-        if parts is None:
-            rows = live.withColumn("root", F.col("sid"))
-        else:
-            rows = live.join(parts, live.sid == parts.node, "left").select("key", "sid", *_WORDS, F.coalesce("component", "sid").alias("root"))
-        open_ = rows.groupBy("key").agg(F.min("root").alias("low"), F.max("root").alias("high")).where("low <> high").select("key")
-        at = f"{folder}/round-{turn}"
-        live = P.saved(rows.join(open_, "key", "left_semi"), f"{at}-live")
-        if live.isEmpty():
-            return parts
-        if most is None:
-            found = P.saved(_by_blocks(live, sets, percent), f"{at}-edges")
-        else:
-            p, q = live.alias("p"), live.alias("q")
-            apart = sum((F.bit_count(F.col(f"p.{w}").bitwiseXOR(F.col(f"q.{w}"))) for w in _WORDS), F.lit(0))
-            near = p.join(q, (F.col("p.key") == F.col("q.key")) & (F.col("p.root") != F.col("q.root")) & (apart <= NEAR)).select(F.col("p.sid").alias("x"), F.col("q.sid").alias("y"), apart.alias("d"))
-            rank = F.row_number().over(Window.partitionBy("x").orderBy("d", "y"))
-            ranked = P.saved(near.withColumn("n", rank).where(F.col("n") <= most + 1), f"{at}-near")  # one more tells whether any is left
-            tied = ranked.where(F.col("n") <= most).select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")).distinct()
-            found = P.saved(_verified(tied, sets, percent), f"{at}-edges")
-        edges = found if edges is None else edges.unionAll(found)
-        parts = P.saved(connected_components(edges), f"{at}-parts")
-        if most is None or ranked.where(F.col("n") > most).isEmpty():
-            return parts
-        live = live.drop("root")
-    return parts
-
-
 def _row_keys(docs: DataFrame) -> list:
     """Two 64-bit hashes over all columns: rows share them only if they are repeats."""
     columns = [F.col(c).cast("string") for c in docs.columns]
@@ -256,14 +112,10 @@ def similar_groups(docs: DataFrame, percent: int = 80, words: int = 5, text: str
         groups = P.saved(connected_components(links).select(F.col("component").alias("key"), F.col("node").alias("sid")), f"{folder}/groups")
         ids = one.join(groups, "sid", "left_semi").select("first.r1", "first.r2")
         texts = rows.join(ids, ["r1", "r2"], "left_semi").select("text")
-        sets = P.saved(_sets(texts, words).join(groups, "sid", "left_semi").dropDuplicates(["sid"]), f"{folder}/sets")
-        parts = _parts(groups.join(one, "sid").select("key", "sid", *_WORDS), sets, percent, folder)
+        sets = P.saved(S.whole_sets(texts, words).join(groups, "sid", "left_semi").dropDuplicates(["sid"]), f"{folder}/sets")
+        parts = S.linked_parts(groups, sets, percent, f"{folder}/parts")
         P.discard(spark, f"{folder}/sets")
-        rooted = one.select("sid", "first")
-        if parts is None:
-            rooted = rooted.withColumn("root", F.col("sid"))
-        else:
-            rooted = rooted.join(parts, rooted.sid == parts.node, "left").select("sid", "first", F.coalesce("component", "sid").alias("root"))
+        rooted = one.join(parts, one.sid == parts.node, "left").select("sid", "first", F.coalesce("component", "sid").alias("root"))
         named = rooted.groupBy("root").agg(F.min("first").alias("keeper"))
         by_sid = P.saved(rooted.join(named, "root").select("sid", "keeper"), f"{folder}/by-sid")
     return signed.join(by_sid, "sid").select("r1", "r2", "doc_id", "sid", "keeper")
