@@ -3,7 +3,7 @@
 import public_tokenizers
 import pytest
 
-from tessera.llm import bpe, decontam, extract, lines, lm, quality, similar, simhash, substring, toxicity
+from tessera.llm import bpe, decontam, extract, lines, lm, minhash, quality, similar, simhash, substring, toxicity
 
 NAMES = "ids decoded main_text leaks quality kept batch bucket keys fp first root component node sid r1 m v h y part c0 made0 carried n_lines score evidence salt name slot a b n_words edits".split()
 WORDS = " ".join(f"word{i} other{i * 7}" for i in range(40))
@@ -36,6 +36,7 @@ OPERATORS = {
     "quality": lambda df: quality.judge(df).select("doc_id", "quality"),
     "quality, texts dropped": lambda df: quality.judge(df, keep_text=False).select("doc_id", "quality"),
     "lines": lambda df: lines.spread_dedup(df, 2).select("doc_id", "n_lines", "n_removed", "kept"),
+    "minhash": lambda df: minhash.near_duplicates(df),
     "simhash": lambda df: simhash.near_duplicates(df),
 }
 

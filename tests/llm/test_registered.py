@@ -16,6 +16,9 @@ COLUMNS = {
     "op8_quality_rules": {"doc_id": "bigint", "n_words": "bigint", "word_chars": "bigint", "n_symbols": "bigint", "n_dup_lines": "bigint", "n_repeat_words": "bigint", "base_failed": "boolean", "kept": "boolean"},
     "op9_line_dedup": {"doc_id": "bigint", "n_removed": "bigint"},
     "op10_simhash": {"doc_id": "bigint", "fingerprint": "string", "component_id": "bigint"},
+    "op11_source_divergence": {"lang": "string", "source": "string", "part": "string", "item": "string", "value": "bigint", "rank": "int"},
+    "op12_minhash": {"doc_id": "bigint", "n_shingles": "bigint", "component_id": "bigint", "kept": "boolean"},
+    "op13_prefix_trie": {c: "string" if c == "ends_sha256" else "bigint" for c in "conv_id depth parent_conv_id n_convs n_children n_leaves saved_tokens ends_sha256".split()},
 }
 
 
@@ -26,14 +29,15 @@ def test_columns_and_rows(spark, sf, name):
     assert COLUMNS[name].items() <= kinds.items()
     n = df.count()
     source = "pages" if name.startswith("op2_") else "documents"
-    if name != "op6_decontamination":
+    if name not in ("op6_decontamination", "op11_source_divergence", "op13_prefix_trie"):
         assert n == spark.read.parquet(f"{sf}/{source}.parquet").count()
 
 
 @pytest.mark.parametrize("name", sorted(queries.ORACLES))
 def test_twin(spark, sf, name):
     con = duckdb.connect()
-    con.sql(f"create view documents as select * from '{sf}/documents.parquet'")
+    for table in ("documents", "conversations"):
+        con.sql(f"create view {table} as select * from '{sf}/{table}.parquet'")
     df, want = queries.QUERIES[name](spark, sf), con.sql(queries.ORACLES[name])
     order = sorted(df.columns)
     assert order == sorted(want.columns)

@@ -7,6 +7,7 @@ import numpy as np
 import pytest
 
 from tessera.llm import packed as P
+from tessera.llm import shingles as shingles_
 from tessera.llm import similar
 
 
@@ -130,7 +131,7 @@ def test_stage(spark, name):
 
 def test_many_just_below(spark, monkeypatch):
     """A group whose pairs lie around the similarity is compared block by block, to the same groups as brute force."""
-    monkeypatch.setattr(similar, "BLOCK", 16)
+    monkeypatch.setattr(shingles_, "BLOCK", 16)
     rng = random.Random(11)
     seed = [f"w{rng.randrange(5000)}" for _ in range(150)]
     rows = []
@@ -139,8 +140,8 @@ def test_many_just_below(spark, monkeypatch):
         for _ in range(rng.randrange(2, 7)):
             copy[rng.randrange(150)] = f"v{rng.randrange(10**6)}"
         rows.append((i, " ".join(copy)))
-    blocks = []
-    whole = similar._by_blocks
-    monkeypatch.setattr(similar, "_by_blocks", lambda *a: blocks.append(1) or whole(*a))
+    swept = []
+    whole = shingles_._swept
+    monkeypatch.setattr(shingles_, "_swept", lambda *a: swept.append(1) or whole(*a))
     assert result(spark, rows) == brute(rows)
-    assert blocks
+    assert swept
