@@ -5,8 +5,9 @@ characters leaks if some region of the document is within e = floor(edit_rate L)
 of the whole passage.  Such a region shares at least L - q + 1 - q e q-grams with it, all
 on diagonals (document position less passage position) that span at most e.  So shared
 q-grams are counted in overlapping bands of 2 (e + 1) diagonals, each q-gram of the passage
-once; only bands that meet the bound are kept, and each is verified by an edit-distance alignment confined to the band
-and e diagonals either side.  q is 8, or less for passages too short for the bound.
+once; only bands that meet the bound are kept, and each run of them is verified by an edit-distance alignment confined
+to its diagonals and e either side.  A document is searched in overlapping slices, and of a q-gram that a slice repeats
+one position a band step counts, so memory depends on the slice and the passages and not on how a text repeats itself.  q is 8, or less for passages too short for the bound.
 
 The benchmark is a query set: it is taken in blocks of at most BLOCK_CHARS characters, each
 broadcast and run against all documents in one narrow pass.  Nothing about documents is
@@ -38,6 +39,18 @@ Q = 8
 #: Characters of benchmark passages that are broadcast at once (about 40 bytes each).
 BLOCK_CHARS = 4 << 20
 
+#: Characters of a document that are searched at once, beside the longest passage.
+SLICE = 1 << 16
+
+#: Positions of one q-gram in a slice beyond which only one a step counts.
+REPEATED = 32
+
+#: Entries (position, posting) that are held before repeats are left out; bands are numbered from _ORIGIN.
+ENTRIES, _ORIGIN = 1 << 20, 1 << 24
+
+#: Diagonals that one alignment takes on at most, where many bands in a row meet the bound.
+WIDE = 1 << 14
+
 LEAK = pa.struct([("item_id", pa.int64()), ("start", pa.int64()), ("end", pa.int64()), ("edits", pa.int64())])
 LEAKS = T.ArrayType(T.StructType([T.StructField(n, T.LongType()) for n in ("item_id", "start", "end", "edits")]))
 
@@ -103,6 +116,63 @@ def align(item: np.ndarray, region: np.ndarray, low: int, high: int, most: int,
     return int(row[best]), len(item) + low + best
 
 
+class _Shared:
+    """Distinct (item, band, place) of the q-grams that a slice shares with passages; bands count from _ORIGIN."""
+
+    def __init__(self, item: np.ndarray, place: np.ndarray, steps: np.ndarray):
+        self.item, self.place, self.steps = item, place, steps
+        self.found: list[tuple[np.ndarray, np.ndarray]] = []
+
+    def _put(self, which: np.ndarray, low: np.ndarray, twice: bool) -> None:
+        """Entries of postings ``which`` whose positions, less their place, begin at ``low``; ``twice``: and may lie a band further."""
+        items = self.item[which]
+        band = (low - self.place[which]) // self.steps[items] + _ORIGIN
+        keys, places = items.astype(np.int64) << 40 | band, self.place[which]
+        if twice:
+            keys, places = np.concatenate((keys, keys + 1)), np.tile(places, 2)
+        self.found.append(_distinct(keys, places))
+
+    def add(self, at: np.ndarray, slot: np.ndarray, first: np.ndarray, twice: bool = False) -> None:
+        """Each position against each posting of its q-gram, some million entries at a time."""
+        self._spread(at, first[slot], first[slot + 1] - first[slot], None, twice)
+
+    def _spread(self, at, begins, many, order, twice):
+        ends = np.cumsum(many)
+        done = 0
+        while done < len(at):
+            before = int(ends[done - 1]) if done else 0
+            upto = max(done + 1, int(np.searchsorted(ends, before + ENTRIES, side="right")))
+            part, n = slice(done, upto), many[done:upto]
+            which = np.arange(int(n.sum())) + np.repeat(begins[part] - (ends[part] - n - before), n)
+            self._put(which if order is None else order[which], np.repeat(at[part], n), twice)
+            done = upto
+
+    def add_repeated(self, at: np.ndarray, slot: np.ndarray, first: np.ndarray) -> None:
+        """Q-grams at many positions: of the positions of one step only one is kept, and its entries count in both bands that they can lie in."""
+        slots, at_of = np.unique(slot, return_inverse=True)
+        many = first[slots + 1] - first[slots]
+        which = np.arange(int(many.sum())) + np.repeat(first[slots] - np.cumsum(many) + many, many)
+        owner, step = np.repeat(np.arange(len(slots)), many), self.steps[self.item[which]]
+        for s in np.unique(step).tolist():
+            mine = step == s
+            begins = np.searchsorted(owner[mine], np.arange(len(slots) + 1))
+            quanta = np.unique(at_of.astype(np.int64) << 40 | at // s)
+            of, low = quanta >> 40, (quanta & (1 << 40) - 1) * s
+            self._spread(low, begins[of], begins[of + 1] - begins[of], which[mine], s > 1)
+
+    def bands(self) -> tuple[np.ndarray, np.ndarray]:
+        """(item << 40 | band, place), sorted and distinct."""
+        return _distinct(*(np.concatenate(x) for x in zip(*self.found, strict=True)))
+
+
+def _distinct(keys: np.ndarray, places: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    order = np.lexsort((places, keys))
+    keys, places = keys[order], places[order]
+    new = np.ones(len(keys), bool)
+    new[1:] = (keys[1:] != keys[:-1]) | (places[1:] != places[:-1])
+    return keys[new], places[new]
+
+
 class Index:
     """Postings of the q-grams of a block of passages."""
 
@@ -111,6 +181,7 @@ class Index:
         self.codes = [_codes(t) for _, t in self.items]
         bounds = [bound(len(c), edit_rate) for c in self.codes]
         self.edits = np.array([b[1] for b in bounds], np.int64)
+        self.longest = max((len(c) + b[1] for c, b in zip(self.codes, bounds, strict=True)), default=0)
         self.need = np.array([b[2] for b in bounds], np.int64)
         self.by_q = {}
         for q in sorted({b[0] for b in bounds}):
@@ -132,8 +203,17 @@ class Index:
         return slots.view(np.int64)
 
     def candidates(self, codes: np.ndarray):
-        """(item, first diagonal, last diagonal) of every band that meets its bound."""
+        """(item, first diagonal, last diagonal) of every run of bands that meet the bound, in order.
+
+        The text is worked on in overlapping slices, each of which holds every region that begins in it.
+        """
         folded = _folded(codes)
+        reach = self.longest + Q
+        step = max(SLICE, reach)
+        for begin in range(0, max(1, len(folded)), step):
+            yield from self._in_slice(folded[begin : begin + step + reach], begin)
+
+    def _in_slice(self, folded: np.ndarray, begin: int):
         for q, (names, first, item, place, maybe) in self.by_q.items():
             if len(folded) < q:
                 continue
@@ -145,28 +225,35 @@ class Index:
             at, slot = at[hit], slot[hit]
             if not len(at):
                 continue
-            many = first[slot + 1] - first[slot]
-            ends = np.cumsum(many)
-            which = np.arange(int(ends[-1])) + np.repeat(first[slot] - ends + many, many)
-            items = item[which]
-            step = self.edits[items] + 1
-            band = (np.repeat(at, many) - place[which] + (1 << 24)) // step
-            keys = items.astype(np.int64) << 40 | band
-            order = np.argsort(keys, kind="stable")
-            keys = keys[order]
+            shared = _Shared(item, place, self.edits + 1)
+            often = np.bincount(slot) > REPEATED
+            if often.any():
+                again = often[slot]
+                shared.add_repeated(at[again], slot[again], first)
+                at, slot = at[~again], slot[~again]
+            shared.add(at, slot, first)
+            keys, places = shared.bands()
             starts = np.flatnonzero(np.concatenate(([True], keys[1:] != keys[:-1])))
             ends, keys = np.append(starts[1:], len(keys)), keys[starts]
             next_one = np.concatenate((keys[1:] == keys[:-1] + 1, [False]))
             upto = np.where(next_one, np.append(ends[1:], 0), ends)
             items = keys >> 40
+            open_: tuple[int, int, int] | None = None
             for j in np.flatnonzero(upto - starts >= self.need[items]).tolist():
                 k = int(items[j])
                 # a q-gram of the passage counts once, however often the document repeats it
-                if len(np.unique(place[which[order[starts[j] : upto[j]]]])) < self.need[k]:
+                if len(np.unique(places[starts[j] : upto[j]])) < self.need[k]:
                     continue
                 s = int(self.edits[k]) + 1
-                low = int(keys[j] & (1 << 40) - 1) * s - (1 << 24)
-                yield k, low, low + 2 * s - 1
+                low = (int(keys[j] & (1 << 40) - 1) - _ORIGIN) * s + begin
+                if open_ and open_[0] == k and low <= open_[2] and low - open_[1] < WIDE:
+                    open_ = (k, open_[1], low + 2 * s - 1)
+                    continue
+                if open_:
+                    yield open_
+                open_ = (k, low, low + 2 * s - 1)
+            if open_:
+                yield open_
 
     def leaks(self, text: str, codes: np.ndarray) -> list[dict]:
         """The best region of each passage that leaks into a normalised text."""
@@ -202,8 +289,10 @@ def with_leaks(docs: DataFrame, benchmark: DataFrame, edit_rate: float = 0.1, te
     blocks = max(1, -(-chars // BLOCK_CHARS))
     names = [into] + [P.free_name(docs, f"{into}_{b}") for b in range(1, blocks)]
     out = docs
+    if blocks > 1:  # rows are dealt by number, so that repeats of a passage spread over blocks
+        items = P.saved(items.withColumn("row", F.monotonically_increasing_id()), P.scratch(spark, "passages") + "/items")
     for b, name in enumerate(names):
-        block = items if blocks == 1 else items.where(F.pmod(F.xxhash64("id", "text"), F.lit(blocks)) == b)
+        block = items if blocks == 1 else items.where(F.pmod(F.xxhash64("row"), F.lit(blocks)) == b)
         shared = spark.sparkContext.broadcast(([(r.id, r.text) for r in block.collect()], edit_rate))
         out = P.add_columns(out, text, [(name, LEAKS)], _finder(shared))
     if blocks > 1:

@@ -79,3 +79,35 @@ def test_alignment():
     item, region = D._codes("hello world"), D._codes("say helo  world now")
     assert D.align(item, region, -3, 12, 3) == (2, 15)
     assert D.align(item, np.zeros(0, np.uint32), 0, 0, 3)[0] == 4
+
+
+def test_text_that_repeats_itself():
+    """Two megabytes of one short word: the leaks are right and memory stays bounded."""
+    import tracemalloc
+
+    passage = ("ha ha " * 100).strip()
+    mixed = ("ha ha " * 50 + "something else here " + "ha ha " * 46).strip()
+    index = D.Index([(1, passage), (2, mixed), (3, "absent " * 20)], 0.1)
+    text = ("ha " * 700_000).strip()
+    tracemalloc.start()
+    got = index.leaks(text, D._codes(text))
+    most = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert [(x["item_id"], x["edits"]) for x in got] == [(1, 0), (2, distance_within(mixed, "ha " * 220))]
+    assert most < 300e6
+
+
+def test_repeats_in_small_slices(monkeypatch):
+    """Texts of few different words, in slices and with positions left out, against the full table."""
+    monkeypatch.setattr(D, "SLICE", 64)
+    monkeypatch.setattr(D, "REPEATED", 2)
+    monkeypatch.setattr(D, "ENTRIES", 50)
+    monkeypatch.setattr(D, "WIDE", 20)
+    rng = random.Random(12)
+    for _ in range(150):
+        make = lambda n: " ".join(rng.choice(["ha", "ho", "haha", "o"]) for _ in range(n))
+        items = [(i, make(rng.randint(3, 25))) for i in range(4)]
+        text = make(rng.randint(1, 120))
+        got = {x["item_id"]: x["edits"] for x in D.Index(items, 0.1).leaks(text, D._codes(text))}
+        edits = {i: distance_within(t, text) for i, t in items}
+        assert got == {i: n for i, n in edits.items() if n <= D.bound(len(dict(items)[i]), 0.1)[1]}
