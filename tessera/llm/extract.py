@@ -1,9 +1,14 @@
 """Main text of web pages by minimum-cut labelling.
 
 A page is cut into text blocks at its block elements.  A logistic classifier gives every
-block the log-odds of content from its own evidence: length, sentence end, punctuation,
-share of link text, kind of element, and whether it lies in a container that tells
-of boilerplate (nav, footer, form, advert, comment and the like).  Positive log-odds
+block the log-odds of content from several kinds of evidence: its own (length, sentence end,
+punctuation, share of link text, kind of element), its surroundings' (link text of its
+container, whether it lies in the page's core, the smallest container of most prose), and
+names.  A container is named as boilerplate by its element or by a class that ends in such a
+word (``ad-box`` and ``site-footer`` do; ``has-sidebar``, ``modal-open`` and ``legal-analysis``
+do not).  A name is evidence and no verdict: it counts the less, the more of the page's prose
+the container holds, as a page's wrapper may have any name; reader comments and menus are
+excepted.  Positive log-odds
 become capacities from the source, negative ones capacities to the sink.  Neighbouring blocks
 and blocks of one parent are joined by smoothness edges that halve with every step of their
 distance in the tree.  A maximum flow finds the cheapest cut, and the blocks left on the
@@ -51,9 +56,13 @@ CELLS = {"li", "td", "th", "dd", "dt"}
 BAD_WORDS = set(
     "ad ads adbox adsense advert adverts advertisement advertising sponsor sponsored promo promotion banner cookie cookies consent gdpr notice notices alert newsletter subscribe subscription "
     "signup login popup modal overlay sidebar widget widgets related recommended recommendations share sharing social breadcrumb breadcrumbs nav navbar navigation menu footer masthead topbar toolbar "
-    "pagination pager comment comments commentlist reply replies respond disqus responses discussion rating ratings copyright legal disclaimer tagcloud contentinfo complementary dialog".split()
+    "pagination pager rating ratings copyright legal disclaimer tagcloud contentinfo complementary dialog".split()
 )
+SAID_WORDS = set("comment comments commentlist commentary reply replies respond disqus responses discussion feedback guestbook".split())
 HEADER_WORDS = {"header", "head", "banner"}
+#: Words of a name that only say that there is a box, and words that say something about a name beside them.
+PLAIN_WORDS = set("area block box card cards container content group holder inner item items left links list main module outer panel posts row section slot text top unit wrap wrapper right bottom form count thread".split())
+STATE_WORDS = set("has have with no not without is are open opened closed enabled disabled active visible hidden show shown hide on off js".split())
 
 _TAG = re.compile(r"""<!--.*?(?:-->|\Z)|<!\[CDATA\[.*?(?:\]\]>|\Z)|<[!?][^>]*>|<(/?)([a-zA-Z][^\s/>]*)((?:[^>"']|"[^"]*"|'[^']*')*+)>|<(/?)([a-zA-Z][^\s/>]*)([^>]*)>""", re.S)
 _ATTR = re.compile(r"""([a-zA-Z-]+)\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s"'>]+))|(?<![\w-])(hidden)(?![\w-])""")
@@ -71,24 +80,34 @@ _SCOPE = {"table", "td", "th", "html", "body", "button", "object", "article", "s
 
 MAX_DEPTH = 512
 
+_STOPS = set(".!?…:;\"'”»)")
+
 #: Capacity of the edge between page neighbours of one parent, and between successive blocks of one parent.
-SMOOTH, SIBLING = 2.5, 0.3
+SMOOTH, SIBLING = 1.5, 0.3
 
 #: Characters at which a block's length counts in full.
 LONG = 120
 
-FEATURES = ("one", "length", "sentence", "punctuation", "links", "heading", "prose", "cell", "bad")
+FEATURES = ("one", "length", "sentence", "punctuation", "links", "heading", "prose", "cell", "bad", "wraps", "said", "core", "around")
 
 #: Log-odds weights of FEATURES, as ``fit`` gives them for the labelled pages.
-WEIGHTS = (-0.68, 4.21, -0.68, 1.83, -5.87, 3.16, 1.31, 2.63, -8.32)
+WEIGHTS = (-3.25, 2.92, 1.27, 1.55, -3.62, 4.0, 0.03, 3.76, -9.41, 9.54, -9.12, 4.23, -11.54)
+
+#: Share of a page's prose beyond which a named container begins to count as its wrapper, and of the prose that the core holds.
+WRAPS, CORE = 0.6, 0.75
 
 
 class _Frame:
-    __slots__ = ("article", "bad", "depth", "dropped", "link", "parent", "tag")
+    """An open element; ``bad`` is the innermost element from here up that is named as boilerplate."""
 
-    def __init__(self, tag, parent, bad=False, dropped=False, link=False, article=False):
-        self.tag, self.parent, self.bad, self.dropped, self.link, self.article = tag, parent, bad, dropped, link, article
+    __slots__ = ("article", "bad", "chars", "core", "depth", "dropped", "link", "linked", "parent", "prose", "said", "tag")
+
+    def __init__(self, tag, parent, bad=False, dropped=False, link=False, article=False, said=False):
+        self.tag, self.parent, self.dropped, self.link, self.article, self.said = tag, parent, dropped, link, article, said
+        self.bad = self if bad else parent.bad if parent else None
         self.depth = parent.depth + 1 if parent else 0
+        self.chars = self.linked = self.prose = 0
+        self.core = False
 
 
 class Block:
@@ -99,27 +118,39 @@ class Block:
 
 
 def _attributes(raw: str) -> tuple[list[str], bool]:
-    """Words of class, id and role, and whether the element is hidden."""
-    words: list[str] = []
+    """Names of class, id and role, and whether the element is hidden."""
+    names: list[str] = []
     hidden = False
     for name, a, b, c, flag in _ATTR.findall(raw):
         name, value = name.lower(), a or b or c
         if flag:
             hidden = True
         elif name in ("class", "id", "role"):
-            words += [w.lower() for w in _WORD.findall(value)]
+            names += value.split()
         elif name == "style" and _HIDDEN.search(value) or name == "aria-hidden" and value.lower() == "true":
             hidden = True
-    return words, hidden
+    return names, hidden
+
+
+def _said_by(name: str) -> str:
+    """What a name names: its last word that does not only say box; nothing if the name tells a state."""
+    words = [w.lower() for w in _WORD.findall(name)]
+    if not STATE_WORDS.isdisjoint(words):
+        return ""
+    while len(words) > 1 and (words[-1] in PLAIN_WORDS or words[-1].isdigit()):
+        words.pop()
+    return words[-1] if words else ""
 
 
 def _open(tag: str, raw: str, parent: _Frame) -> _Frame:
-    words, hidden = _attributes(raw) if "=" in raw or "hidden" in raw else ([], False)
+    names, hidden = _attributes(raw) if "=" in raw or "hidden" in raw else ([], False)
     article = parent.article or tag == "article"
-    bad = parent.bad or tag in BAD_TAGS or tag == "header" and not article
-    if words and tag not in ("html", "body"):
+    bad, said = tag in BAD_TAGS or tag == "header" and not article, parent.said or tag in ("nav", "menu")
+    if names and tag not in ("html", "body"):
+        words = {_said_by(n) for n in names}
         bad = bad or not BAD_WORDS.isdisjoint(words) or not article and not HEADER_WORDS.isdisjoint(words)
-    return _Frame(tag, parent, bad, parent.dropped or hidden or tag in DROPPED, parent.link or tag == "a", article)
+        said = said or not SAID_WORDS.isdisjoint(words)
+    return _Frame(tag, parent, bad, parent.dropped or hidden or tag in DROPPED, parent.link or tag == "a", article, said)
 
 
 def blocks_of(page: str) -> list[Block]:
@@ -241,15 +272,51 @@ def blocks_of(page: str) -> list[Block]:
     return out
 
 
+def _measure(blocks: list[Block]) -> _Frame:
+    """Fill in what each element holds, mark the elements of the core, and give the page's root."""
+    frames: dict[int, _Frame] = {}
+    for b in blocks:
+        f = b.frame
+        while f and id(f) not in frames:
+            frames[id(f)] = f
+            f.chars = f.linked = f.prose = 0
+            f = f.parent
+    for b in blocks:
+        n = len(b.text)
+        b.frame.chars += n
+        b.frame.linked += b.link_chars
+        if not b.frame.said and 2 * b.link_chars < n and (n >= LONG // 2 or b.text[-1] in _STOPS):
+            b.frame.prose += n
+    order = sorted(frames.values(), key=lambda f: -f.depth)
+    for f in order:
+        if f.parent:
+            f.parent.chars += f.chars
+            f.parent.linked += f.linked
+            f.parent.prose += f.prose
+    root = order[-1]
+    core = root
+    for f in reversed(order):  # from the root down; at most one child of an element holds most of the prose
+        if f.parent is core and f.prose >= CORE * max(1, root.prose) and f.tag not in PROSE:
+            core = f
+    for f in reversed(order):
+        f.core = f is core or bool(f.parent and f.parent.core)
+    return root
+
+
 def features_of(blocks: list[Block]) -> np.ndarray:
     """A row of FEATURES, each between 0 and 1, for every block."""
     out = np.zeros((len(blocks), len(FEATURES)))
+    if not blocks:
+        return out
+    root = _measure(blocks)
     for row, b in zip(out, blocks, strict=True):
-        n, tag = len(b.text), b.frame.tag
+        n, f, tag = len(b.text), b.frame, b.frame.tag
         marks = sum(map(b.text.count, ",.;:!?"))
+        around = f.parent or f
+        wraps = max(0.0, f.bad.prose / max(1, root.prose) - WRAPS) / (1 - WRAPS) if f.bad else 0.0
         row[:] = (
-            1, min(1.0, n / LONG), b.text[-1] in ".!?…:;\"'”»)", min(1.0, 20 * marks / n), b.link_chars / n,
-            tag in HEADINGS, tag in PROSE, tag in CELLS, b.frame.bad,
+            1, min(1.0, n / LONG), b.text[-1] in _STOPS, min(1.0, 20 * marks / n), b.link_chars / n,
+            tag in HEADINGS, tag in PROSE, tag in CELLS, f.bad is not None and not f.said, wraps if not f.said else 0, f.said, f.core, around.linked / max(1, around.chars),
         )
     return out
 
@@ -259,7 +326,7 @@ def scores_of(blocks: list[Block]) -> list[float]:
     return (features_of(blocks) @ np.array(WEIGHTS)).tolist()
 
 
-def fit(pages: list[tuple[str, set[str]]], ridge: float = 1.0) -> np.ndarray:
+def fit(pages: list[tuple[str, set[str]]], ridge: float = 0.3) -> np.ndarray:
     """Weights of FEATURES from (page, texts of its content blocks): a ridge logistic regression by Newton steps."""
     cut = [(blocks_of(page), wanted) for page, wanted in pages]
     x = np.concatenate([features_of(blocks) for blocks, _ in cut])

@@ -187,11 +187,71 @@ def few_words(x):
     return f'<nav><ul>{x.links(5)}</ul></nav><div class="ad">{x.prose(4, 15)}</div><article><h1>{x.head()}</h1><p>{x.para()}</p>{short}</article><footer>{x.prose(3, 9)}</footer>'
 
 
+STATES = "has-sidebar with-ads no-comments modal-open is-promo cookie-enabled hasSidebar without-widgets share-on".split()
+ABOUT = "legal-analysis related-work advert-history cookie-baking social-science menu-planning sponsor-story comment-culture".split()
+WRAPPERS = ["form", "div.modal", "div.overlay", "aside", "div.widget", "div.promo", "div.legal", "section.notice", "div.sidebar", "dialog", "div.subscription", "div.related", "div.popup-content", "fieldset", "div.login"]
+BOILERPLATE = ["div.sidebar", "div.promo-box", "aside", "div.ad", "section.notice", "div.newsletter-signup", "div.related-posts", "div.widget", "div.site-footer", "div.cookie-notice"]
+
+
+def state_names(x):
+    """Names that tell a state of the page or what the article is about, on the article's own wrappers."""
+    a, b, c = x.rng.choice(STATES), x.rng.choice(ABOUT), x.rng.choice(STATES)
+    side = x.rng.choice(BOILERPLATE).partition(".")
+    return f'<div class="page {a}"><nav><ul>{x.links(5)}</ul></nav><div id="{b}" class="content {c}"><h1>{x.head()}</h1>{x.body()}</div><{side[0]} class="{side[2]}"><p>{x.prose(8, 30)}</p></{side[0]}></div>'
+
+
+def wrapped(x):
+    """A whole page in an element that is named as boilerplate."""
+    element, _, kind = x.rng.choice(WRAPPERS).partition(".")
+    other = x.rng.choice(BOILERPLATE).partition(".")
+    return f'<{element} class="{kind}"><nav><ul>{x.links(5)}</ul></nav><div><h1>{x.head()}</h1>{x.body(7)}</div><{other[0]} class="{other[2]}"><p>{x.prose(6, 20)}</p></{other[0]}><footer>{x.prose(3, 10)}</footer></{element}>'
+
+
+def wrapped_article(x):
+    """An article alone in an element that is named as boilerplate, beside other parts."""
+    element, _, kind = x.rng.choice(WRAPPERS).partition(".")
+    return f'<div><div>{x.links(6, "span")}</div></div><{element} class="{kind}"><h1>{x.head()}</h1>{x.body(8)}</{element}><footer><p>{x.prose(4, 12)}</p></footer>'
+
+
+def many_comments(x):
+    """More text of readers than of the article."""
+    said = "".join(f'<li class="{x.rng.choice(["comment", "reply", "comment-item"])}"><p>{x.prose(15, 60)}</p></li>' for _ in range(8))
+    return f'<article><h1>{x.head()}</h1>{x.body(4)}</article><div class="{x.rng.choice(["comments", "reader-feedback", "comment-list", "discussion"])}"><ol>{said}</ol></div>'
+
+
+def unnamed_boxes(x):
+    """Boilerplate outside the article's container, under names that tell nothing."""
+    return f'<div class="{x.words(1)}">{x.links(5, "div")}</div><div class="{x.words(1)}"><div><h1>{x.head()}</h1>{x.body(7)}</div></div><div class="{x.words(1)}"><p>{x.prose(4, 15)}</p><div>{x.links(3, "span")}</div></div>'
+
+
+def large_sidebar(x):
+    """A sidebar with a good deal of prose."""
+    return f'<main><h1>{x.head()}</h1>{x.body(7)}</main><div class="{x.rng.choice(["sidebar", "widget-area", "promo", "related"])}"><h3>{x.label(2, 4)}</h3><p>{x.prose(25, 60)}</p><p>{x.prose(20, 50)}</p></div>'
+
+
+def scattered(x):
+    """Parts of an article, boxes of links and a short remark, all side by side: no element is the core."""
+    parts = [f"<div>{x.body(3)}</div>" for _ in range(4)]
+    boxes = [f"<div>{x.links(4, 'span')}</div>" for _ in range(2)] + [f"<div><p>{x.prose(2, 9)}</p>{x.links(5, 'div')}</div>"]
+    return f"<div>{x.links(5, 'span')}</div><h1>{x.head()}</h1>" + "".join(a + b for a, b in zip(parts, [*boxes, ""], strict=True)) + f"<div>{x.label(2, 5)}</div>"
+
+
+def flat(x):
+    """No containers at all: lines of links, then paragraphs and short ones, then links and remarks."""
+    return f"{x.links(6, 'p')}<h1>{x.head()}</h1>{x.body(9)}<p>{x.c(x.label(1, 4))}</p>{x.body(3)}{x.links(3, 'p')}<p>{x.label(1, 3)}</p>{x.links(3, 'p')}<p>{x.prose(1, 6)}</p>{x.links(2, 'p')}"
+
+
+def named_boxes_inside(x):
+    """Long boxes between the paragraphs of a short article."""
+    boxes = [x.rng.choice(BOILERPLATE).partition(".") for _ in range(2)]
+    return f"<article><h1>{x.head()}</h1>" + "".join(f'<p>{x.para()}</p><{e} class="{k}"><p>{x.prose(12, 60)}</p></{e}>' for e, _, k in boxes) + f"<p>{x.para()}</p></article>"
+
+
 def only_menus(x):
     return f'<nav><ul>{x.links(5)}</ul></nav><div class="banner">{x.prose(5, 15)}</div><footer>{x.prose(5, 15)}</footer>'
 
 
-LAYOUTS = [semantic, advert_first, one_short_paragraph, advert_inside, class_soup, bare_soup, bare_divs, comments, comment_articles, teaser_cards, cookie_notice, lists, tables, link_paragraph, quotation, newsletter, cells_layout, telling_or_not, told_in_places, boxes_in_main, bare_lines, sentences_among_links, sentences_in_main, few_words, only_menus]
+LAYOUTS = [semantic, advert_first, one_short_paragraph, advert_inside, class_soup, bare_soup, bare_divs, comments, comment_articles, teaser_cards, cookie_notice, lists, tables, link_paragraph, quotation, newsletter, cells_layout, telling_or_not, told_in_places, boxes_in_main, bare_lines, sentences_among_links, sentences_in_main, few_words, only_menus, state_names, wrapped, wrapped_article, many_comments, unnamed_boxes, large_sidebar, scattered, flat, named_boxes_inside, named_boxes_inside]
 
 
 def pages(seeds):

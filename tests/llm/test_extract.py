@@ -2,6 +2,7 @@
 
 import random
 import time
+from html.parser import HTMLParser
 from itertools import product
 
 import labelled_pages
@@ -93,11 +94,129 @@ def test_weights_are_those_fitted():
 
 
 def test_cut_decides():
-    """On pages that were not fitted the cut changes labels, and mends most errors of the classifier's sign."""
+    """On pages that were not fitted the cut changes labels, and mends half of the errors of the classifier's sign."""
     n, sign, cut, changed = _errors(range(100, 115))
-    assert sign > 100 and changed > 100
-    assert cut < sign / 3
-    assert cut < 0.01 * n
+    assert sign > 50 and changed > 30
+    assert cut < sign / 2
+    assert cut < 0.005 * n
+
+
+def test_names_are_evidence_and_no_verdict(monkeypatch):
+    """Without the list of words most labels stay right on pages that were not fitted."""
+    monkeypatch.setattr(X, "BAD_WORDS", set())
+    n, _, cut, _ = _errors(range(100, 115))
+    assert cut < 0.04 * n
+
+
+WRAPPERS = ['div class="content has-sidebar"', 'div id="page" class="with-ads"', 'main class="no-comments"', 'section id="legal-analysis"', 'div class="related-work"', 'div class="modal-open"', 'form id="aspnetForm"', 'div class="sidebar"', "aside", 'div class="modal overlay"', 'body class="cookie-notice"']
+
+
+@pytest.mark.parametrize("wrapper", WRAPPERS)
+def test_a_wrapper_of_any_name_keeps_the_article(wrapper):
+    body = "".join(f"<p>{LONG} {i}.</p>" for i in range(3))
+    menu = '<nav><a href="/">Home</a></nav>'
+    assert X.extract(page(menu, f"<{wrapper}>{body}</{wrapper.split()[0]}>")) == [f"{LONG} {i}." for i in range(3)]
+    assert X.extract(page(f'<{wrapper}>{menu}<div>{body}</div><div class="ad">{LONG}</div></{wrapper.split()[0]}>')) == [f"{LONG} {i}." for i in range(3)]
+
+
+@pytest.mark.parametrize("name", ["reader-feedback", "comments", "commentList", "disqus_thread", "discussion-area"])
+def test_reader_comments_go(name):
+    said = "".join(f"<div><p>{LONG} {i}.</p></div>" for i in range(9))
+    assert X.extract(page(f"<article><h1>A head of it</h1><p>{LONG}</p><p>{LONG}</p></article>", f'<div class="{name}">{said}</div>')) == ["A head of it", LONG, LONG]
+
+
+class _Tree(HTMLParser):
+    """Blocks of well-formed markup: (text, chars in links, path of elements from the root), an element being (tag, attributes, number)."""
+
+    def __init__(self, given):
+        super().__init__()
+        self.path, self.blocks, self.text, self.links, self.n = [], [], "", 0, 0
+        self.feed(given)
+        self.end()
+
+    def end(self):
+        text = " ".join(self.text.split())
+        if text:
+            self.blocks.append((text, self.links, tuple(e for e in self.path if e[0] in X.BLOCKS)))
+        self.text, self.links = "", 0
+
+    def handle_starttag(self, tag, attrs):
+        if tag in X.BLOCKS:
+            self.end()
+        self.n += 1
+        self.path.append((tag, " ".join(v for k, v in attrs if k in ("class", "id")), self.n))
+
+    def handle_endtag(self, tag):
+        if tag in X.BLOCKS:
+            self.end()
+        self.path.pop()
+
+    def handle_data(self, data):
+        self.text += data
+        self.links += len(data) * any(e[0] == "a" for e in self.path)
+
+
+def brute(given):
+    """The whole operator by its definition: sums over all blocks for each element, and the cheapest labelling by trying all."""
+    blocks = _Tree(given).blocks
+    n = len(blocks)
+    is_said = lambda e: e[0] in ("nav", "menu") or any(X._said_by(x) in X.SAID_WORDS for x in e[1].split())
+
+    def is_bad(e, path):
+        inside = any(o[0] == "article" for o in path[: path.index(e) + 1])
+        words = {X._said_by(x) for x in e[1].split()} if e[0] not in ("html", "body") else set()
+        return e[0] in X.BAD_TAGS or e[0] == "header" and not inside or bool(words & X.BAD_WORDS) or not inside and bool(words & X.HEADER_WORDS)
+
+    mass = [len(t) if not any(map(is_said, p)) and 2 * k < len(t) and (len(t) >= X.LONG // 2 or t[-1] in X._STOPS) else 0 for t, k, p in blocks]
+    held = lambda e: sum(m for m, (_, _, p) in zip(mass, blocks) if e in p)
+    total = max(1, sum(mass))
+    core = None
+    while True:  # from the root down
+        below = {p[0 if core is None else p.index(core) + 1] for _, _, p in blocks if (core is None or core in p) and len(p) > (0 if core is None else p.index(core) + 1)}
+        down = [e for e in below if held(e) >= X.CORE * total and e[0] not in X.PROSE]
+        if not down:
+            break
+        core = down[0]
+    z = []
+    for t, k, p in blocks:
+        bad = [e for e in p if is_bad(e, p)]
+        said = any(map(is_said, p))
+        around = [b for b in blocks if len(p) < 2 or p[-2] in b[2]]
+        row = (1, min(1, len(t) / X.LONG), t[-1] in X._STOPS, min(1, 20 * sum(map(t.count, ",.;:!?")) / len(t)), k / len(t), p[-1][0] in X.HEADINGS, p[-1][0] in X.PROSE, p[-1][0] in X.CELLS, bool(bad) and not said, max(0, held(bad[-1]) / total - X.WRAPS) / (1 - X.WRAPS) if bad and not said else 0, said, core is None or core in p, sum(b[1] for b in around) / max(1, sum(len(b[0]) for b in around)))
+        z.append(sum(w * v for w, v in zip(X.WEIGHTS, row)))
+    edges = []
+    for j in range(1, n):
+        p, q = blocks[j - 1][2], blocks[j][2]
+        shared = sum(a == b for a, b in zip(p, q))
+        edges.append((j - 1, j, X.SMOOTH * 0.5 ** max(0, len(p) + len(q) - 2 * shared - 2)))
+        for i in range(j - 1, -1, -1):
+            if blocks[i][2][:-1] == q[:-1]:
+                edges += [(i, j, X.SIBLING)] if i != j - 1 else []
+                break
+    cost = lambda keep: sum(max(-v, 0) if k else max(v, 0) for v, k in zip(z, keep)) + sum(w for a, b, w in edges if keep[a] != keep[b])
+    best = min(product([False, True], repeat=n), key=lambda keep: (round(cost(keep), 6), sum(keep)))
+    return [b[0] for b, k in zip(blocks, best) if k]
+
+
+def test_whole_operator_by_brute_force():
+    rng = random.Random(21)
+    kept = lost = 0
+    for _ in range(150):
+        x = labelled_pages.Layout(rng.random())
+
+        def box(depth):
+            tag = rng.choice(["div", "section", "article", "aside", "nav", "form", "header"])
+            name = rng.choice(["", "", ' class="sidebar"', ' class="has-ads"', ' class="comments"', ' class="ad-box"', ' id="head"'])
+            inner = "".join(box(depth + 1) if depth < 2 and rng.random() < 0.35 else rng.choice([f"<p>{x.prose(1, 30)}</p>", f"<h2>{x.label(2, 6)}</h2>", f'<p><a href="/">{x.label(1, 4)}</a></p>', f"<ul><li>{x.label(1, 4)}</li></ul>"]) for _ in range(rng.randint(1, 3)))
+            return f"<{tag}{name}>{inner}</{tag}>"
+
+        given = f"<html><body>{''.join(box(0) for _ in range(rng.randint(1, 3)))}</body></html>"
+        if len(_Tree(given).blocks) > 11:
+            continue
+        want = brute(given)
+        assert X.extract(given) == want
+        kept, lost = kept + len(want), lost + len(_Tree(given).blocks) - len(want)
+    assert kept > 100 and lost > 100
 
 
 def test_linear_in_markup():
