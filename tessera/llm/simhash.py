@@ -326,8 +326,11 @@ def word_links(sketches: DataFrame, key: str, words: list[str], limit: int, dist
             return np.bitwise_count(checks[a] ^ checks[b]).sum(axis=1, dtype=np.int64) <= limit
 
         label = link(value[order], lead, distance, accept)
-        at = np.flatnonzero(label != np.arange(len(label)))
-        return pa.table({"a": pa.array(names[at], pa.int64()), "b": pa.array(names[label[at]], pa.int64())})
+        # all name the least of their component, so that the tables of one group agree in most pairs
+        least = names.copy()
+        np.minimum.at(least, label, names)
+        at = np.flatnonzero(names != least[label])
+        return pa.table({"a": pa.array(names[at], pa.int64()), "b": pa.array(least[label[at]], pa.int64())})
 
     slim = sketches.select(F.col(key).alias("name"), *words)
     return slim.mapInArrow(deal, "slot int, names binary, prints binary, checks binary").groupBy("slot").applyInArrow(search, "a long, b long").distinct()
