@@ -45,11 +45,25 @@ def near_misses(types: DataFrame, key: str, up: str, down: str, most: int = 3) -
     return top_k_per_key(pairs, [key], [F.desc("shared"), F.col("near")], most).select(key, "near", "shared")
 
 
-def unanchored(rows: DataFrame, sources: DataFrame, key: str, snippet: str, file: str, text: str, diff: str) -> DataFrame:
-    """Rows whose snippet, spaces removed, is neither in the cited source nor in the diff."""
-    s = sources.select(file, S.squash(F.col(text)).alias("__t"), S.squash(F.coalesce(diff, F.lit(""))).alias("__d"))
-    inside = F.contains(F.coalesce("__t", F.lit("")), S.squash(F.col(snippet))) | F.contains(F.coalesce("__d", F.lit("")), S.squash(F.col(snippet)))
-    return rows.join(s, file, "left").where(~inside).select(key)
+def unanchored(rows: DataFrame, lines: DataFrame, diffs: DataFrame, key: str, file: str, line: str, snippet: str) -> DataFrame:
+    """(key) of rows whose snippet, white space left out, is not where they cite it.
+
+    It must be on the cited line and the lines after it that the snippet wraps on to; without a
+    valid line anywhere in the file; where the file has no lines (line_no, text) in any of its
+    diffs.  Rows with nothing to look in, or an empty snippet, are not held against it.
+    """
+    asked = rows.where(F.trim(F.coalesce(snippet, F.lit(""))) != "").select(key, F.col(file).alias("file"), F.col(line).cast("int").alias("at"), S.squash(F.col(snippet)).alias("__s"), (F.length(snippet) - F.length(F.replace(snippet, F.lit("\n"), F.lit("")))).alias("__more"))
+    sizes = lines.groupBy("file").agg(F.max("line_no").alias("__size"))
+    a = asked.join(sizes, "file", "left")
+    cited = F.coalesce(F.col("at") >= 1, F.lit(False))
+    first, last = F.when(cited, F.col("at")).otherwise(1), F.when(cited, F.least(F.col("at") + F.col("__more"), F.col("__size"))).otherwise(F.col("__size"))
+    spans = a.where("__size IS NOT NULL").select("file", first.alias("a"), last.alias("b")).distinct().where("a <= b").withColumn("line_no", F.explode(F.sequence("a", "b")))
+    # the text of a span is put together once, whoever cites it
+    texts = spans.join(lines.select("file", "line_no", "text"), ["file", "line_no"]).groupBy("file", "a", "b").agg(S.squash(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("line_no", "text"))), lambda x: F.coalesce(x["text"], F.lit(""))), "\n")).alias("__t"))
+    in_source = a.where("__size IS NOT NULL").withColumns({"a": first, "b": last}).join(texts, ["file", "a", "b"])
+    shown = diffs.groupBy("file").agg(S.squash(F.array_join(F.array_sort(F.collect_list("diff")), "\n")).alias("__t"))
+    in_diff = a.where("__size IS NULL").join(shown, "file")
+    return in_source.select(key, "__t", "__s").unionAll(in_diff.select(key, "__t", "__s")).where((F.col("__t") != "") & ~F.contains("__t", F.col("__s"))).select(key)
 
 
 def shape_gaps(expected: DataFrame, shapes: DataFrame) -> DataFrame:

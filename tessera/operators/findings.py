@@ -4,17 +4,24 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from ..functions import scalars as S
 from . import joins as J
 from . import windows as W
+from .folds import ordered_fold
 from .graph import checkpoint_dir
 
 SEVERITIES = ["P0", "P1", "P2", "P3"]
 SOURCES = ["llm_judged", "sast_confirmed", "sast_only"]
 #: Classes that count as related when a scanner and a reviewer name different ones.
 RELATED = [("crypto_weak", "secret"), ("hygiene", "secret")]
-ADVICE = ["Use ", "Disable ", "Replace ", "Avoid ", "Ensure ", "Do not ", "Remove ", "Upgrade ", "Fix ", "Consider "]
+
+# Kinds that stand for a rule, and what is kept whether or not the diff shows it.
+KIND_RULES = {"tenant_predicate_missing": "TEN-002", "tenant_id_only_lookup": "TEN-002", "tenant_context_dropped": "TEN-004", "resource_leaks": "RES-001", "executor_not_shutdown": "RES-001", "process_default": "GLOB-001", "process_default_write": "GLOB-001"}
+KEPT_CATEGORIES = ["concurrency", "correctness"]
+KEPT_RULES = "^(CONC|NULL)-"
+KEPT_TEXT = "(?i)unused parameter|未使用参数|越界|use-after-free|buffer overflow|null deref|空指针|内存"
 
 SCHEMA = "pos long, file string, line int, category string, severity string, title string, evidence string, suggestion string, confidence double, source string, rule_id string, adapter string, ambiguous boolean, dismissed boolean"
 
@@ -24,8 +31,9 @@ def normalise(df: DataFrame, default_source: str = "llm_judged") -> DataFrame:
     src = F.coalesce("source", F.lit(default_source))
     known = F.when(src.isin(*SOURCES), src).when(src.contains("sast_confirmed") | (src.contains("sast") & src.contains("llm")), "sast_confirmed").when(src.contains("sast"), "sast_only").otherwise(default_source)
     evidence, title, adapter = (F.trim(F.coalesce(c, F.lit(""))) for c in ("evidence", "title", "adapter"))
-    advice = F.coalesce(*(F.when(F.instr(evidence, w.strip()) > 0, F.when(F.locate(w, evidence) > 0, F.substr(evidence, F.locate(w, evidence)))) for w in ADVICE))
-    remedy = F.when(evidence != "", F.substring(F.coalesce(advice, evidence), 1, 500)).when(~title.isin("", "?", "semgrep"), F.concat(F.lit("Remediate per "), F.substring(title, 1, 200), F.when(adapter != "", F.concat(F.lit(" ("), adapter, F.lit(")"))).otherwise(""), F.lit("."))).otherwise("Review and remediate per security guidelines.")
+    # evidence tends to end in what to do: its last sentence is the advice
+    last = F.regexp_extract(evidence, r"(?s)(?:^|[.!?;]\s+)([^.!?;\s](?:[^.!?;]|[.!?;](?!\s))*[.!?;]?)$", 1)
+    remedy = F.when(evidence != "", F.substring(F.coalesce(F.nullif(last, F.lit("")), evidence), 1, 500)).when(~title.isin("", "?"), F.concat_ws(" ", F.lit("See"), F.substring(title, 1, 200), F.when(adapter != "", F.concat(F.lit("in"), F.lit(" "), adapter)))).otherwise("No advice was given.")
     return df.withColumns({
         "line": F.greatest(F.lit(1), F.coalesce(F.col("line").cast("int"), F.lit(1))),
         "category": F.coalesce("category", F.lit("logic")),
@@ -58,17 +66,17 @@ def split(df: DataFrame, condition: Column) -> tuple[DataFrame, DataFrame]:
 
 
 def repair_lines(df: DataFrame, lines: DataFrame, key: str) -> DataFrame:
-    """Out-of-range lines moved to the first line that holds a token of title or evidence, else to 1.
+    """Out-of-range lines moved to the first line that holds the file's rarest token of title and evidence, else to 1.
 
     lines: (file, line_no, line).  Only bad rows meet the line table, by file.
     """
     sizes = lines.groupBy("file").agg(F.max("line_no").alias("__size"))
     bad = df.join(sizes, "file").where((F.col("line") < 1) | (F.col("line") > F.col("__size")) | F.col("line").isNull())
-    stop = ["mock", "heuristic", "matched", "pattern", "near", "changed", "code"]
     words = F.regexp_extract_all(F.concat_ws(" ", "title", "evidence"), F.lit("[A-Za-z_][A-Za-z0-9_]{2,}"), 0)
-    needles = bad.select(key, "file", F.explode(F.slice(F.filter(F.transform(words, F.lower), lambda w: ~w.isin(*stop)), 1, 8)).alias("w")).distinct()
-    # the few bad rows meet their own file's lines; a token counts where a line contains it
-    found = needles.join(lines, "file").where(F.contains(F.lower("line"), F.col("w"))).groupBy(key).agg(F.min("line_no").alias("__new"))
+    needles = bad.select(key, "file", F.explode(F.array_distinct(F.transform(words, F.lower))).alias("w")).distinct()
+    # the few bad rows meet their own file's lines; of the tokens that occur the one of fewest lines tells most
+    found = needles.join(lines, "file").where(F.contains(F.lower("line"), F.col("w"))).groupBy(key, "w").agg(F.count(F.lit(1)).alias("n"), F.min("line_no").alias("at"))
+    found = found.groupBy(key).agg(F.min(F.struct("n", "at")).alias("b")).select(key, F.col("b.at").alias("__new"))
     fixed = bad.select(key).distinct().join(found, key, "left").select(key, F.coalesce("__new", F.lit(1)).alias("__line"))
     return df.join(fixed, key, "left").withColumn("line", F.coalesce("__line", "line").cast("int")).drop("__line")
 
@@ -95,7 +103,7 @@ def merge(scanner: DataFrame, reviewer: DataFrame, dismissals: DataFrame | None
     """Cross-merge of scanner and reviewer findings, each with a stable ``pos``.
 
     A scanner row takes the first free compatible reviewer row, greedily in order; the pairing
-    never crosses files.  Candidate pairs come from a band join; the greedy choice folds over the
+    never crosses files.  Candidate pairs come from a band join; the greedy choice streams over the
     candidates of a piece of a file, pieces being cut where no pair crosses.  Both sides and the pairing are checkpointed, as each is read three times.  Ambiguous scanner rows near a dismissal go; clear ones are immune.  Then
     near duplicates fold, and each row gets its dimension.
     """
@@ -118,13 +126,16 @@ def merge(scanner: DataFrame, reviewer: DataFrame, dismissals: DataFrame | None
     pair = pair.withColumns({"__low": low, "__high": high}).withColumn("__opens", opens.cast("int"))
     at = pair.select("file", "__low", "__opens").distinct().withColumn("__piece", F.sum("__opens").over(w))
     pair = pair.join(at.select("file", "__low", "__piece"), ["file", "__low"])
-    lists = pair.groupBy("file", "__piece").agg(F.array_sort(F.collect_list(F.struct(F.col("s.sp").alias("sp"), F.col("l.lp").alias("lp")))).alias("c"))
 
-    def step(acc, x):
-        free = ~F.exists(acc, lambda y: (y["sp"] == x["sp"]) | (y["lp"] == x["lp"]))
-        return F.when(free, F.concat(acc, F.array(x))).otherwise(acc)
+    def step(taken, sp, lp):
+        free = sp not in taken[0] and lp not in taken[1]
+        if free:
+            taken[0].add(sp)
+            taken[1].add(lp)
+        return taken, free
 
-    matched = lists.select("file", F.explode(F.aggregate("c", F.slice("c", 1, 0), step)).alias("m")).select("m.sp", "m.lp").checkpoint()
+    flat = pair.select("file", "__piece", F.col("s.sp").alias("sp"), F.col("l.lp").alias("lp"))
+    matched = ordered_fold(flat, ["file", "__piece"], ["sp", "lp"], ["sp", "lp"], lambda: (set(), set()), step, "free", T.BooleanType()).where("free").select("sp", "lp").checkpoint()
     m = matched.join(s.alias("s"), F.col("sp") == F.col("s.pos")).join(l.alias("l"), F.col("lp") == F.col("l.pos"))
     snippet = F.when(F.length("s.evidence") <= 420, F.col("s.evidence")).otherwise(F.concat(F.substring("s.evidence", 1, 420), F.lit("…")))
     evidence = F.when((F.trim("s.evidence") == "") | F.contains("l.evidence", F.trim("s.evidence")), F.col("l.evidence")).otherwise(F.concat(F.trim("l.evidence"), F.when(F.trim("l.evidence") != "", "; ").otherwise(""), F.lit("SAST ("), F.substring("s.title", 1, 100), F.lit("): "), snippet))
@@ -147,51 +158,79 @@ def stamp(df: DataFrame) -> DataFrame:
     return df.withColumn("dimension", F.when(F.col("source") == "sast_confirmed", "deterministic+agent_llm").when(F.col("source") == "sast_only", "deterministic").otherwise("agent_llm"))
 
 
-def merge_candidates(baseline: DataFrame, candidates: DataFrame, ledger: DataFrame, diff: DataFrame | None = None) -> DataFrame:
-    """candidates with a ``reason`` (null: accepted): missing rule or locus, outside the ledger, not in the diff, same key, occupied line.
+def rule_of(rule_id: Column, kind: Column) -> Column:
+    """The rule of a card: its rule id, or a kind that is or stands for one; null if there is none."""
+    shaped = lambda c: F.when(F.trim(c).rlike("^[A-Z]+-[0-9]+$"), F.trim(c))
+    named = F.create_map(*(F.lit(x) for pair in KIND_RULES.items() for x in pair))
+    return F.coalesce(shaped(rule_id), shaped(kind), F.try_element_at(named, F.trim(F.coalesce(kind, F.lit("")))))
+
+
+def _cards(df: DataFrame) -> DataFrame:
+    """df with __path, __rule and __lines (the line, then also_lines); columns that are absent count as null."""
+    have = lambda c, t: F.col(c).cast(t) if c in df.columns else F.lit(None).cast(t)
+    path = F.lower(F.regexp_replace(F.trim("file"), r"\\", "/"))
+    lines = F.array_compact(F.concat(F.array(F.col("line").cast("int")), F.coalesce(have("also_lines", "array<int>"), F.array().cast("array<int>"))))
+    return df.withColumns({"__path": F.nullif(path, F.lit("")), "__rule": rule_of(F.col("rule_id"), have("kind", "string")), "__lines": F.array_distinct(lines), "__kind": have("kind", "string"), "__code": F.trim(F.coalesce(have("existing_code", "string"), F.lit(""))), "__category": F.lower(F.trim(F.coalesce(have("category", "string"), F.lit("")))), "__title": F.coalesce(have("title", "string"), F.lit(""))})
+
+
+def _not_shown(cards: DataFrame, diffs: DataFrame) -> DataFrame:
+    """pos of the cards whose code, white space left out, is in no diff of their file though there is one."""
+    base = lambda c: F.element_at(F.split(c, "/"), -1)
+    asked = cards.where((F.col("__code") != "") & ~F.col("__category").isin(*KEPT_CATEGORIES) & ~F.coalesce(F.col("rule_id").rlike(KEPT_RULES), F.lit(False)) & ~F.concat_ws(" ", "__title", "__category").rlike(KEPT_TEXT))
+    d = diffs.select(F.lower(F.regexp_replace("file", r"\\", "/")).alias("__other"), S.squash(F.col("text")).alias("__diff")).withColumn("__base", base(F.col("__other")))
+    c = asked.select("pos", "__path", S.squash(F.col("__code")).alias("__code"), base(F.col("__path")).alias("__base"))
+    slash = lambda x: F.concat(F.lit("/"), F.col(x))
+    same = (F.col("__path") == F.col("__other")) | F.endswith("__other", slash("__path")) | F.endswith("__path", slash("__other"))
+    return c.join(d, "__base").where(same).groupBy("pos").agg(F.bool_or(F.contains("__diff", F.col("__code"))).alias("__shown")).where("NOT __shown").select("pos")
+
+
+def merge_candidates(baseline: DataFrame, candidates: DataFrame, ledger: DataFrame | None = None, diffs: DataFrame | None = None, max_rounds: int = 1000) -> DataFrame:
+    """candidates with a ``reason`` (null: accepted), decided in the order of ``pos``.
 
-    Earlier accepted candidates join the set: of equal keys the first by pos stays.
+    A card's keys are (file, line, rule) for its line and its ``also_lines``.  The first that holds:
+    outside_ledger (its line is in no span of its file), not_in_diff (its ``existing_code`` is in no
+    diff of its file, though there is one), missing_rule_id, missing_locus, same_key (a key of the
+    baseline or of a candidate accepted before) and occupied_line (its line has a baseline card
+    without a rule).  Candidates are decided in rounds: one that is first at all its keys is in,
+    those that share a key with it are out, and what only met candidates that are out is open again.
     """
-    c = candidates.join(ledger.select("file", F.col("start").alias("__a"), F.col("end").alias("__b")), "file", "left")
-    c = c.groupBy(*candidates.columns).agg(F.bool_or((F.col("line") >= F.col("__a")) & (F.col("line") <= F.col("__b"))).alias("__inside"))
-    keys = baseline.select("file", "line", "rule_id", F.lit(True).alias("__same")).distinct()
-    taken = baseline.select("file", "line", F.lit(True).alias("__taken")).distinct()
-    c = c.join(keys, ["file", "line", "rule_id"], "left").join(taken, ["file", "line"], "left")
-    if diff is not None:
-        squashed = diff.select("file", S.squash(F.col("text")).alias("__diff"))
-        c = c.join(squashed, "file", "left").withColumn("__shown", F.contains("__diff", S.squash(F.col("evidence"))))
+    checkpoint_dir(candidates.sparkSession)
+    old, c = _cards(baseline), _cards(candidates)
+    keys = old.where("__rule IS NOT NULL").select("__path", F.explode("__lines").alias("__line"), "__rule").distinct()
+    occupied = old.where("__rule IS NULL").select("__path", F.explode("__lines").alias("__first")).distinct()
+    c = c.withColumn("__first", F.get("__lines", 0))
+    flags = {}
+    if ledger is not None:
+        spans = ledger.select(F.lower(F.regexp_replace("file", r"\\", "/")).alias("__path"), "start", "end").distinct()
+        flags["outside_ledger"] = (J.interval_join(c.select("pos", "__path", "line"), spans, ["__path"], "line", "start", "end", 64).select("pos").distinct(), False)
+    if diffs is not None:
+        flags["not_in_diff"] = (_not_shown(c, diffs), True)
+    claims = c.where("__rule IS NOT NULL").select("pos", "__path", F.explode("__lines").alias("__line"), "__rule")
+    flags["same_key"] = (claims.join(keys, ["__path", "__line", "__rule"], "left_semi").select("pos").distinct(), True)
+    flags["occupied_line"] = (c.join(occupied, ["__path", "__first"], "left_semi").select("pos").distinct(), True)
+    for name, (rows, hit) in flags.items():
+        c = c.join(rows.withColumn(f"__{name}", F.lit(True)), "pos", "left").withColumn(f"__{name}", F.coalesce(f"__{name}", F.lit(False)) == hit)
+    when = {"missing_rule_id": F.col("__rule").isNull(), "missing_locus": F.col("__path").isNull() | (F.size("__lines") == 0)} | {n: F.col(f"__{n}") for n in flags}
+    order = [n for n in ("outside_ledger", "not_in_diff", "missing_rule_id", "missing_locus", "same_key", "occupied_line") if n in when]
+    reason = F.coalesce(*(F.when(when[n], n) for n in order))
+    c = c.withColumn("reason", reason).select(*candidates.columns, "__path", "__rule", "__lines", "reason").checkpoint()
+    open_ = c.where("reason IS NULL").select("pos", "__path", F.explode("__lines").alias("__line"), "__rule").checkpoint()
+    out = None
+    for _ in range(max_rounds):
+        if open_.isEmpty():
+            break
+        w = Window.partitionBy("__path", "__line", "__rule")
+        ranked = open_.withColumn("__lead", F.min("pos").over(w) == F.col("pos"))
+        taken = ranked.groupBy("pos").agg(F.bool_and("__lead").alias("in")).where("in").select("pos").checkpoint()
+        held = open_.join(taken, "pos", "left_semi").select("__path", "__line", "__rule").distinct()
+        refused = open_.join(held, ["__path", "__line", "__rule"], "left_semi").select("pos").distinct().join(taken, "pos", "left_anti").checkpoint()
+        out = refused if out is None else out.unionAll(refused)
+        open_ = open_.join(taken.unionAll(refused), "pos", "left_anti").checkpoint()
     else:
-        c = c.withColumn("__shown", F.lit(True))
-    reason = F.when(F.col("rule_id").isNull(), "missing_rule_id").when(F.col("file").isNull() | F.col("line").isNull(), "missing_locus").when(~F.coalesce("__inside", F.lit(False)), "outside_ledger").when(~F.coalesce("__shown", F.lit(False)), "not_in_diff").when(F.col("__same"), "same_key").when(F.col("__taken"), "occupied_line")
-    c = c.withColumn("reason", reason).select(*candidates.columns, "reason")
-    first = c.where("reason is null").groupBy("file", "line").agg(F.min("pos").alias("__first"))
-    c = c.join(first, ["file", "line"], "left")
-    return c.withColumn("reason", F.coalesce("reason", F.when(F.col("pos") > F.col("__first"), "same_key"))).drop("__first")
-
-
-def normalise_reply(df: DataFrame, scanner: str, payload: str) -> DataFrame:
-    """Findings from a scanner's JSON reply: semgrep, bandit, gosec, osv, npm, ruff, eslint, gitleaks."""
-    shapes = {
-        "semgrep": ("struct<results: array<struct<path: string, start: struct<line: int>, check_id: string, extra: struct<severity: string, message: string>>>>", "r.results", "x.path", "x.start.line", "x.check_id", "x.extra.message", {"ERROR": "P1", "WARNING": "P2", "INFO": "P3"}, "x.extra.severity", 40),
-        "bandit": ("struct<results: array<struct<filename: string, line_number: int, test_id: string, issue_text: string, issue_severity: string>>>", "r.results", "x.filename", "x.line_number", "x.test_id", "x.issue_text", {"HIGH": "P1", "MEDIUM": "P2", "LOW": "P3"}, "x.issue_severity", 30),
-        "gosec": ("struct<Issues: array<struct<file: string, line: string, rule_id: string, details: string, severity: string>>>", "r.Issues", "x.file", "x.line", "x.rule_id", "x.details", {"HIGH": "P1", "MEDIUM": "P2", "LOW": "P3"}, "x.severity", 30),
-        "npm": ("struct<vulnerabilities: map<string, struct<severity: string, name: string>>>", "map_values(r.vulnerabilities)", "'package.json'", "1", "x.name", "x.name", {"critical": "P0", "high": "P1", "moderate": "P2"}, "x.severity", 0),
-        "ruff": ("struct<results: array<struct<filename: string, location: struct<row: int>, code: string, message: string>>>", "r.results", "x.filename", "x.location.row", "x.code", "x.message", {}, "'P3'", 0),
-        "eslint": ("struct<results: array<struct<filePath: string, messages: array<struct<line: int, ruleId: string, message: string, severity: int>>>>>", "flatten(transform(r.results, f -> transform(f.messages, m -> named_struct('path', f.filePath, 'line', m.line, 'rule', m.ruleId, 'text', m.message, 'grade', cast(m.severity AS string)))))", "x.path", "x.line", "x.rule", "x.text", {"2": "P2", "1": "P3"}, "x.grade", 0),
-        "gitleaks": ("struct<results: array<struct<File: string, StartLine: int, RuleID: string, Description: string>>>", "r.results", "x.File", "x.StartLine", "x.RuleID", "x.Description", {}, "'P0'", 0),
-        "osv": ("struct<results: array<struct<source: struct<path: string>, packages: array<struct<package: struct<name: string>, vulnerabilities: array<struct<id: string, summary: string>>>>>>>", "flatten(transform(r.results, f -> flatten(transform(f.packages, p -> transform(p.vulnerabilities, v -> named_struct('path', f.source.path, 'id', v.id, 'summary', v.summary))))))", "x.path", "1", "x.id", "x.summary", {}, "'P1'", 20),
-    }
-    shape, items, file, line, rule, text, grades, grade, least = shapes[scanner]
-    rows = df.select(F.from_json(payload, shape).alias("r")).selectExpr(f"explode({items}) AS x")
-    level = F.expr(grade)
-    severity = level
-    if grades:
-        severity = F.lit("P2")
-        for name, value in grades.items():
-            severity = F.when(level == name, value).otherwise(severity)
-    out = rows.select(F.expr(file).alias("file"), F.expr(line).cast("int").alias("line"), severity.alias("severity"), F.expr(rule).alias("rule_id"), F.expr(text).alias("title"), F.lit(scanner).alias("adapter"), (F.length(F.expr(text)) < least if least else F.lit(False)).alias("ambiguous"))
-    first = out.groupBy("file", "line", "rule_id").agg(F.min(F.struct("severity", "title", "adapter", "ambiguous")).alias("r"))
-    return first.select("file", "line", "rule_id", "r.*")
+        raise RuntimeError("candidates did not settle")
+    if out is not None:
+        c = c.join(out.withColumn("__out", F.lit("same_key")), "pos", "left").withColumn("reason", F.coalesce("reason", "__out"))
+    return c.select(*candidates.columns, "reason")
 
 
 def closure_violations(rows: DataFrame, findings: DataFrame) -> DataFrame:

@@ -116,6 +116,36 @@ def change_groups(changed: DataFrame, edges: DataFrame, node: str, file: str, a:
     return changed.select(F.col(node).alias("node")).distinct().join(parts, F.col("node") == F.col("__n"), "left").select("node", F.coalesce("component", "node").alias("group"))
 
 
+def ordered_groups(groups: DataFrame, edges: DataFrame, a: str, b: str) -> DataFrame:
+    """(group, nodes, fan_in) of change groups (node, group): size and the greatest number of distinct callers of a node; sort by fan_in, then by group."""
+    callers = edges.select(F.col(a).alias("caller"), F.col(b).alias("node")).where("caller <> node").distinct().groupBy("node").agg(F.count(F.lit(1)).alias("callers"))
+    per = groups.join(callers, "node", "left")
+    return per.groupBy("group").agg(F.count(F.lit(1)).alias("nodes"), F.coalesce(F.max("callers"), F.lit(0)).cast("long").alias("fan_in"))
+
+
+def component_groups(nodes: DataFrame, edges: DataFrame, node: str, size: str, a: str, b: str, weight: str) -> DataFrame:
+    """(group, members, size, first, second, hub) of the components of two or more nodes.
+
+    A group goes by its least node and is named by its two largest members (of equals the
+    lesser).  Its hub is the member of most neighbours, then of most weight, then of greatest
+    size, where there are three members or more and it has two neighbours or more.
+    """
+    from .windows import top_k_per_key
+
+    known = nodes.select(F.col(node).alias("node"), F.col(size).alias("size"))
+    e = edges.select(F.col(a).alias("a"), F.col(b).alias("b"), F.col(weight).alias("w")).where("a <> b")
+    inner = e.join(known.select(F.col("node").alias("a")), "a", "left_semi").join(known.select(F.col("node").alias("b")), "b", "left_semi")
+    ends = inner.select(F.col("a").alias("node"), F.col("b").alias("other"), "w").unionAll(inner.select("b", "a", "w"))
+    degrees = ends.groupBy("node", "other").agg(F.sum("w").alias("w")).groupBy("node").agg(F.count(F.lit(1)).alias("degree"), F.sum("w").alias("weight"))
+    parts = connected_components(inner.select("a", "b"))
+    m = parts.join(known, "node").join(degrees, "node").select(F.col("component").alias("group"), "node", "size", "degree", "weight").checkpoint()
+    best = F.max(F.struct("degree", "weight", "size", F.col("node"))).alias("best")
+    whole = m.groupBy("group").agg(F.count(F.lit(1)).alias("members"), F.sum("size").alias("size"), best)
+    named = top_k_per_key(m.select("group", "node", "size"), ["group"], [F.desc("size"), F.col("node")], 2).groupBy("group").agg(F.max(F.when(F.col("rank") == 1, F.col("node"))).alias("first"), F.max(F.when(F.col("rank") == 2, F.col("node"))).alias("second"))
+    hub = F.when((F.col("members") >= 3) & (F.col("best.degree") >= 2), F.col("best.node"))
+    return whole.join(named, "group").select("group", "members", "size", "first", "second", hub.alias("hub"))
+
+
 def call_chains(edges: DataFrame, roots: DataFrame, a: str, b: str, depth: int = 6, limit: int | None = None) -> DataFrame:
     """(chain): simple paths from each root that cannot be longer, or are of the depth; a limit takes the least chains."""
     e = edges.select(F.col(a).cast("string").alias("__a"), F.col(b).cast("string").alias("__b")).where("__a <> __b").distinct()
@@ -151,9 +181,15 @@ def test_gap(changed: DataFrame, edges: DataFrame, tests: DataFrame, node: str,
     return changed.select(node).distinct().join(covered, node, "left_anti")
 
 
-def rescan(failed: DataFrame, edges: DataFrame, node: str, a: str, b: str) -> DataFrame:
-    """Failed nodes and all that depend on them (a depends on b), transitively."""
-    return reach(edges, failed.select(node), b, a, None).select(F.col("node").alias(node)).distinct()
+def rescan(seeds: DataFrame, entities: DataFrame, edges: DataFrame, node: str, status: str, a: str, b: str, open_states: list[str] = ("failed", "missing-dependency")) -> DataFrame:
+    """(node): the seeds and all that they depend on (a depends on b) through entities that are open.
+
+    An entity is open if its status is null or one of ``open_states``; a dependency that is no
+    entity, or is settled, is not entered and nothing behind it is.
+    """
+    open_ = entities.where(F.col(status).isNull() | F.col(status).isin(*open_states)).select(F.col(node).alias(b)).distinct()
+    ways = edges.join(open_, b, "left_semi").join(entities.select(F.col(node).alias(a)).distinct(), a, "left_semi")
+    return reach(ways, seeds.select(node), a, b, None).select(F.col("node").alias(node)).distinct()
 
 
 def cross_module(edges: DataFrame, modules: DataFrame, a: str, b: str, node: str, module: str) -> DataFrame:
@@ -189,41 +225,48 @@ def reading_path(edges: DataFrame, start: DataFrame, a: str, b: str, weight: str
     return paths
 
 
-def _per_component(edges: DataFrame, a: str, b: str, weight: str, schema: str, function) -> DataFrame:
-    parts = connected_components(edges.select(F.col(a).alias("a"), F.col(b).alias("b")))
-    e = edges.select(F.col(a).alias("a"), F.col(b).alias("b"), F.col(weight).alias("w")).where("a <> b")
-    return e.join(parts, e.a == parts.node).select("component", "a", "b", "w").groupBy("component").applyInPandas(function, schema)
-
-
-def backbone(edges: DataFrame, a: str, b: str, weight: str, share: float = 0.3) -> DataFrame:
-    """(a, b, w, tree): a maximum spanning tree of each component, and other edges of at least a share of the top weight.
+def spanning_forest(edges: DataFrame, a: str, b: str, weight: str, max_rounds: int = 64) -> DataFrame:
+    """(a, b, w): a maximum spanning forest, of equal weights the lesser (a, b) first, which makes it unique.
 
-    Meant for module graphs, where a component is small: it is held in one task.
+    Every round each part takes its best edge to another part and parts so tied become one, so
+    the rounds grow with the logarithm of the nodes.  Only the best edge between two parts is kept,
+    and all steps are joins and sums by key: no component is ever in one task.
     """
+    checkpoint_dir(edges.sparkSession)
+    best = F.min(F.struct((-F.col("w")).alias("o"), "a", "b")).alias("e")
+    e = edges.select(F.col(a).alias("a"), F.col(b).alias("b"), F.col(weight).alias("w")).where("a <> b AND w IS NOT NULL")
+    e = e.groupBy("a", "b").agg(F.max("w").alias("w")).select(F.least("a", "b").alias("x"), F.greatest("a", "b").alias("y"), "a", "b", "w").groupBy("x", "y").agg(best).select("x", "y", "e.a", "e.b", (-F.col("e.o")).alias("w")).checkpoint()
+    taken = None
+    for _ in range(max_rounds):
+        if e.isEmpty():
+            break
+        sides = e.select(F.col("x").alias("part"), "x", "y", "a", "b", "w").unionAll(e.select("y", "x", "y", "a", "b", "w"))
+        chosen = sides.groupBy("part").agg(F.min(F.struct((-F.col("w")).alias("o"), "a", "b", "x", "y")).alias("e")).select("e.x", "e.y", "e.a", "e.b", (-F.col("e.o")).alias("w")).distinct().checkpoint()
+        more = chosen.select("a", "b", "w")
+        taken = more if taken is None else taken.unionAll(more)
+        parts = connected_components(chosen, "x", "y")
+        to = lambda c: parts.select(F.col("node").alias(c), F.col("component").alias(f"new_{c}"))  # noqa: B023, E731
+        moved = e.join(to("x"), "x", "left").join(to("y"), "y", "left").select(F.coalesce("new_x", "x").alias("p"), F.coalesce("new_y", "y").alias("q"), "a", "b", "w").where("p <> q")
+        e = moved.select(F.least("p", "q").alias("x"), F.greatest("p", "q").alias("y"), "a", "b", "w").groupBy("x", "y").agg(best).select("x", "y", "e.a", "e.b", (-F.col("e.o")).alias("w")).checkpoint()
+    else:
+        raise RuntimeError("the forest did not settle")
+    return e.select("a", "b", "w") if taken is None else taken
 
-    def kruskal(pdf):
-        pdf = pdf.sort_values(["w", "a", "b"], ascending=[False, True, True])
-        parent = {}
-
-        def find(x):
-            while parent.setdefault(x, x) != x:
-                parent[x] = parent[parent[x]]
-                x = parent[x]
-            return x
-
-        top, keep = pdf.w.max(), []
-        for row in pdf.itertuples():
-            p, q = find(row.a), find(row.b)
-            if p != q:
-                parent[p] = q
-            if p != q or row.w >= share * top:
-                keep.append((row.a, row.b, row.w, p != q))
-        import pandas as pd
 
-        return pd.DataFrame(keep, columns=["a", "b", "w", "tree"])
+def backbone(edges: DataFrame, a: str, b: str, weight: str, share: float = 0.3) -> DataFrame:
+    """(a, b, w, tree): a maximum spanning tree of each component, and other edges of at least a share of its top weight."""
+    e = edges.select(F.col(a).alias("a"), F.col(b).alias("b"), F.col(weight).alias("w")).where("a <> b")
+    tree = spanning_forest(e, "a", "b", "w").withColumn("tree", F.lit(True))
+    parts = connected_components(e.select("a", "b")).select(F.col("node").alias("a"), "component")
+    placed = e.join(parts, "a").join(tree, ["a", "b", "w"], "left").withColumn("tree", F.coalesce("tree", F.lit(False))).checkpoint()
+    top = placed.groupBy("component").agg(F.max("w").alias("top"))
+    return placed.join(top, "component").where(F.col("tree") | (F.col("w") >= share * F.col("top"))).select("a", "b", "w", "tree")
 
-    kind = dict(edges.dtypes)
-    return _per_component(edges, a, b, weight, f"a {kind[a]}, b {kind[b]}, w {kind[weight]}, tree boolean", kruskal)
+
+def _per_component(edges: DataFrame, a: str, b: str, weight: str, schema: str, function) -> DataFrame:
+    parts = connected_components(edges.select(F.col(a).alias("a"), F.col(b).alias("b")))
+    e = edges.select(F.col(a).alias("a"), F.col(b).alias("b"), F.col(weight).alias("w")).where("a <> b")
+    return e.join(parts, e.a == parts.node).select("component", "a", "b", "w").groupBy("component").applyInPandas(function, schema)
 
 
 def longest_path_ranks(edges: DataFrame, a: str, b: str) -> DataFrame:

@@ -7,18 +7,24 @@ pass a rule), each rule is one array element, and hits are exploded at the end.
 
 from __future__ import annotations
 
+import re
 from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from .code import code_lines, constants
+
 
 @dataclass(frozen=True)
 class Rule:
     """One line rule. Patterns are Java regular expressions; empty ones are not applied.
 
     near_not and near_has look at code lines from ``before`` lines above to ``after`` below;
-    file_has, file_not and method_has, method_not at the whole file or method.
+    file_has, file_not and method_has, method_not at the whole file or method.  The line pattern of
+    a ``bare`` rule does not look into strings.  A rule with ``within`` (method, loop, call or near) looks with ``has`` and ``has_not`` at the code of the
+    method, loop or call that holds the line, or at the lines near it; there {v} stands for the
+    name that group 1 of ``line`` finds, so that what another variable does never counts.
     """
 
     rule_id: str
@@ -37,6 +43,10 @@ class Rule:
     path_has: str = ""
     path_not: str = ""
     first_only: bool = False
+    bare: bool = False
+    within: str = ""
+    has: str = ""
+    has_not: str = ""
 
 
 # Credentials and personal data in free text.
@@ -62,25 +72,26 @@ LICENSES = [
 # The 24 deterministic code rules.
 DETERMINISTIC = [
     Rule("ERR-001", "exception_unwrap", r"throw new \w+\s*\(\s*(?:\w+\.getMessage\(\)|\"[^\"]*\")\s*\)|raise \w+\(str\(\w+\)\)\s*$", "P2", "error", near_has=r"catch\s*\(|except\b", before=6),
+    Rule("ERR-001", "exception_unwrap", r"fmt\.Errorf\(\s*\"(?:[^\"%]|%[^w\"])*%[vs](?:[^\"%]|%[^w\"])*\"\s*,.*\berr\w*\b|new Error\(\s*(?:`[^`]*\$\{)?\w+\.message\b(?!.*\bcause\b)", "P2", "error"),
     Rule("CHR-001", "charset_omission", r"\.getBytes\(\s*\)|new String\(\s*\w+\s*\)|new InputStreamReader\(\s*[\w.()]+\s*\)", "P3", "hygiene"),
-    Rule("RES-001", "close_not_in_finally", r"new (?:File(?:In|Out)putStream|BufferedReader|FileReader|Socket)\s*\(|\bopen\(", "P2", "resource", near_not=r"try\s*\(|\bwith\b|finally[\s\S]*\.close\(", before=4, after=34),
-    Rule("ACC-001", "unused_accumulator", r"\b(?:List|Map|Set)<[^>]*>\s+(\w+)\s*=\s*new\b", "P3", "hygiene", method_has=r"\.(?:add|put)\(", method_not=r"return \w+;|\.(?:get|size|stream|forEach|contains\w*|isEmpty|iterator|values|keySet|entrySet)\(|for\s*\([^)]*:\s*\w+\)"),
-    Rule("NULL-001", "null_deref_after_load", r"=\s*\w+\.(?:find|load|get)\w*\(", "P1", "logic", near_has=r"\A\s*(?:[\w<>\[\]]+\s+)?(\w+)\s*=[\s\S]*\n[\s\S]*\b\1\.\w+", near_not=r"[!=]= ?null|Optional|orElse|requireNonNull|is None|is not None", before=0, after=6),
+    Rule("RES-001", "close_not_in_finally", r"new (?:File(?:In|Out)putStream|BufferedReader|FileReader|Socket)\s*\(|=\s*open\(", "P2", "resource", near_not=r"try\s*\(|\bwith\b|finally[\s\S]*\.close\(", before=4, after=34),
+    Rule("ACC-001", "unused_accumulator", r"\b(?:(?:List|Map|Set)<[^>]*>|var|val|let|const)\s+(\w+)\s*(?::[^=]+)?=\s*(?:new\s+(?:\w*(?:List|Map|Set)\b|Array\b)|\[\s*\]|\{\s*\}|mutable\w+\()|^\s*(\w+)\s*(?::[^=]+)?(?::=|=)\s*(?:\[\s*\]|\{\s*\}|list\(\)|dict\(\)|set\(\)|\[\]\w+\{\s*\})\s*$", "P3", "hygiene", within="method", has=r"\b{v}\.(?:add|put|append|push|set|update|extend)\(|\b{v}\s*=\s*append\(|\b{v}\[[^\]]+\]\s*=[^=]", has_not=r"\breturn\b[^;\n]*\b{v}\b|\b{v}\.(?:get|size|stream|forEach|contains\w*|isEmpty|iterator|values|keySet|entrySet|items|keys|map|filter|join|length|pop|includes|has)\b|\b(?:in|of|:|range)\s+{v}\b|(?<!append)[(,]\s*{v}\s*[,)]|\blen\(\s*{v}|\byield\b[^\n]*\b{v}\b", bare=True),
+    Rule("NULL-001", "null_deref_after_load", r"\b(\w+)\s*:?=\s*(?:await\s+)?[\w.]+\.(?:find|load|get)\w*\(", "P1", "logic", within="near", after=6, has=r"\n[\s\S]*\b{v}\.\w+", has_not=r"\b{v}\s*[!=]==?\s*(?:null|nil|undefined)|(?:null|nil)\s*[!=]=\s*{v}\b|requireNonNull\(\s*{v}\b|Optional|orElse|\b{v}\s+is\s+(?:not\s+)?None|\bif\s+\(?\s*(?:not\s+|!)?{v}\b\s*[:)]|\b{v}\?\.", bare=True),
     Rule("TEN-006", "admin_grant_without_audit", r"(?i)\b(?:is)?admin\b|hasRole\(\"ADMIN\"\)", "P1", "auth", near_has=r"return true", near_not=r"(?i)audit|\blog", after=8),
     Rule("TEN-002", "tenant_predicate_missing", r"(?i)\bwhere\s+(?:\w+\.)?id\s*=", "P0", "tenant", near_not=r"(?i)tenant", before=7, after=2, file_has=r"(?i)tenant_?id"),
-    Rule("TEN-004", "tenant_context_dropped", r"(?i)\b(?:submit|runAsync|supplyAsync|execute|create_task)\s*\(", "P1", "tenant", near_has=r"(?i)(?:order|user|account)_?id", near_not=r"(?i)tenant[\s\S]*actor[\s\S]*trace", after=8),
+    Rule("TEN-004", "tenant_context_dropped", r"(?i)\b(?:submit|runAsync|supplyAsync|execute|create_task)\s*\(", "P1", "tenant", within="call", has=r"(?i)(?:order|user|account)_?id", has_not=r"(?i)\A(?=[\s\S]*tenant)(?=[\s\S]*actor)(?=[\s\S]*trace)", bare=True),
     Rule("TEN-005", "tenant_id_only_lookup", r"(?i)\.(?:findById|getById|load)\(\s*\w+\s*\)", "P0", "tenant", method_has=r"(?i)\b(?:refund|revers)\w*\s*\(", method_not=r"(?i)tenant"),
     Rule("POOL-001", "unpooled_connection", r"DriverManager\.getConnection\(|psycopg2\.connect\(|sqlite3\.connect\(", "P2", "resource"),
     Rule("RES-001", "executor_not_shutdown", r"Executors\.new\w+\(|ThreadPoolExecutor\(", "P2", "resource", file_not=r"\.shutdown(?:Now)?\(|\bwith\s+ThreadPoolExecutor"),
     Rule("ENV-001", "env_config_gap", r"https?://[\w.-]*\b(?:dev|test|staging|prod)\b[\w./-]*", "P2", "config", file_not=r"getenv|environ|@Value|System\.getProperty|process\.env"),
-    Rule("LOG-001", "uncontrolled_log_sink", r"System\.out\.print|\bprint\(|console\.log\(", "P3", "observability", method_has=r"(?i)\b(?:log|info|warn|error|debug)\w*\s*\([^)]*\)\s*[:{]", method_not=r"(?i)logger\.|logging\."),
+    Rule("LOG-001", "uncontrolled_log_sink", r"System\.out\.print|\bprint\(|console\.log\(", "P3", "observability", method_has=r"(?i)\b(?:log|info|warn|error|debug)\w*\s*\([^)]*\)\s*[:{]", method_not=r"(?i)logger\.|logging\.", bare=True),
     Rule("ERR-002", "error_payload_candidate", r"(?i)\b(?:reject|fail)\w*\s*\(\s*\w+\s+\w+\s*\)\s*\{|def (?:reject|fail)\w*\(\s*\w+\s*\)", "P3", "suspect", method_not=r"(?i)message|trace"),
     Rule("OPQ-001", "opaque_status_candidate", r"(?i)status\w*(?:\(\))?\s*(?:==|\.equals\()\s*[\"']\w[\"']", "P3", "suspect"),
-    Rule("BND-001", "disabled_bound", r"(?i)set\w*timeout\w*\s*\(\s*(?:0|-1|\w*MAX_VALUE)|timeout\s*=\s*(?:0|-1|None)\b", "P1", "resilience"),
-    Rule("BIZ-001", "retry_side_effect", r"(?i)\b(?:save|insert|send|notify|charge|publish)\w*\s*\(", "P1", "logic", near_has=r"(?i)\b(?:for|while)\b[\s\S]*(?:retry|attempt)", near_not=r"(?i)idempoten", before=15),
+    Rule("BND-001", "disabled_bound", r"(?i)set\w*timeout\w*\s*\(\s*(?:0|-1|\w*MAX_VALUE)\b|timeout\s*=\s*(?:0|-1|None)\b(?!\.)", "P1", "resilience"),
+    Rule("BIZ-001", "retry_side_effect", r"(?i)\b(?:save|insert|send|notify|charge|publish)\w*\s*\(", "P1", "logic", within="loop", has=r"(?i)\A[^\n]*(?:retry|retries|attempt|tries)", has_not=r"(?i)idempoten", bare=True),
     Rule("NULL-001", "unguarded_parse", r"(?:Integer\.parseInt|Long\.parseLong|new BigDecimal|UUID\.fromString|\bint)\(\s*(?:req|request|params?|args?)[\w.\[\]()\"']*", "P2", "logic", near_not=r"[!=]= ?null|isBlank|isEmpty|try\b|is None|\bif\b", before=4),
-    Rule("CONC-003", "shared_mutable", r"\bstatic\b(?!.*\bfinal\b).*\b(?:HashMap|ArrayList|HashSet|SimpleDateFormat)\b|\bstatic\b.*\bSimpleDateFormat\b", "P1", "concurrency"),
-    Rule("GLOB-001", "process_default_write", r"TimeZone\.setDefault|Locale\.setDefault|System\.setProperty\(|os\.environ\[[^\]]+\]\s*=|socket\.setdefaulttimeout", "P1", "config"),
+    Rule("CONC-003", "shared_mutable", r"\bstatic\b(?!.*\bfinal\b).*\b(?:HashMap|ArrayList|HashSet|SimpleDateFormat)\b|\bstatic\b.*\bSimpleDateFormat\b", "P1", "concurrency", bare=True),
+    Rule("GLOB-001", "process_default_write", r"TimeZone\.setDefault|Locale\.setDefault|System\.setProperty\(|os\.environ\[[^\]]+\]\s*=|socket\.setdefaulttimeout", "P1", "config", bare=True),
     Rule("LIT-001", "decision_literal", r"(?i)\b(?:timeout|fee|limit|rate)\w*\s*(?:[<>]=?|\*|=)\s*\d+(?:\.\d+)?\b", "P3", "config", path_not=r"(?i)(?:^|/)tests?/|Test\.\w+$|_test\.\w+$", method_has=r"\S"),
     Rule("TST-001", "test_tautology", r"assertTrue\(\s*true\s*\)|assert True\b|assertEquals\(\s*(\w+)\s*,\s*\1\s*\)", "P2", "test"),
     Rule("DES-001", "prod_test_coupling", r"^\s*(?:import|from)\s+(?:org\.junit|org\.mockito|pytest|unittest)", "P2", "design", path_not=r"(?i)(?:^|/)tests?/|Test\.\w+$|_test\.\w+$|test_\w+\.py$", first_only=True),
@@ -102,7 +113,7 @@ SIGNALS = [
     Rule("RSL-004", "fan_out", r"(?i)parallelStream\(|Promise\.all\(|gather\(", "P3", "resilience", near_not=r"(?i)limit|semaphore|chunk", before=4, after=4),
     Rule("ROL-001", "destructive_ddl", r"(?i)\b(?:drop|truncate)\s+(?:table|column)\b|alter\s+table\s+\w+\s+drop\b", "P0", "rollout"),
     Rule("ROL-002", "unguarded_flag", r"(?i)feature_?flag|isEnabled\(", "P3", "rollout", near_not=r"(?i)default|fallback|else", before=2, after=4),
-    Rule("PRF-001", "io_in_loop", r"(?i)\.(?:find|get|query|save|fetch)\w*\(", "P1", "performance", near_has=r"(?i)^\s*(?:for|while)\b|\.forEach\(", near_not=r"(?i)batch|bulk|all\(|in\s*\(", before=4),
+    Rule("PRF-001", "io_in_loop", r"(?i)\.(?:find|get|query|save|fetch)\w*\(", "P1", "performance", within="loop", has=r"(?i)\A[^\n]*(?:\b(?:for|while|do|loop)\b|\.forEach\(|\brepeat\()", has_not=r"(?i)batch|bulk|all\(|in\s*\(", bare=True),
     Rule("PRF-002", "unpaged_read", r"(?i)findAll\(\s*\)|select \* from \w+\s*[\"';]", "P2", "performance", near_not=r"(?i)limit|page", before=2, after=3),
     Rule("PRF-003", "unbounded_cache", r"(?i)cache\w*\s*=\s*(?:new (?:Concurrent)?HashMap|\{\}|dict\(\))", "P2", "performance", file_not=r"(?i)maximumSize|expire|evict|lru"),
     Rule("OBS-001", "silent_failure", r"(?i)return (?:null|None|false)\s*;?\s*$", "P3", "observability", near_has=r"(?i)catch|except", near_not=r"(?i)\blog", before=3),
@@ -116,34 +127,6 @@ FAMILIES = {"tenant": r"(?i)tenant", "concurrency": r"(?i)thread|synchronized|as
 ALWAYS = ["ERR-001", "ERR-002", "LOG-001", "OPQ-001", "LIT-001", "MNT-001"]
 
 
-def code_lines(df: DataFrame, path: str, text: str) -> DataFrame:
-    """(path, line_no, line, code): the line with comments removed, block comments carried across lines.
-
-    The block state of a line is whether the last opener before it is later than the last
-    closer, a running maximum per file; a file's lines are one window partition.
-    """
-    lines = df.select(F.col(path).alias("path"), F.posexplode(F.split(F.coalesce(text, F.lit("")), "\n", -1)).alias("i", "line")).select("path", (F.col("i") + 1).alias("line_no"), "line")
-    w = Window.partitionBy("path").orderBy("line_no").rowsBetween(Window.unboundedPreceding, -1)
-    plain = F.regexp_replace("line", "/\\*.*?\\*/", " ")
-    opens, closes = F.contains(plain, F.lit("/*")), F.contains(plain, F.lit("*/"))
-    state = F.coalesce(F.max(F.when(opens, F.col("line_no"))).over(w), F.lit(0)) > F.coalesce(F.max(F.when(closes, F.col("line_no"))).over(w), F.lit(0))
-    tagged = lines.withColumn("__in", state)
-    inside = F.when(F.col("__in") & ~F.contains("line", F.lit("*/")), F.lit("")).when(F.col("__in"), F.regexp_replace("line", "^.*?\\*/", "")).otherwise(plain)
-    no_block = F.regexp_replace(inside, "/\\*.*$", "")
-    code = F.regexp_replace(F.regexp_replace(no_block, "(^|\\s)//.*$", ""), "^\\s*(#(?!include).*|\\*.*)$", "")
-    return tagged.select("path", "line_no", "line", code.alias("code"))
-
-
-_METHOD = r"^\s*(?:(?:public|private|protected|static|async|final|export|override)\s+)*(?:def\s+\w+\s*\(|(?:function|func|fun)\b.*\(|[\w<>\[\], ]+\s+\w+\s*\([^;]*\)\s*(?:throws [\w, ]+)?\{\s*$)"
-
-
-def methods(lines: DataFrame) -> DataFrame:
-    """lines with ``method_line``, the line of the method header at or above each line (0 before the first)."""
-    w = Window.partitionBy("path").orderBy("line_no").rowsBetween(Window.unboundedPreceding, 0)
-    head = F.col("code").rlike(_METHOD) & ~F.col("code").rlike(r"^\s*(?:if|for|while|switch|catch|else|return|new)\b")
-    return lines.withColumn("method_line", F.coalesce(F.max(F.when(head, F.col("line_no"))).over(w), F.lit(0)))
-
-
 def _near(before: int, after: int) -> Column:
     w = Window.partitionBy("path").orderBy("line_no").rowsBetween(-before, after)
     return F.array_join(F.collect_list("code").over(w), "\n")
@@ -157,7 +140,6 @@ def scan(df: DataFrame, rules: list[Rule], path: str, text: str, code: bool = Tr
     lines = code_lines(df, path, text) if code else df.select(F.col(path).alias("path"), F.posexplode(F.split(F.coalesce(text, F.lit("")), "\n", -1)).alias("i", "line")).select("path", (F.col("i") + 1).alias("line_no"), "line", F.col("line").alias("code"))
     bodies = sorted({p for r in rules for p in (r.method_has, r.method_not) if p})
     if bodies:
-        lines = methods(lines)
         # a method's text is built once, tested once a pattern, and only the flags go back to its lines;
         # what stands before the first method belongs to none
         whole = lines.where("method_line > 0").groupBy("path", "method_line").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("line_no", "code"))), lambda x: x["code"]), "\n").alias("__body"))
@@ -172,7 +154,7 @@ def scan(df: DataFrame, rules: list[Rule], path: str, text: str, code: bool = Tr
         lines = lines.withColumn(f"__file_{i}", F.bool_or(F.col("code").rlike(p)).over(file))
 
     def hit(r: Rule) -> Column:
-        ok = F.col("code").rlike(r.line)
+        ok = F.col("bare" if r.bare else "code").rlike(r.line)
         near = F.col(f"__near_{r.before}_{r.after}") if r.near_has or r.near_not else None
         ok = ok & near.rlike(f"(?m){r.near_has}") if r.near_has else ok
         ok = ok & ~near.rlike(f"(?m){r.near_not}") if r.near_not else ok
@@ -184,8 +166,20 @@ def scan(df: DataFrame, rules: list[Rule], path: str, text: str, code: bool = Tr
         ok = ok & F.col("path").cast("string").rlike(r.path_has) if r.path_has else ok
         return ok & ~F.col("path").cast("string").rlike(r.path_not) if r.path_not else ok
 
-    made = F.array_compact(F.array(*(F.when(hit(r), F.struct(F.lit(r.rule_id).alias("rule_id"), F.lit(r.kind).alias("kind"), F.lit(r.severity).alias("severity"), F.lit(r.category).alias("category"), F.lit(r.first_only).alias("first_only"))) for r in rules)))
-    hits = lines.select("path", "line_no", F.substring(F.trim("line"), 1, 160).alias("snippet"), F.explode(made).alias("r"))
+    told = lambda r: F.struct(F.lit(r.rule_id).alias("rule_id"), F.lit(r.kind).alias("kind"), F.lit(r.severity).alias("severity"), F.lit(r.category).alias("category"), F.lit(r.first_only).alias("first_only"))
+    plain, bound = [r for r in rules if not r.within], [r for r in rules if r.within]
+    snippet = F.substring(F.trim("line"), 1, 160).alias("snippet")
+    parts = []
+    if plain:
+        parts.append(lines.select("path", "line_no", snippet, F.explode(F.array_compact(F.array(*(F.when(hit(r), told(r)) for r in plain)))).alias("r")))
+    if bound:
+        parts.append(_bound_hits(lines, bound, hit, told))
+    if any(r.kind == "disabled_bound" for r in rules):
+        mine = next(r for r in rules if r.kind == "disabled_bound")
+        parts.append(disabled_constants(lines).select("path", "line_no", snippet, told(mine).alias("r")))
+    hits = parts[0]
+    for more in parts[1:]:
+        hits = hits.unionByName(more)
     hits = hits.select("path", "line_no", "r.rule_id", "r.kind", "r.severity", "r.category", "snippet", "r.first_only")
     if any(r.first_only for r in rules):
         first = F.row_number().over(Window.partitionBy("path", "rule_id").orderBy("line_no"))
@@ -193,6 +187,53 @@ def scan(df: DataFrame, rules: list[Rule], path: str, text: str, code: bool = Tr
     return hits.drop("first_only")
 
 
+def _bound_hits(lines: DataFrame, rules: list[Rule], hit, told) -> DataFrame:
+    """(path, line_no, snippet, r) of rules with ``within``: only lines that a rule's line pattern hits meet the code around them."""
+    spans = {"method": ("method_line", "method_end"), "loop": ("loop_line", "loop_end"), "call": ("line_no", "call_end")}
+    made = []
+    for i, r in enumerate(rules):
+        a, b = (F.col(c) for c in spans[r.within]) if r.within in spans else (F.col("line_no") - r.before, F.col("line_no") + r.after)
+        groups = r.line.count("(") - r.line.count(r"\(") - r.line.count("(?")
+        name = F.concat(*(F.regexp_extract("code", r.line, g) for g in range(1, groups + 1))) if "{v}" in r.has + r.has_not else F.lit("")
+        made.append(F.when(hit(r) & (a > 0 if r.within in spans else F.lit(True)), F.struct(F.lit(i).alias("rule"), a.cast("int").alias("a"), b.cast("int").alias("b"), name.alias("v"))))
+    asked = lines.select("path", "line_no", F.substring(F.trim("line"), 1, 160).alias("snippet"), F.explode(F.array_compact(F.array(*made))).alias("x")).select("path", "line_no", "snippet", "x.*")
+    # the code of a span is put together once, however many hits lie in it
+    wide = asked.select("path", "a", "b").distinct().withColumn("at", F.explode(F.sequence(F.greatest("a", F.lit(1)), F.greatest("a", "b", F.lit(1)))))
+    text = wide.join(lines.select("path", F.col("line_no").alias("at"), "code"), ["path", "at"]).groupBy("path", "a", "b").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("at", "code"))), lambda x: x["code"]), "\n").alias("text"))
+    found = asked.join(text, ["path", "a", "b"])
+    full = lambda p: F.rlike(F.col("text"), F.replace(F.lit(p), F.lit("{v}"), F.col("v")))
+    ok = F.lit(False)
+    for i, r in enumerate(rules):
+        ok = F.when(F.col("rule") == i, (full(r.has) if r.has else F.lit(True)) & (~full(r.has_not) if r.has_not else F.lit(True))).otherwise(ok)
+    said = F.lit(None)
+    for i, r in enumerate(rules):
+        said = F.when(F.col("rule") == i, told(r)).otherwise(said)
+    return found.where(ok).select("path", "line_no", "snippet", said.alias("r"))
+
+
+def disabled_constants(lines: DataFrame) -> DataFrame:
+    """Lines that hand a bound to a constant which turns it off, or branch on a switch that is fixed in code.
+
+    A name means the constant declared in its method, else the one of its file; Owner.NAME means
+    that of the file named Owner.  A switch counts where its file reads no configuration.
+    """
+    known = constants(lines)
+    off = known.where(F.col("value").rlike(r"^\(?\s*(?:0|-1|(?:\w+\.)*MAX_VALUE|Infinity|None)[lL]?\s*\)?$"))
+    use = r"(?i:set\w*(?:timeout|deadline)\w*)\s*\(\s*(?:(\w+)\.)?([A-Za-z_]\w*)\s*[,)]|(?i:timeout)\s*=\s*(?:(\w+)\.)?([A-Z][A-Z0-9_]*)\b"
+    part = lambda k: F.regexp_extract("code", use, k)
+    uses = lines.where(F.col("code").rlike(use)).withColumns({"__owner": F.concat(part(1), part(3)), "__name": F.concat(part(2), part(4))})
+    keep = lines.columns
+    own = uses.where("__owner = ''").join(known.select("path", F.col("name").alias("__name"), "value", F.col("method_line").alias("__at")), ["path", "__name"]).where("__at IN (0, method_line)")
+    nearest = own.groupBy("path", "line_no").agg(F.max_by("value", "__at").alias("value"))
+    bad = nearest.where(F.col("value").rlike(r"^\(?\s*(?:0|-1|(?:\w+\.)*MAX_VALUE|Infinity|None)[lL]?\s*\)?$")).select("path", "line_no")
+    other = uses.where("__owner <> ''").join(off.where("method_line = 0").select(F.col("owner").alias("__owner"), F.col("name").alias("__name")).distinct(), ["__owner", "__name"], "left_semi").select("path", "line_no")
+    switch = r"\bif\s*\(?\s*!?\s*([A-Z][A-Z0-9_]*(?:ENABLED|DISABLED|SWITCH|ON|OFF|GUARD|CHECK)[A-Z0-9_]*)\b"
+    fixed = known.where(F.col("value").rlike("^(?i:true|false)$")).select("path", F.col("name").alias("__name")).distinct()
+    configured = lines.where(F.col("code").rlike(r"getenv|environ|@Value|System\.getProperty|process\.env|(?i:config)\w*[.(\[]")).select("path").distinct()
+    branches = lines.where(F.col("code").rlike(switch)).withColumn("__name", F.regexp_extract("code", switch, 1)).join(fixed, ["path", "__name"], "left_semi").join(configured, "path", "left_anti").select("path", "line_no")
+    return lines.join(bad.unionAll(other).unionAll(branches).distinct(), ["path", "line_no"], "left_semi").select(*keep)
+
+
 def identical_copies(df: DataFrame, key: str, content: str) -> DataFrame:
     """(key, representative): rows whose content another row has; the least key represents."""
     hashed = df.select(key, F.sha2(F.coalesce(content, F.lit("")), 256).alias("h"))
@@ -231,7 +272,7 @@ def route_rules(spans: DataFrame, key: str, text: str, rules: list[Rule]) -> Dat
 
 def method_metrics(df: DataFrame, path: str, text: str) -> DataFrame:
     """(path, method_line, loc, decisions, body_hash) of every method."""
-    lines = methods(code_lines(df, path, text)).where("method_line > 0")
+    lines = code_lines(df, path, text).where("method_line > 0")
     squashed = F.regexp_replace("code", "\\s+", "")
     per = lines.groupBy("path", "method_line").agg(F.count_if(F.trim("code") != "").alias("loc"), F.sum(F.regexp_count("code", F.lit(r"\b(?:if|for|while|case|catch|except|elif)\b|&&|\|\|"))).alias("decisions"), F.array_sort(F.collect_list(F.struct("line_no", squashed.alias("s")))).alias("b"))
     return per.select("path", "method_line", "loc", "decisions", F.sha2(F.array_join(F.transform(F.filter("b", lambda x: (x["s"] != "") & (x["line_no"] > F.col("method_line"))), lambda x: x["s"]), "\n"), 256).alias("body_hash"))
@@ -252,34 +293,10 @@ def metric_findings(metrics: DataFrame, most_loc: int = 80, most_decisions: int
     return again.unionAll(long_).unionAll(branching)
 
 
-def loop_scopes(lines: DataFrame) -> DataFrame:
-    """lines with ``loop_line``: the header of the innermost loop whose braces hold the line, 0 outside of loops.
-
-    Depths are running sums of braces.  A loop holds the lines after its header until the depth
-    falls back to the header's; the fold over a file's lines keeps a stack of open loops.
-    """
-    opens, closes = (F.length("code") - F.length(F.replace("code", F.lit(b), F.lit(""))) for b in "{}")
-    head = F.col("code").rlike(r"^\s*(?:for|while)\b|^\s*do\b|\.forEach\s*\(")
-    slim = lines.groupBy("path").agg(F.array_sort(F.collect_list(F.struct("line_no", head.alias("head"), opens.alias("o"), closes.alias("c")))).alias("items"))
-    entry = "array<struct<line: int, depth: int>>"
-    zero = F.struct(F.lit(0).alias("depth"), F.array().cast(entry).alias("stack"), F.array().cast("array<int>").alias("at"))
-
-    def step(acc, x):
-        after = acc["depth"] + x["o"] - x["c"]
-        kept = F.filter(acc["stack"], lambda s: s["depth"] < acc["depth"] - F.when(x["c"] > x["o"], x["c"] - x["o"]).otherwise(0))
-        inner = F.when(F.size(kept) > 0, F.element_at(kept, -1)["line"]).otherwise(0)
-        mine = F.struct(x["line_no"].cast("int").alias("line"), acc["depth"].cast("int").alias("depth"))
-        stack = F.when(x["head"] & (x["o"] > x["c"]), F.concat(kept, F.array(mine))).otherwise(kept)
-        return F.struct(after.cast("int").alias("depth"), stack.cast(entry).alias("stack"), F.concat(acc["at"], F.array(inner.cast("int"))).alias("at"))
-
-    folded = slim.select("path", F.explode(F.arrays_zip("items", F.aggregate("items", zero, step)["at"].alias("at"))).alias("z"))
-    return lines.join(folded.select("path", F.col("z.items.line_no").alias("line_no"), F.col("z.at").alias("loop_line")), ["path", "line_no"])
-
-
 def test_inventory(df: DataFrame, path: str, text: str) -> DataFrame:
     """(path, method_line, name, asserts, tautology, unjoined): a row for every test method, with its flags."""
     w = Window.partitionBy("path").orderBy("line_no")
-    marked = methods(code_lines(df, path, text)).withColumn("before", F.lag("code").over(w)).where("method_line > 0")
+    marked = code_lines(df, path, text).withColumn("before", F.lag("code").over(w)).where("method_line > 0")
     flag = lambda p: F.bool_or(F.col("code").rlike(p))
     own = F.col("line_no") == F.col("method_line")
     per = marked.groupBy("path", "method_line").agg(
@@ -330,7 +347,7 @@ def parse_exceptions(df: DataFrame, key: str, text: str) -> DataFrame:
 
 def annotation_edges(df: DataFrame, path: str, text: str) -> DataFrame:
     """(path, from_name, to_name, kind): fallback methods named by annotations, and framework entries."""
-    lines = methods(code_lines(df, path, text))
+    lines = code_lines(df, path, text)
     after = Window.partitionBy("path").orderBy("line_no").rowsBetween(1, 6)
     name = F.regexp_extract("code", r"(\w+)\s*\(", 1)
     head = F.when((F.col("method_line") == F.col("line_no")), name)

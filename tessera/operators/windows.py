@@ -4,6 +4,9 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
+
+from .folds import ordered_fold
 
 
 def chunks(df: DataFrame, group: str, order: list[Column], size: int) -> DataFrame:
@@ -66,39 +69,33 @@ def nonblank_ranges(lines: DataFrame, keys: list[str], position: str, text: str)
     return islands(lines.where(F.trim(text) != ""), keys, position)
 
 
-def _folded(df: DataFrame, key: str, order: str, number: str, zero: Column, step, name: str) -> DataFrame:
-    """df with ``name`` from a fold over each key's rows in order; rows of equal order go by the number, then by all columns."""
-    rest = [c for c in df.columns if c not in (key, order, number)]
-    items = df.groupBy(key).agg(F.array_sort(F.collect_list(F.struct(order, number, *rest))).alias("items"))
-    folded = items.select(key, F.explode(F.arrays_zip("items", F.aggregate("items", zero, step)["out"].alias("out"))).alias("z"))
-    return folded.select(*(F.col(key) if c == key else F.col(f"z.items.{c}").alias(c) for c in df.columns), F.col("z.out").alias(name))
-
-
 def pack_budget(df: DataFrame, key: str, order: str, cost: str, budget: int) -> DataFrame:
-    """df with ``taken``: in order, a block is taken if it still fits; later smaller ones may fit where an earlier did not.
-
-    The fold runs over an ordered array per key inside the JVM.
-    """
-    zero = F.struct(F.lit(0).cast("long").alias("used"), F.array().cast("array<boolean>").alias("out"))
+    """df with ``taken``: in order, a block is taken if it still fits; later smaller ones may fit where an earlier did not."""
 
-    def step(acc, item):
-        fits = acc["used"] + item[cost].cast("long") <= budget
-        return F.struct((acc["used"] + F.when(fits, item[cost].cast("long")).otherwise(0)).alias("used"), F.concat(acc["out"], F.array(fits)).alias("out"))
+    def step(used, size):
+        fits = size is not None and used + int(size) <= budget
+        return used + int(size) if fits else used, fits if size is not None else None
 
-    return _folded(df, key, order, cost, zero, step, "taken")
+    return ordered_fold(df, [key], _rest(df, key, order, cost), [cost], int, step, "taken", T.BooleanType())
 
 
 def next_fit(df: DataFrame, key: str, order: str, size: str, capacity: int) -> DataFrame:
     """df with ``bin`` from 0: a new bin opens when the next item does not fit."""
-    zero = F.struct(F.lit(0).cast("long").alias("used"), F.lit(0).alias("bin"), F.array().cast("array<int>").alias("out"))
 
-    def step(acc, item):
-        cost = item[size].cast("long")
-        opens = (acc["used"] > 0) & (acc["used"] + cost > capacity)
-        number = acc["bin"] + F.when(opens, 1).otherwise(0)
-        return F.struct(F.when(opens, cost).otherwise(acc["used"] + cost).alias("used"), number.alias("bin"), F.concat(acc["out"], F.array(number)).alias("out"))
+    def step(state, item):
+        used, number = state
+        cost = int(item or 0)
+        if used > 0 and used + cost > capacity:
+            return (cost, number + 1), number + 1
+        return (used + cost, number), number
 
-    return _folded(df, key, order, size, zero, step, "bin")
+    return ordered_fold(df, [key], _rest(df, key, order, size), [size], lambda: (0, 0), step, "bin", T.IntegerType())
+
+
+def _rest(df: DataFrame, key: str, *first: str) -> list[str]:
+    """The order of a fold: the given columns, then all others, so that ties are settled."""
+    kinds = dict(df.dtypes)
+    return [*first, *(c for c in df.columns if c not in (key, *first) and not kinds[c].startswith("map"))]
 
 
 def top_k(df: DataFrame, order: list[Column], k: int) -> DataFrame:
@@ -128,32 +125,21 @@ def proximity_fold(df: DataFrame, keys: list[str], line: str, bucket: str, sourc
     """Keep one row of near duplicates, folding in order against the last kept row.
 
     A row within ``window`` lines of the last kept row and of its bucket merges with it; the
-    stronger source (confirmed, scanner, model) stays.  Rows more than ``window`` lines apart
-    never merge, so a key is cut at such gaps, and the fold runs over each piece's ordered array
-    in the JVM.  ``merged`` counts the rows folded in.
+    stronger source (confirmed, scanner, model) stays, of equals the earlier.  ``merged`` counts
+    the rows folded in.
     """
-    rank = {"sast_confirmed": 2, "sast_only": 1}
-    strength = F.when(F.col(source) == "sast_confirmed", rank["sast_confirmed"]).when(F.col(source) == "sast_only", rank["sast_only"]).otherwise(0)
+    strength = F.when(F.col(source) == "sast_confirmed", 2).when(F.col(source) == "sast_only", 1).otherwise(0)
     cols = [c for c in df.columns if c not in keys]
-    item = F.struct(F.struct(line, *order).alias("o"), F.struct(*cols).alias("row"), strength.alias("s"), F.lit(0).alias("merged"))
-    w = Window.partitionBy(*keys).orderBy(line)
-    gap = F.coalesce(F.col(line) - F.lag(line).over(w) > window, F.lit(False))
-    pieces = df.withColumn("__gap", gap.cast("int")).withColumn("__piece", F.sum("__gap").over(w.rangeBetween(Window.unboundedPreceding, 0)))
-    items = pieces.groupBy(*keys, "__piece").agg(F.array_sort(F.collect_list(item)).alias("items"))
-
-    def step(acc, x):
-        last = F.element_at(acc, -1)
-        near = (F.size(acc) > 0) & (F.abs(last["row"][line] - x["row"][line]) <= window) & (last["row"][bucket] == x["row"][bucket])
-        best = F.when(last["s"] >= x["s"], last["row"]).otherwise(x["row"])
-        kept = F.struct(last["o"].alias("o"), best.alias("row"), F.greatest(last["s"], x["s"]).alias("s"), (last["merged"] + 1).alias("merged"))
-        return F.when(near, F.concat(F.slice(acc, 1, F.size(acc) - 1), F.array(kept))).otherwise(F.concat(acc, F.array(x)))
-
-    # try_element_at keeps the first step free of an empty-array error
-    def safe(acc, x):
-        return F.when(F.size(acc) == 0, F.array(x)).otherwise(step(acc, x))
-
-    folded = items.select(*keys, F.aggregate("items", F.slice("items", 1, 0), safe).alias("kept"))
-    return folded.select(*keys, F.explode("kept").alias("k")).select(*keys, "k.row.*", F.col("k.merged").alias("merged"))
+
+    def step(kept, at, of, strong):
+        number, last, name, best = kept
+        if number and None not in (last, at) and abs(last - at) <= window and name == of and name is not None:
+            return (kept if best >= strong else (number, at, of, strong)), number
+        return (number + 1, at, of, strong), number + 1
+
+    folded = ordered_fold(df.withColumn("__s", strength), keys, [line, *order], [line, bucket, "__s"], lambda: (0, None, None, 0), step, "__kept", T.LongType())
+    groups = folded.groupBy(*keys, "__kept").agg(F.min_by(F.struct(*cols), F.struct(-F.col("__s"), line, *order)).alias("row"), (F.count(F.lit(1)) - 1).cast("int").alias("merged"))
+    return groups.select(*keys, "row.*", "merged")
 
 
 def sessions(df: DataFrame, keys: list[str], order: list[str], opens: Column) -> DataFrame:

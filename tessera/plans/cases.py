@@ -17,6 +17,7 @@ from ..operators import checks as K
 from ..operators import dependencies as D
 from ..operators import findings as N
 from ..operators import manifest as M
+from ..operators import replies as RP
 from ..operators import scanners as C
 from ..operators import windows as W
 from ..sources import readers as R
@@ -353,6 +354,22 @@ def all_rules(spark, sf):
     return _own_hits(spark, sf, snippets.DETERMINISTIC, C.DETERMINISTIC)
 
 
+_MIXED = ", ".join(f"('{path}', {n}, '{kind}', {n in fixed})" for path, (_, hits, fixed) in snippets.MIXED.items() for n, kind in hits)
+
+
+@query("scn10_mixed_files", f"SELECT s_suppkey, file, n::INT AS line_no, kind FROM supplier, (VALUES {_MIXED}) v(file, n, kind, by_number) WHERE NOT by_number OR s_suppkey % 3 = 0")
+def mixed_files(spark, sf):
+    """Whole files in Java, Python, Go and TypeScript, with a constant from the row: every hit of all rules and no other."""
+    files = _rows(table(spark, sf, "supplier").select("s_suppkey"), "file string, code string", *((f, c[0]) for f, c in snippets.MIXED.items()))
+    number = F.when(F.col("s_suppkey") % 3 == 0, "0").otherwise(F.col("s_suppkey").cast("string"))
+    # each supplier's files are a tree of their own: owners are told apart by it
+    own = files.select(_text("$s_suppkey", "/", "$file").alias("path"), F.replace(F.replace(F.replace("code", F.lit("@"), number), F.lit("Client"), _text("Client", "$s_suppkey")), F.lit("class Client"), _text("class Client")).alias("code"))
+    own = own.withColumn("path", F.replace("path", F.lit("Client.java"), F.concat(F.lit("Client"), F.split("path", "/")[0], F.lit(".java"))))
+    hits = C.scan(own, C.DETERMINISTIC, "path", "code")
+    parts = F.split("path", "/", 2)
+    return hits.select(parts[0].cast("long").alias("s_suppkey"), F.regexp_replace(parts[1], r"Client\d+", "Client").alias("file"), "line_no", "kind")
+
+
 for _rule, (_kind, _id, _line) in enumerate(DETERMINISTIC_HITS, 1):
 
     @query(f"det{_rule}_{_kind}", _expected([(_kind, _id, _line)]))
@@ -426,7 +443,7 @@ _LOOPS = "a();\nfor (x : xs) {\n  b();\n  while (y) {\n    c();\n  }\n  if (z) {
 def loop_scopes(spark, sf):
     text = F.when(F.col("p_size") % 2 == 0, _LOOPS).otherwise(_LOOPS.replace("for (x : xs) {", "if (x in xs) {"))
     lines = C.code_lines(_part(spark, sf).withColumn("t", text), "p_partkey", "t")
-    return C.loop_scopes(lines).select("path", "line_no", "loop_line")
+    return lines.select("path", "line_no", "loop_line")
 
 
 _TESTS = "@Test\nvoid checks() {\n  assertEquals(a, b);\n}\nvoid testRuns() {\n  pool.submit(x);\n}\nvoid shouldHold() {\n  assertTrue(true);\n}\nvoid helper() {\n  go();\n}"
@@ -479,88 +496,143 @@ def preclose(spark, sf):
 
 # ------------------------------------------------------------------ scanner replies
 
-_L = "'f' || l_orderkey"
-_HIGH = "CASE l_returnflag WHEN 'R' THEN 'P1' WHEN 'A' THEN 'P2' ELSE 'P3' END"
+def _items(spark, sf) -> DataFrame:
+    """One item for each order and line, with the file of its order."""
+    items = table(spark, sf, "lineitem").groupBy("l_orderkey", "l_linenumber").agg(*(F.min(c).alias(c) for c in ("l_partkey", "l_suppkey", "l_returnflag")))
+    return items.withColumns({"file": _text("src/f", "$l_orderkey", ".py"), "text": F.expr(_LONG_COLUMN)})
+
+
+_ITEMS = """(SELECT *, 'src/f' || l_orderkey || '.py' AS file, CASE WHEN l_linenumber % 2 = 0 THEN 'a message of more than forty characters, number ' || l_linenumber ELSE 'short' END AS text FROM
+ (SELECT l_orderkey, l_linenumber, min(l_partkey) AS l_partkey, min(l_suppkey) AS l_suppkey, min(l_returnflag) AS l_returnflag FROM lineitem GROUP BY ALL))"""
+_LONG_COLUMN = "CASE WHEN l_linenumber % 2 = 0 THEN concat('a message of more than forty characters, number ', l_linenumber) ELSE 'short' END"
 
 
-def _reply(spark, sf, scanner: str, item: Column, wrap=None):
+def _reply(items: DataFrame, scanner: str, item: Column, body=lambda items: F.struct(items.alias("results"))):
     """One JSON reply per order with an item for every line, through the scanner's reader."""
-    rows = table(spark, sf, "lineitem").groupBy("l_orderkey").agg(F.collect_list(item).alias("items"))
-    body = wrap(F.col("items")) if wrap else F.struct(F.col("items").alias("results"))
-    return N.normalise_reply(rows.select(F.to_json(body).alias("j")), scanner, "j")
+    rows = items.groupBy("l_orderkey").agg(F.collect_list(item).alias("items"))
+    return RP.normalise_reply(rows.select(F.to_json(body(F.col("items"))).alias("j")), scanner, "j")
 
 
 def _grade(r: str, a: str, n: str) -> Column:
     return F.when(F.col("l_returnflag") == "R", r).when(F.col("l_returnflag") == "A", a).otherwise(n)
 
 
-def _file() -> Column:
-    return _text("f", "$l_orderkey")
-
+def _finding_sql(adapter: str, **columns: str) -> str:
+    """SELECT of a full finding row; what is not named has its default."""
+    have = {"file": "file", "line": "l_linenumber::INTEGER", "title": "title", "category": "'security'", "severity": "'P2'", "evidence": "text", "suggestion": "''", "confidence": "0.9::DOUBLE", "source": "'sast_only'", "adapter": f"'{adapter}'", "rule_id": "NULL::VARCHAR", "ambiguous": "false"} | columns
+    return "SELECT " + ", ".join(f"{v} AS {c}" for c, v in have.items())
 
-def _nrm(title: str, severity: str, rule: str = "'r' || l_linenumber", line: str = "l_linenumber", file: str = _L, short: int = 0, adapter: str = "") -> str:
-    return f"SELECT {file} AS file, {line} AS line, {rule} AS rule_id, min({severity}) AS severity, {title} AS title, '{adapter}' AS adapter, {f'length({title}) < {short}' if short else 'false'} AS ambiguous FROM lineitem GROUP BY l_orderkey, l_linenumber"
 
+_BY_FLAG = "CASE l_returnflag WHEN 'R' THEN '{}' WHEN 'A' THEN '{}' ELSE '{}' END"
 
-_LONG = "CASE WHEN l_linenumber % 2 = 0 THEN 'a message of more than forty characters, number ' || l_linenumber ELSE 'short' END"
-_LONG_COLUMN = "CASE WHEN l_linenumber % 2 = 0 THEN concat('a message of more than forty characters, number ', l_linenumber) ELSE 'short' END"
+#: check, category that the metadata give, remedy that they give, and what must come of them: category, rule, suggestion.
+_CHECKS = [
+    ("java.lang.path-traversal.open", None, None, "security", "SEC-001", None),
+    ("aid-java-empty-catch", "style", None, "hygiene", "ERR-001", None),
+    ("py.hardcoded-token", "secret", "Take it out", "secret", "HYG-001", "Take it out"),
+    ("own.aid-second-order-sql", None, None, "security", "SEC-001", None),
+    ("js.plain", "null_safety", None, "null_safety", None, None),
+    ("ldap-and-password", "style", "  ", "security", "SEC-001", None),
+]
 
 
-def _semgrep(spark, sf):
-    return _reply(spark, sf, "semgrep", F.struct(_file().alias("path"), F.struct(F.col("l_linenumber").alias("line")).alias("start"), _text("r", "$l_linenumber").alias("check_id"), F.struct(_grade("ERROR", "WARNING", "INFO").alias("severity"), F.expr(_LONG_COLUMN).alias("message")).alias("extra")))
+def _sql_text(value: str | None) -> str:
+    return f"'{value}'" if value else "NULL"
 
 
-@query("nrm1_semgrep", _nrm(_LONG, _HIGH, short=40, adapter="semgrep"))
+@query("nrm1_semgrep", f"""
+WITH c(k, title, category, rule_id, advice) AS (VALUES {", ".join(f"({i}, '{c[0]}', '{c[3]}', {_sql_text(c[4])}, {_sql_text(c[5])})" for i, c in enumerate(_CHECKS))})
+{_finding_sql("semgrep", category="category", severity=_BY_FLAG.format("P1", "P2", "P3"), suggestion="coalesce(advice, text)", rule_id="rule_id", ambiguous="title NOT IN ('aid-java-empty-catch', 'own.aid-second-order-sql') AND (l_returnflag = 'N' OR length(text) < 40)")}
+FROM {_ITEMS} JOIN c ON k = l_partkey % 6
+""")
 def semgrep(spark, sf):
-    return _semgrep(spark, sf)
+    """Own rules are never ambiguous; of others INFO and short messages are."""
+    items, k = _items(spark, sf), F.col("l_partkey") % 6
+    of = lambda n: F.coalesce(*(F.when(k == i, F.lit(c[n])) for i, c in enumerate(_CHECKS)))
+    extra = F.struct(_grade("ERROR", "WARNING", "INFO").alias("severity"), F.col("text").alias("message"), F.struct(of(1).alias("category"), of(2).alias("remediation")).alias("metadata"))
+    return _reply(items, "semgrep", F.struct(F.col("file").alias("path"), F.struct(F.col("l_linenumber").alias("line")).alias("start"), of(0).alias("check_id"), extra.alias("extra")))
+
+
+_HASHES = ["Use of weak MD5 hash for a cache key is flagged here", "Use of weak MD5 hash for a password is flagged here", "short", "weak hash; pass usedforsecurity=False where it is safe"]
 
 
-@query("nrm2_bandit", _nrm(_LONG, _HIGH, short=30, adapter="bandit"))
+@query("nrm2_bandit", f"""
+WITH c(k, title, said, category, severity) AS (VALUES (0, 'B303', '{_HASHES[0]}', 'hygiene', 'P2'), (1, 'B324', '{_HASHES[1]}', 'security', 'P1'), (2, 'B608', '{_HASHES[2]}', 'security', 'P1'), (3, 'B999', '{_HASHES[3]}', 'hygiene', 'P2'))
+{_finding_sql("bandit", category="c.category", severity="CASE l_returnflag WHEN 'R' THEN c.severity WHEN 'A' THEN 'P2' ELSE 'P3' END", evidence="said", suggestion="CASE WHEN k < 2 THEN 'State usedforsecurity=False, or take a stronger hash.' WHEN k = 2 THEN 'https://more' ELSE '' END", ambiguous="k = 2")}
+FROM {_ITEMS} JOIN c ON k = l_partkey % 4
+""")
 def bandit(spark, sf):
-    return _reply(spark, sf, "bandit", F.struct(_file().alias("filename"), F.col("l_linenumber").alias("line_number"), _text("r", "$l_linenumber").alias("test_id"), F.expr(_LONG_COLUMN).alias("issue_text"), _grade("HIGH", "MEDIUM", "LOW").alias("issue_severity")))
+    """A weak hash is hygiene and at most P2, unless its text names authentication."""
+    k = F.col("l_partkey") % 4
+    of = lambda values: F.coalesce(*(F.when(k == i, F.lit(v)) for i, v in enumerate(values)))
+    item = F.struct(F.col("file").alias("filename"), F.col("l_linenumber").alias("line_number"), of(["B303", "B324", "B608", "B999"]).alias("test_id"), of(_HASHES).alias("issue_text"), _grade("HIGH", "medium", "LOW").alias("issue_severity"), F.when(k == 2, "https://more").alias("more_info"))
+    return _reply(_items(spark, sf), "bandit", item)
 
 
-@query("nrm3_gosec", _nrm(_LONG, _HIGH, short=30, adapter="gosec"))
+@query("nrm3_gosec", _finding_sql("gosec", title="'G' || l_linenumber", severity=_BY_FLAG.format("P1", "P2", "P3"), suggestion="'See the rule G' || l_linenumber", ambiguous="length(text) < 30") + f" FROM {_ITEMS} WHERE l_orderkey % 4 < 2")
 def gosec(spark, sf):
-    item = F.struct(_file().alias("file"), F.col("l_linenumber").cast("string").alias("line"), _text("r", "$l_linenumber").alias("rule_id"), F.expr(_LONG_COLUMN).alias("details"), _grade("HIGH", "MEDIUM", "LOW").alias("severity"))
-    return _reply(spark, sf, "gosec", item, lambda items: F.struct(items.alias("Issues")))
+    """Rows of files that are not listed go; a listed path may be a part of the reply's."""
+    items = _items(spark, sf)
+    item = F.struct("file", F.col("l_linenumber").cast("string").alias("line"), _text("G", "$l_linenumber").alias("rule_id"), F.col("text").alias("details"), _grade("HIGH", "MEDIUM", "LOW").alias("severity"))
+    listed = items.where("l_orderkey % 4 < 2").select(F.when(F.col("l_orderkey") % 4 == 0, F.col("file")).otherwise(_text("c/f", "$l_orderkey", ".")).alias("path")).distinct()
+    return RP.of_files(_reply(items, "gosec", item, lambda items: F.struct(items.alias("Issues"))), listed, inside=True)
 
 
-@query("nrm4_osv", _nrm(_LONG, "'P1'", "'V' || l_linenumber", "1", short=20, adapter="osv"))
+@query("nrm4_osv", _finding_sql("osv-scanner", line="1", title="'V' || l_linenumber", severity="'P1'", suggestion="'Upgrade to a version with the fix.'", confidence="0.85::DOUBLE", rule_id="'SEC-001'", ambiguous="length(text) < 20") + f" FROM {_ITEMS}")
 def osv(spark, sf):
-    item = F.struct(F.struct(_file().alias("path")).alias("source"), F.array(F.struct(F.struct(F.lit("p").alias("name")).alias("package"), F.array(F.struct(_text("V", "$l_linenumber").alias("id"), F.expr(_LONG_COLUMN).alias("summary"))).alias("vulnerabilities"))).alias("packages"))
-    return _reply(spark, sf, "osv", item)
+    item = F.struct(F.struct(F.col("file").alias("path")).alias("source"), F.array(F.struct(F.struct(F.lit("p").alias("name")).alias("package"), F.array(F.struct(_text("V", "$l_linenumber").alias("id"), F.col("text").alias("summary"))).alias("vulnerabilities"))).alias("packages"))
+    return _reply(_items(spark, sf), "osv", item)
 
 
-@query("nrm5_npm", "SELECT 'package.json' AS file, 1 AS line, 'p' || l_partkey AS rule_id, min(CASE l_returnflag WHEN 'R' THEN 'P0' WHEN 'A' THEN 'P1' ELSE 'P2' END) AS severity, 'p' || l_partkey AS title, 'npm' AS adapter, false AS ambiguous FROM lineitem GROUP BY l_partkey")
+@query("nrm5_npm", _finding_sql("npm-audit", file="'package-lock.json'", line="1", title="'npm:p' || l_partkey", severity=_BY_FLAG.format("P0", "P1", "P2"), evidence="'[\"a\"]'", suggestion="'Upgrade p' || l_partkey", confidence="0.8::DOUBLE") + " FROM (SELECT l_partkey, l_returnflag FROM lineitem GROUP BY ALL)")
 def npm(spark, sf):
-    name = _text("p", "$l_partkey")
-    rows = table(spark, sf, "lineitem").select(name.alias("name"), _grade("critical", "high", "low").alias("severity"))
-    body = F.struct(F.create_map("name", F.struct("severity", "name")).alias("vulnerabilities"))
-    return N.normalise_reply(rows.select(F.to_json(body).alias("j")), "npm", "j")
+    rows = table(spark, sf, "lineitem").select("l_partkey", "l_returnflag").distinct().select(_text("p", "$l_partkey").alias("name"), _grade("critical", "high", "low").alias("severity"))
+    body = F.struct(F.create_map("name", F.struct("severity", F.array(F.lit("a")).alias("via"))).alias("vulnerabilities"))
+    return RP.normalise_reply(rows.select(F.to_json(body).alias("j")), "npm", "j")
+
 
+def _lint_sql(adapter: str, confidence: float) -> str:
+    return _finding_sql(adapter, title="'r' || l_linenumber", category="'hygiene'", severity="'P3'", suggestion="'Mend what the linter names.'", confidence=f"{confidence}::DOUBLE") + f" FROM {_ITEMS}"
 
-@query("nrm6_ruff", _nrm("'text ' || l_linenumber", "'P3'", adapter="ruff"))
+
+@query("nrm6_ruff", _lint_sql("ruff", 0.95))
 def ruff(spark, sf):
-    return _reply(spark, sf, "ruff", F.struct(_file().alias("filename"), F.struct(F.col("l_linenumber").alias("row")).alias("location"), _text("r", "$l_linenumber").alias("code"), _text("text ", "$l_linenumber").alias("message")))
+    return _reply(_items(spark, sf), "ruff", F.struct(F.col("file").alias("filename"), F.struct(F.col("l_linenumber").alias("row")).alias("location"), _text("r", "$l_linenumber").alias("code"), F.col("text").alias("message")))
 
 
-@query("nrm6_eslint", _nrm("'text ' || l_linenumber", "CASE l_returnflag WHEN 'R' THEN 'P2' ELSE 'P3' END", adapter="eslint"))
+@query("nrm6_eslint", _lint_sql("eslint", 0.9))
 def eslint(spark, sf):
-    message = F.struct(F.col("l_linenumber").alias("line"), _text("r", "$l_linenumber").alias("ruleId"), _text("text ", "$l_linenumber").alias("message"), F.when(F.col("l_returnflag") == "R", 2).otherwise(1).alias("severity"))
-    return _reply(spark, sf, "eslint", F.struct(_file().alias("filePath"), F.array(message).alias("messages")))
+    message = F.struct(F.col("l_linenumber").alias("line"), _text("r", "$l_linenumber").alias("ruleId"), F.col("text").alias("message"))
+    return _reply(_items(spark, sf), "eslint", F.struct(F.col("file").alias("filePath"), F.array(message).alias("messages")))
+
+
+@query("nrm6_golangci", _lint_sql("golangci-lint", 0.9))
+def golangci(spark, sf):
+    item = F.struct(_text("r", "$l_linenumber").alias("FromLinter"), F.col("text").alias("Text"), F.struct(F.col("file").alias("Filename"), F.col("l_linenumber").alias("Line")).alias("Pos"))
+    return _reply(_items(spark, sf), "golangci", item, lambda items: F.struct(items.alias("Issues")))
 
 
-@query("nrm7_semgrep_reviewer", f"SELECT DISTINCT {_L} AS file, l_linenumber AS line, upper('r' || l_linenumber) AS rule_id, 'sast_only' AS source, l_linenumber % 2 = 1 AS ambiguous FROM lineitem")
+@query("nrm7_semgrep_reviewer", f"""
+WITH hits AS (SELECT DISTINCT file, l_linenumber AS line, 'c' || (l_partkey % 3) AS title FROM {_ITEMS} WHERE NOT (l_suppkey % 3 = 2 AND l_orderkey % 5 = 0))
+SELECT file, line, title, false AS ran, '2' AS failed FROM hits
+""")
 def semgrep_reviewer(spark, sf):
-    """The reviewer's copy: the same replies, then normalised as findings of a scanner."""
-    rows = _semgrep(spark, sf).withColumns({c: F.lit(None).cast(t) for c, t in (("category", "string"), ("evidence", "string"), ("suggestion", "string"), ("confidence", "double"), ("source", "string"))})
-    return N.normalise(rows, "sast_only").select("file", "line", "rule_id", "source", "ambiguous")
+    """Three rule packs over the same files: hits of all, once each; a pack that failed on some orders leaves the whole state failed."""
+    items = _items(spark, sf).withColumn("pack", (F.col("l_suppkey") % 3).cast("string"))
+    item = F.struct(F.col("file").alias("path"), F.struct(F.col("l_linenumber").alias("line")).alias("start"), _text("c", "$k").alias("check_id"))
+    runs = items.withColumn("k", F.col("l_partkey") % 3).groupBy("pack", "l_orderkey").agg(F.to_json(F.struct(F.collect_list(item).alias("results"))).alias("reply"))
+    bad = (F.col("pack") == "2") & (F.col("l_orderkey") % 5 == 0)
+    hits, state = RP.packs(runs.withColumns({"status": F.when(bad, "timeout").otherwise("ran"), "reply": F.when(~bad, F.col("reply"))}))
+    return hits.select("file", "line", "title").crossJoin(F.broadcast(state))
 
 
-@query("nrm8_gitleaks", _nrm("'key ' || l_linenumber", "'P0'", adapter="gitleaks"))
+@query("nrm8_gitleaks", _finding_sql("gitleaks", title="'k' || l_linenumber", category="'secret'", severity="'P0'", suggestion="'Take the secret out and renew it.'", confidence="0.95::DOUBLE", rule_id="'HYG-001'") + f" FROM {_ITEMS} WHERE l_orderkey % 3 < 2")
 def gitleaks(spark, sf):
-    return _reply(spark, sf, "gitleaks", F.struct(_file().alias("File"), F.col("l_linenumber").alias("StartLine"), _text("r", "$l_linenumber").alias("RuleID"), _text("key ", "$l_linenumber").alias("Description")))
+    """Files are listed by a longer or a shorter path than the reply's."""
+    items = _items(spark, sf)
+    item = F.struct(F.col("file").alias("File"), F.col("l_linenumber").alias("StartLine"), _text("k", "$l_linenumber").alias("RuleID"), F.col("text").alias("Description"))
+    listed = items.where("l_orderkey % 3 < 2").select(F.when(F.col("l_orderkey") % 3 == 0, _text("repo/", "$file")).otherwise(_text("f", "$l_orderkey", ".py")).alias("path")).distinct()
+    return RP.of_files(_reply(items, "gitleaks", item), listed)
 
 
 # ------------------------------------------------------------------ planning and gates
@@ -652,12 +724,16 @@ def outcome(spark, sf):
 # ------------------------------------------------------------------ conclusion checks
 
 
-@query("chk4_unanchored", "SELECT p_partkey FROM part WHERE p_size % 4 = 3")
+@query("chk4_unanchored", "SELECT p_partkey FROM part WHERE p_size % 7 IN (1, 3, 5)")
 def unanchored(spark, sf):
-    p = _part(spark, sf).withColumn("file", _text("f", "$p_partkey"))
-    snippet = F.when(F.col("p_size") % 4 == 3, "absent()").otherwise(_text("call ( ", "$p_size", " )"))
-    src = p.select("file", F.when(F.col("p_size") % 4 < 2, _text("x\ncall(", "$p_size", ");")).otherwise("x").alias("t"), F.when(F.col("p_size") % 4 == 2, _text("+ call(", "$p_size", ")")).alias("d"))
-    return K.unanchored(p.select("p_partkey", "file", snippet.alias("s")), src, "p_partkey", "s", "file", "t", "d")
+    """A call on line 2 of a file of three: cited there, cited on line 1, wrapped over two lines, absent, without a line, only in the diff, in neither."""
+    p, k = _part(spark, sf).withColumn("file", _text("f", "$p_partkey")), F.col("p_size") % 7
+    call = _text("call ( ", "$p_size", " )")
+    snippet = F.when(k == 2, F.concat(call, F.lit(";\nnext()"))).when(k == 3, F.concat(call, F.lit(";\nlast()"))).when(k == 5, "absent()").otherwise(call)
+    rows = p.select("p_partkey", "file", F.when(k == 1, 1).when(k == 4, None).otherwise(2).alias("line"), snippet.alias("s"))
+    lines = _rows(p.where(k < 5), "line_no int", (1,), (2,), (3,)).select("file", "line_no", F.when(F.col("line_no") == 2, _text("  call(", "$p_size", ");")).when(F.col("line_no") == 3, "next();").otherwise("x").alias("text"))
+    diffs = p.where(k >= 5).select("file", _text("+ call(", "$p_size", ")").alias("diff"))
+    return K.unanchored(rows, lines, diffs, "p_partkey", "file", "line", "s")
 
 
 @query("chk6_shape_gaps", "SELECT p_partkey AS rule, problem FROM part, (VALUES ('count', 0), ('hit without lines', 1), ('skip without note', 2)) v(problem, k) WHERE k = p_size % 4")

@@ -71,10 +71,21 @@ def topo_layers(spark, sf):
     return G.topological_layers(nodes, e, "node", "a", "b")
 
 
-@query("grf10_rescan", f"WITH {_E} SELECT DISTINCT x FROM (SELECT 100 + n_nationkey AS x FROM nation WHERE n_nationkey % 5 = 0 UNION ALL SELECT n_regionkey::BIGINT FROM nation WHERE n_nationkey % 5 = 0)")
+@query("grf10_rescan", """
+WITH RECURSIVE i AS (SELECT l_orderkey, l_linenumber, min(l_partkey) AS p, min(l_returnflag) AS f FROM lineitem GROUP BY ALL),
+n AS (SELECT l_orderkey * 10 + l_linenumber AS x, CASE WHEN f = 'R' THEN 'failed' WHEN f = 'A' THEN 'ready' WHEN p % 2 = 0 THEN 'missing-dependency' END AS status FROM i),
+e AS (SELECT x AS a, x + 1 + d AS b FROM n, (VALUES (0), (1)) v(d)),
+ok AS (SELECT a, b FROM e JOIN n ON n.x = b WHERE status IS NULL OR status IN ('failed', 'missing-dependency')),
+r AS (SELECT x FROM n WHERE x % 10 = 1 UNION SELECT b FROM r JOIN ok ON a = r.x)
+SELECT x FROM r
+""")
 def rescan(spark, sf):
-    failed = table(spark, sf, "nation").where("n_nationkey % 5 = 0").select((F.col("n_nationkey") + 100).cast("long").alias("x"))
-    return G.rescan(failed, _edges(spark, sf), "x", "a", "b")
+    """From each order's first line along lines of the same order that are not settled."""
+    i = table(spark, sf, "lineitem").groupBy("l_orderkey", "l_linenumber").agg(F.min("l_partkey").alias("p"), F.min("l_returnflag").alias("f"))
+    status = F.when(F.col("f") == "R", "failed").when(F.col("f") == "A", "ready").when(F.col("p") % 2 == 0, "missing-dependency")
+    n = i.select((F.col("l_orderkey") * 10 + F.col("l_linenumber")).alias("x"), status.alias("status"))
+    e = n.select(F.col("x").alias("a"), F.explode(F.array(F.col("x") + 1, F.col("x") + 2)).alias("b"))
+    return G.rescan(n.where("x % 10 = 1"), n, e, "x", "status", "a", "b")
 
 
 @query("grf11_call_chains", f"""
@@ -125,6 +136,32 @@ def longest_path(spark, sf):
     return G.longest_path_ranks(e, "a", "b")
 
 
+@query("grf5_groups", """
+WITH RECURSIVE n AS (SELECT s_suppkey AS node, s_suppkey % 17 AS size FROM supplier), e AS (SELECT s_suppkey AS a, s_suppkey + 1 AS b, s_nationkey + 1 AS w FROM supplier WHERE s_suppkey % 5 <> 0),
+i AS (SELECT * FROM e WHERE b IN (SELECT node FROM n)), u AS (SELECT a, b, w FROM i UNION ALL SELECT b, a, w FROM i), d AS (SELECT a AS node, count(DISTINCT b) AS degree, sum(w) AS weight FROM u GROUP BY 1),
+r(node, g) AS (SELECT node, node FROM d UNION SELECT u.b, r.g FROM r JOIN u ON u.a = r.node), c AS (SELECT node, min(g) AS g FROM r GROUP BY 1),
+m AS (SELECT c.g, n.*, d.degree, d.weight, row_number() OVER (PARTITION BY c.g ORDER BY n.size DESC, n.node) AS k, row_number() OVER (PARTITION BY c.g ORDER BY d.degree DESC, d.weight DESC, n.size DESC, n.node DESC) AS h FROM c JOIN n USING (node) JOIN d USING (node))
+SELECT g AS "group", count(*) AS members, sum(size)::BIGINT AS size, max(CASE WHEN k = 1 THEN node END) AS first, max(CASE WHEN k = 2 THEN node END) AS second, CASE WHEN count(*) >= 3 AND max(CASE WHEN h = 1 THEN degree END) >= 2 THEN max(CASE WHEN h = 1 THEN node END) END AS hub FROM m GROUP BY g
+""")
+def component_groups(spark, sf):
+    s = table(spark, sf, "supplier")
+    e = s.where("s_suppkey % 5 <> 0").select(F.col("s_suppkey").alias("a"), (F.col("s_suppkey") + 1).alias("b"), (F.col("s_nationkey") + 1).alias("w"))
+    return G.component_groups(s.select(F.col("s_suppkey").alias("node"), (F.col("s_suppkey") % 17).alias("size")), e, "node", "size", "a", "b", "w")
+
+
+@query("grf4_groups_by_fan_in", """
+WITH RECURSIVE n AS (SELECT s_suppkey AS node, s_nationkey AS file FROM supplier WHERE s_suppkey % 3 > 0), e AS (SELECT s_suppkey AS a, s_suppkey + 1 + s_suppkey % 4 AS b FROM supplier),
+l AS (SELECT x.node AS a, y.node AS b FROM n x JOIN n y ON x.file = y.file UNION SELECT a, b FROM e WHERE a IN (SELECT node FROM n) AND b IN (SELECT node FROM n)), u AS (SELECT a, b FROM l UNION SELECT b, a FROM l),
+r(node, g) AS (SELECT node, node FROM n UNION SELECT u.b, r.g FROM r JOIN u ON u.a = r.node), c AS (SELECT node, min(g) AS g FROM r GROUP BY 1), f AS (SELECT b AS node, count(DISTINCT a) AS callers FROM e GROUP BY 1)
+SELECT g AS "group", count(*) AS nodes, coalesce(max(callers), 0) AS fan_in FROM c LEFT JOIN f USING (node) GROUP BY 1
+""")
+def groups_by_fan_in(spark, sf):
+    s = table(spark, sf, "supplier")
+    changed = s.where("s_suppkey % 3 > 0").select(F.col("s_suppkey").alias("node"), F.col("s_nationkey").alias("file"))
+    e = s.select(F.col("s_suppkey").alias("a"), (F.col("s_suppkey") + 1 + F.col("s_suppkey") % 4).alias("b"))
+    return G.ordered_groups(G.change_groups(changed, e, "node", "file", "a", "b"), e, "a", "b")
+
+
 @query("grf16_cross_module", """
 SELECT a.n_regionkey AS from_module, b.n_regionkey AS to_module, count(*) AS n, min(c_custkey || '>' || s_suppkey) AS example FROM (SELECT DISTINCT o_custkey AS c, l_suppkey AS s FROM orders JOIN lineitem ON l_orderkey = o_orderkey) e
 JOIN customer ON c_custkey = c JOIN supplier ON s_suppkey = s JOIN nation a ON a.n_nationkey = c_nationkey JOIN nation b ON b.n_nationkey = s_nationkey WHERE a.n_regionkey <> b.n_regionkey GROUP BY 1, 2

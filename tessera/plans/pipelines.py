@@ -247,16 +247,37 @@ def vulnerability_class(spark, sf):
     return N.vulnerability_class(_findings(spark, sf)).select("pos", "vuln")
 
 
-@query("pip1_candidates", """
-WITH f AS (SELECT l_orderkey * 10 + l_linenumber AS pos, 'o' || l_orderkey AS file, l_linenumber AS line, 'part ' || l_partkey AS evidence, l_returnflag, CASE WHEN (l_orderkey * 10 + l_linenumber) % 7 > 0 THEN 'R' || ((l_orderkey * 10 + l_linenumber) % 3) END AS rule_id FROM lineitem),
-g AS (SELECT file, max(line) - 1 AS last FROM f GROUP BY 1), b AS (SELECT DISTINCT file, line, rule_id FROM f WHERE l_returnflag = 'R'), o AS (SELECT DISTINCT file, line FROM b),
-r AS (SELECT c.*, CASE WHEN c.rule_id IS NULL THEN 'missing_rule_id' WHEN c.line NOT BETWEEN 1 AND g.last THEN 'outside_ledger' WHEN EXISTS (SELECT 1 FROM b WHERE b.file = c.file AND b.line = c.line AND b.rule_id = c.rule_id) THEN 'same_key' WHEN EXISTS (SELECT 1 FROM o WHERE o.file = c.file AND o.line = c.line) THEN 'occupied_line' END AS reason FROM f c JOIN g ON g.file = c.file WHERE l_returnflag = 'A')
-SELECT DISTINCT pos, file, line, rule_id, evidence, coalesce(reason, CASE WHEN pos > min(CASE WHEN reason IS NULL THEN pos END) OVER (PARTITION BY file, line) THEN 'same_key' END) AS reason FROM r
+_CARD = """l_orderkey * 10 + l_linenumber AS pos, 'o' || l_orderkey AS file, l_linenumber AS line,
+ CASE WHEN l_partkey % 5 = 0 THEN [l_linenumber + 1, l_linenumber + 2] ELSE [] END AS also_lines,
+ CASE WHEN l_suppkey % 7 = 0 THEN NULL WHEN l_suppkey % 7 = 1 THEN 'no rule' ELSE 'ERR-' || (l_partkey % 2) END AS rule_id,
+ CASE WHEN l_partkey % 3 = 0 THEN 'tenant_id_only_lookup' ELSE 'unknown' END AS kind"""
+
+
+@query("pip1_candidates", f"""
+WITH RECURSIVE i AS (SELECT l_orderkey, l_linenumber, min(l_partkey) AS l_partkey, min(l_suppkey) AS l_suppkey, min(l_returnflag) AS l_returnflag FROM lineitem GROUP BY ALL),
+f AS (SELECT {_CARD}, l_returnflag FROM i),
+k AS (SELECT *, CASE WHEN regexp_full_match(rule_id, '[A-Z]+-[0-9]+') THEN rule_id WHEN kind = 'tenant_id_only_lookup' THEN 'TEN-002' END AS rule, list_prepend(line, also_lines) AS ls FROM f),
+g AS (SELECT file, max(line) - 1 AS last FROM f GROUP BY 1),
+b AS (SELECT file, list_distinct(flatten(list(CASE WHEN rule IS NOT NULL THEN list_transform(ls, lambda x: x || ' ' || rule) ELSE [] END))) AS keys, flatten(list(CASE WHEN rule IS NULL THEN ls ELSE [] END)) AS held FROM k WHERE l_returnflag = 'R' GROUP BY 1),
+c AS (SELECT k.*, g.last, list_transform(ls, lambda x: x || ' ' || rule) AS own, row_number() OVER (PARTITION BY file ORDER BY pos) AS n FROM k JOIN g USING (file) WHERE l_returnflag = 'A'),
+r AS (
+  SELECT c.file, 0::BIGINT AS n, coalesce(b.keys, []) AS keys, coalesce(b.held, []) AS held, NULL::BIGINT AS pos, NULL::VARCHAR AS reason FROM (SELECT DISTINCT file FROM c) c LEFT JOIN b USING (file)
+  UNION ALL
+  SELECT file, n, CASE WHEN why IS NULL THEN keys || own ELSE keys END, held, pos, why FROM (
+    SELECT r.file, c.n, r.keys, r.held, c.own, c.pos, CASE WHEN c.line NOT BETWEEN 1 AND c.last THEN 'outside_ledger' WHEN c.rule IS NULL THEN 'missing_rule_id' WHEN list_has_any(r.keys, c.own) THEN 'same_key' WHEN list_contains(r.held, c.line) THEN 'occupied_line' END AS why
+    FROM r JOIN c ON c.file = r.file AND c.n = r.n + 1)
+)
+SELECT c.pos, c.file, c.line, c.rule_id, r.reason FROM r JOIN c USING (file, n)
 """)
 def candidates(spark, sf):
-    f = _findings(spark, sf).withColumn("rule_id", F.when(F.col("pos") % 7 > 0, F.concat(F.lit("R"), F.col("pos") % 3)))
+    """Cards of returned items as the baseline, of accepted ones as candidates, on several lines and by kinds; the twin takes them one by one."""
+    also = F.when(F.col("l_partkey") % 5 == 0, F.array(F.col("l_linenumber") + 1, F.col("l_linenumber") + 2)).otherwise(F.array().cast("array<int>"))
+    rule = F.when(F.col("l_suppkey") % 7 == 0, None).when(F.col("l_suppkey") % 7 == 1, "no rule").otherwise(F.concat(F.lit("ERR-"), (F.col("l_partkey") % 2).cast("string")))
+    kind = F.when(F.col("l_partkey") % 3 == 0, "tenant_id_only_lookup").otherwise("unknown")
+    items = table(spark, sf, "lineitem").groupBy("l_orderkey", "l_linenumber").agg(*(F.min(c).alias(c) for c in ("l_partkey", "l_suppkey", "l_returnflag")))
+    f = items.select((F.col("l_orderkey") * 10 + F.col("l_linenumber")).alias("pos"), F.concat(F.lit("o"), "l_orderkey").alias("file"), F.col("l_linenumber").alias("line"), also.alias("also_lines"), rule.alias("rule_id"), kind.alias("kind"), "l_returnflag")
     ledger = f.groupBy("file").agg(F.lit(1).alias("start"), (F.max("line") - 1).alias("end"))
-    return N.merge_candidates(f.where("l_returnflag = 'R'"), f.where("l_returnflag = 'A'").select("pos", "file", "line", "rule_id", "evidence"), ledger)
+    return N.merge_candidates(f.where("l_returnflag = 'R'"), f.where("l_returnflag = 'A'"), ledger).select("pos", "file", "line", "rule_id", "reason")
 
 
 @query("pip2_coverage_ledger", """

@@ -4,6 +4,7 @@ from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from ..functions import scalars as S
+from ..operators.containment import holding
 from .registry import query, table
 
 
@@ -65,25 +66,14 @@ def slug(spark, sf):
 
 @query("scl10_squashed_contains", """
 SELECT doc_id, item_id FROM (SELECT doc_id, regexp_replace(text, '[ \\t\\n\\r]+', '', 'g') AS s FROM documents) d,
-  (SELECT item_id, substr(regexp_replace(text, '[ \\t\\n\\r]+', '', 'g'), 1, 60) AS k FROM benchmark) b
+  (SELECT item_id, regexp_replace(text, '[ \\t\\n\\r]+', '', 'g') AS k FROM benchmark) b
 WHERE contains(s, k)
 """)
-def squashed_contains(spark, sf, most=100_000):
-    """Passages that a document holds whole, white space ignored; beyond ``most`` anchors a hash join on the anchors."""
-    b = table(spark, sf, "benchmark").select("item_id", F.regexp_replace("text", "[ \\t\\n\\r]+", "").alias("k"))
-    d = table(spark, sf, "documents").select("doc_id", F.regexp_replace("text", "[ \\t\\n\\r]+", "").alias("s"))
-    # anchors: the passage's first 12 characters, or all of a shorter one, must begin at some place; places are exploded once per document
-    keys = b.withColumn("a", F.substring("k", 1, 12))
-    anchors = keys.select("a").distinct().limit(most + 1).count()
-    if anchors <= most:  # a query set of checked size
-        found = d.join(F.broadcast(keys), F.contains("s", F.col("k")))
-    else:
-        sizes = ", ".join(str(r.n) for r in keys.where("a is not null").select(F.length("a").alias("n")).distinct().collect())
-        places = d.select("doc_id", F.explode(F.expr(f"flatten(transform(array({sizes}), n -> transform(sequence(1, greatest(length(s) - n + 1, 1)), i -> substr(s, i, n))))")).alias("a")).distinct()
-        # places carry no text: it meets the few pairs whose anchors agree
-        pairs = places.join(keys.select("a", "item_id"), "a").select("doc_id", "item_id").distinct()
-        found = pairs.join(keys.select("item_id", "k"), "item_id").join(d, "doc_id").where(F.contains("s", F.col("k")))
-    return found.select("doc_id", "item_id").distinct()
+def squashed_contains(spark, sf):
+    """Whole passages that a document holds, white space ignored."""
+    squashed = lambda name, key, into: table(spark, sf, name).select(key, F.regexp_replace("text", "[ \\t\\n\\r]+", "").alias(into))
+    b = squashed("benchmark", "item_id", "k")
+    return holding(squashed("documents", "doc_id", "s"), "doc_id", "s", b, "k").join(b, "k").select("doc_id", "item_id").distinct()
 
 
 @query("scl12_json_path", "SELECT event_id, CAST(props->>'$.k' AS BIGINT) AS k FROM events")

@@ -53,3 +53,143 @@ SIGNALS = {
     "todo_marker": ('x = 1; y = "TODO";', 'x = 1; y = "done";'),
     "floating_version": ('  "left": "^1.2.0"', '  "left": "1.2.0"'),
 }
+
+#: Whole files in four languages; @ stands for a number.  Beside each, the (line, kind) of every deterministic hit if the number is 0, and the lines that do not hit otherwise.
+MIXED = {
+    "pay/Client.java": (
+        """package pay;
+class Client {
+  static final int T = @;
+  static final int LATE = 30;
+  String v = "a /* b";
+  void open(Http http) {
+    http.setReadTimeout(T);
+    http.setConnectTimeout(LATE);
+    TimeZone.setDefault(utc);
+  }
+  /* TimeZone.setDefault(none); */
+  String text(Order order) {
+    List<String> seen = new ArrayList<>();
+    List<String> kept = new ArrayList<>();
+    seen.add(order.a);
+    kept.add(order.b); // return seen;
+    return kept.toString();
+  }
+  void logIt(String s) {
+    sink(s);
+  }
+  static {
+    System.out.println("ready");
+  }
+  void load(Repo repo, String id, User other) {
+    User u = repo.findOne(id);
+    if (other != null) {
+      u.greet();
+    }
+  }
+}
+""",
+        [(7, "disabled_bound"), (9, "process_default_write"), (13, "unused_accumulator"), (26, "null_deref_after_load")],
+        [7],
+    ),
+    "pay/Other.java": (
+        """class Other {
+  void go(Http http, Pool pool) {
+    http.setWriteTimeout(Client.T);
+    pool.submit(() -> {
+      ship(orderId,
+        tenant);
+    });
+    note(actor, trace);
+    for (int attempt = 0; attempt < 3; attempt++) {
+      step(attempt);
+    }
+    gateway.charge(card);
+  }
+  String refundAll(Repo repo, String id) {
+    return "}".repeat(2) + repo.findById(id);
+  }
+  String plain(Repo repo, String id) {
+    return repo.findById(id);
+  }
+}
+""",
+        [(3, "disabled_bound"), (4, "tenant_context_dropped"), (15, "tenant_id_only_lookup")],
+        [3],
+    ),
+    "jobs/run.py": (
+        '''"""A job # not a comment
+TimeZone.setDefault(x)
+"""
+LIMIT = @
+RETRY_ENABLED = True
+
+
+def total(rows):
+    seen = []
+    for attempt in range(3):
+        text = "send(" + '}'
+        publish(rows)
+    seen.append(rows)  # return seen
+    return text
+
+
+def other(rows):
+    if RETRY_ENABLED:
+        out = []
+        out.append(rows)
+        return out
+
+
+def last(store, key):
+    item = store.load_item(key)
+    if item is None:
+        return 0
+    return item.size
+''',
+        [(9, "unused_accumulator"), (12, "retry_side_effect"), (18, "disabled_bound")],
+        [],
+    ),
+    "svc/load.go": (
+        """package svc
+
+const wait = @
+
+func (s *Store) Load(id string) error {
+	q := `// raw {
+`
+	err := s.run(q)
+	if err != nil {
+		return fmt.Errorf("load: %v", err)
+	}
+	return fmt.Errorf("load: %w", err)
+}
+
+func (s *Store) Open(c *Conn) {
+	c.SetTimeout(wait)
+}
+""",
+        [(10, "exception_unwrap"), (16, "disabled_bound")],
+        [16],
+    ),
+    "web/list.ts": (
+        """const items = (rows: Row[]) => {
+  const seen: string[] = [];
+  for (const row of rows) {
+    seen.push(row.name);
+  }
+  const url = "http://x.example/*";
+  return url;
+};
+function reject(code: string) {
+  const m = `{${code}`;
+  return { code };
+}
+function accept(code) {
+  message(code);
+}
+""",
+        [(2, "unused_accumulator")],
+        [],
+    ),
+}

@@ -18,9 +18,11 @@ def test_replies_reach_paths(spark):
 
 
 def test_closure_checks(spark):
-    rows = spark.createDataFrame([(1, "f", "a = 1"), (2, "f", "b=2"), (3, "g", "c")], "id int, file string, snippet string")
-    src = spark.createDataFrame([("f", "x\na=1", "+ b = 2"), ("g", "", None)], "file string, text string, diff string")
-    assert [r.id for r in K.unanchored(rows, src, "id", "snippet", "file", "text", "diff").collect()] == [3]
+    cited = [(1, "f", 2, "a = 1"), (2, "f", 1, "a = 1"), (3, "f", None, "a=1"), (4, "f", 2, "a=1\nb()"), (5, "f", 2, "a=1\nc()"), (6, "g", 7, "b=2"), (7, "g", 7, "c"), (8, "h", 1, "c"), (9, "f", 9, "a=1"), (10, "f", 2, "  ")]
+    rows = spark.createDataFrame(cited, "id int, file string, line int, snippet string")
+    lines = spark.createDataFrame([("f", 1, "x"), ("f", 2, "a=1"), ("f", 3, " b()")], "file string, line_no int, text string")
+    diffs = spark.createDataFrame([("g", "+ b = 2")], "file string, diff string")
+    assert sorted(r.id for r in K.unanchored(rows, lines, diffs, "id", "file", "line", "snippet").collect()) == [2, 5, 7]
     exp = spark.createDataFrame([("R1", 1), ("R2", 2)], "rule string, expected int")
     shapes = spark.createDataFrame([("R1", "hit", [], None), ("R2", "skip", [], "why")], "rule string, result string, lines array<int>, note string")
     assert sorted(tuple(r) for r in K.shape_gaps(exp, shapes).collect()) == [("R1", "hit without lines"), ("R2", "count")]

@@ -19,7 +19,7 @@ def test_squashed_contains(spark, tmp_path, most):
     items = {1: head + "one end", 2: "short bit", 3: "another end", 4: "absent words"}
     save(spark, tmp_path, "documents", list(texts.items()), "doc_id long, text string")
     save(spark, tmp_path, "benchmark", list(items.items()), "item_id long, text string")
-    got = {tuple(r) for r in scalars.squashed_contains(spark, str(tmp_path), most).collect()}
+    got = {tuple(r) for r in scalars.squashed_contains(spark, str(tmp_path)).collect()}
     flat = {k: "".join((t or "").split()) for k, t in texts.items()}
     assert got == {(d, i) for d, t in flat.items() for i, k in items.items() if "".join(k.split()) in t} == {(1, 1), (3, 2), (2, 3)}
 
@@ -76,7 +76,8 @@ def _chain(spark, n):
 def test_rescan_and_entries_without_a_cap(spark):
     edges = _chain(spark, 23)
     end = spark.createDataFrame([(23,)], "x long")
-    assert {r.x for r in G.rescan(end, edges, "x", "a", "b").collect()} == set(range(24))
+    open_ = spark.range(24).selectExpr("id AS x", "CASE WHEN id < 23 THEN 'failed' END AS s")
+    assert {r.x for r in G.rescan(end.selectExpr("x - 23 AS x"), open_, edges, "x", "s", "a", "b").collect()} == set(range(24))
     assert [tuple(r) for r in G.entry_points(end, edges, "x", "a", "b").collect()] == [(23, 0)]
 
 
