@@ -5,6 +5,7 @@ import pytest
 from tessera import plans
 from tessera.functions import scalars as S
 from tessera.operators import graph as G
+from tessera.operators import containment
 from tessera.plans import scalars
 
 
@@ -12,8 +13,9 @@ def save(spark, folder, name, rows, schema):
     spark.createDataFrame(rows, schema).write.parquet(f"{folder}/{name}.parquet")
 
 
-@pytest.mark.parametrize("most", [100_000, 1])
-def test_squashed_contains(spark, tmp_path, most):
+@pytest.mark.parametrize("block", [1 << 20, 20])
+def test_squashed_contains(spark, tmp_path, monkeypatch, block):
+    monkeypatch.setattr(containment, "BLOCK", block)
     head = "a long opening that two texts share word by word, up to here and on. "
     texts = {1: head + "one end", 2: head + "another  end", 3: "xx short\tbit yy and more", 4: None, 5: "sh"}
     items = {1: head + "one end", 2: "short bit", 3: "another end", 4: "absent words"}
