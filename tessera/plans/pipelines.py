@@ -49,7 +49,7 @@ def _code(spark, sf):
 _PARTS = "FROM part, (VALUES {}) v(line_no, rule_id, even) WHERE even IS NULL OR even = (p_size % 2 = 0)"
 
 
-@query("scn11_method_metrics", "SELECT p_partkey AS key, line_no AS method_line, loc, decisions FROM part, (VALUES (2, 5::BIGINT, 1::BIGINT, true), (7, 6::BIGINT, 1::BIGINT, true), (2, 5::BIGINT, 1::BIGINT, false), (7, 3::BIGINT, 0::BIGINT, false)) v(line_no, loc, decisions, even) WHERE even = (p_size % 2 = 0)")
+@query("scn11_method_metrics", "SELECT p_partkey AS key, line_no AS method_line, loc, decisions FROM part, (VALUES (2, 5::BIGINT, 1::BIGINT, true), (7, 5::BIGINT, 1::BIGINT, true), (2, 5::BIGINT, 1::BIGINT, false), (7, 3::BIGINT, 0::BIGINT, false)) v(line_no, loc, decisions, even) WHERE even = (p_size % 2 = 0)")
 def method_metrics(spark, sf):
     return C.method_metrics(_code(spark, sf), "key", "code").select(F.col("path").alias("key"), "method_line", "loc", "decisions")
 
