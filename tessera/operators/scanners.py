@@ -71,8 +71,7 @@ LICENSES = [
 
 # The 24 deterministic code rules.
 DETERMINISTIC = [
-    Rule("ERR-001", "exception_unwrap", r"throw new \w+\s*\(\s*(?:\w+\.getMessage\(\)|\"[^\"]*\")\s*\)|raise \w+\(str\(\w+\)\)\s*$", "P2", "error", near_has=r"catch\s*\(|except\b", before=6),
-    Rule("ERR-001", "exception_unwrap", r"fmt\.Errorf\(\s*\"(?:[^\"%]|%[^w\"])*%[vs](?:[^\"%]|%[^w\"])*\"\s*,.*\berr\w*\b|new Error\(\s*(?:`[^`]*\$\{)?\w+\.message\b(?!.*\bcause\b)", "P2", "error"),
+    Rule("ERR-001", "exception_unwrap", r"throw new \w+\s*\(\s*(?:\w+\.getMessage\(\)|\"[^\"]*\")\s*\)|raise \w+\(str\(\w+\)\)\s*$|fmt\.Errorf\(\s*\"(?:[^\"%]|%[^w\"])*%[vs](?:[^\"%]|%[^w\"])*\"\s*,.*\berr\w*\b|new Error\(\s*(?:`[^`]*\$\{)?\w+\.message\b(?!.*\bcause\b)", "P2", "error", near_has=r"catch\s*\(|except\b|fmt\.Errorf|new Error\(", before=6),
     Rule("CHR-001", "charset_omission", r"\.getBytes\(\s*\)|new String\(\s*\w+\s*\)|new InputStreamReader\(\s*[\w.()]+\s*\)", "P3", "hygiene"),
     Rule("RES-001", "close_not_in_finally", r"new (?:File(?:In|Out)putStream|BufferedReader|FileReader|Socket)\s*\(|=\s*open\(", "P2", "resource", near_not=r"try\s*\(|\bwith\b|finally[\s\S]*\.close\(", before=4, after=34),
     Rule("ACC-001", "unused_accumulator", r"\b(?:(?:List|Map|Set)<[^>]*>|var|val|let|const)\s+(\w+)\s*(?::[^=]+)?=\s*(?:new\s+(?:\w*(?:List|Map|Set)\b|Array\b)|\[\s*\]|\{\s*\}|mutable\w+\()|^\s*(\w+)\s*(?::[^=]+)?(?::=|=)\s*(?:\[\s*\]|\{\s*\}|list\(\)|dict\(\)|set\(\)|\[\]\w+\{\s*\})\s*$", "P3", "hygiene", within="method", has=r"\b{v}\.(?:add|put|append|push|set|update|extend)\(|\b{v}\s*=\s*append\(|\b{v}\[[^\]]+\]\s*=[^=]", has_not=r"\breturn\b[^;\n]*\b{v}\b|\b{v}\.(?:get|size|stream|forEach|contains\w*|isEmpty|iterator|values|keySet|entrySet|items|keys|map|filter|join|length|pop|includes|has)\b|\b(?:in|of|:|range)\s+{v}\b|(?<!append)[(,]\s*{v}\s*[,)]|\blen\(\s*{v}|\byield\b[^\n]*\b{v}\b", bare=True),
