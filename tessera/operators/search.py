@@ -2,34 +2,168 @@
 
 from __future__ import annotations
 
+import re
+from functools import reduce
+
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 #: Bytes of a block of query vectors that is broadcast at most.
 BLOCK_BYTES = 64 << 20
 
+#: Bytes of a block of query words that is broadcast at most.
+QUERY_BYTES = 8 << 20
+
+WORD = re.compile("[a-z0-9]+")
+
 
 def word_list(c: Column) -> Column:
     return F.regexp_extract_all(F.lower(F.coalesce(c, F.lit(""))), F.lit("[a-z0-9]+"), 0)
 
 
+def _term_blocks(queries: DataFrame, query_id: str, query: str) -> list[tuple[pa.Array, list[list[str]]]]:
+    """(ids, distinct words of each) in blocks of about QUERY_BYTES, chosen by the id; queries without words are left out."""
+    rows = queries.select(F.col(query_id).alias("q"), F.explode(word_list(F.col(query))).alias("t")).distinct().groupBy("q").agg(F.sort_array(F.collect_list("t")).alias("ts"))
+    size = rows.agg(F.sum(F.octet_length(F.array_join("ts", ","))).alias("n")).first().n or 0
+    blocks = max(1, -(-size // QUERY_BYTES))
+    out = []
+    for i in range(blocks):
+        block = rows.where(F.pmod(F.xxhash64("q"), F.lit(blocks)) == i).toArrow().combine_chunks()
+        if block.num_rows:
+            out.append((block.column("q").combine_chunks(), block.column("ts").to_pylist()))
+    return out
+
+
+def _counts(texts: list[str], index: dict[str, int]):
+    """(row, term, count) arrays of the listed words in some texts, ordered by term and row, and the length of every text."""
+    at, term, length = [], [], np.zeros(len(texts), np.int64)
+    for i, text in enumerate(texts):
+        words = WORD.findall(text)
+        length[i] = len(words)
+        mine = [index[w] for w in words if w in index]
+        term += mine
+        at += [i] * len(mine)
+    joint, n = np.unique(np.asarray(term, np.int64) * max(1, len(texts)) + np.asarray(at, np.int64), return_counts=True)
+    return joint % max(1, len(texts)), joint // max(1, len(texts)), n, length
+
+
+def _postings(row: np.ndarray, term: np.ndarray, weight: np.ndarray) -> dict:
+    """term -> (rows, weights, greatest weight) of one batch."""
+    cut = np.flatnonzero(np.diff(term, prepend=-1))
+    ends = np.append(cut[1:], len(term))
+    return {int(term[i]): (row[i:j], weight[i:j], float(weight[i:j].max())) for i, j in zip(cut, ends)}
+
+
+def _bounded(lists: list, k: int, floor: float):
+    """(rows, scores) of a batch that can be among the k best, given the k-th best score so far.
+
+    The words of least bound that together stay below it bring no row of their own: they are only
+    looked up in the rows that the others bring, and rows whose bound falls below it are let go.
+    """
+    lists = sorted(lists, key=lambda x: x[2])
+    reach = np.cumsum([x[2] for x in lists])
+    first = int(np.searchsorted(reach, floor))
+    if first == len(lists):
+        return np.zeros(0, np.int64), np.zeros(0)
+    rows = np.unique(np.concatenate([x[0] for x in lists[first:]]))
+    score = np.zeros(len(rows))
+    for r, w, _ in lists[first:]:
+        score[np.searchsorted(rows, r)] += w
+    for i in range(first - 1, -1, -1):
+        stay = score + reach[i] >= floor
+        rows, score = rows[stay], score[stay]
+        r, w, _ = lists[i]
+        to = np.minimum(np.searchsorted(r, rows), len(r) - 1)
+        score += np.where(r[to] == rows, w[to], 0)
+    best = _best(rows, score, k)
+    return rows[best], score[best]
+
+
+def _scan_top_k(docs: DataFrame, doc_id: str, text: str, ids: pa.Array, words: list[list[str]], k: int, weigh) -> DataFrame:
+    """(q, d, score): in each task the k best rows of each query of a block, by score to nine digits, then id.
+
+    ``weigh(term, count, length)`` gives the weights of a batch's (row, term) counts.
+    """
+    index = {t: i for i, t in enumerate(sorted({t for ts in words for t in ts}))}
+    shared = docs.sparkSession.sparkContext.broadcast((index, [[index[t] for t in ts] for ts in words], ids))
+
+    def run(stream):
+        index, wanted, ids = shared.value
+        held = [[] for _ in wanted]
+        for batch in stream:
+            # in order of id, so that a row's place in the batch settles ties
+            batch = batch.take(pc.sort_indices(batch.column(0), null_placement="at_start"))
+            row, term, n, length = _counts(batch.column(1).to_pylist(), index)
+            if not len(term):
+                continue
+            post = _postings(row, term, weigh(term, n, length[row]))
+            for q, terms in enumerate(wanted):
+                lists = [post[t] for t in terms if t in post]
+                if not lists:
+                    continue
+                floor = held[q][-1][0] - 1e-8 if len(held[q]) == k else -np.inf
+                rows, score = _bounded(lists, k, floor)
+                if len(rows):
+                    more = zip(np.round(score, 9).tolist(), batch.column(0).take(pa.array(rows)).to_pylist(), score.tolist())
+                    held[q] = sorted([*held[q], *more], key=lambda x: (-x[0], x[1] is not None, x[1]))[:k]
+        where = np.repeat(np.arange(len(held)), [len(h) for h in held])
+        yield pa.RecordBatch.from_arrays([ids.take(pa.array(where)), pa.array([x[1] for h in held for x in h], kind), pa.array([x[2] for h in held for x in h], pa.float64())], names=["q", "d", "score"])
+
+    from pyspark.sql.pandas.types import from_arrow_type, to_arrow_type
+
+    kind = to_arrow_type(docs.schema[doc_id].dataType)
+    rows = docs.select(F.col(doc_id).alias("d"), F.lower(F.coalesce(text, F.lit(""))).alias("t"))
+    return rows.mapInArrow(run, f"q {from_arrow_type(ids.type).simpleString()}, d {docs.schema[doc_id].dataType.simpleString()}, score double")
+
+
+def _search(docs: DataFrame, queries: DataFrame, doc_id: str, text: str, query_id: str, query: str, k: int, weigher) -> DataFrame:
+    """The k best rows of each query over all its blocks; ``weigher(words)`` gives a block's weigh."""
+    parts = [_scan_top_k(docs, doc_id, text, ids, words, k, weigher(words)) for ids, words in _term_blocks(queries, query_id, query)]
+    if not parts:
+        parts = [docs.sparkSession.createDataFrame([], T.StructType([T.StructField("q", queries.schema[query_id].dataType), T.StructField("d", docs.schema[doc_id].dataType), T.StructField("score", T.DoubleType())]))]
+    best = _ranked(reduce(DataFrame.unionAll, parts), "q", "score", "d", k)
+    return best.select(F.col("q").alias(query_id), F.col("d").alias(doc_id), "score", "rank")
+
+
 def bm25(docs: DataFrame, queries: DataFrame, doc_id: str, text: str, query_id: str, query: str, k: int, k1: float = 1.2, b: float = 0.75) -> DataFrame:
-    """(query_id, doc_id, score, rank): the k best documents of each query.
+    """(query_id, doc_id, score, rank): the k best documents of each query; those that share no word with it are none.
 
-    Document tokens are filtered to the query terms by a semi-join before they are counted, so
-    only matching tokens are shuffled; lengths come from one narrow pass.
+    One scan counts the documents that hold each query word; a second scores whole texts in place,
+    with the greatest weight of each word in a batch as its bound, and shuffles k rows a query and
+    task.  So a query of common words makes no (query, document) pairs.  Query words go out in
+    blocks of checked size, two scans a block.  Rows with one query id are one query; a null text
+    is empty.
     """
-    terms = queries.select(F.col(query_id).alias("q"), F.explode(F.array_distinct(word_list(F.col(query)))).alias("t"))
-    words = docs.select(F.col(doc_id).alias("d"), word_list(F.col(text)).alias("ws")).withColumn("len", F.size("ws"))
-    corpus = words.agg(F.count(F.lit(1)).alias("n"), F.avg("len").alias("avg_len"))
-    tf = words.select("d", "len", F.explode("ws").alias("t")).join(terms.select("t").distinct(), "t", "left_semi").groupBy("d", "len", "t").agg(F.count(F.lit(1)).alias("tf"))
-    df = tf.groupBy("t").agg(F.count(F.lit(1)).alias("df"))
-    idf = F.log(1 + (F.col("n") - F.col("df") + 0.5) / (F.col("df") + 0.5))
-    part = idf * F.col("tf") * (k1 + 1) / (F.col("tf") + k1 * (1 - b + b * F.col("len") / F.col("avg_len")))
-    scored = tf.join(df, "t").join(terms, "t").crossJoin(F.broadcast(corpus)).groupBy("q", "d").agg(F.sum(part).alias("score"))
-    return _ranked(scored, "q", "score", "d", k).select(F.col("q").alias(query_id), F.col("d").alias(doc_id), "score", "rank")
+    texts = docs.select(F.lower(F.coalesce(text, F.lit(""))).alias("t"))
+
+    def weigher(words):
+        terms = sorted({t for ts in words for t in ts})
+        index = {t: i for i, t in enumerate(terms)}
+        shared = docs.sparkSession.sparkContext.broadcast(index)
+
+        def count(stream):
+            # two places more: the number of texts and their words
+            held = np.zeros(len(shared.value) + 2, np.int64)
+            for batch in stream:
+                _, term, _, length = _counts(batch.column(0).to_pylist(), shared.value)
+                held[:-2] += np.bincount(term, minlength=len(held) - 2)
+                held[-2:] += [len(length), length.sum()]
+            some = np.flatnonzero(held)
+            yield pa.RecordBatch.from_arrays([pa.array(some, pa.int64()), pa.array(held[some], pa.int64())], names=["t", "n"])
+
+        got = np.zeros(len(terms) + 2)
+        for r in texts.mapInArrow(count, "t long, n long").groupBy("t").agg(F.sum("n").alias("n")).collect():
+            got[r.t] = r.n
+        df, n, total = got[:-2], got[-2], got[-1]
+        idf = np.log(1 + (n - df + 0.5) / (df + 0.5))
+        mean = max(total / max(n, 1), 1e-300)
+        return lambda term, tf, length: idf[term] * tf * (k1 + 1) / (tf + k1 * (1 - b + b * length / mean))
+
+    return _search(docs, queries, doc_id, text, query_id, query, k, weigher)
 
 
 def _ranked(df: DataFrame, query: str, score: str, tie: str, k: int) -> DataFrame:
@@ -120,11 +254,9 @@ def drop_known(df: DataFrame, known: DataFrame, key: str, vector: str, least: fl
 
 
 def token_search(docs: DataFrame, queries: DataFrame, doc_id: str, text: str, query_id: str, query: str, k: int) -> DataFrame:
-    """(query_id, doc_id, score, rank): the number of distinct query tokens a document holds."""
-    terms = queries.select(F.col(query_id).alias("q"), F.explode(F.array_distinct(word_list(F.col(query)))).alias("t"))
-    words = docs.select(F.col(doc_id).alias("d"), F.explode(F.array_distinct(word_list(F.col(text)))).alias("t"))
-    scored = words.join(terms, "t").groupBy("q", "d").agg(F.count(F.lit(1)).alias("score"))
-    return _ranked(scored, "q", "score", "d", k).select(F.col("q").alias(query_id), F.col("d").alias(doc_id), "score", "rank")
+    """(query_id, doc_id, score, rank): the number of distinct query tokens a document holds; scanned as in bm25."""
+    found = _search(docs, queries, doc_id, text, query_id, query, k, lambda words: lambda term, n, length: np.ones(len(term)))
+    return found.withColumn("score", F.col("score").cast("long"))
 
 
 def host_keyword_score(docs: DataFrame, url: str, hosts: list[str], text: str, words: list[str]) -> DataFrame:
