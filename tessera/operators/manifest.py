@@ -60,6 +60,82 @@ def residual(c: Column) -> Column:
     return c.rlike("__\\w+?__") | c.rlike("\\$\\{[^}]+\\}") | c.rlike("\\{\\{[^}]+\\}\\}")
 
 
+#: Why an action is not bound.
+REASONS = {
+    "template": "[capability-mismatch] cmdTemplate missing",
+    "tool": "[capability-mismatch] toolBinding.toolStatus=",
+    "twice": "[capability-mismatch] duplicate paramName across sources: ",
+    "unsafe": "[capability-mismatch] unsafe value for ",
+    "generator": "[capability-mismatch] invalid generator: ",
+    "residual": "[capability-mismatch] residual placeholders: ",
+    "entity": "[dep-blocked] missing entity ",
+    "field": "[dep-blocked] source entity field not ready",
+}
+
+#: What may not be left in a command, by name, once substitutions are out.
+LEFTOVERS = {"unsubstituted __param__": "__[A-Za-z_][A-Za-z0-9_]*__", "literal ${var}": r"\$\{[^}]+\}", "bare $VAR": r"\$[A-Z_][A-Z0-9_]*"}
+
+
+def leftovers(c: Column) -> Column:
+    """Names of the placeholders left outside of $(…), $((…)) and <<action.field>>, joined by commas; empty if none."""
+    inner = F.aggregate(F.sequence(F.lit(1), F.lit(16)), c, lambda x, _: F.regexp_replace(F.regexp_replace(x, r"\$\(\([^()]*\)\)", ""), r"\$\((?:[^()]|\([^()]*\))*\)", ""))
+    rest = F.regexp_replace(inner, r"<<[A-Z][0-9]+\.[A-Za-z_]\w*>>", "")
+    return F.array_join(F.array_compact(F.array(*(F.when(rest.rlike(p), F.lit(n)) for n, p in LEFTOVERS.items()))), ",")
+
+
+def _parameter_values(params: DataFrame, entities: DataFrame, generators: dict[str, str]) -> DataFrame:
+    """params with ``value`` (null: none), ``missing`` and ``problem``."""
+    e = entities.select(F.col("entity").alias("__ref"), F.coalesce("status", F.lit("")).alias("__status"), F.coalesce("fields", F.create_map().cast("map<string,string>")).alias("__fields"))
+    of_entity, of_generator = F.col("kind") == "entity", F.col("kind") == "generator"
+    j = params.withColumn("__ref", F.when(of_entity, F.col("ref"))).join(e, "__ref", "left")
+    there = F.col("__status").isNotNull()
+    held = F.when(~F.col("__status").isin("", "failed", "missing-dependency"), F.nullif(F.try_element_at("__fields", F.col("field")), F.lit("")))
+    safe = ~held.rlike(r"[\x00\r\n]") & (F.length(held) <= 512)
+    known = F.create_map(*(F.lit(x) for kv in generators.items() for x in kv)) if generators else F.create_map().cast("map<string,string>")
+    made = F.try_element_at(known, F.coalesce("ref", F.lit("")))
+    prior = F.concat(F.lit("<<"), F.coalesce(F.nullif("ref", F.lit("")), F.lit("?")), F.lit("."), F.coalesce(F.nullif("field", F.lit("")), F.col("name")), F.lit(">>"))
+    value = F.when(of_entity, F.when(safe, held)).when(of_generator, made).otherwise(prior)
+    problem = F.when(of_entity & ~there, F.concat(F.lit(REASONS["entity"]), F.coalesce("ref", F.lit("")))).when(of_entity & ~safe, F.concat(F.lit(REASONS["unsafe"]), "name")).when(of_generator & made.isNull(), F.concat(F.lit(REASONS["generator"]), F.coalesce(F.nullif("ref", F.lit("")), F.lit("SEQ (deprecated)"))))
+    return j.select("action", F.when(of_entity, 0).when(of_generator, 1).otherwise(2).alias("rank"), "pos", "name", value.alias("value"), (of_entity & held.isNull()).alias("missing"), problem.alias("problem"), of_generator.alias("split"))
+
+
+def bind_actions(actions: DataFrame, params: DataFrame, entities: DataFrame, generators: dict[str, str]) -> DataFrame:
+    """(action, command, status, confidence, note, reason) of actions (action, template, tool_status).
+
+    params (action, pos, kind, name, ref, field) fill __name__: kind ``entity`` takes a field of a
+    ready entity (entity, status, fields), ``generator`` the text of generators under ref, ``prior``
+    a reference <<action.field>> to be filled at run time; in that order, then by pos.  A second
+    parameter of a name fails.  Statuses are filled (0.7), missing-param (0.3) and gen-failed (0);
+    of several problems the last one counts, as a capability problem or a blocked dependency.
+    A null or empty name is no parameter; entities have one row each.  An action's parameters are
+    gathered in its row, so a row grows with one action's parameters alone.
+    """
+    values = _parameter_values(params.where(F.coalesce("name", F.lit("")) != ""), entities, generators)
+    steps = values.groupBy("action").agg(F.array_sort(F.collect_list(F.struct("rank", "pos", "name", "value", "missing", "problem", "split"))).alias("__steps"))
+    text = F.lit(None).cast("string")
+    start = F.struct(F.coalesce("template", F.lit("")).alias("cmd"), F.array().cast("array<string>").alias("seen"), F.lit(False).alias("missing"), text.alias("fail"))
+
+    def put(cmd, x):
+        token = F.concat(F.lit("__"), x["name"], F.lit("__"))
+        quoted = F.concat(F.lit('"'), token, F.lit('"'))
+        return F.when(x["split"] & F.contains(cmd, quoted), F.replace(cmd, quoted, F.concat(F.lit("\"'\""), x["value"], F.lit("\"'\"")))).otherwise(F.replace(cmd, token, x["value"]))
+
+    def step(s, x):
+        twice = F.array_contains(s["seen"], x["name"])
+        cmd = F.when(twice | x["value"].isNull(), s["cmd"]).otherwise(put(s["cmd"], x))
+        fail = F.when(twice, F.concat(F.lit(REASONS["twice"]), x["name"])).otherwise(F.coalesce(x["problem"], s["fail"]))
+        return F.struct(cmd.alias("cmd"), F.array_union(s["seen"], F.array(x["name"])).alias("seen"), (s["missing"] | (~twice & x["missing"])).alias("missing"), fail.alias("fail"))
+
+    done = actions.join(steps, "action", "left").withColumn("__r", F.coalesce(F.aggregate("__steps", start, step), start))
+    fail, left = F.col("__r.fail"), leftovers(F.col("__r.cmd"))
+    early = F.when(F.coalesce("template", F.lit("")) == "", F.lit(REASONS["template"])).when(F.coalesce("tool_status", F.lit("")) != "available", F.concat(F.lit(REASONS["tool"]), F.coalesce(F.nullif("tool_status", F.lit("")), F.lit("null"))))
+    late = F.when(fail.startswith("[capability-mismatch]"), fail).when(F.col("__r.missing"), F.coalesce(fail, F.lit(REASONS["field"]))).when(left != "", F.concat(F.lit(REASONS["residual"]), left))
+    reason = F.coalesce(early, late)
+    out = done.select("action", F.when(early.isNotNull(), "").otherwise(F.col("__r.cmd")).alias("command"), (early.isNull() & ~F.coalesce(fail.startswith("[capability-mismatch]"), F.lit(False)) & F.col("__r.missing")).alias("__m"), reason.alias("reason"))
+    status = F.when(F.col("reason").isNull(), "filled").when(F.col("__m"), "missing-param").otherwise("gen-failed")
+    return out.select("action", "command", status.alias("status"), F.when(F.col("reason").isNull(), 0.7).when(F.col("__m"), 0.3).otherwise(0.0).alias("confidence"), F.when(F.col("reason").isNull(), "syntax check + value-sanity scan passed").alias("note"), "reason")
+
+
 def dependency_values(entities: DataFrame, fields: DataFrame, entity: str, deps: str) -> DataFrame:
     """(entity, inputs): the fields of an entity's dependencies as one map."""
     d = entities.select(entity, F.explode(deps).alias("__d"))

@@ -417,6 +417,28 @@ def bind(spark, sf):
     return M.bind(s.select("s_suppkey", F.lit("pay __name__ in __city__").alias("t")), s.select("s_suppkey", F.lit("name").alias("name"), F.col("s_name").alias("value")), "s_suppkey", "t")
 
 
+@query("ext1_bind_actions", """
+WITH a AS (SELECT s_suppkey AS k, s_suppkey % 6 AS c, replace(s_name, '#', '') AS n, s_nationkey AS e FROM supplier)
+SELECT 'A' || k AS action, CASE c WHEN 1 THEN '' ELSE 'pay ' || CASE WHEN c IN (2, 3) THEN '__who__' ELSE n END || ' $(uuidgen) <<A' || (k - 1) || '.no>>' || CASE WHEN c = 4 THEN ' $CITY' ELSE '' END END AS command,
+CASE WHEN c IN (2, 3) THEN 'missing-param' WHEN c IN (1, 4, 5) THEN 'gen-failed' ELSE 'filled' END AS status, CASE WHEN c IN (2, 3) THEN 0.3 WHEN c IN (1, 4, 5) THEN 0.0 ELSE 0.7 END::DOUBLE AS confidence,
+CASE c WHEN 1 THEN '[capability-mismatch] toolBinding.toolStatus=null' WHEN 2 THEN '[dep-blocked] source entity field not ready' WHEN 3 THEN '[dep-blocked] missing entity E-1'
+WHEN 4 THEN '[capability-mismatch] residual placeholders: bare $VAR' WHEN 5 THEN '[capability-mismatch] duplicate paramName across sources: id' END AS reason FROM a
+""")
+def bind_actions(spark, sf):
+    s = table(spark, sf, "supplier").select("s_suppkey", (F.col("s_suppkey") % 6).alias("c"), F.concat(F.lit("A"), "s_suppkey").alias("action"), F.regexp_replace("s_name", "#", "").alias("n"))
+    actions = s.select("action", F.concat(F.lit("pay __who__ __id__ __from__"), F.when(F.col("c") == 4, " $CITY").otherwise("")).alias("template"), F.when(F.col("c") != 1, "available").alias("tool_status"))
+    void = F.lit(None).cast("string")
+    made = F.array(
+        F.struct(F.lit(1).alias("pos"), F.lit("entity").alias("kind"), F.lit("who").alias("name"), F.concat(F.lit("E"), F.when(F.col("c") == 3, -1).otherwise(F.col("s_suppkey"))).alias("ref"), F.lit("name").alias("field")),
+        F.struct(F.lit(1).alias("pos"), F.lit("generator").alias("kind"), F.lit("id").alias("name"), F.lit("UUID").alias("ref"), void.alias("field")),
+        F.struct(F.lit(1).alias("pos"), F.lit("prior").alias("kind"), F.lit("from").alias("name"), F.concat(F.lit("A"), F.col("s_suppkey") - 1).alias("ref"), F.lit("no").alias("field")),
+    )
+    twice = F.array(F.struct(F.lit(2).alias("pos"), F.lit("prior").alias("kind"), F.lit("id").alias("name"), F.lit("A9").alias("ref"), void.alias("field")))
+    params = s.select("action", F.explode(F.when(F.col("c") == 5, F.concat(made, twice)).otherwise(made)).alias("p")).select("action", "p.*")
+    entities = s.select(F.concat(F.lit("E"), "s_suppkey").alias("entity"), F.when(F.col("c") == 2, "failed").otherwise("ready").alias("status"), F.create_map(F.lit("name"), F.col("n")).alias("fields"))
+    return M.bind_actions(actions, params, entities, {"UUID": "$(uuidgen)"}).drop("note")
+
+
 @query("ext4_rollback", "SELECT c_custkey, CASE WHEN c_custkey % 4 <> 0 THEN c_name END AS c_name, CASE WHEN c_custkey % 8 = 0 THEN 'invalidated' WHEN c_custkey % 4 = 0 THEN 'preserved' END AS cache FROM customer")
 def rollback(spark, sf):
     c = table(spark, sf, "customer").select("c_custkey", "c_name")

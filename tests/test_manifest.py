@@ -97,3 +97,39 @@ def test_intervals_fixture(spark):
     assert sorted((r.k, r.start, r.end) for r in W.merge_intervals(df, ["k"], "a", "b").collect()) == [(1, 1, 6), (1, 9, 9)]
     sizes = spark.createDataFrame([(1, 10), (2, 2)], "k int, n int")
     assert sorted((r.k, r.start, r.end) for r in W.uncovered(df, sizes, ["k"], "a", "b", "n").collect()) == [(1, 7, 8), (1, 10, 10), (2, 1, 2)]
+
+
+def test_bind_actions(spark):
+    """Rows by hand: every status, and which of several problems counts."""
+    actions = spark.createDataFrame([
+        ("A1", "pay __user__ __id__ on __day__ from __prev__", "available"), ("A2", None, "available"), ("A3", "x", "absent"), ("A4", "x __u__", "available"), ("A5", "x __u__ __u__", "available"),
+        ("A6", "x __u__", "available"), ("A7", "x __u__ ${home} $HOME", "available"), ("A8", "x __g__", "available"), ("A9", "x __u__", "available"), ("B1", 'curl -d \'{"k": "__g__"}\'', "available"),
+        ("B2", "x __u__ __v__", "available"), ("B3", "plain", "available"), ("B4", "echo $(date +$(echo X)) $((A_1)) <<A1.id>>", "available"), ("B5", "x", None), ("B6", "x __u__ __v__", "available"),
+    ], "action string, template string, tool_status string")
+    params = spark.createDataFrame([
+        ("A1", 1, "entity", "user", "E1", "name"), ("A1", 1, "generator", "id", "UUID", None), ("A1", 1, "prior", "prev", "A0", "out"), ("A1", 2, "prior", "day", None, None),
+        ("A4", 1, "entity", "u", "E9", "name"), ("A5", 1, "entity", "u", "E1", "name"), ("A5", 1, "prior", "u", "A1", "x"), ("A6", 1, "entity", "u", "E2", "name"), ("A7", 1, "entity", "u", "E1", "name"),
+        ("A8", 1, "generator", "g", "NONE", None), ("A9", 1, "entity", "u", "E1", "bad"), ("B1", 1, "generator", "g", "UUID", None), ("B2", 1, "entity", "u", "E1", "bad"), ("B2", 2, "entity", "v", "E9", "x"),
+        ("B3", 1, "entity", "", "E9", "x"), ("B3", 2, "entity", None, "E9", "x"), ("B6", 1, "entity", "u", "E9", "x"), ("B6", 2, "entity", "v", "E1", "bad"),
+    ], "action string, pos int, kind string, name string, ref string, field string")
+    entities = spark.createDataFrame([("E1", "ready", {"name": "Ann", "bad": "a\nb", "none": ""}), ("E2", "failed", {"name": "x"})], "entity string, status string, fields map<string,string>")
+    got = {r.action: (r.command, r.status, r.confidence, r.reason) for r in M.bind_actions(actions, params, entities, {"UUID": "$(uuidgen)"}).collect()}
+    failed = lambda cmd, why: (cmd, "gen-failed", 0.0, "[capability-mismatch] " + why)
+    assert got == {
+        "A1": ("pay Ann $(uuidgen) on <<?.day>> from <<A0.out>>", "filled", 0.7, None),
+        "A2": failed("", "cmdTemplate missing"),
+        "A3": failed("", "toolBinding.toolStatus=absent"),
+        "A4": ("x __u__", "missing-param", 0.3, "[dep-blocked] missing entity E9"),
+        "A5": failed("x Ann Ann", "duplicate paramName across sources: u"),
+        "A6": ("x __u__", "missing-param", 0.3, "[dep-blocked] source entity field not ready"),
+        "A7": failed("x Ann ${home} $HOME", "residual placeholders: literal ${var},bare $VAR"),
+        "A8": failed("x __g__", "invalid generator: NONE"),
+        "A9": failed("x __u__", "unsafe value for u"),
+        "B1": ("curl -d '{\"k\": \"'\"$(uuidgen)\"'\"}'", "filled", 0.7, None),
+        "B2": ("x __u__ __v__", "missing-param", 0.3, "[dep-blocked] missing entity E9"),
+        "B3": ("plain", "filled", 0.7, None),
+        "B4": ("echo $(date +$(echo X)) $((A_1)) <<A1.id>>", "filled", 0.7, None),
+        "B5": failed("", "toolBinding.toolStatus=null"),
+        "B6": failed("x __u__ __v__", "unsafe value for v"),
+    }
+    assert M.bind_actions(actions.limit(0), params, entities, {}).count() == 0
