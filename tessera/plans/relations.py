@@ -2,6 +2,7 @@
 
 from pyspark.sql import functions as F
 
+from ..operators import guards as U
 from ..operators import joins as J
 from ..operators import windows as W
 from .registry import query, table
@@ -345,6 +346,29 @@ def sessions(spark, sf):
     return W.sessions(e.withColumn("gap", gap), ["user_id"], ["ts", "event_id"], F.col("gap") > 1440).select("event_id", "session")
 
 
+@query("ext12_history_guards", """
+WITH h AS (SELECT user_id AS s, event_id AS step, event_id % 5 AS i, ['type', 'click', 'read', 'stale', 'read', 'type', 'scroll'][(event_id % 7 + 1)::INT] AS op, 'v' || event_id % 3 AS x, CASE event_id % 11 WHEN 0 THEN true WHEN 1 THEN NULL ELSE false END AS pc FROM events),
+b AS (SELECT *, row_number() OVER (PARTITION BY s ORDER BY step DESC) AS back, max(CASE WHEN pc THEN step END) OVER (PARTITION BY s) AS page FROM h),
+t AS (SELECT u AS s, kind, i, (u + i) % 3 AS r, 'v' || (u + i) % 4 AS v, (u % 2 = 0) AS l FROM (SELECT DISTINCT user_id AS u FROM events), (SELECT unnest(['type', 'click', 'read']) AS kind), (SELECT unnest(range(5)) AS i)),
+z AS (SELECT s, op FROM b WHERE back = 1)
+SELECT t.s AS user_id, kind, i AS target FROM t JOIN z USING (s) WHERE NOT CASE kind
+WHEN 'type' THEN EXISTS (SELECT 1 FROM b WHERE b.s = t.s AND b.i = t.i AND b.op = 'type' AND back <= 8 AND (back = 1 OR coalesce(NOT pc, false) OR b.x = t.v)) OR (r = 0 AND l AND z.op = 'type')
+WHEN 'click' THEN EXISTS (SELECT 1 FROM b WHERE b.s = t.s AND b.i = t.i AND b.op = 'stale' AND back <= 8 AND NOT coalesce(pc, false) AND step > coalesce(page, -1)) OR (r = 0 AND l AND z.op IN ('click', 'type'))
+ELSE EXISTS (SELECT 1 FROM b WHERE b.s = t.s AND b.i = t.i AND b.op = 'read' AND NOT coalesce(pc, false) AND step > coalesce(page, -1)) END
+""")
+def history_guards(spark, sf):
+    e, typing = table(spark, sf, "events"), F.array(F.lit("TYPE"))
+    op = F.element_at(F.array(*map(F.lit, "type click read stale read type scroll".split())), (F.col("event_id") % 7 + 1).cast("int"))
+    changed = F.when(F.col("event_id") % 11 == 0, True).when(F.col("event_id") % 11 > 1, False)
+    history = e.select(F.col("user_id").alias("session"), F.col("event_id").alias("step"), op.alias("op"), (F.col("event_id") % 5).cast("string").alias("index"), F.concat(F.lit("v"), F.col("event_id") % 3).alias("text"), F.lit("textbox").alias("role"), typing.alias("operations"), F.lit("").alias("action"), changed.alias("page_changed"))
+    t = e.select(F.col("user_id").alias("session")).distinct().withColumn("kind", F.explode(F.array(*map(F.lit, ("type", "click", "read"))))).withColumn("i", F.explode(F.sequence(F.lit(0), F.lit(4))))
+    at = F.col("session") + F.col("i")
+    # an entry of a list is open for every other user
+    entry = (F.col("session") % 2 == 0) & (at % 3 > 0)
+    t = t.select("session", "kind", F.col("i").cast("string").alias("index"), F.when(at % 3 == 0, "combobox").when(entry, "option").otherwise("button").alias("role"), F.lit("main").alias("within"), typing.alias("operations"), F.concat(F.lit("v"), at % 4).alias("value"))
+    return U.allowed_targets(t, history).select(F.col("session").alias("user_id"), "kind", F.col("index").cast("long").alias("target"))
+
+
 @query("ext8_unique_tokens", """
 SELECT p_partkey, w FROM (SELECT p_partkey, w, count(*) OVER (PARTITION BY p_brand, w) AS n FROM (SELECT DISTINCT p_partkey, p_brand, unnest(string_split(p_name || ' s' || p_size, ' ')) AS w FROM part)) WHERE n = 1
 """)
