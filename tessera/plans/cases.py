@@ -419,6 +419,46 @@ def lock_drift(spark, sf):
     return D.lock_drift(deps, locked)
 
 
+def _change(spark, sf) -> DataFrame:
+    """(path, text, changed): a manifest, a lock, a Java file or a module of Go for every part."""
+    listed = lambda f: F.array_join(F.transform(F.sequence(F.lit(1), "p_size"), f), ",")
+    licence = F.element_at(F.array(F.lit('"license": "MIT", '), F.lit('"license": "none", '), F.lit("")), F.col("p_size") % 3 + 1)
+    npm = F.concat(F.lit("{"), licence, F.lit('"dependencies": {'), listed(lambda i: F.concat(F.lit('"d'), i, F.lit('": "1.0"'))), F.lit("}}"))
+    java = F.concat(F.lit("package a;\n"), F.element_at(F.array(F.lit("import org.apache.commons.lang.X;"), F.lit("import org.apache.commons.lang3.X;"), F.lit('String v = "1-SNAPSHOT";')), F.col("p_size") % 3 + 1))
+    k = F.col("p_partkey") % 4
+    path = F.when(k == 0, _text("m", "$p_partkey", "/package.json")).when(k == 1, F.concat(F.lit("m"), F.col("p_partkey") - 1, F.lit("/yarn.lock"))).when(k == 2, _text("m", "$p_partkey", "/A.java")).otherwise(_text("m", "$p_partkey", "/go.mod"))
+    text = F.when(k == 0, npm).when(k == 1, F.repeat(F.lit("x\n"), F.col("p_size") * 10)).when(k == 2, java).otherwise(F.lit("module x\nrequire ex.org/a v1.0.0\n"))
+    return _part(spark, sf).select(path.alias("path"), text.alias("text"), ((k != 1) | (F.col("p_size") % 2 == 0)).alias("changed"))
+
+
+@query("scn9_missing_locks", """
+SELECT 'm' || a.p_partkey || '/package.json' AS path, b.p_partkey IS NOT NULL AS on_disk FROM part a LEFT JOIN part b ON b.p_partkey = a.p_partkey + 1 WHERE a.p_partkey % 4 = 0 AND coalesce(b.p_size % 2, 1) = 1
+UNION ALL SELECT 'm' || p_partkey || '/go.mod', false FROM part WHERE p_partkey % 4 = 3
+""")
+def missing_locks(spark, sf):
+    return D.missing_locks(_change(spark, sf), "path", "changed").select("path", "on_disk")
+
+
+@query("scn9_line_flags", """
+SELECT 'm' || p_partkey || '/A.java' AS path, 'eol_import' AS kind, 'org.apache.commons.lang' AS detail FROM part WHERE p_partkey % 4 = 2 AND p_size % 3 = 0
+UNION ALL SELECT 'm' || p_partkey || '/A.java', 'source_string_floating', 'String v = "1-SNAPSHOT";' FROM part WHERE p_partkey % 4 = 2 AND p_size % 3 = 2
+UNION ALL SELECT 'm' || p_partkey || '/package.json', 'licence', CASE WHEN p_size % 3 = 1 THEN 'none' END FROM part WHERE p_partkey % 4 = 0 AND p_size % 3 > 0
+""")
+def line_flags(spark, sf):
+    c = _change(spark, sf)
+    ended = D.ended_imports(c, "path", "text").select("path", F.lit("eol_import").alias("kind"), F.col("coord").alias("detail"))
+    loose = D.loose_lines(c, "path", "text").select("path", "kind", "snippet")
+    return ended.unionAll(loose).unionAll(D.licence_gaps(c, "path", "text").select("path", F.lit("licence"), "licence"))
+
+
+@query("scn9_change_flags", """
+WITH a AS (SELECT max(CASE p_partkey % 4 WHEN 0 THEN p_size WHEN 3 THEN 1 END)::BIGINT AS direct, max(CASE WHEN p_partkey % 4 = 1 AND p_size % 2 = 0 THEN p_size * 10 END)::INT AS lock_lines FROM part)
+SELECT direct, lock_lines, 'go,npm' AS ecosystems, direct >= 8 AS many_direct, coalesce(lock_lines >= 200, false) AS long_lock, direct >= 8 AS mismatch FROM a
+""")
+def change_flags(spark, sf):
+    return D.change_flags(_change(spark, sf), "path", "text", "changed", "java").withColumn("ecosystems", F.array_join("ecosystems", ","))
+
+
 def _branching(spark, sf) -> DataFrame:
     """A file per part with a method of p_size branches and two equal methods."""
     many = F.array_join(F.transform(F.sequence(F.lit(1), "p_size"), lambda i: F.concat(F.lit("  if (a"), i.cast("string"), F.lit(") {}"))), "\n")

@@ -50,3 +50,25 @@ def test_broken_manifests(spark):
     assert D.declared(df, "p", "t").collect() == []
     peers = spark.createDataFrame([("x/package.json", '{"peerDependencies": {"a": "1 || 2"}}')], "p string, t string")
     assert [(r.package, r.scope, r.problem) for r in D.floating(D.declared(peers, "p", "t")).collect()] == [("a", "run", "floating")]
+
+
+def test_change_flags(spark):
+    """Rows by hand on a change of several ecosystems."""
+    many = "\n".join(f"\tex.org/m{i} v1.{i}.0" for i in range(9))
+    gradle = 'dependencies {\n  implementation("a.b:c:1.+")\n  testImplementation \'d:e:2\'\n  api "f:g"\n}\n'
+    rows = [
+        ("web/package.json", '{"license": "UNLICENSED", "dependencies": {"a": "latest"}}', True), ("web/yarn.lock", "x\n" * 300, False), ("api/package.json", '{"name": "b"}', True), ("api/yarn.lock", "a\nb\n", True),
+        ("go.mod", f"module x\nrequire (\n{many}\n)\n", True), ("pom.xml", "<version>1-SNAPSHOT</version>", True), ("app/build.gradle", gradle, True), ("lib/package.json", '{"license": "MIT"}', False),
+        ("src/A.java", "package a;\nimport org.apache.commons.lang3.X;\nimport org.apache.commons.lang.Y;\nimport org.apache.commons.lang.Z;", True), ("src/b.py", "import os\nfrom optparse import x\nimport imp", False),
+        ("src/c.js", 'const r = require("request")\nuse("latest")', True), ("src/d.go", None, True), ("node_modules/e.js", 'require("request")', True), ("notes.md", "import imp", True), ("src/f.go", 'import "io/ioutil"', True),
+    ]
+    df = spark.createDataFrame(rows, "p string, t string, changed boolean")
+    assert sorted((r.path, r.expected[0], r.on_disk) for r in D.missing_locks(df, "p", "changed").collect()) == [("app/build.gradle", "app/gradle.lockfile", False), ("go.mod", "go.sum", False), ("web/package.json", "web/package-lock.json", True)]
+    assert sorted((r.path, r.line, r.coord) for r in D.ended_imports(df, "p", "t").collect()) == [("src/A.java", 3, "org.apache.commons.lang"), ("src/b.py", 2, "optparse"), ("src/c.js", 1, "request"), ("src/f.go", 1, "io/ioutil")]
+    assert sorted((r.path, r.line, r.kind) for r in D.loose_lines(df, "p", "t").collect()) == [("pom.xml", 1, "snapshot_or_floating"), ("src/c.js", 2, "source_string_floating"), ("web/package.json", 1, "snapshot_or_floating")]
+    assert sorted((r.path, r.licence) for r in D.licence_gaps(df, "p", "t").collect()) == [("api/package.json", None), ("web/package.json", "UNLICENSED")]
+    assert D.change_flags(df, "p", "t", "changed", "Python").first().asDict() == {"direct": 9, "lock_lines": 2, "ecosystems": ["go", "gradle", "maven", "npm"], "many_direct": True, "long_lock": False, "mismatch": True}
+    assert not D.change_flags(df, "p", "t", "changed", "go").first().mismatch and not D.change_flags(df, "p", "t", "changed", "cobol").first().mismatch
+    assert D.change_flags(df.limit(0), "p", "t", "changed", "go").first().asDict() == {"direct": None, "lock_lines": None, "ecosystems": [], "many_direct": False, "long_lock": False, "mismatch": False}
+    got = {(r.package, r.version, r.scope, r.problem) for r in D.floating(D.declared(df.where("p = 'app/build.gradle'"), "p", "t")).collect()}
+    assert got == {("a.b:c", "1.+", "run", "floating"), ("d:e", "2", "dev", None), ("f:g", None, "run", "unpinned")}
