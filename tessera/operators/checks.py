@@ -35,14 +35,40 @@ def call_path_text(df: DataFrame, keys: list[str], caller: str, hinted: str, nod
     return best.select(*keys, F.when(F.col("c").isNull(), F.col(node).cast("string")).otherwise(F.concat_ws(" -> ", "c", node)).alias("text"))
 
 
-def near_misses(types: DataFrame, key: str, up: str, down: str, most: int = 3) -> DataFrame:
-    """(key, near): types that share an upstream or downstream neighbour, the most shared first, at most three (a report)."""
+def near_misses(types: DataFrame, key: str, up: str, down: str, most: int = 3, hot: int = 1000) -> DataFrame:
+    """(key, near, shared): types that share an upstream or downstream neighbour, the most shared first, then by key, at most three (a report).
+
+    Neighbours that at most ``hot`` types have make pairs.  The others split the types in classes of
+    equal hot neighbours: only classes are paired, each standing for its least keys, of which no
+    more than ``most`` can come into a report; pairs found through a rare neighbour get the hot ones
+    that both have added.  So a neighbour of n types costs as many pairs as there are pairs of
+    classes that have it, not n * n.  A neighbour counts once, a null one or a null list is none, and
+    rows of one key are one type.
+    """
     from .windows import top_k_per_key
 
-    ends = types.select(F.col(key).alias("k"), F.explode(F.concat(F.transform(up, lambda x: F.concat(F.lit("u:"), x)), F.transform(down, lambda x: F.concat(F.lit("d:"), x)))).alias("e"))
-    a, b = ends.alias("a"), ends.alias("b")
-    pairs = a.join(b, F.col("a.e") == F.col("b.e")).where("a.k <> b.k").groupBy(F.col("a.k").alias(key), F.col("b.k").alias("near")).agg(F.count(F.lit(1)).alias("shared"))
-    return top_k_per_key(pairs, [key], [F.desc("shared"), F.col("near")], most).select(key, "near", "shared")
+    named = lambda c, p: F.transform(F.coalesce(c, F.array().cast("array<string>")), lambda x: F.concat(F.lit(p), x.cast("string")))
+    ends = types.select(F.col(key).alias("k"), F.explode(F.concat(named(F.col(up), "u:"), named(F.col(down), "d:"))).alias("e")).where("e IS NOT NULL").distinct()
+    common = ends.groupBy("e").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") > hot).select("e")
+    rare = ends.join(common, "e", "left_anti")
+    a, b = rare.alias("a"), rare.alias("b")
+    pairs = a.join(b, F.col("a.e") == F.col("b.e")).where("a.k <> b.k").groupBy(F.col("a.k").alias("k"), F.col("b.k").alias("near")).agg(F.count(F.lit(1)).alias("n"))
+
+    held = ends.join(common, "e", "left_semi").groupBy("k").agg(F.array_sort(F.collect_list("e")).alias("es"))
+    mine, other = held.select("k", "es"), held.select(F.col("k").alias("near"), F.col("es").alias("__es"))
+    both = F.coalesce(F.size(F.array_intersect("es", "__es")), F.lit(0))
+    close = pairs.join(mine, "k", "left").join(other, "near", "left").select("k", "near", (F.col("n") + F.when(F.col("es").isNotNull() & F.col("__es").isNotNull(), both).otherwise(0)).alias("shared"))
+
+    first = top_k_per_key(held.select("es", F.col("k").alias("near")), ["es"], [F.col("near")], most + 1).select("es", "near")
+    sets = held.select("es").distinct().withColumn("e", F.explode("es"))
+    c, d = sets.alias("c"), sets.alias("d")
+    met = c.join(d, F.col("c.e") == F.col("d.e")).groupBy(F.col("c.es").alias("es"), F.col("d.es").alias("__es")).agg(F.count(F.lit(1)).alias("shared"))
+    offers = met.join(first.withColumnRenamed("es", "__es"), "__es").select("es", "near", "shared")
+    # the first offers of a class are those of each of its members, who may be one of them
+    best = top_k_per_key(offers, ["es"], [F.desc("shared"), F.col("near")], most + 1).select("es", "near", "shared")
+    far = held.join(best, "es").where("k <> near").select("k", "near", "shared")
+    found = close.unionAll(far).groupBy("k", "near").agg(F.max("shared").alias("shared"))
+    return top_k_per_key(found, ["k"], [F.desc("shared"), F.col("near")], most).select(F.col("k").alias(key), "near", "shared")
 
 
 def unanchored(rows: DataFrame, lines: DataFrame, diffs: DataFrame, key: str, file: str, line: str, snippet: str) -> DataFrame:

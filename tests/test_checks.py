@@ -105,3 +105,19 @@ def test_scalars(spark):
     assert one(S.clip(F.lit("abc defgh"), 6)) == "abc…" and one(S.clip(F.lit("abc"), 6)) == "abc"
     flat = S.flatten_json(spark.createDataFrame([(1, '{"a":{"b":[1,{"c":"x"}]},"d":null}')], "k int, j string"), ["k"], "j", 5)
     assert sorted((r.path, r.value) for r in flat.collect()) == [("a.b[0]", "1"), ("a.b[1].c", "x")]
+
+
+def test_near_misses_of_hot_neighbours(spark):
+    """Every split in hot and rare neighbours gives the rows of counting all pairs."""
+    import random
+
+    rng = random.Random(3)
+    own = {k: {("u", rng.randrange(3)) for _ in range(rng.randrange(3))} | {("d", int(rng.paretovariate(0.7))) for _ in range(rng.randrange(4))} for k in range(150)}
+    rows = [(k, [str(n) for s, n in e if s == "u"] * 2, [str(n) for s, n in e if s == "d"] or None) for k, e in own.items()] + [(7, ["77", None], None), (8, ["77"], None)]
+    own[7] = own[7] | {("u", 77)}
+    own[8] = own[8] | {("u", 77)}
+    want = [(k, b, -n) for k in own for n, b in sorted((-len(own[k] & own[b]), b) for b in own if b != k and own[k] & own[b])[:3]]
+    types = spark.createDataFrame(rows, "t int, up array<string>, down array<string>")
+    for hot in (0, 6, 20, 1000):
+        assert sorted((r.t, r.near, r.shared) for r in K.near_misses(types, "t", "up", "down", hot=hot).collect()) == sorted(want)
+    assert K.near_misses(types.limit(0), "t", "up", "down").count() == 0
