@@ -310,6 +310,32 @@ def test_inventory(df: DataFrame, path: str, text: str) -> DataFrame:
     return tests.select("path", "method_line", "name", "asserts", "tautology", (F.col("spawns") & ~F.col("joins")).alias("unjoined"))
 
 
+def oracle_hits(df: DataFrame, path: str, text: str) -> DataFrame:
+    """(path, line_no, kind): tests that cannot fail, or do not reach what they name.
+
+    test_no_join and test_tautology by test_inventory; test_unreachable is a test that asks an
+    array's element for null and fills an array with texts, none null; test_flag_uncovered is the
+    first line that names a switch fixed in a file with tests, none of which names it.  A method's
+    lines are put together, no more.
+    """
+    lines = code_lines(df, path, text)
+    tests = test_inventory(df, path, text)
+    known = tests.select("path", F.explode(F.array_compact(F.array(F.when(F.col("unjoined"), F.struct(F.col("method_line").alias("line_no"), F.lit("test_no_join").alias("kind"))), F.when(F.col("tautology"), F.struct(F.col("method_line").alias("line_no"), F.lit("test_tautology").alias("kind")))))).alias("h")).select("path", "h.*")
+
+    spans = tests.select("path", "method_line")
+    body = lines.join(spans, ["path", "method_line"], "left_semi").groupBy("path", "method_line").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("line_no", "code"))), lambda x: x["code"]), "\n").alias("b"))
+    filled = F.regexp_extract_all("b", F.lit(r"=\s*(?:new\s+\w+\s*\[\s*\]\s*)?\{([^{}]*)\}"), 1)
+    texts = F.exists(filled, lambda x: x.rlike("[\"']") & ~x.rlike(r"\bnull\b"))
+    dead = body.where(F.col("b").rlike(r"(?i)\w\s*\[\s*\w+\s*\]\s*==\s*null\b") & texts).select("path", F.col("method_line").alias("line_no"), F.lit("test_unreachable").alias("kind"))
+
+    fixed = r"\b([A-Z][A-Z0-9_]{2,})\s*=\s*(?:true|false)\b"
+    switches = lines.where(F.col("code").rlike(fixed)).select("path", F.explode(F.regexp_extract_all("code", F.lit(fixed), 1)).alias("name")).distinct()
+    named = lines.join(spans.withColumn("__test", F.lit(True)), ["path", "method_line"], "left").where(F.col("code").rlike("[A-Z]{3}|[A-Z][A-Z0-9_]{2}")).select("path", "line_no", "__test", F.explode(F.array_distinct(F.regexp_extract_all("code", F.lit(r"\b([A-Z][A-Z0-9_]{2,})\b"), 1))).alias("name"))
+    seen = named.join(switches, ["path", "name"], "left_semi").groupBy("path", "name").agg(F.min("line_no").alias("line_no"), F.bool_or(F.col("__test").isNotNull()).alias("__in"))
+    loose = seen.where("NOT __in").join(spans.select("path").distinct(), "path", "left_semi").select("path", "line_no", F.lit("test_flag_uncovered").alias("kind"))
+    return known.unionAll(dead).unionAll(loose)
+
+
 def lexicon_hits(df: DataFrame, key: str, text: str, lexicon: dict[str, list[str]]) -> DataFrame:
     """(key, category, word) distinct hits of a small lexicon."""
     low = F.lower(F.coalesce(text, F.lit("")))

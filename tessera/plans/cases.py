@@ -496,6 +496,19 @@ def test_inventory(spark, sf):
     return out.withColumn("asserts", F.col("asserts").cast("int"))
 
 
+_ORACLES = 'class T {\n  static final boolean FLAG_A = true;\n  @Test\n  void first() {\n    String[] n = {"$"};\n    if (n[i] == null) { fail(); }\n  }\n  @Test\n  void second() {\n    use(%);\n  }\n}\n'
+
+
+@query("det22_oracle_hits", """
+SELECT p_partkey AS path, n::INT AS line_no, kind FROM part, (VALUES (4, 'test_unreachable'), (2, 'test_flag_uncovered'), (9, 'test_no_join')) v(n, kind)
+WHERE CASE kind WHEN 'test_unreachable' THEN p_size % 2 = 0 WHEN 'test_flag_uncovered' THEN p_size % 3 <> 0 ELSE p_size % 3 = 1 END
+""")
+def oracle_hits(spark, sf):
+    used = F.element_at(F.array(*map(F.lit, ("FLAG_A", "new Thread(r).start()", "x"))), F.col("p_size") % 3 + 1)
+    filled = F.replace(F.lit(_ORACLES), F.lit('{"$"}'), F.when(F.col("p_size") % 2 == 0, _text('{"', "$p_size", '"}')).otherwise(F.lit('{"a", null}')))
+    return C.oracle_hits(_part(spark, sf).withColumn("t", F.replace(filled, F.lit("%"), used)), "p_partkey", "t")
+
+
 @query("scn19_cause_facts", """
 SELECT p_partkey, CASE p_size % 3 WHEN 0 THEN 'x > ' || p_size || ')' END AS branch, p_size % 3 = 1 AS race, CASE p_size % 3 WHEN 0 THEN '' WHEN 1 THEN 'branch' ELSE 'source,line,branch' END AS gaps, CASE p_size % 3 WHEN 0 THEN 0.8 WHEN 1 THEN 0.5 ELSE 0.2 END::DOUBLE AS confidence FROM part
 """)

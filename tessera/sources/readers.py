@@ -14,7 +14,12 @@ from pyspark.sql import functions as F
 
 CODE = ["py", "java", "go", "js", "ts", "jsx", "tsx", "kt", "cs", "php", "rb", "c", "cc", "cpp", "h", "rs", "scala", "sql", "sh"]
 SKIPPED = ["node_modules", "vendor", "dist", "build", "target", ".git", ".next", "__pycache__"]
-_WRITES = r"(?is)\b(?:insert|update|delete|merge|drop|create|alter|truncate|replace|grant|revoke|attach|copy|load|set|reset|cache|refresh|analyze|msck|export|import|call|use)\b"
+#: Strings and quoted names of a statement, and what writes or runs a program within one that begins as a query.
+_QUOTES = r"""'[^'\\]*+(?:(?:\\.|'')[^'\\]*+)*+'|"[^"\\]*+(?:(?:\\.|"")[^"\\]*+)*+"|`[^`]*+`"""
+_COMMENTS = rf"(?s)({_QUOTES})|--[^\n]*+|/\*.*?\*/"
+_WRITES = r"(?is)\b(?:insert\s+(?:into|overwrite|table)|delete\s+from|merge\s+(?:with\s+schema\s+evolution\s+)?into|update\s+[\w.?]+(?:\s+(?:as\s+)?\w+)?\s+set)\b|\busing\s+\?|\b(?:try_)?reflect\s*\(|\bjava_method\s*\("
+_QUERY = r"(?is)^\s*(?:select|with|values|table)\b"
+_MORE = r"(?s);\s*[^\s;]"
 
 PARSERS = {"docx": "docx", "xlsx": "xlsx", "html": "html", "htm": "html", "json": "json", "md": "markdown", "csv": "csv", "tsv": "csv", "xmind": "xmind", "pdf": "pdf", "txt": "text"}
 
@@ -115,14 +120,15 @@ def select_only(spark: SparkSession, text: str, args: dict | None = None) -> Dat
 
 
 def is_read_only(text: str) -> bool:
-    bare = re.sub(r"'(?:[^']|'')*'|\"[^\"]*\"|--[^\n]*|/\*.*?\*/", " ", text, flags=re.S).strip().rstrip(";")
-    return bool(re.match(r"(?is)(?:select|with|values|table)\b", bare)) and ";" not in bare and not re.search(_WRITES, bare)
+    """Is it one query?  Words for writing are fine as names of columns and functions, not as statements."""
+    bare = re.sub(rf"(?s){_QUOTES}", " ? ", re.sub(_COMMENTS, r" \1 ", text))
+    return bool(re.search(_QUERY, bare)) and not re.search(_MORE, bare) and not re.search(_WRITES, bare)
 
 
 def read_only(c: Column) -> Column:
-    """The same test as a column."""
-    bare = F.regexp_replace(F.trim(c), "(?s)'[^']*'", " ")
-    return bare.rlike("(?is)^(?:select|with)\\b") & ~bare.rlike(_WRITES) & ~bare.rlike(";\\s*\\S")
+    """The same test as a column; null for null."""
+    bare = F.regexp_replace(F.regexp_replace(c, _COMMENTS, r" $1 "), rf"(?s){_QUOTES}", " ? ")
+    return bare.rlike(_QUERY) & ~bare.rlike(_MORE) & ~bare.rlike(_WRITES)
 
 
 def diagram_graph(df: DataFrame, key: str, xml: str) -> tuple[DataFrame, DataFrame]:
@@ -167,13 +173,26 @@ def _docx(data: bytes) -> Iterator[tuple[int, str]]:
         yield i, _xml_text(p)
 
 
+def _sheet_files(z: zipfile.ZipFile) -> list[str]:
+    """The files of a workbook's sheets in the order of its tabs; by their number where the workbook names none."""
+    have = {n for n in z.namelist() if re.fullmatch(r"xl/worksheets/[^/]+\.xml", n)}
+    named = []
+    if {"xl/workbook.xml", "xl/_rels/workbook.xml.rels"} <= set(z.namelist()):
+        targets = {r.get("Id"): r.get("Target", "") for r in ElementTree.fromstring(z.read("xl/_rels/workbook.xml.rels"))}
+        tabs = (x for x in ElementTree.fromstring(z.read("xl/workbook.xml")).iter() if x.tag.endswith("}sheet"))
+        paths = (targets.get(next((v for k, v in x.attrib.items() if k.endswith("}id")), None), "") for x in tabs)
+        named = [n for n in (p.lstrip("/") if p.startswith("/") else f"xl/{p}" for p in paths) if n in have]
+    rest = sorted(have - set(named), key=lambda n: (int("0" + re.sub(r"\D", "", n)), n))
+    return named + rest
+
+
 def _xlsx(data: bytes) -> Iterator[tuple[int, str]]:
     with zipfile.ZipFile(io.BytesIO(data)) as z:
         shared = []
         if "xl/sharedStrings.xml" in z.namelist():
             shared = [_xml_text(s) for s in ElementTree.fromstring(z.read("xl/sharedStrings.xml")) if s.tag.endswith("}si")]
-        sheet = ElementTree.fromstring(z.read("xl/worksheets/sheet1.xml"))
-    for i, row in enumerate(x for x in sheet.iter() if x.tag.endswith("}row")):
+        sheets = [ElementTree.fromstring(z.read(name)) for name in _sheet_files(z)]
+    for i, row in enumerate(x for sheet in sheets for x in sheet.iter() if x.tag.endswith("}row")):
         cells = []
         for c in row:
             value = next((v.text or "" for v in c if v.tag.endswith("}v")), "")

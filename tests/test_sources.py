@@ -96,3 +96,39 @@ def test_feedback_stream(spark, tmp_path):
         q.stop()
     w = feedback.windowed(feedback.read_log(spark, str(tmp_path / "in")))
     assert w.isStreaming
+
+
+STATEMENTS = [
+    ("select replace(a, 'x', 'y') as set from t", True), ("SELECT update, `delete` FROM log WHERE \"drop\" = 1", True), ("-- drop it\nselect 1 /* ; delete from t */", True), ("select 'it\\'s; drop table t'", True),
+    ("select 'a''b; c' ;  ", True), ("values (1)", True), ("select a from t join u using (a)", True), ("with x as (select 1) insert into t select * from x", False), ("with x as (select 1) delete from t", False),
+    ("with x as (select 1) update t as u set a = 1", False), ("with x as (select 1) merge into t using x on true when matched then delete", False), ("select transform(a) using 'sh' from t", False),
+    ("select reflect('java.lang.System', 'exit')", False), ("select 1; select 2", False), ("create table t as select 1", False), ("explain select 1", False), ("", False),
+]
+
+
+def test_read_only_words(spark):
+    assert [R.is_read_only(t) for t, _ in STATEMENTS] == [fine for _, fine in STATEMENTS]
+    rows = spark.createDataFrame([(i, t) for i, (t, _) in enumerate(STATEMENTS)] + [(99, None)], "i int, t string").select("i", R.read_only(F.col("t")).alias("fine"))
+    assert {r.i: r.fine for r in rows.collect()} == {i: fine for i, (_, fine) in enumerate(STATEMENTS)} | {99: None}
+
+
+def test_every_sheet(spark):
+    import io
+    import zipfile
+
+    def book(**files):
+        out = io.BytesIO()
+        with zipfile.ZipFile(out, "w") as z:
+            for name, text in files.items():
+                z.writestr(name.replace("__", "/"), text)
+        return out.getvalue()
+
+    sheet = lambda v: f'<s:w xmlns:s="urn:s"><s:row><s:c><s:v>{v}</s:v></s:c></s:row></s:w>'
+    files = {f"xl__worksheets__sheet{i}.xml": sheet(i) for i in (1, 2, 10)}
+    tabs = '<w:b xmlns:w="urn:w" xmlns:r="urn:r"><w:sheet name="a" r:id="k2"/><w:sheet name="b" r:id="k1"/></w:b>'
+    links = '<l><x Id="k1" Target="worksheets/sheet1.xml"/><x Id="k2" Target="/xl/worksheets/sheet10.xml"/></l>'
+    df = spark.createDataFrame([("a.xlsx", book(**files)), ("b.xlsx", book(**files, **{"xl__workbook.xml": tabs, "xl___rels__workbook.xml.rels": links}))], "path string, content binary")
+    got = {}
+    for r in R.office_text(df).orderBy("path", "pos").collect():
+        got.setdefault(r.path, []).append(r.text)
+    assert got == {"a.xlsx": ["1", "2", "10"], "b.xlsx": ["10", "1", "2"]}
