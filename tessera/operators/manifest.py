@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 from functools import reduce
 
 from pyspark.sql import Column, DataFrame
@@ -256,6 +257,40 @@ def classify(df: DataFrame, key: str, text: str, votes: list[tuple[str, int, str
     return ranked.select(key, F.when(first["s"] < 0, first["label"]).alias("label"), (-first["s"]).alias("score"), outcome.alias("outcome"))
 
 
+def grouped_votes(df: DataFrame, key: str, text: str, votes: list[tuple[str, int, str, list[str]]], negations: str = r"(?:not|no|without|instead of|rather than|don't|do not|never)\s*") -> DataFrame:
+    """(key, scores, hits): for every label of votes (label, weight, group, phrases) its score, and the phrases that fired.
+
+    A phrase fires where it stands without a negation right before it; short Latin ones stand as
+    words.  Phrases of a label and group say the same thing, so the heaviest counts once; groups
+    add up.  Narrow: one expression a row.  A null text fires nothing, and a phrase is taken as it is.
+    """
+    said = F.coalesce(F.col(text), F.lit(""))
+
+    def fires(phrase: str) -> Column:
+        body = r"\s+".join(re.escape(p) for p in phrase.split())
+        if re.fullmatch(r"[A-Za-z0-9.+_-]{1,4}", phrase):
+            body = rf"(?<![A-Za-z0-9]){body}(?![A-Za-z0-9])"
+        # a negation ends where the phrase begins, at most sixteen characters before
+        return said.rlike(rf"(?is)(?:^|(?<!\b{_bounded(negations)}))(?:{body})")
+
+    fired = {(label, phrase): fires(phrase) for label, _, _, phrases in votes for phrase in phrases}
+    labels = list(dict.fromkeys(v[0] for v in votes))
+    scores = []
+    for label in labels:
+        total = F.lit(0)
+        for group in dict.fromkeys(v[2] for v in votes if v[0] == label):
+            most = [F.when(fired[label, p], w).otherwise(0) for of, w, g, ps in votes if (of, g) == (label, group) for p in ps]
+            total = total + (F.greatest(*most) if len(most) > 1 else most[0])
+        scores.append((F.lit(label), total))
+    hits = F.array_compact(F.array(*(F.when(c, F.lit(f"{label}:{phrase}")) for (label, phrase), c in fired.items())))
+    return df.select(key, F.create_map(*(x for pair in scores for x in pair)).alias("scores"), hits.alias("hits"))
+
+
+def _bounded(pattern: str) -> str:
+    """The pattern with a bound on its white space, as a look-behind needs one."""
+    return pattern.replace(r"\s*", r"\s{0,8}")
+
+
 def mentions(df: DataFrame, key: str, text: str, aliases: dict[str, str]) -> DataFrame:
     """(key, name) of alias mentions, longest first, without overlap."""
     words = sorted(aliases, key=lambda a: (-len(a), a))

@@ -350,6 +350,19 @@ def request_classifier(spark, sf):
     return M.classify(c, "k", "text", votes).select("k.conv_id", "k.turn", "label", "outcome")
 
 
+_UNSAID = "contains(regexp_replace(t, '\\b(?:not|no|without|instead of|rather than|don''t|do not|never)\\s{0,8}{0}', '#', 'g'), '{0}')"
+
+
+@query("cls1_grouped_votes", f"""
+WITH s AS (SELECT doc_id, lower(coalesce(text, '')) AS t FROM documents), f AS (SELECT doc_id, {_UNSAID.replace("{0}", "license")} AS a, {_UNSAID.replace("{0}", "licensed under")} AS b, {_UNSAID.replace("{0}", "copyright")} AS c, {_UNSAID.replace("{0}", "password")} AS d FROM s)
+SELECT doc_id, CASE WHEN b THEN 4 WHEN a THEN 2 ELSE 0 END + CASE WHEN c THEN 1 ELSE 0 END AS legal, CASE WHEN d THEN 3 ELSE 0 END AS secret, a::INT + b::INT + c::INT + d::INT AS hits FROM f
+""")
+def grouped_votes(spark, sf):
+    votes = [("legal", 4, "license", ["licensed under"]), ("legal", 2, "license", ["license"]), ("legal", 1, "notice", ["copyright"]), ("secret", 3, "secret", ["password"])]
+    out = M.grouped_votes(table(spark, sf, "documents"), "doc_id", "text", votes)
+    return out.select("doc_id", F.col("scores")["legal"].alias("legal"), F.col("scores")["secret"].alias("secret"), F.size("hits").alias("hits"))
+
+
 @query("cls4_mentions", "SELECT DISTINCT doc_id, CASE lower(m) WHEN 'mit license' THEN 'mit' ELSE 'apache' END AS name FROM (SELECT doc_id, unnest(regexp_extract_all(text, '(?i)\\b(?:mit license|apache license|apache)\\b')) AS m FROM documents)")
 def mentions(spark, sf):
     return M.mentions(table(spark, sf, "documents"), "doc_id", "text", {"mit license": "mit", "apache license": "apache", "apache": "apache"})

@@ -133,3 +133,10 @@ def test_bind_actions(spark):
         "B6": failed("x __u__ __v__", "unsafe value for v"),
     }
     assert M.bind_actions(actions.limit(0), params, entities, {}).count() == 0
+
+
+def test_grouped_votes(spark):
+    votes = [("scan", 4, "tool", ["semgrep", "static scan"]), ("scan", 2, "tool", ["scan"]), ("scan", 1, "what", ["CVE"]), ("review", 3, "ask", ["code review", "PR"])]
+    texts = [(1, "Run a static  scan with semgrep for the CVE list"), (2, "do not scan, code\nreview please"), (3, "don't scan but then scan again"), (4, "prices and cves"), (5, None), (6, "PR"), (7, "Instead of   semgrep: (pr)")]
+    got = {r.id: (r.scores["scan"], r.scores["review"], r.hits) for r in M.grouped_votes(spark.createDataFrame(texts, "id int, t string"), "id", "t", votes).collect()}
+    assert got == {1: (5, 0, ["scan:semgrep", "scan:static scan", "scan:scan", "scan:CVE"]), 2: (0, 3, ["review:code review"]), 3: (2, 0, ["scan:scan"]), 4: (0, 0, []), 5: (0, 0, []), 6: (0, 3, ["review:PR"]), 7: (0, 3, ["review:PR"])}
