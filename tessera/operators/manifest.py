@@ -242,16 +242,20 @@ def base_revision(candidates: DataFrame, repo: str, order: str, revision: str, h
     return candidates.where(F.col(revision).isNotNull() & (F.col(revision) != F.col(head))).groupBy(repo).agg(F.min_by(revision, order).alias(revision))
 
 
-def classify(df: DataFrame, key: str, text: str, votes: list[tuple[str, int, str]], close: int = 1) -> DataFrame:
-    """(key, label, score, outcome): weighted pattern votes per label, the best by score then name.
+def classify(df: DataFrame, key: str, text: str, votes: list[tuple[str, int, str]], close: int = 1, negations: str = "not|no|never|cannot|can't|don't|without") -> DataFrame:
+    """(key, label, score, outcome) of every row: weighted pattern votes per label, the best by score then name.
 
     none where nothing votes, conflict where the next is within ``close``, else clear.  A vote
-    preceded by a negation word within eight characters does not count.
+    preceded by a negation word within eight characters does not count; without ``negations``
+    every vote counts.  Narrow: one expression a row, so equal keys stay rows of their own.
     """
     low = F.lower(F.coalesce(text, F.lit("")))
-    made = F.array(*(F.struct(F.lit(label).alias("label"), F.when(low.rlike(f"(?<!\\b(?:not|no|never|cannot|can't|don't|without) .{{0,8}})(?:{p})"), w).otherwise(0).alias("score")) for label, w, p in votes))
-    rows = df.select(key, F.explode(made).alias("v")).groupBy(key, "v.label").agg(F.sum("v.score").alias("score"))
-    ranked = rows.groupBy(key).agg(F.array_sort(F.collect_list(F.struct((-F.col("score")).alias("s"), "label"))).alias("r"))
+    before = f"(?<!\\b(?:{negations}) .{{0,8}})" if negations else ""
+    scores = {}
+    for label, w, p in votes:
+        scores[label] = scores.get(label, F.lit(0)) + F.when(low.rlike(f"{before}(?:{p})"), w).otherwise(0)
+    made = F.array(*(F.struct((-s).cast("long").alias("s"), F.lit(label).alias("label")) for label, s in scores.items()))
+    ranked = df.select(key, F.array_sort(made).alias("r"))
     first, second = F.col("r")[0], F.try_element_at("r", F.lit(2))
     outcome = F.when(first["s"] == 0, "none").when(second.isNotNull() & (second["s"] < 0) & (second["s"] - first["s"] <= close), "conflict").otherwise("clear")
     return ranked.select(key, F.when(first["s"] < 0, first["label"]).alias("label"), (-first["s"]).alias("score"), outcome.alias("outcome"))

@@ -140,3 +140,14 @@ def test_grouped_votes(spark):
     texts = [(1, "Run a static  scan with semgrep for the CVE list"), (2, "do not scan, code\nreview please"), (3, "don't scan but then scan again"), (4, "prices and cves"), (5, None), (6, "PR"), (7, "Instead of   semgrep: (pr)")]
     got = {r.id: (r.scores["scan"], r.scores["review"], r.hits) for r in M.grouped_votes(spark.createDataFrame(texts, "id int, t string"), "id", "t", votes).collect()}
     assert got == {1: (5, 0, ["scan:semgrep", "scan:static scan", "scan:scan", "scan:CVE"]), 2: (0, 3, ["review:code review"]), 3: (2, 0, ["scan:scan"]), 4: (0, 0, []), 5: (0, 0, []), 6: (0, 3, ["review:PR"]), 7: (0, 3, ["review:PR"])}
+
+
+def test_votes_without_negations_and_equal_keys(spark):
+    """Without negation words every vote counts; rows of one key stay apart."""
+    from tessera.operators import manifest
+
+    rows = spark.createDataFrame([(1, "not the one"), (1, "las"), (None, None)], "k long, t string")
+    votes = [("en", 3, "the|and"), ("es", 1, "el|las")]
+    told = lambda **how: sorted((str(r.k), str(r.label), r.score) for r in manifest.classify(rows, "k", "t", votes, **how).collect())
+    assert told(negations="") == [("1", "en", 3), ("1", "es", 1), ("None", "None", 0)]
+    assert told() == [("1", "None", 0), ("1", "es", 1), ("None", "None", 0)]
