@@ -193,6 +193,7 @@ def merge_candidates(baseline: DataFrame, candidates: DataFrame, ledger: DataFra
     baseline or of a candidate accepted before) and occupied_line (its line has a baseline card
     without a rule).  Candidates are decided in rounds: one that is first at all its keys is in,
     those that share a key with it are out, and what only met candidates that are out is open again.
+    One on an occupied line is never in, and has same_key if one accepted before it has a key of its own.
     """
     checkpoint_dir(candidates.sparkSession)
     old, c = _cards(baseline), _cards(candidates)
@@ -229,7 +230,11 @@ def merge_candidates(baseline: DataFrame, candidates: DataFrame, ledger: DataFra
     else:
         raise RuntimeError("candidates did not settle")
     if out is not None:
-        c = c.join(out.withColumn("__out", F.lit("same_key")), "pos", "left").withColumn("reason", F.coalesce("reason", "__out"))
+        c = c.join(out.withColumn("__out", F.lit("same_key")), "pos", "left").withColumn("reason", F.coalesce("reason", "__out")).drop("__out")
+    claims = c.where("__rule IS NOT NULL AND (reason IS NULL OR reason = 'occupied_line')").select("pos", "reason", "__path", F.explode("__lines").alias("__line"), "__rule")
+    first = F.min(F.when(F.col("reason").isNull(), F.col("pos"))).over(Window.partitionBy("__path", "__line", "__rule"))
+    later = claims.withColumn("__first", first).where("reason IS NOT NULL AND __first < pos").select("pos").distinct()
+    c = c.join(later.withColumn("__late", F.lit("same_key")), "pos", "left").withColumn("reason", F.coalesce("__late", "reason"))
     return c.select(*candidates.columns, "reason")
 
 
