@@ -150,9 +150,10 @@ def json_in_prose(c: Column) -> Column:
 
 def clip(c: Column, most: int) -> Column:
     """At most ``most`` characters, never cutting inside an identifier, with an ellipsis when cut."""
-    cut = F.regexp_replace(F.substring(c, 1, most), "[A-Za-z0-9_]+$", "")
+    # \z and not $, which also stands before a newline at the end
+    cut = F.regexp_replace(F.substring(c, 1, most), r"[A-Za-z0-9_]+\z", "")
     whole = F.substring(c, 1, most)
-    inside = F.substring(c, most + 1, 1).rlike("[A-Za-z0-9_]") & whole.rlike("[A-Za-z0-9_]$")
+    inside = F.substring(c, most + 1, 1).rlike("[A-Za-z0-9_]") & whole.rlike(r"[A-Za-z0-9_]\z")
     return F.when(F.length(c) <= most, c).otherwise(F.concat(F.rtrim(F.when(inside & (F.length(cut) > 0), cut).otherwise(whole)), F.lit("…")))
 
 

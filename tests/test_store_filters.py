@@ -72,3 +72,13 @@ def test_change_flags(spark):
     assert D.change_flags(df.limit(0), "p", "t", "changed", "go").first().asDict() == {"direct": None, "lock_lines": None, "ecosystems": [], "many_direct": False, "long_lock": False, "mismatch": False}
     got = {(r.package, r.version, r.scope, r.problem) for r in D.floating(D.declared(df.where("p = 'app/build.gradle'"), "p", "t")).collect()}
     assert got == {("a.b:c", "1.+", "run", "floating"), ("d:e", "2", "dev", None), ("f:g", None, "run", "unpinned")}
+
+
+def test_clip_at_a_newline(spark):
+    """A newline before the cut ends no identifier, so what stands before it stays."""
+    from pyspark.sql import functions as F
+
+    from tessera.functions import scalars
+
+    rows = spark.createDataFrame([("ab cd\nef",), ("ab cdef gh",)], "t string")
+    assert [r.c for r in rows.select(scalars.clip(F.col("t"), 6).alias("c")).collect()] == ["ab cd\n…", "ab…"]
