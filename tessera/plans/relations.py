@@ -194,7 +194,7 @@ SELECT l_orderkey, l_linenumber, l_returnflag, source, l_partkey, merged FROM (S
 def band_merge(spark, sf):
     source = F.when(F.col("l_linestatus") == "O", "sast_only").otherwise("llm_judged")
     l = table(spark, sf, "lineitem").select("l_orderkey", "l_linenumber", "l_returnflag", source.alias("source"), "l_partkey")
-    return W.proximity_fold(l, ["l_orderkey"], "l_linenumber", "l_returnflag", "source", ["l_partkey"], 1)
+    return W.proximity_fold(l, ["l_orderkey"], "l_linenumber", "l_returnflag", "source", ["l_partkey", "l_returnflag", "source"], 1)
 
 
 @query("win2_shard_chunks", """

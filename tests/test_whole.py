@@ -98,3 +98,12 @@ def test_flatten_deep(spark):
     assert {tuple(r) for r in S.flatten_json(df, ["k"], "j").collect()} == {(1, "a.b.c.d.e[0]", "7"), (1, "a.b.c.d.e[1].f", "x"), (1, "s", "{no json")}
     with pytest.raises(RuntimeError):
         S.flatten_json(df, ["k"], "j", 3)
+
+
+def test_band_merge_settles_ties(spark, tmp_path):
+    """Items of one line and part go by flag, then by source."""
+    rows = [(1, 3, 7, "R", "F"), (1, 3, 7, "N", "F"), (1, 3, 7, "R", "O"), (1, 2, 9, "R", "F")]
+    for order in (rows, rows[::-1], rows[1:] + rows[:1]):
+        spark.createDataFrame(order, "l_orderkey long, l_linenumber int, l_partkey long, l_returnflag string, l_linestatus string").coalesce(1).write.mode("overwrite").parquet(str(tmp_path / "lineitem.parquet"))
+        got = sorted((r.l_linenumber, r.l_returnflag, r.source, r.merged) for r in plans.QUERIES["win1_band_merge"](spark, str(tmp_path)).collect())
+        assert got == [(2, "R", "llm_judged", 0), (3, "N", "llm_judged", 0), (3, "R", "sast_only", 1)]
