@@ -36,10 +36,10 @@ def connected_components(edges: DataFrame, a: str = "a", b: str = "b", max_round
     e = edges.select(F.greatest(a, b).alias("u"), F.least(a, b).alias("v")).where(F.col(a).isNotNull() & F.col(b).isNotNull() & (F.col(a) != F.col(b))).distinct().checkpoint()
     before = None
     for _ in range(max_rounds):
-        now = e.agg(F.count(F.lit(1)), F.sum(F.pmod(F.xxhash64("u", "v"), F.lit(1 << 40)))).first()
-        if now[0] == 0 or tuple(now) == before:
+        now = _mark(e)
+        if now[0] == 0 or now == before:
             break
-        before = tuple(now)
+        before = now
         both = e.select(F.col("u").alias("n"), F.col("v").alias("o")).unionAll(e.select(F.col("v").alias("n"), F.col("u").alias("o")))
         least = both.groupBy("n").agg(F.least(F.min("o"), F.col("n")).alias("m"))
         large = both.where("o > n").join(least, "n").select(F.col("o").alias("u"), F.col("m").alias("v")).where("u <> v").distinct()
@@ -51,6 +51,11 @@ def connected_components(edges: DataFrame, a: str = "a", b: str = "b", max_round
     return e.select(F.col("u").alias("node"), F.col("v").alias("component")).unionAll(e.select(F.col("v").alias("node"), F.col("v").alias("component")).distinct())
 
 
+def _mark(e: DataFrame) -> tuple:
+    """The number of the distinct rows (u, v) and a hash of them all; a sum of hashes would overflow past some 10^7 rows."""
+    return tuple(e.agg(F.count(F.lit(1)), F.bit_xor(F.xxhash64("u", "v"))).first())
+
+
 def node_edges(edges: DataFrame, node, a: str, b: str, direction: str = "both") -> DataFrame:
     """Edges of a node: in, out or both."""
     out, into = F.col(a) == node, F.col(b) == node

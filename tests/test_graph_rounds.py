@@ -50,3 +50,9 @@ def test_rescan_goes_only_through_what_is_open(spark):
     e = spark.createDataFrame([("a", "b"), ("b", "c"), ("c", "d"), ("b", "e"), ("e", "x"), ("e", "b")], "f string, t string")
     seeds = spark.createDataFrame([("a",)], "id string")
     assert sorted(r.id for r in G.rescan(seeds, n, e, "id", "s", "f", "t").collect()) == ["a", "b", "e"]
+
+
+def test_mark_of_thirty_million_edges(spark):
+    """A sum of 40-bit hashes leaves the range of a long here."""
+    e = spark.range(1 << 25).selectExpr("id AS u", "id + 1 AS v")
+    assert G._mark(e)[0] == 1 << 25 and G._mark(e) != G._mark(e.where("u <> 5"))
