@@ -159,9 +159,11 @@ def linked_parts(groups: DataFrame, sets: DataFrame, percent: int, folder: str)
         rows = dealt.join(sets.select("sid", "members"), "sid").select("key", "block", "sid", "root", F.lit(-1).alias("side"), "members")
         links.append(P.saved(_compared(rows, ["key", "block"], percent), f"{folder}/links-{turn}"))
         large = sizes.where("blocks > 1").select("key", "sets")
-        if large.isEmpty():
-            return _parts(links, f"{folder}/parts-{turn}")
         parts = _parts(links, f"{folder}/parts-{turn}")
+        if large.isEmpty():
+            if turn == 0:
+                return parts
+            break  # only the sets that stand for their parts were compared: the others still meet in the sweep
         left = P.saved(live.join(large, "key").join(parts.withColumnRenamed("node", "sid"), "sid", "left").where("component IS NULL OR component = sid").select("key", "sid", "n", "root", "sets"), f"{folder}/left-{turn}")
         shrunk = left.groupBy("key").agg(F.count(F.lit(1)).alias("now"), F.max("sets").alias("sets")).where("3 * now <= 2 * sets").select("key")
         live, turn = P.saved(left.join(shrunk, "key", "left_semi").drop("sets"), f"{folder}/live-{turn}"), turn + 1

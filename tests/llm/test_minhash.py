@@ -137,3 +137,13 @@ def test_rows_of_odd_tables(spark):
     df = spark.createDataFrame(rows, "doc_id long, text string, n int, sid string")
     assert sorted(map(str, map(tuple, minhash.near_duplicates(df).collect()))) == sorted(map(str, [(1, 2, 1, True), (1, 2, 1, True), (1, 1, 1, True), (None, 2, 1, False)]))
     assert minhash.near_duplicates(df.limit(0)).collect() == []
+
+
+def test_links_of_sets_that_others_stood_for(spark, monkeypatch, tmp_path):
+    """A chain whose parts are soon few enough for one block: its links lie between sets that do not stand for their parts."""
+    monkeypatch.setattr(shingles, "BLOCK", 16)
+    members = [(i, 10, np.arange(i, i + 10, dtype="<u8").tobytes()) for i in range(1, 25)]
+    sets = spark.createDataFrame(members, "sid long, n long, members binary")
+    groups = spark.createDataFrame([(1, sid) for sid, _, _ in members], "key long, sid long")
+    got = shingles.linked_parts(groups, sets, 80, str(tmp_path)).collect()
+    assert sorted((r.node, r.component) for r in got) == [(i, 1) for i in range(1, 25)]
