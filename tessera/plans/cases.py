@@ -38,8 +38,17 @@ def _rows(df: DataFrame, names: str, *rows) -> DataFrame:
     return df.withColumn("__r", F.explode(made)).select(*df.columns, "__r.*")
 
 
+def _spread(df: DataFrame, key: str) -> DataFrame:
+    """df dealt over all tasks by a key: its rows are small and few files hold them, but each is made into texts."""
+    return df.repartition(int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")), key)
+
+
 def _part(spark, sf) -> DataFrame:
-    return table(spark, sf, "part").select("p_partkey", "p_size")
+    return _spread(table(spark, sf, "part").select("p_partkey", "p_size"), "p_partkey")
+
+
+def _supplier(spark, sf) -> DataFrame:
+    return _spread(table(spark, sf, "supplier").select("s_suppkey"), "s_suppkey")
 
 
 # ------------------------------------------------------------------ sources
@@ -219,7 +228,7 @@ _STATEMENTS = [("select * from t$", True), ("WITH a AS (SELECT 1) SELECT * FROM
 
 @query("flt12_read_only", "SELECT s_suppkey, n::INT AS n, fine FROM supplier, (VALUES " + ", ".join(f"({i}, {fine})" for i, (_, fine) in enumerate(_STATEMENTS)) + ") v(n, fine)")
 def read_only(spark, sf):
-    rows = _rows(table(spark, sf, "supplier").select("s_suppkey"), "n int, t string", *((i, t) for i, (t, _) in enumerate(_STATEMENTS)))
+    rows = _rows(_supplier(spark, sf), "n int, t string", *((i, t) for i, (t, _) in enumerate(_STATEMENTS)))
     return rows.select("s_suppkey", "n", R.read_only(F.replace("t", F.lit("$"), F.col("s_suppkey").cast("string"))).alias("fine"))
 
 
@@ -317,7 +326,7 @@ def near_misses(spark, sf):
 def _snippets(spark, sf, cases: dict[str, tuple[str, str]]) -> DataFrame:
     """Two files for each rule kind below every supplier's folder: one that hits, one that does not."""
     named = [(k, side, f"src/{k}/{side}/package.json" if k == "floating_version" else f"src/{k}/{side}.java", code) for k, pair in cases.items() for side, code in zip(("hit", "clean"), pair, strict=True)]
-    rows = _rows(table(spark, sf, "supplier").select("s_suppkey"), "kind string, side string, file string, code string", *named)
+    rows = _rows(_supplier(spark, sf), "kind string, side string, file string, code string", *named)
     return rows.withColumn("path", F.concat_ws("/", "s_suppkey", "file"))
 
 
@@ -360,7 +369,7 @@ _MIXED = ", ".join(f"('{path}', {n}, '{kind}', {n in fixed})" for path, (_, hits
 @query("scn10_mixed_files", f"SELECT s_suppkey, file, n::INT AS line_no, kind FROM supplier, (VALUES {_MIXED}) v(file, n, kind, by_number) WHERE NOT by_number OR s_suppkey % 3 = 0")
 def mixed_files(spark, sf):
     """Whole files in Java, Python, Go and TypeScript, with a constant from the row: every hit of all rules and no other."""
-    files = _rows(table(spark, sf, "supplier").select("s_suppkey"), "file string, code string", *((f, c[0]) for f, c in snippets.MIXED.items()))
+    files = _rows(_supplier(spark, sf), "file string, code string", *((f, c[0]) for f, c in snippets.MIXED.items()))
     number = F.when(F.col("s_suppkey") % 3 == 0, "0").otherwise(F.col("s_suppkey").cast("string"))
     # each supplier's files are a tree of their own: owners are told apart by it
     own = files.select(_text("$s_suppkey", "/", "$file").alias("path"), F.replace(F.replace(F.replace("code", F.lit("@"), number), F.lit("Client"), _text("Client", "$s_suppkey")), F.lit("class Client"), _text("class Client")).alias("code"))
@@ -529,7 +538,7 @@ _SUSPECTS = [("opaque_status_candidate", 's == "F"', "enum A", "skip"), ("opaque
 
 
 def _suspects(spark, sf):
-    rows = _rows(table(spark, sf, "supplier").select("s_suppkey"), "n int, kind string, l string, w string", *((i, *s[:3]) for i, s in enumerate(_SUSPECTS)))
+    rows = _rows(_supplier(spark, sf), "n int, kind string, l string, w string", *((i, *s[:3]) for i, s in enumerate(_SUSPECTS)))
     return K.suspect_decision(rows.withColumn("t", F.col("s_suppkey") % 10 == 0), "l", "w", "t")
 
 
@@ -860,7 +869,7 @@ _NAMES = [("getX", "waived"), ("_p", "waived"), ("work", "shown"), ("__init__",
 
 @query("sea6_test_gap", "SELECT s_suppkey, name, bucket FROM supplier, (VALUES " + ", ".join(f"('{n}', '{b}')" for n, b in _NAMES) + ") v(name, bucket)")
 def test_gap(spark, sf):
-    return K.test_gap_split(_rows(table(spark, sf, "supplier").select("s_suppkey"), "name string", *((n,) for n, _ in _NAMES)), "name")
+    return K.test_gap_split(_rows(_supplier(spark, sf), "name string", *((n,) for n, _ in _NAMES)), "name")
 
 
 @query("sea7_fill_shapes", """
@@ -895,7 +904,7 @@ _TEMPLATES = [("call __u__", True), ("go ${a.b}", True), ("see {{ x }}", True),
 
 @query("ext2_residual", "SELECT s_suppkey, n::INT AS n, r AS residual FROM supplier, (VALUES " + ", ".join(f"({i}, {r})" for i, (_, r) in enumerate(_TEMPLATES)) + ") v(n, r)")
 def residual(spark, sf):
-    rows = _rows(table(spark, sf, "supplier").select("s_suppkey"), "n int, t string", *((i, t) for i, (t, _) in enumerate(_TEMPLATES)))
+    rows = _rows(_supplier(spark, sf), "n int, t string", *((i, t) for i, (t, _) in enumerate(_TEMPLATES)))
     return rows.select("s_suppkey", "n", M.residual(F.col("t")).alias("residual"))
 
 
