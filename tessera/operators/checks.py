@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from ..functions import scalars as S
 from . import joins as J
+from .containment import holding
 
 
 def coalesce_shapes(df: DataFrame, paths: dict[str, list[str]], payload: str, keys: list[str]) -> DataFrame:
@@ -265,11 +266,19 @@ def preclose(rows: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame]:
 
 
 def service_lookup(requests: DataFrame, services: DataFrame, key: str = "name", hint: str = "hint") -> DataFrame:
-    """(name, service): exact key first, then containment; ties by hint text, then name."""
+    """(name, service): exact key first, then containment; ties by hint text, then name.
+
+    Names that are a service's own meet it by a join on the name; only the others are looked for
+    inside services, by an automaton, so no name meets every service.
+    """
     s = services.select(F.col("service"), F.col("description"))
-    ranked = requests.crossJoin(F.broadcast(s)).where((F.col("service") == F.col(key)) | F.contains("service", F.col(key)))  # a service catalogue is a small bundled list
-    order = F.struct((F.col("service") != F.col(key)).alias("x"), (~F.contains(F.lower("description"), F.lower(F.coalesce(hint, F.lit(""))))).alias("h"), "service")
-    return ranked.groupBy(key).agg(F.min_by("service", order).alias("service"))
+    own = s.select(F.col("service").alias(key)).distinct().hint("merge")
+    exact = requests.select(key).distinct().join(own, key, "left_semi").select(key, F.col(key).alias("service"))
+    others = requests.select(key, F.col(hint).alias("__hint")).where(F.col(key).isNotNull()).distinct().join(own, key, "left_anti")
+    inside = holding(s.select("service").distinct(), "service", "service", others, key)
+    ranked = inside.join(others.hint("merge"), key).join(s.hint("merge"), "service")
+    order = F.struct((~F.contains(F.lower("description"), F.lower(F.coalesce("__hint", F.lit(""))))).alias("h"), "service")
+    return exact.unionByName(ranked.groupBy(key).agg(F.min_by("service", order).alias("service")))
 
 
 def references(df: DataFrame, key: str, text: str) -> DataFrame:

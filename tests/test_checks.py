@@ -121,3 +121,13 @@ def test_near_misses_of_hot_neighbours(spark):
     for hot in (0, 6, 20, 1000):
         assert sorted((r.t, r.near, r.shared) for r in K.near_misses(types, "t", "up", "down", hot=hot).collect()) == sorted(want)
     assert K.near_misses(types.limit(0), "t", "up", "down").count() == 0
+
+
+def test_lookup_meets_no_service_by_pairs(spark):
+    """Exact names, several hints of one name, services described twice, and no cross product in the plan."""
+    svc = spark.createDataFrame([("pay-a", "x"), ("pay-b", "card"), ("pay-b", "other"), ("user", None)], "service string, description string")
+    req = spark.createDataFrame([("pay", "Card"), ("user", None), ("pay-a", "card"), ("use", None), ("none", None), (None, "x"), ("a", None), ("a", "card")], "name string, hint string")
+    made = K.service_lookup(req, svc)
+    assert {r.name: r.service for r in made.collect()} == {"pay": "pay-b", "user": "user", "pay-a": "pay-a", "use": "user", "a": "pay-a"}
+    plan = made._jdf.queryExecution().executedPlan().toString()
+    assert "CartesianProduct" not in plan and "NestedLoop" not in plan
