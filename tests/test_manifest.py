@@ -151,3 +151,13 @@ def test_votes_without_negations_and_equal_keys(spark):
     told = lambda **how: sorted((str(r.k), str(r.label), r.score) for r in manifest.classify(rows, "k", "t", votes, **how).collect())
     assert told(negations="") == [("1", "en", 3), ("1", "es", 1), ("None", "None", 0)]
     assert told() == [("1", "None", 0), ("1", "es", 1), ("None", "None", 0)]
+
+
+def test_votes_search_plainly_before_they_look_behind(spark):
+    """The look-behind is tried only on texts that hold the phrase's first word, in any case."""
+    from tessera.operators import manifest
+
+    rows = spark.createDataFrame([(1, "x LICENSED\nunder y"), (2, "not licensed under"), (3, "Kİ License"), (4, None)], "k long, t string")
+    out = manifest.grouped_votes(rows, "k", "t", [("legal", 4, "l", ["licensed under"]), ("legal", 2, "l", ["license"])])
+    assert {r.k: r.scores["legal"] for r in out.collect()} == {1: 4, 2: 0, 3: 2, 4: 0}
+    assert "Contains(" in out._jdf.queryExecution().optimizedPlan().toString()
