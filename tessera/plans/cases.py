@@ -23,7 +23,7 @@ from ..operators import windows as W
 from ..sources import readers as R
 from ..sources import store
 from . import snippets
-from .registry import query, table
+from .registry import query, spread, table
 
 
 def _text(*parts) -> Column:
@@ -38,17 +38,12 @@ def _rows(df: DataFrame, names: str, *rows) -> DataFrame:
     return df.withColumn("__r", F.explode(made)).select(*df.columns, "__r.*")
 
 
-def _spread(df: DataFrame, key: str) -> DataFrame:
-    """df dealt over all tasks by a key: its rows are small and few files hold them, but each is made into texts."""
-    return df.repartition(int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")), key)
-
-
 def _part(spark, sf) -> DataFrame:
-    return _spread(table(spark, sf, "part").select("p_partkey", "p_size"), "p_partkey")
+    return spread(table(spark, sf, "part").select("p_partkey", "p_size"), "p_partkey")
 
 
 def _supplier(spark, sf) -> DataFrame:
-    return _spread(table(spark, sf, "supplier").select("s_suppkey"), "s_suppkey")
+    return spread(table(spark, sf, "supplier").select("s_suppkey"), "s_suppkey")
 
 
 # ------------------------------------------------------------------ sources

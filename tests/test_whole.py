@@ -6,7 +6,7 @@ from tessera import plans
 from tessera.functions import scalars as S
 from tessera.operators import graph as G
 from tessera.operators import containment
-from tessera.plans import scalars
+from tessera.plans import pipelines, scalars
 
 
 def save(spark, folder, name, rows, schema):
@@ -107,3 +107,9 @@ def test_band_merge_settles_ties(spark, tmp_path):
         spark.createDataFrame(order, "l_orderkey long, l_linenumber int, l_partkey long, l_returnflag string, l_linestatus string").coalesce(1).write.mode("overwrite").parquet(str(tmp_path / "lineitem.parquet"))
         got = sorted((r.l_linenumber, r.l_returnflag, r.source, r.merged) for r in plans.QUERIES["win1_band_merge"](spark, str(tmp_path)).collect())
         assert got == [(2, "R", "llm_judged", 0), (3, "N", "llm_judged", 0), (3, "R", "sast_only", 1)]
+
+
+def test_code_of_a_small_table_is_read_by_all_tasks(spark, sf):
+    made = pipelines._code(spark, sf)
+    assert made.rdd.getNumPartitions() == int(spark.conf.get("spark.sql.shuffle.partitions"))
+    assert made.select("key").distinct().count() == spark.read.parquet(f"{sf}/part.parquet").count()
