@@ -71,6 +71,42 @@ def holding(texts: DataFrame, key: str, text: str, patterns: DataFrame, pattern:
     return spark.createDataFrame([], schema) if out is None else out
 
 
-def holds_any(texts: DataFrame, key: str, text: str, patterns: DataFrame, pattern: str) -> DataFrame:
-    """The keys of texts that hold at least one pattern."""
-    return holding(texts, key, text, patterns, pattern).select(key).distinct()
+#: Patterns that may share a word and still be looked for by it.
+SHARED = 16
+
+#: Words, and those with another character on both sides.
+_WORD = "[A-Za-z0-9]+"
+_INNER = f"(?<=[^A-Za-z0-9]){_WORD}(?=[^A-Za-z0-9])"
+
+
+def holds_any(texts: DataFrame, key: str, text: str, patterns: DataFrame, pattern: str, block: int | None = None) -> DataFrame:
+    """The keys of texts that hold at least one pattern.
+
+    Patterns of one block are sought by ``holding``.  More would scan every text once a block, so
+    they meet the texts by joins: a word inside a pattern is a whole word of each text that holds
+    it, so a pattern goes by its longest one.  Those without, or whose word more than SHARED
+    patterns have, meet the pieces of the texts that are as long as they are.  Work grows with the
+    texts and the patterns, not with their product; such texts should be short, as paths are.
+    """
+    checkpoint_dir(texts.sparkSession)
+    block = block or BLOCK
+    chars = lambda df: df.agg(F.sum(F.length("p"))).first()[0] or 0
+    distinct = patterns.select(F.col(pattern).cast("string").alias("p")).where("p is not null").distinct().checkpoint()
+    if chars(distinct) <= block:
+        return holding(texts, key, text, distinct, "p", block).select(key).distinct()
+    scan = texts.select(F.col(key).alias(key), F.col(text).cast("string").alias("t")).where("t is not null")
+    inner = F.transform(F.regexp_extract_all("p", F.lit(_INNER), 0), lambda w: F.struct(F.length(w).alias("n"), w.alias("w")))
+    worded = distinct.withColumn("w", F.array_max(inner)["w"])
+    few = worded.where("w is not null").groupBy("w").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") <= SHARED).select("w")
+    words = scan.withColumn("w", F.explode(F.array_distinct(F.regexp_extract_all("t", F.lit(_WORD), 0))))
+    # the side of the patterns is built, so that a word of very many texts is streamed and not sorted
+    out = words.join(worded.join(few, "w").hint("shuffle_hash"), "w").where(F.contains("t", "p")).select(key)
+    rest = worded.join(few, "w", "left_anti").select("p").checkpoint()
+    if chars(rest) <= block:
+        out = out.unionAll(holding(texts, key, text, rest, "p", block).select(key))
+    else:
+        sizes = F.array(*(F.lit(r.n) for r in rest.select(F.length("p").alias("n")).distinct().collect()))
+        fitting = F.filter(sizes, lambda n: n <= F.length("t"))
+        pieces = F.flatten(F.transform(fitting, lambda n: F.transform(F.sequence(F.lit(1), F.length("t") - n + 1), lambda i: F.substring(F.col("t"), i, n))))
+        out = out.unionAll(scan.select(key, F.explode(F.array_distinct(pieces)).alias("p")).join(rest.hint("shuffle_hash"), "p", "left_semi").select(key))
+    return out.distinct()

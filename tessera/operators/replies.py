@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .containment import holds_any
+from .graph import checkpoint_dir
 
 COLUMNS = ["file", "line", "title", "category", "severity", "evidence", "suggestion", "confidence", "source", "adapter", "rule_id", "ambiguous"]
 
@@ -213,12 +214,19 @@ def of_files(findings: DataFrame, files: DataFrame, path: str = "path", inside:
     listed = files.select(F.col(path).alias("__p")).where("__p is not null").distinct()
     if listed.isEmpty():
         return findings
-    found = findings.where("file <> ''").select("file").distinct().withColumn("__n", norm)
+    checkpoint_dir(findings.sparkSession)
+    found = findings.where("file <> ''").select("file").distinct().checkpoint().withColumn("__n", norm)  # read by each way to match
     base = lambda c: F.element_at(F.split(c, "/"), -1)
     ends = found.withColumn("__b", base(F.col("__n"))).join(listed.withColumn("__b", base(F.col("__p"))), "__b").where(F.endswith("__n", "__p") | F.endswith("__p", "__n")).select("file")
     if inside:
         ends = ends.unionAll(holds_any(found, "file", "__n", listed, "__p").select("file"))
-    return findings.join(ends.distinct(), "file", "left_semi").unionByName(findings.where("file = '' OR file IS NULL"))
+    # findings are read once; those without a file are dealt by what else they say, as they may be most
+    plain = [c for c, t in findings.dtypes if not t.startswith(("array", "map", "struct", "variant"))]
+    nameless = F.coalesce("file", F.lit("")) == ""
+    kept = ends.select("file", F.lit(-1).cast("long").alias("__s")).unionAll(files.sparkSession.range(64).select(F.lit("").alias("file"), F.col("id")))
+    kept = kept.select(F.col("file").alias("__f"), F.col("__s")).distinct().hint("shuffle_hash")
+    mine = findings.withColumns({"__f": F.coalesce("file", F.lit("")), "__s": F.when(nameless, F.pmod(F.xxhash64(*plain), F.lit(64))).otherwise(-1)})
+    return mine.join(kept, ["__f", "__s"], "left_semi").select(*findings.columns)
 
 
 def packs(runs: DataFrame, payload: str = "reply", status: str = "status", pack: str = "pack") -> tuple[DataFrame, DataFrame]:
