@@ -69,13 +69,19 @@ def reach(edges: DataFrame, roots: DataFrame, a: str, b: str, depth: int | None
     and the loop ends early when no node is new.  Without a depth it ends only then, or raises
     after ``max_rounds``.
     """
+    front = roots.select(F.col(roots.columns[0]).alias("root")).distinct().select("root", F.col("root").alias("node"))
+    return _layers(front, edges, a, b, ["root", "node"], depth, max_rounds)
+
+
+def _layers(front: DataFrame, edges: DataFrame, a: str, b: str, keys: list[str], depth: int | None, max_rounds: int = 10_000) -> DataFrame:
+    """(*keys, hops): the rows of ``front`` and those that their ``node`` leads to along a -> b."""
     checkpoint_dir(edges.sparkSession)
-    e = edges.select(F.col(a).alias("__a"), F.col(b).alias("__b")).distinct()
-    front = roots.select(F.col(roots.columns[0]).alias("root")).distinct().select("root", F.col("root").alias("node"), F.lit(0).alias("hops")).checkpoint()
+    e = edges.select(F.col(a).alias("__a"), F.col(b).alias("__b")).distinct().checkpoint()  # read in every layer
+    front = front.select(*keys, F.lit(0).alias("hops")).checkpoint()
     layers = [front]
     for k in range(1, (max_rounds if depth is None else depth) + 1):
-        seen = reduce(DataFrame.unionAll, layers).select("root", "node")
-        front = front.join(e, front.node == e["__a"]).select("root", F.col("__b").alias("node")).distinct().join(seen, ["root", "node"], "left_anti").select("root", "node", F.lit(k).alias("hops")).checkpoint()
+        seen = reduce(DataFrame.unionAll, layers).select(*keys)
+        front = front.join(e, front.node == e["__a"]).select(*(F.col("__b").alias("node") if c == "node" else F.col(c) for c in keys)).distinct().join(seen, keys, "left_anti").select(*keys, F.lit(k).alias("hops")).checkpoint()
         if front.isEmpty():
             break
         layers.append(front)
@@ -194,7 +200,8 @@ def rescan(seeds: DataFrame, entities: DataFrame, edges: DataFrame, node: str, s
     """
     open_ = entities.where(F.col(status).isNull() | F.col(status).isin(*open_states)).select(F.col(node).alias(b)).distinct()
     ways = edges.join(open_, b, "left_semi").join(entities.select(F.col(node).alias(a)).distinct(), a, "left_semi")
-    return reach(ways, seeds.select(node), a, b, None).select(F.col("node").alias(node)).distinct()
+    # which seed leads to a node is not asked, so a node is met once, whatever the number of seeds before it
+    return _layers(seeds.select(F.col(node).alias("node")).distinct(), ways, a, b, ["node"], None).select(F.col("node").alias(node))
 
 
 def cross_module(edges: DataFrame, modules: DataFrame, a: str, b: str, node: str, module: str) -> DataFrame:

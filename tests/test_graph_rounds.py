@@ -56,3 +56,26 @@ def test_mark_of_thirty_million_edges(spark):
     """A sum of 40-bit hashes leaves the range of a long here."""
     e = spark.range(1 << 25).selectExpr("id AS u", "id + 1 AS v")
     assert G._mark(e)[0] == 1 << 25 and G._mark(e) != G._mark(e.where("u <> 5"))
+
+
+def test_rescan_meets_a_node_once_for_all_seeds(spark):
+    """Not once a seed that leads to it: the seeds' rows met in the layers are as many as the nodes."""
+    n = spark.range(1, 41).selectExpr("id AS x", "'failed' AS s")
+    e = spark.range(1, 41).selectExpr("id AS a", "id % 40 + 1 AS b")
+    met = G._layers(n.where("x % 2 = 1").selectExpr("x AS node"), e, "a", "b", ["node"], None)
+    assert met.count() == 40 and met.columns == ["node", "hops"]
+    assert sorted(r.x for r in G.rescan(n.where("x % 2 = 1"), n, e, "x", "s", "a", "b").collect()) == list(range(1, 41))
+
+
+def test_edges_are_worked_out_once(spark, monkeypatch):
+    """Not in every layer: they may come from a long plan."""
+    seen = spark.sparkContext.accumulator(0)
+
+    def count(batches):
+        for batch in batches:
+            seen.add(batch.num_rows)
+            yield batch
+
+    e = spark.range(1, 9).selectExpr("id AS a", "id + 1 AS b").mapInArrow(count, "a long, b long")
+    assert G.reach(e, spark.range(1, 2), "a", "b", None).count() == 9
+    assert seen.value == 8
