@@ -170,7 +170,8 @@ def change_flags(files: DataFrame, path: str, text: str, changed: str, focus: st
     dependencies, and none of the ecosystems suits the language in focus.
     """
     mine = files.where(F.col(changed)).select(F.col(path).alias("path"), F.col(text).alias("text"))
-    direct = declared(mine, "path", "text").groupBy("path").agg(F.countDistinct("package").alias("n")).agg(F.max("n").alias("direct"))
+    # a file's packages meet in the scan and travel as one row, not a row each
+    direct = declared(mine, "path", "text").groupBy("path").agg(F.size(F.collect_set("package")).cast("long").alias("n")).agg(F.max("n").alias("direct"))
     locks = sorted({n for names in LOCKS.values() for n in names})
     n_lines = F.size(F.split(F.rtrim(F.coalesce("text", F.lit("")), F.lit("\n")), "\n"))
     kind = F.coalesce(*(F.when(_name(F.col("path")).isin(*names), F.lit(e)) for e, names in FILES.items()))

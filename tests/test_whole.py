@@ -5,7 +5,7 @@ import pytest
 from tessera import plans
 from tessera.functions import scalars as S
 from tessera.operators import graph as G
-from tessera.operators import containment
+from tessera.operators import containment, dependencies
 from tessera.plans import pipelines, scalars
 
 
@@ -113,3 +113,13 @@ def test_code_of_a_small_table_is_read_by_all_tasks(spark, sf):
     made = pipelines._code(spark, sf)
     assert made.rdd.getNumPartitions() == int(spark.conf.get("spark.sql.shuffle.partitions"))
     assert made.select("key").distinct().count() == spark.read.parquet(f"{sf}/part.parquet").count()
+
+
+def test_packages_of_a_file_travel_as_one_row(spark):
+    """And a package named twice, or in two files of one path, counts once."""
+    text = '{"dependencies": {"a": "1", "b": "1"}, "devDependencies": {"a": "2"}}'
+    files = spark.createDataFrame([("x/package.json", text, True), ("x/package.json", '{"dependencies": {"c": "1"}}', True), ("y/go.mod", "module y\nrequire ex.org/a v1.0.0\n", True)], "path string, text string, changed boolean")
+    got = dependencies.change_flags(files, "path", "text", "changed", "java")
+    assert got.collect()[0].direct == 3
+    plan = got._jdf.queryExecution().toString().split("== Physical Plan ==")[1]
+    assert not [x for x in plan.splitlines() if "Exchange hashpartitioning(path" in x and "package" in x]
