@@ -123,9 +123,8 @@ def merge(scanner: DataFrame, reviewer: DataFrame, dismissals: DataFrame | None
     low, high = F.least("s.line", "l.line"), F.greatest("s.line", "l.line")
     w = Window.partitionBy("file").orderBy("__low")
     opens = F.coalesce(F.col("__low") > F.max("__high").over(w.rangeBetween(Window.unboundedPreceding, -1)), F.lit(False))
-    pair = pair.withColumns({"__low": low, "__high": high}).withColumn("__opens", opens.cast("int"))
-    at = pair.select("file", "__low", "__opens").distinct().withColumn("__piece", F.sum("__opens").over(w))
-    pair = pair.join(at.select("file", "__low", "__piece"), ["file", "__low"])
+    # a piece goes by the line that opens it; the first of a file has none
+    pair = pair.withColumns({"__low": low, "__high": high}).withColumn("__opens", opens).withColumn("__piece", F.max(F.when(F.col("__opens"), F.col("__low"))).over(w))
 
     def step(taken, sp, lp):
         free = sp not in taken[0] and lp not in taken[1]
