@@ -24,6 +24,10 @@ def checkpoint_dir(spark: SparkSession) -> str:
     return context._jsc.sc().getCheckpointDir().get()
 
 
+#: A node of more edges than this, and than a 256th of them, is met through a broadcast: a join would bring them into one task.
+HOT = 100_000
+
+
 def connected_components(edges: DataFrame, a: str = "a", b: str = "b", max_rounds: int = 60) -> DataFrame:
     """(node, component) for every node of an undirected edge table; component is the least node.
 
@@ -40,17 +44,36 @@ def connected_components(edges: DataFrame, a: str = "a", b: str = "b", max_round
         if now[0] == 0 or now == before:
             break
         before = now
-        both = e.select(F.col("u").alias("n"), F.col("v").alias("o")).unionAll(e.select(F.col("v").alias("n"), F.col("u").alias("o")))
-        least = both.groupBy("n").agg(F.least(F.min("o"), F.col("n")).alias("m"))
-        large = both.where("o > n").join(least, "n").select(F.col("o").alias("u"), F.col("m").alias("v")).where("u <> v").distinct()
+        hot = _hot(e, now[0])
+        # u > v in every edge, so only the edges (v, w) can hold a lesser neighbour of v
+        least = e.groupBy(F.col("u").alias("v")).agg(F.min("v").alias("m"))
+        large = _with_least(e, least, "v", hot["v"]).select("u", F.coalesce("m", "v").alias("v"))
         low = large.groupBy("u").agg(F.min("v").alias("m"))
-        small = large.join(low, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).where("u <> v")
+        small = _with_least(large, low, "u", hot["u"]).select(F.col("v").alias("u"), F.col("m").alias("v")).where("u <> v")
         e = small.unionAll(low.select("u", F.col("m").alias("v"))).distinct().checkpoint()
     else:
         raise RuntimeError("components did not settle")
     return e.select(F.col("u").alias("node"), F.col("v").alias("component")).unionAll(e.select(F.col("v").alias("node"), F.col("v").alias("component")).distinct())
 
 
+def _hot(e: DataFrame, rows: int) -> dict[str, list]:
+    """The nodes u, and the nodes v, of very many of the rows (u, v); at most 256 each."""
+    out = {"u": [], "v": []}
+    many = max(HOT, rows // 256)
+    if rows > many:
+        for c in out:
+            out[c] = [x[0] for x in e.groupBy(c).agg(F.count(F.lit(1)).alias("n")).where(F.col("n") > many).select(c).collect()]
+    return out
+
+
+def _with_least(rows: DataFrame, least: DataFrame, key: str, hot: list) -> DataFrame:
+    """rows and the m of their key in ``least`` (key, m), null if it has none; the few hot keys by a broadcast."""
+    if not hot:
+        return rows.join(least, key, "left")
+    is_hot = F.col(key).isin(hot)
+    return rows.where(~is_hot).join(least.where(~is_hot), key, "left").unionByName(rows.where(is_hot).join(F.broadcast(least.where(is_hot)), key, "left"))
+
+
 def _mark(e: DataFrame) -> tuple:
     """The number of the distinct rows (u, v) and a hash of them all; a sum of hashes would overflow past some 10^7 rows."""
     return tuple(e.agg(F.count(F.lit(1)), F.bit_xor(F.xxhash64("u", "v"))).first())
@@ -122,7 +145,10 @@ def change_groups(changed: DataFrame, edges: DataFrame, node: str, file: str, a:
     hub = changed.groupBy(file).agg(F.min(node).alias("hub"))
     stars = changed.join(hub, file).select(F.col(node).alias("a"), F.col("hub").alias("b"))
     known = changed.select(F.col(node).alias("__n")).distinct()
-    inner = edges.select(F.col(a).alias("a"), F.col(b).alias("b")).join(known, F.col("a") == known["__n"], "left_semi").join(known, F.col("b") == known["__n"], "left_semi")
+    checkpoint_dir(edges.sparkSession)
+    # repeated edges go before the joins, and these end before the union: there all partitions of the side of fewer bytes, which
+    # sorted rows are, would become one task
+    inner = edges.select(F.col(a).alias("a"), F.col(b).alias("b")).distinct().join(known, F.col("a") == known["__n"], "left_semi").join(known, F.col("b") == known["__n"], "left_semi").checkpoint()
     parts = connected_components(stars.unionAll(inner)).select(F.col("node").alias("__n"), "component")
     return changed.select(F.col(node).alias("node")).distinct().join(parts, F.col("node") == F.col("__n"), "left").select("node", F.coalesce("component", "node").alias("group"))
 

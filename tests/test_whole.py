@@ -1,6 +1,7 @@
 """Queries over whole tables, on small fixtures made to show what a cut would lose."""
 
 import pytest
+from pyspark.sql import functions as F
 
 from tessera import plans
 from tessera.functions import scalars as S
@@ -71,6 +72,29 @@ def test_change_groups(spark, tmp_path):
     assert got == _parts(edges) == {2: 2, 3: 2, 4: 2, 9: 9, 10: 9, 20: 20}
 
 
+def test_change_groups_ties_by_an_edge_once(spark, monkeypatch):
+    ties, components = [], G.connected_components
+    monkeypatch.setattr(G, "connected_components", lambda e: (ties.append(e), components(e))[1])
+    edges = spark.range(40_000).select((F.col("id") % 2000).alias("a"), (F.col("id") % 2000 + 1).alias("b"))
+    changed = spark.range(2001).select(F.col("id").alias("n"), F.lit("f").alias("f"))
+    got = {tuple(r) for r in G.change_groups(changed, edges, "n", "f", "a", "b").collect()}
+    assert got == {(i, 0) for i in range(2001)}
+    assert ties[0].where("b = a + 1").count() == 2000
+
+
+@pytest.mark.parametrize("hot", [3, 10**6])
+def test_components_of_nodes_with_very_many_edges(spark, monkeypatch, hot):
+    monkeypatch.setattr(G, "HOT", hot)
+    asked, ask = [], G._hot
+    monkeypatch.setattr(G, "_hot", lambda e, rows: (asked.append(ask(e, rows)), asked[-1])[1])
+    rows = [(0, i) for i in range(1, 40)] + [(500, i) for i in range(100, 140)] + [(i, i + 1) for i in range(200, 230)] + [(139, 200), (700, 701), (701, 700), (39, 39)]
+    for kind, of in (("long", int), ("string", lambda x: f"n{x:03d}")):
+        pairs = [(of(a), of(b)) for a, b in rows]
+        got = {tuple(r) for r in G.connected_components(spark.createDataFrame([*pairs, (None, of(3))], f"a {kind}, b {kind}")).collect()}
+        assert got == set(_parts(pairs).items())
+    assert any(x["u"] for x in asked) == any(x["v"] for x in asked) == (hot == 3)
+
+
 def _chain(spark, n):
     return spark.createDataFrame([(i, i + 1) for i in range(n)], "a long, b long").coalesce(1)
 
